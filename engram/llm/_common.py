@@ -94,12 +94,16 @@ def pivot_members(keys: DataFrame, key: list[str]) -> DataFrame:
     pivot's cluster, and a pivot stands once in its own.  Rows grow with the
     number of keys, never with its square, and however many keys two rows
     share they meet in few clusters.
+
+    The keys are shuffled once: the minima and the join that hands them back
+    read the same exchange.  Both stream through a key's rows, holding one.
     """
+    dealt = keys.repartition(*key)
     heads = (
-        keys.groupBy(*key).agg(F.min("x").alias("pivot"), F.max("x").alias("last"))
+        dealt.groupBy(*key).agg(F.min("x").alias("pivot"), F.max("x").alias("last"))
         .where("pivot < last").drop("last")
     )
-    others = keys.join(heads, key).where("x <> pivot").select("pivot", "x").distinct()
+    others = dealt.join(heads.hint("merge"), key).where("x <> pivot").select("pivot", "x").distinct()
     others = materialize(others, "clusters")
     return others.union(others.select("pivot", F.col("pivot").alias("x")).distinct())
 

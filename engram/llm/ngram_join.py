@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from engram.llm._common import block_pairs, connected_components, materialize, pivot_members, prepare
+from engram.llm._common import BATCH_ROWS, block_pairs, connected_components, materialize, pivot_members, prepare
 from engram.llm._text import buffers, mix, shingles, word_hashes
 
 #: Bits of one part of a sketch.
@@ -105,9 +105,9 @@ def verified_links(table: pa.Table, num: int, den: int) -> np.ndarray:
     Counts common shingles of all pairs by one matrix product over the
     shingles that at least two rows hold.
     """
-    x = table.column("x").to_numpy()
-    own = table.column("own").to_numpy()
-    sets = [np.frombuffer(b.as_py(), np.uint64) for b in table.column("shingles")]
+    x, rows = np.unique(table.column("x").to_numpy(), return_index=True)  # repeated rows: once
+    own = table.column("own").to_numpy()[rows]
+    sets = [np.frombuffer(table.column("shingles")[i].as_py(), np.uint64) for i in rows.tolist()]
     size = np.array([len(s) for s in sets], np.int64)
     one_block = table.column("block_a")[0].as_py() == table.column("block_b")[0].as_py()
     _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -155,26 +155,29 @@ def ngram_classes(
     )
     keys = sketched.where("keys is not null").select(F.col("set_id").alias("x"), F.explode("keys").alias("key"))
     members = pivot_members(keys, ["key"])
-    wanted = members.select(F.col("x").alias("set_id")).distinct().join(nodes, "set_id")
+    dealt = block_pairs(members.join(nodes.withColumnRenamed("set_id", "x"), "x"), "n")
+    # all places of a set, gathered by the id to fetch its text by
+    wanted = dealt.groupBy(F.col("least_id").alias("fetch_id")).agg(
+        F.collect_list(F.struct("x", "pivot", "block_a", "block_b", "own")).alias("places")
+    )
     wanted = materialize(wanted, "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    fetched = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("fetch_id"))).select("text", "places")
 
     def read_sets(batches):
         for batch in batches:
-            found = _sets(batch, "text", k)
-            ids = pa.array([_set_id(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in found], pa.binary())], ["x", "shingles"])
-
-    # the rows whose id stands for a wanted set, without moving other texts twice
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    fetch = wanted.select(F.col("least_id").alias("fetch_id")).distinct()
-    fetched = texts.join(fetch, texts.id.eqNullSafe(fetch.fetch_id), "left_semi").select("text")
-    sets = fetched.mapInArrow(read_sets, "x long, shingles binary")
-    # a repeated id fetches other texts too: only wanted sets, and each once, go on
-    sets = sets.join(wanted.select(F.col("set_id").alias("x"), "n"), "x")
-    sets = materialize(sets.dropDuplicates(["x"]), "shingles")
-
-    weighed = members.join(sets.select("x", "n"), "x")
-    dealt = block_pairs(weighed, "n").drop("n").join(sets.drop("n"), "x")
+            rows = [
+                (*(place[c] for c in ("x", "pivot", "block_a", "block_b", "own")), found.tobytes())
+                for found, places in zip(_sets(batch, "text", k), batch.column("places").to_pylist()) if len(found)
+                # a repeated id fetches other texts too
+                for name in [_set_id(found)] for place in places if place["x"] == name
+            ]
+            kinds = {"x": pa.int64(), "pivot": pa.int64(), "block_a": pa.int32(), "block_b": pa.int32(), "own": pa.int32(), "shingles": pa.binary()}
+            for s in range(0, max(1, len(rows)), BATCH_ROWS):
+                part = list(zip(*rows[s : s + BATCH_ROWS])) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(part, kinds.values())], list(kinds))
+
+    dealt = fetched.mapInArrow(read_sets, "x long, pivot long, block_a int, block_b int, own int, shingles binary")
 
     def verify(table: pa.Table) -> pa.Table:
         return pa.table({"a": (e := verified_links(table, num, den))[:, 0], "b": e[:, 1]})
