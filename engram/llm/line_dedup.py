@@ -7,9 +7,10 @@ is the order of doc_id (nulls last), then of the text's hash, then of the line
 number; the place of a line's text is its first occurrence.
 
 Lines are compared after trimming and lower-casing A-Z; blank lines are kept.
-Two lines one edit apart agree in their first or in their last half, so only
-lines that share a half with another line go on (an exact filter).  Each of
-those emits its variants with one character deleted, as (hash, place) keys,
+Two lines one edit apart agree outside one of 2 (or 16) equal segments, so
+only lines that share their first or last half with another line, and of
+those the ones that share all but one sixteenth, go on (exact filters, which
+keep every such pair).  Each of those emits its variants with one character deleted, as (hash, place) keys,
 and its own hash as the key of a shorter partner.  Lines with an equal
 variant at one place differ by one substitution; a line and its own variant
 by one insertion.  Every member of a key is compared with the key's earliest
@@ -28,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from engram.llm._common import discard, materialize, prepare
+from engram.llm._common import materialize, prepare
 from engram.llm._text import mix
 
 LEAST = 16
+#: Segments of the finer filter.
+FINE = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -58,13 +61,23 @@ def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
         return mix(np.append(gone + (n - np.uint64(1)) * _BASE, total + n * _BASE)), np.append(np.arange(len(c)), -1)
 
 
-def _halves(line: Column, n: Column) -> Column:
-    """Keys of the halves a partner of the same or a neighbouring length shares."""
+def segment_keys(line: Column, n: Column, segments: int) -> list[Column]:
+    """Hashes of a line without one of its segments, for partners at least as
+    long (m = n) and for those one shorter (m = n - 1): an edit within segment
+    i of the shorter leaves what stands before and after that segment."""
     keys = []
     for m in (n, n - 1):
-        h = F.floor(m / 2).cast("int")
-        keys += [F.xxhash64(F.lit("head"), h, line.substr(F.lit(1), h)), F.xxhash64(F.lit("tail"), h, line.substr((n - h + 1).cast("int"), h))]
-    return F.array_distinct(F.array(*keys))
+        for i in range(segments):
+            low, high = F.floor(m * i / segments).cast("int"), F.floor(m * (i + 1) / segments).cast("int")
+            rest = (m - high).cast("int")
+            keys.append(F.xxhash64(F.lit(i), low, rest, line.substr(F.lit(1), low), line.substr((n - rest + 1).cast("int"), rest)))
+    return keys
+
+
+def sharing(keyed: DataFrame) -> DataFrame:
+    """Of (h1, h2, key) rows the lines that share a key with another line."""
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
+    return keyed.join(shared, "key").select("h1", "h2").distinct()
 
 
 def _variants(column: pa.Array) -> pa.Array:
@@ -84,13 +97,14 @@ def _variants(column: pa.Array) -> pa.Array:
 def near_lines(first: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
     """(h1, h2) of the lines with an earlier line one edit away.
 
-    ``first``: (h1, h2, at, n, halves) per distinct line; ``texts``: a function
+    ``first``: (h1, h2, at, n, s0 to s3) per distinct line; ``texts``: a function
     of (h1, h2, at) rows that adds their ``line``.
     """
-    halves = first.where(F.col("n") >= least).select("h1", "h2", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("half")
-    suspects = halves.join(shared, "half").select("h1", "h2").distinct().join(first.select("h1", "h2", "at"), ["h1", "h2"])
+    halves = first.where(F.col("n") >= least).select("h1", "h2", F.explode(F.array_distinct(F.array("s0", "s1", "s2", "s3"))).alias("key"))
+    suspects = sharing(halves).join(first.select("h1", "h2", "at"), ["h1", "h2"])
     lines = materialize(texts(materialize(suspects, "suspects")), "suspect-lines")
+    finer = F.explode(F.array_distinct(F.array(*segment_keys(F.col("line"), F.length("line"), FINE))))
+    lines = materialize(lines.join(sharing(lines.select("h1", "h2", finer.alias("key"))), ["h1", "h2"]), "suspect-lines")
 
     made = lines.select("h1", "h2", "at", F.explode(arrow_udf(_variants, "array<struct<key:bigint,place:int>>")("line")).alias("v"))
     made = made.select("h1", "h2", "at", F.col("v.key").alias("key"), F.col("v.place").alias("place"))
@@ -126,10 +140,10 @@ def kept_lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST)
     hashed = lines.select(
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"),
         F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "number").alias("at"), n.alias("n"),
-        F.when(n >= least, _halves(F.col("line"), n)).alias("halves"),
+        *(key.alias(f"s{i}") for i, key in enumerate(segment_keys(F.col("line"), n, 2))),
     )
-    first = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("halves").alias("halves"))
-    first = materialize(first, "first-lines")
+    same = [F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")]
+    first = materialize(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), *same), "first-lines")
 
     def texts(suspects: DataFrame) -> DataFrame:
         wanted = suspects.select(
@@ -139,7 +153,7 @@ def kept_lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST)
         found = found.select(F.explode("ws").alias("w"), F.split("text", "\n").alias("all"))
         return found.select("w.h1", "w.h2", "w.at", normal(F.get("all", F.col("w.at.number"))).alias("line")).dropDuplicates(["h1", "h2"])
 
-    near = near_lines(first.select("h1", "h2", "at", "n", "halves"), texts, least)
+    near = near_lines(first, texts, least)
     kept = first.select("h1", "h2", "at").join(near, ["h1", "h2"], "left_anti")
     return kept.groupBy("at.id", "at.text_hash").agg(F.collect_list("at.number").alias("lines"))
 
@@ -167,11 +181,10 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"),
-        F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: normal(x) != "")), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\r\n][^\n]*")), F.lit(0)).cast("long").alias("n_lines"),
     )
     joined = rows.join(kept, F.col("id").eqNullSafe(F.col("_kept_id")) & (F.col("hash") == F.col("_kept_hash")), "left")
-    n_lines = F.greatest("n_lines", F.lit(0)).cast("long")
     return joined.select(
-        F.col("id").alias(id_col), n_lines.alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_kept"),
-        ((n_lines == 0) | F.col("_n").isNotNull()).alias("kept"),
+        F.col("id").alias(id_col), "n_lines", F.coalesce("_n", F.lit(0)).cast("long").alias("n_kept"),
+        ((F.col("n_lines") == 0) | F.col("_n").isNotNull()).alias("kept"),
     )

@@ -184,7 +184,7 @@ def line_rows(seed=1):
                 line = rng.choice([line[:p] + rng.choice(letters) + line[p:], line[:p] + line[p + 1 :], line[:p] + rng.choice(letters) + line[p + 1 :]])
             lines.append(rng.choice([line, line.upper() if line.isascii() else line, f"  {line}\t"]))
         rows.append((i, "\n".join(lines) + rng.choice(["", "\n", "\n\n"])))
-    rows += [(90, None), (91, ""), (92, "\n \n"), (93, "z" * 60_000), (94, "z" * 60_001), (95, "z" * 60_002)]
+    rows += [(90, None), (91, ""), (92, "\n \n"), (93, "z" * 3000), (94, "z" * 3001), (95, "z" * 3002)]
     rng.shuffle(rows)
     return rows
 
