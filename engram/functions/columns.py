@@ -1,0 +1,70 @@
+"""Column expressions shared by the operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, functions as F
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 - cosine of two numeric arrays, in double precision."""
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """Prefix and 16 hex digits of the parts' SHA-256."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 16))
+
+
+def normalize_entity(x: Column) -> Column:
+    """Lower case, other than a-z and 0-9 to single blanks, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9 ]+", " "), r"\s+", " "))
+
+
+def normalize_predicate(x: Column) -> Column:
+    """Lower case, other than a-z and 0-9 to ``_``; empty: ``unspecified``."""
+    cleaned = F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("unspecified"))
+
+
+def date_iso(x: Column) -> Column:
+    """"2023/04/10 (Mon) 17:50" to "2023-04-10T17:50"; unreadable: empty."""
+    pattern = r"(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?:\D+(\d{1,2}):(\d{2}))?"
+    part = [F.regexp_extract(x, pattern, i) for i in range(1, 6)]
+    day = F.concat(part[0], F.lit("-"), F.lpad(part[1], 2, "0"), F.lit("-"), F.lpad(part[2], 2, "0"))
+    time = F.concat(F.lit("T"), F.lpad(part[3], 2, "0"), F.lit(":"), part[4])
+    return F.coalesce(F.when(part[0] == "", "").when(part[3] == "", day).otherwise(F.concat(day, time)), F.lit(""))
+
+
+def clamp_int(x: Column, default: int, low: int, high: int) -> Column:
+    """An integer within bounds; what cannot be read becomes ``default``."""
+    return F.least(F.greatest(F.coalesce(x.try_cast("int"), F.lit(default)), F.lit(low)), F.lit(high))
+
+
+def snippet(*columns: str) -> Column:
+    """First column that is not blank, 180 characters of it."""
+    return F.substring(F.coalesce(*(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in columns)), 1, 180)
+
+
+def contains_text(haystack: Column, needle: Column) -> Column:
+    """Case-insensitive substring test; null counts as empty."""
+    return F.contains(F.lower(F.coalesce(haystack, F.lit(""))), F.lower(needle))
+
+
+def search_terms(question: Column, most: int = 24) -> Column:
+    """Distinct lower-case words of more than two characters, ``most`` of them."""
+    words = F.split(F.lower(F.regexp_replace(question, "[^A-Za-z0-9]+", " ")), " ")
+    return F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) > 2)), 1, most)
+
+
+def sentences(text: Column, least: int = 25) -> Column:
+    """Sentences (after ``. ! ?`` and white space) of at least ``least`` characters."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= least)
+
+
+def recall_at(ranked: Column, gold: Column, k: int) -> Column:
+    """Share of the gold ids among the first k ranked; 0 without gold."""
+    hit = F.size(F.array_intersect(F.slice(ranked, 1, k), gold))
+    return F.when(F.size(gold) > 0, hit / F.size(gold)).otherwise(0.0)

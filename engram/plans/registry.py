@@ -1,4 +1,505 @@
-"""All registered queries and their SQL counterparts."""
+"""All registered queries, each beside the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from engram.functions import columns as C
+from engram.functions.embed import embed
+from engram.operators import graph as G, memory as M, metrics as X, retrieval as R
+from engram.sources import tables as S
+from engram.streaming.log import novelty_gate
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+SECOND = 1_000_000
+HOUR = 3600 * SECOND
+PR_ROUNDS = 12
+
+EDITS = """edits as (
+  select event_id, cast(user_id as varchar) as actor, json_extract_string(props, '$.k') as page, epoch_us(ts) as ts_us,
+         value as bytes, event_type as kind
+  from events where user_id is not null and json_extract_string(props, '$.k') is not null)"""
+LOG = """elog as (
+  select cast(event_id % 4 as int) as part, event_id, epoch_us(ts) as ts_us, user_id, event_type as kind,
+         row_number() over (partition by event_id % 4 order by event_id) - 1 as off from events)"""
+CLAIMS = """claims as (
+  select cast(o_orderkey as varchar) as id, o_custkey as subject, o_orderpriority as predicate, epoch_us(o_orderdate) as valid_us,
+         o_totalprice as text from orders)"""
+PAIRS = """spairs as (select * from (
+  select id as newer, lag(id) over w as older, text, lag(text) over w as old_text, valid_us, lag(valid_us) over w as old_valid
+  from claims window w as (partition by subject, predicate order by valid_us, id)) where older is not null and text <> old_text)"""
+HANDOVERS = """handovers as (
+  select cast(user_id as varchar) as to_agent, event_id as handover_id, epoch_us(ts) as created_us,
+         case when event_type in ('click', 'view') then 'open' else event_type end as status from events)"""
+JUDGED = """judged as (
+  select doc_id as question_id, d.source as question_type, quality = 1 as label, toxic = 1 as is_abstention, d.n_chars % 7 = 0 as predicted_abstain,
+         d.lang as split, d.n_chars as returned
+  from labels join documents d using (doc_id))"""
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def coedit_sql(width: int) -> str:
+    return f"""with {EDITS} select a.actor as a, b.actor as b, count(distinct a.page) as shared, min(abs(a.ts_us - b.ts_us)) as closest_us
+    from edits a join edits b on a.page = b.page and a.actor < b.actor and abs(a.ts_us - b.ts_us) <= {width} group by 1, 2"""
+
+
+def ring_sql(width: int, anchor: str | None = None) -> str:
+    held = f"and '{anchor}' in (p.e, p.m, q.e)" if anchor else ""
+    return f"""with {EDITS}, pairs as (
+      select distinct a.actor as m, b.actor as e, a.page as page, least(a.ts_us, b.ts_us) as low, greatest(a.ts_us, b.ts_us) as high
+      from edits a join edits b on a.page = b.page and a.actor <> b.actor and abs(a.ts_us - b.ts_us) <= {width}),
+    paths as (
+      select array_to_string(list_sort([p.e, p.m, q.e]), '|') as actors, array_to_string(list_sort([p.page, q.page]), '|') as pages,
+             greatest(p.high, q.high) - least(p.low, q.low) as span_us
+      from pairs p join pairs q on p.m = q.m and p.e < q.e and p.page <> q.page
+       and greatest(p.high, q.high) - least(p.low, q.low) <= {width} {held})
+    select actors, pages, min(span_us) as span_us, 1 - min(span_us) / {width} as closeness from paths group by 1, 2"""
+
+
+@query(f"with {EDITS} select * from edits")
+def edits_scan(spark, sf):
+    return S.edits(spark, sf)
+
+
+@query(coedit_sql(720 * SECOND))
+def coedit_windowed(spark, sf):
+    return G.coedited_windowed(S.edits(spark, sf), 720 * SECOND)
+
+
+@query(coedit_sql(HOUR))
+def coedit_windowed_1h(spark, sf):
+    return G.coedited_windowed(S.edits(spark, sf), HOUR)
+
+
+@query(f"""with {EDITS}, d as (select distinct page, actor from edits)
+select a.actor as a, b.actor as b, count(*) as weight from d a join d b on a.page = b.page and a.actor < b.actor group by 1, 2""")
+def coedit_weight(spark, sf):
+    return G.coedited_weight(S.edits(spark, sf))
+
+
+@query(ring_sql(HOUR))
+def ring_1h(spark, sf):
+    return G.rings(S.edits(spark, sf), HOUR)
+
+
+@query(ring_sql(6 * HOUR))
+def ring_6h(spark, sf):
+    return G.rings(S.edits(spark, sf), 6 * HOUR)
+
+
+@query(ring_sql(720 * SECOND))
+def ring_none_720s(spark, sf):
+    return G.rings(S.edits(spark, sf), 720 * SECOND)
+
+
+@query(ring_sql(6 * HOUR, "7"))
+def ring_anchor(spark, sf):
+    return G.rings(S.edits(spark, sf), 6 * HOUR, anchor="7")
+
+
+@query(f"""select count(*) as rings, coalesce(max(closeness), 0.0) as ring_score, count(*) > 0 and coalesce(max(closeness), 0) >= 0.5 as should_open_case
+from ({ring_sql(HOUR)})""")
+def ring_verdict(spark, sf):
+    return G.ring_verdict(G.rings(S.edits(spark, sf), HOUR))
+
+
+@query(f"""with {EDITS}, a as (select distinct cast(c_custkey as varchar) as actor from customer union select actor from edits)
+select a.actor, count(e.event_id) as edits from a left join edits e on a.actor = e.actor group by 1""")
+def edit_count(spark, sf):
+    e = S.edits(spark, sf)
+    actors = S.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("actor")).union(e.select("actor")).distinct()
+    return actors.join(e.groupBy("actor").agg(F.count("event_id").alias("n")), "actor", "left").select("actor", F.coalesce("n", F.lit(0)).alias("edits"))
+
+
+@query("select coalesce(cast(nullif(user_id % 5, 0) as varchar), 'unbound') as author, count(*) as writes from events group by 1")
+def contributors(spark, sf):
+    author = F.coalesce(F.nullif(F.col("user_id") % 5, F.lit(0)).cast("string"), F.lit("unbound"))
+    return S.table(spark, sf, "events").groupBy(author.alias("author")).agg(F.count("*").alias("writes"))
+
+
+@query(f"""with recursive {EDITS}, e as (select distinct a.actor as a, b.actor as b from edits a join edits b on a.page = b.page and a.actor <> b.actor and abs(a.ts_us - b.ts_us) <= {60 * SECOND}),
+r as (select a as node, a as seen from e union select r.node, e.b from r join e on r.seen = e.a)
+select component, count(*) as size from (select node, min(seen) as component from r group by 1) group by 1 having count(*) >= 2""")
+def cells_wcc(spark, sf):
+    pairs = G.coedit_pairs(S.edits(spark, sf), 60 * SECOND)
+    return G.cells(G.components(pairs.select("a", "b")))
+
+
+def _pagerank_sql() -> str:
+    steps = []
+    for i in range(1, PR_ROUNDS + 1):
+        steps.append(f"""r{i} as materialized (
+          select n.node, 0.15::double / t.n + 0.85::double * coalesce(s.got, 0) +
+                 0.85::double * (select coalesce(sum(r.score), 0) from r{i - 1} r where r.node not in (select a from ways)) / t.n as score
+          from nodes n cross join total t left join (
+            select w.b as node, sum(r.score / w.fan) as got from ways w join r{i - 1} r on r.node = w.a group by 1) s on n.node = s.node)""")
+    return f"""with {EDITS},
+    links as materialized (select distinct a.actor as a, b.actor as b from edits a join edits b on a.page = b.page and a.actor < b.actor and abs(a.ts_us - b.ts_us) <= {HOUR}),
+    ways as materialized (select a, b, count(*) over (partition by a) as fan from links),
+    nodes as materialized (select 'a' || actor as node from (select distinct actor from edits) where false union select actor from edits union select 'page ' || page from edits),
+    total as (select count(*)::double as n from nodes),
+    r0 as materialized (select node, 1 / t.n as score from nodes cross join total t), {", ".join(steps)}
+    select node as actor, round(score, 9) as score from r{PR_ROUNDS} where node not like 'page %' order by round(score, 9) desc, node limit 10"""
+
+
+@query(_pagerank_sql())
+def pagerank_topk(spark, sf):
+    e = S.edits(spark, sf)
+    links = G.coedit_pairs(e, HOUR).select("a", "b").distinct()
+    actors = e.select(F.col("actor").alias("node")).distinct()
+    n = actors.count() + e.select("page").distinct().count()
+    ranked = G.pagerank(links, actors, n, PR_ROUNDS).select(F.col("node").alias("actor"), F.round("score", 9).alias("score"))
+    return ranked.orderBy(F.desc("score"), "actor").limit(10)
+
+
+@query()
+def label_propagation(spark, sf):
+    return G.label_propagation(G.coedit_pairs(S.edits(spark, sf), 60 * SECOND).select("a", "b"))
+
+
+@query()
+def ringleader(spark, sf):
+    """The best-ranked actor, its score against the mean, and its cell's size."""
+    e = S.edits(spark, sf)
+    links = G.coedit_pairs(e, HOUR).select("a", "b").distinct()
+    actors = e.select(F.col("actor").alias("node")).distinct()
+    n = actors.count() + e.select("page").distinct().count()
+    ranked = G.pagerank(links, actors, n, PR_ROUNDS)
+    mean = ranked.agg(F.avg("score").alias("mean"))
+    first = ranked.orderBy(F.desc("score"), "node").limit(1).crossJoin(mean)
+    labels = G.components(links)
+    cell = first.join(labels, "node", "left").join(G.cells(labels), "component", "left")
+    return cell.select(F.col("node").alias("actor"), F.round(F.col("score") / F.col("mean"), 6).alias("score_vs_baseline"), F.coalesce("size", F.lit(1)).alias("cell_size"))
+
+
+def _handovers(spark, sf):
+    e = S.table(spark, sf, "events")
+    return e.select(
+        F.col("user_id").cast("string").alias("to_agent"), F.col("event_id").alias("handover_id"), S.micros(F.col("ts")).alias("created_us"),
+        F.when(F.col("event_type").isin("click", "view"), "open").otherwise(F.col("event_type")).alias("status"),
+    )
+
+
+@query(f"with {HANDOVERS} select * exclude (n) from (select *, row_number() over (partition by to_agent order by created_us desc, handover_id desc) as n from handovers) where n = 1")
+def latest_handover(spark, sf):
+    return M.latest_handover(_handovers(spark, sf))
+
+
+@query(f"with {HANDOVERS} select * exclude (n) from (select *, row_number() over (partition by to_agent order by created_us desc, handover_id desc) as n from handovers) where n = 1 and status = 'open'")
+def handover_read(spark, sf):
+    return M.read_handover(_handovers(spark, sf))
+
+
+@query(f"with {HANDOVERS} select * exclude (n) from (select *, row_number() over (partition by to_agent order by created_us desc, handover_id desc) as n from handovers where status = 'open') where n = 1")
+def handover_read_all(spark, sf):
+    return M.open_handovers(_handovers(spark, sf))
+
+
+@query(f"""with {HANDOVERS} select to_agent, handover_id, created_us,
+case when status = 'open' and lead(handover_id) over (partition by to_agent order by created_us, handover_id) is not null then 'superseded' else status end as status from handovers""")
+def handover_write(spark, sf):
+    return M.close_handovers(_handovers(spark, sf))
+
+
+def _nodes(spark, sf):
+    e = S.edits(spark, sf)
+    event = e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("id"), F.lit("Event").alias("label"), F.col("ts_us").alias("clock"), F.col("actor").alias("author"))
+    actor = e.groupBy(F.concat(F.lit("a"), "actor").alias("id")).agg(F.max("ts_us").alias("clock"), F.min_by("actor", F.struct("ts_us", "event_id")).alias("author"))
+    page = e.groupBy(F.concat(F.lit("p"), "page").alias("id")).agg(F.max("ts_us").alias("clock"), F.min_by("actor", F.struct("ts_us", "event_id")).alias("author"))
+    return event.unionByName(actor.withColumn("label", F.lit("Actor"))).unionByName(page.withColumn("label", F.lit("Page")))
+
+
+def _edges(spark, sf):
+    e = S.edits(spark, sf)
+    made = e.select(F.concat(F.lit("a"), "actor").alias("src"), F.lit("EDITED").alias("relation"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("dst"))
+    return made.union(e.select(F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("ON"), F.concat(F.lit("p"), "page")))
+
+
+NODES = """nodes as (
+  select 'e' || event_id as id, 'Event' as label, ts_us as clock, actor as author from edits
+  union all select 'a' || actor, 'Actor', max(ts_us), actor from edits group by actor
+  union all select 'p' || page, 'Page', max(ts_us), arg_min(actor, event_id) from edits group by page)"""
+EDGES = """edges as (
+  select 'a' || actor as src, 'EDITED' as relation, 'e' || event_id as dst from edits
+  union all select 'e' || event_id, 'ON', 'p' || page from edits)"""
+
+
+@query(f"with {EDITS}, {NODES} select id, label, clock, author, (select count(*) from nodes) > 200 as capped from nodes order by clock desc, id limit 200")
+def snapshot_nodes(spark, sf):
+    return M.snapshot_nodes(_nodes(spark, sf), 200)
+
+
+@query(f"""with {EDITS}, {NODES}, {EDGES}, top as (select id from nodes order by clock desc, id limit 200)
+select * from edges where src in (select id from top) and dst in (select id from top)""")
+def snapshot_edges(spark, sf):
+    return M.induced_edges(_edges(spark, sf), M.snapshot_nodes(_nodes(spark, sf), 200)).select("src", "relation", "dst")
+
+
+@query(f"with {EDITS}, {NODES} select label, count(*) as n from nodes group by 1")
+def label_counts(spark, sf):
+    return _nodes(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {EDITS}, {NODES}, {EDGES},
+n as (select sha256(string_agg(label || chr(31) || id || chr(31) || author, chr(10) order by label || chr(31) || id || chr(31) || author)) as nodes_digest from nodes),
+e as (select sha256(string_agg(src || chr(31) || relation || chr(31) || '' || chr(31) || dst || chr(31) || '', chr(10) order by src || chr(31) || relation || chr(31) || '' || chr(31) || dst || chr(31) || '')) as edges_digest from edges)
+select nodes_digest, edges_digest, sha256(nodes_digest || edges_digest) as graph_digest from n cross join e""")
+def digest(spark, sf):
+    return M.digest(_nodes(spark, sf).withColumn("key", F.col("id")), _edges(spark, sf).withColumns({"relation_key": F.lit(""), "author": F.lit("")}))
+
+
+@query()
+def digest_buckets(spark, sf):
+    return M.bucket_digests(_nodes(spark, sf), ["id", "label", "clock", "author"], 256)
+
+
+@query(f"with {CLAIMS}, {PAIRS} select newer, older, case when valid_us = old_valid then 'contradicts' else 'supersedes' end as relation from spairs")
+def supersede_pairs(spark, sf):
+    return G.supersede_pairs(S.claims(spark, sf))
+
+
+@query(f"""with recursive {CLAIMS}, {PAIRS}, walk as (
+  select older as id, newer as head, 1 as depth from spairs
+  union all select w.id, p.newer, w.depth + 1 from walk w join spairs p on p.older = w.head)
+select id, arg_max(head, depth) as head, cast(max(depth) as bigint) as depth from walk group by 1""")
+def supersede_head(spark, sf):
+    return G.supersede_heads(G.supersede_pairs(S.claims(spark, sf)))
+
+
+@query("select count(*) as n from (select 1) where false")
+def supersede_none_cyclic(spark, sf):
+    """The recorded pairs are free of cycles: none of them closes one."""
+    pairs = G.supersede_pairs(S.claims(spark, sf).where("subject <= 20")).select(F.col("newer").alias("src"), F.col("older").alias("dst"))
+    return G.reaches(pairs, pairs).agg(F.count("*").alias("n"))
+
+
+@query("select conv_id, turn, lead(turn) over (partition by conv_id order by turn) as next_turn from conversations qualify next_turn is not null")
+def next_spine(spark, sf):
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    return S.table(spark, sf, "conversations").select("conv_id", "turn", F.lead("turn").over(order).alias("next_turn")).where("next_turn is not null")
+
+
+@query("""with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as start, count(*) over (partition by conv_id) as n from conversations)
+select a.conv_id, a.start, count(*) as n_turns, string_agg(b.text, chr(10) order by b.start) as chunk
+from t a join t b on a.conv_id = b.conv_id and b.start between a.start and a.start + 3
+where a.start % 2 = 0 and (a.start = 0 or a.start - 2 + 4 < a.n) group by a.conv_id, a.start""")
+def turn_chunks(spark, sf):
+    return R.turn_chunks(S.table(spark, sf, "conversations"))
+
+
+KNN = """knn as (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from (
+  select q.vec_id as query_id, v.vec_id, round(1 - list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::double * p[2]::double)) /
+    (sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(v.embedding, lambda x: x::double * x::double)))), 9) as distance
+  from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id in (3, 30, 300)))"""
+
+
+@query(f"with {KNN} select query_id, vec_id, distance, cast(rank as int) as rank from knn where rank <= 10")
+def knn_top10(spark, sf):
+    v = S.table(spark, sf, "embeddings")
+    return R.nearest(v.where(F.col("vec_id").isin(3, 30, 300)), v, 10)
+
+
+TERMS = """terms as (select distinct item_id as query_id, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' ')) as term from benchmark where item_id < 5),
+words as (select distinct doc_id, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' ')) as term from documents),
+lexical as (select *, row_number() over (partition by query_id order by hits desc, doc_id) as rank from (
+  select query_id, doc_id, count(*) as hits from words join terms using (term) where length(term) > 2 group by 1, 2))"""
+
+
+def _lexical(spark, sf, k):
+    b = S.table(spark, sf, "benchmark").where("item_id < 5")
+    terms = b.select(F.col("item_id").alias("query_id"), F.explode(C.search_terms(F.col("text"), 1_000_000)).alias("term"))
+    return R.term_hits(S.table(spark, sf, "documents"), terms, k)
+
+
+@query(f"with {TERMS} select query_id, doc_id, hits, cast(rank as int) as rank from lexical where rank <= 20")
+def lexical_search(spark, sf):
+    return _lexical(spark, sf, 20)
+
+
+@query(f"""with {TERMS}, lists as (
+  select query_id, doc_id as id, rank from lexical where rank <= 20
+  union all select query_id, id, row_number() over (partition by query_id order by n_chars desc, id) as rank from (
+    select l.query_id, l.doc_id as id, d.n_chars from lexical l join documents d using (doc_id) where l.rank <= 40)),
+f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 12) as score from lists group by 1, 2)
+select query_id, id, score, cast(place as int) as place from (select *, row_number() over (partition by query_id order by score desc, id) as place from f) where place <= 12""")
+def rrf_fuse(spark, sf):
+    hits = _lexical(spark, sf, 40)
+    first = hits.where("rank <= 20").select("query_id", F.col("doc_id").alias("id"), "rank")
+    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
+    second = hits.select("query_id", F.col("doc_id").alias("id")).join(docs, "id")
+    second = second.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "id")))
+    return R.fuse_ranks([first, second], 12)
+
+
+@query("""with m as (select p_partkey as id, p_brand as entity from part),
+s as (select id as seed from m where id in (1, 2, 3))
+select n.id, count(*) as shared from s join m a on a.id = s.seed join m n on n.entity = a.entity and n.id <> s.seed group by 1 order by shared desc, n.id limit 40""")
+def entity_expand(spark, sf):
+    m = S.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("entity"))
+    return R.expand(m.where(F.col("id").isin(1, 2, 3)), m, 40)
+
+
+@query(f"with {CLAIMS} select id, subject, predicate, valid_us, text from claims where valid_us between 820454400000000 and 852076800000000 order by valid_us, id limit 40")
+def temporal_window(spark, sf):
+    return R.temporal_window(S.claims(spark, sf), 820454400000000, 852076800000000, 40)
+
+
+@query("""with g as (select source, list_sort(list(doc_id)) as ranked, list_sort(list(doc_id) filter (where quality = 1)) as gold
+  from documents join labels using (doc_id) group by 1)
+select source, case when len(coalesce(gold, [])) = 0 then 0.0 else len(list_intersect(ranked[1:10], gold)) / len(gold) end as recall_10 from g""")
+def recall_at_k(spark, sf):
+    d = S.table(spark, sf, "documents").join(S.table(spark, sf, "labels"), "doc_id")
+    g = d.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ranked"), F.sort_array(F.collect_list(F.when(F.col("quality") == 1, F.col("doc_id")))).alias("gold"))
+    return g.select("source", C.recall_at(F.col("ranked"), F.col("gold"), 10).alias("recall_10"))
+
+
+def _judged(spark, sf):
+    d = S.table(spark, sf, "documents").join(S.table(spark, sf, "labels"), "doc_id")
+    return d.select(
+        F.col("doc_id").alias("question_id"), F.col("source").alias("question_type"), (F.col("quality") == 1).alias("label"), (F.col("toxic") == 1).alias("is_abstention"),
+        (F.col("n_chars") % 7 == 0).alias("predicted_abstain"), F.col("lang").alias("split"), F.col("n_chars").alias("returned"),
+    )
+
+
+@query(f"""with {JUDGED}, p as (select question_type, count(*) as n, avg(label::int) as acc from judged group by 1)
+select cast(sum(n) as bigint) as n, round(sum(acc * n) / sum(n), 9) as micro, round(avg(acc), 9) as macro from p""")
+def qa_micro_macro(spark, sf):
+    return X.micro_macro(_judged(spark, sf)).select("n", F.round("micro", 9).alias("micro"), F.round("macro", 9).alias("macro"))
+
+
+@query(f"with {JUDGED} select question_type, count(*) as n, round(avg(label::int), 9) as accuracy from judged group by 1")
+def qa_per_type(spark, sf):
+    return X.per_type(_judged(spark, sf)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(f"""with {JUDGED} select round(avg(label::int) filter (where is_abstention), 9) as abstention_accuracy,
+round(avg(predicted_abstain::int) filter (where not is_abstention), 9) as false_abstention_rate from judged""")
+def abstention_two_sided(spark, sf):
+    return X.abstention(_judged(spark, sf)).select(F.round("abstention_accuracy", 9).alias("abstention_accuracy"), F.round("false_abstention_rate", 9).alias("false_abstention_rate"))
+
+
+@query(f"""with {JUDGED}, m as (select round(avg(label::int), 9) as lane_a, round(avg((not predicted_abstain)::int), 9) as lane_b,
+round(avg((label = (not predicted_abstain))::int), 9) as agreement from judged) select *, abs(lane_a - lane_b) <= 0.02 as confirmed from m""")
+def lane_agreement(spark, sf):
+    j = _judged(spark, sf)
+    out = X.lane_band(j.select(F.col("question_id").alias("id"), "label"), j.select(F.col("question_id").alias("id"), (~F.col("predicted_abstain")).alias("label")))
+    return out.select(*(F.round(c, 9).alias(c) for c in ("lane_a", "lane_b", "agreement")), "confirmed")
+
+
+@query("""with v as (select l_orderkey as id, l_suppkey % 3 as family, case when l_linenumber % 4 = 0 then null else l_quantity > 25 end as vote from lineitem),
+p as (select id, family, count(*) filter (where vote) as yes, count(*) filter (where not vote) as no, count(*) as n from v group by 1, 2),
+f as (select id, case when (n - yes - no) * 2 >= n then null when yes > no then true when yes < no then false end as v from p),
+t as (select id, count(*) filter (where v) as y, count(*) filter (where not v) as n from f group by 1)
+select id, case when y > n then true when y < n then false end as verdict, n = 0 as unanimous from t""")
+def majority_vote(spark, sf):
+    l = S.table(spark, sf, "lineitem")
+    return X.majority(l.select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 3).alias("family"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity") > 25).alias("vote")))
+
+
+@query(f"""with {JUDGED}, a as (select abs(count(*) - 1000) as complete, count(*) - count(distinct question_id) as no_duplicates,
+  greatest(count(distinct split) - 1, 0) as one_split, count(*) filter (where returned > 5000) as within_budget, count(*) filter (where label is null) as judged,
+  case when avg(label::int) >= 0.9 then 1 else 0 end as too_good from judged)
+select check_name, cast(n as bigint) as n from (unpivot a on complete, no_duplicates, one_split, within_budget, judged, too_good into name check_name value n)""")
+def guards_violations(spark, sf):
+    return X.violations(_judged(spark, sf), 1000, 5000)
+
+
+@query("""with c as (select source as stratum, count(*) as n from documents group by 1), s as (select *, floor(n * 100 / sum(n) over ()) as base,
+  round(n * 100 / sum(n) over () - floor(n * 100 / sum(n) over ()), 9) as part from c)
+select stratum, n, cast(base + case when row_number() over (order by part desc, stratum) <= 100 - sum(base) over () then 1 else 0 end as bigint) as take from s""")
+def stratified_allocation(spark, sf):
+    c = S.table(spark, sf, "documents").groupBy(F.col("source").alias("stratum")).agg(F.count("*").alias("n"))
+    return X.stratified_allocation(c, 100)
+
+
+@query(f"with {LOG} select part, off, ts_us, event_id, user_id, kind from elog")
+def log_replay(spark, sf):
+    return S.event_log(spark, sf)
+
+
+@query(f"""with {LOG}, t as (select *, row_number() over (partition by part order by off desc) as n from elog)
+select part, off, ts_us, event_id, user_id, kind from t where n <= 50 order by ts_us desc, part desc, off desc limit 50""")
+def stream_tail(spark, sf):
+    return M.tail(S.event_log(spark, sf), 50)
+
+
+@query(f"with {LOG} select part, max(off) as live_edge from elog group by 1")
+def tail_live_edge(spark, sf):
+    return M.live_edges(S.event_log(spark, sf))
+
+
+@query(f"with {LOG} select * exclude (n) from (select *, row_number() over (partition by part order by off) as n from elog where off >= 100) where n <= 20")
+def seek_offset(spark, sf):
+    return M.seek(S.event_log(spark, sf), 20, offset=100)
+
+
+@query(f"""with {LOG}, m as (select min(ts_us) + 3600000000 as t from elog)
+select * exclude (n) from (select elog.*, row_number() over (partition by part order by off) as n from elog, m where ts_us >= m.t) where n <= 20""")
+def seek_time(spark, sf):
+    log = S.event_log(spark, sf)
+    return M.seek(log, 20, since_us=log.agg(F.min("ts_us")).first()[0] + HOUR)
+
+
+@query("select event_type, count(*) as n from events group by 1 order by n desc, event_type limit 8")
+def key_counts(spark, sf):
+    return M.key_counts(S.table(spark, sf, "events"), "event_type")
+
+
+@query(f"""with {EDITS} select page, arg_min(actor, event_id) as created_by, arg_max(actor, event_id) as updated_by, arg_max(bytes, event_id) as bytes from edits group by 1""")
+def upsert_pages(spark, sf):
+    e = S.edits(spark, sf).withColumns({"created_by": F.col("actor"), "updated_by": F.col("actor")})
+    return M.upsert_first_last(e, "page", ["event_id"], ["created_by"], ["updated_by", "bytes"])
+
+
+@query("""select doc_id, trim(regexp_replace(regexp_replace(lower(trim(source)), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) as entity,
+coalesce(nullif(trim(regexp_replace(lower(lang || '--' || source), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unspecified') as predicate,
+'doc_' || substr(sha256(cast(doc_id as varchar) || chr(31) || source), 1, 16) as stable from documents""")
+def normalizers(spark, sf):
+    d = S.table(spark, sf, "documents")
+    return d.select(
+        "doc_id", C.normalize_entity(F.col("source")).alias("entity"), C.normalize_predicate(F.concat("lang", F.lit("--"), "source")).alias("predicate"),
+        C.stable_id("doc", F.col("doc_id").cast("string"), F.col("source")).alias("stable"),
+    )
+
+
+@query("""select item_id, regexp_matches(text, '(?i)\\b(when|before|after|since|until|first|last|date|year|month|day)\\b') as is_temporal,
+regexp_matches(text, '(?i)\\b(how many|how much|number of|count|total)\\b') as is_counting, regexp_matches(text, '(?i)\\b(now|current|currently|latest|still|anymore|changed)\\b') as is_update,
+regexp_matches(text, '(?i)\\b(prefer|favou?rite|recommend|suggest|like)\\b') as is_preference, regexp_matches(text, '(?i)\\b(you|your|assistant)\\b') as is_assistant,
+len(regexp_extract_all(trim(text, ' '), '\\s+')) + 1 as n_tokens from benchmark""")
+def router_features(spark, sf):
+    b = S.table(spark, sf, "benchmark")
+    return b.select("item_id", *(c.alias(n) for n, c in R.route(F.col("text")).items()))
+
+
+@query()
+def sentence_entities(spark, sf):
+    """Sentences of the documents and the first entities of each."""
+    d = S.table(spark, sf, "documents").select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("place", "sentence"))
+    return d.select("doc_id", "place", F.xxhash64("sentence").alias("sentence_hash"), F.array_join(R.entities(F.col("sentence")), "|").alias("entities"))
+
+
+@query()
+def gate_vectors(spark, sf):
+    v = S.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("graph_key"), F.col("vec_id").alias("place"), "embedding")
+    return novelty_gate(v, 0.6).withColumn("distance", F.round("distance", 9))
+
+
+@query()
+def recall_text(spark, sf):
+    """Word-embedding neighbours of three benchmark texts among the documents."""
+    d = S.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), embed(F.col("text"), "word").alias("embedding"))
+    q = S.table(spark, sf, "benchmark").where("item_id < 3").select((-1 - F.col("item_id")).alias("vec_id"), embed(F.col("text"), "word").alias("embedding"))
+    return R.nearest(q, d, 10)
