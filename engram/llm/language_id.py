@@ -48,7 +48,8 @@ def _letters(data: np.ndarray) -> np.ndarray:
 
 
 def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """[texts, languages + 1]: tempered log-likelihoods, then the letters' number."""
+    """[texts, 2 * languages + 1]: tempered log-likelihoods, the posteriors of
+    the texts alone, and the number of letters."""
     n = len(at) - 1
     sums, grams, letters = np.zeros((n, table.shape[1])), np.zeros(n), np.zeros(n)
     for i in range(n):
@@ -62,7 +63,8 @@ def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarr
                 grams[i] += len(part) - 2
             s = e
     sums *= (TEMPER * np.minimum(1.0, MOST / np.maximum(grams, 1)))[:, None]
-    return np.concatenate([sums, letters[:, None]], axis=1)
+    own = np.exp(sums - sums.max(axis=1, keepdims=True, initial=-np.inf))
+    return np.concatenate([sums, own / own.sum(axis=1, keepdims=True), letters[:, None]], axis=1)
 
 
 def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -117,13 +119,6 @@ def visible_text(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    parts = [F.exp(s - top) for s in scores]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
-
-
 def identify_languages(
     rows: DataFrame, model: tuple[list[str], np.ndarray], text: Column, host: Column, domain: Column | None = None,
     declared: Column | None = None, suffix: Column | None = None, least: float = LEAST,
@@ -150,9 +145,14 @@ def identify_languages(
         "_ev_host": host.cast("string"), "_ev_domain": (domain if domain is not None else none).cast("string"),
         "_ev_declared": (declared if declared is not None else none), "_ev_suffix": (suffix if suffix is not None else none),
     })
-    own = _softmax([F.col("_ev_text")[i] for i in range(width)])
-    evident = F.col("_ev_text")[width] > 0
-    argmax = F.element_at(F.array(*map(F.lit, languages)), F.array_position(F.array(*own), F.array_max(F.array(*own))).cast("int"))
+    own = [F.col("_ev_text")[width + i] for i in range(width)]
+    evident = F.col("_ev_text")[2 * width] > 0
+    names = F.array(*map(F.lit, languages))
+
+    def best_of(scores: Column) -> Column:
+        return F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
+
+    argmax = best_of(F.slice("_ev_text", 1, width))
 
     # one row a host: rows, posterior sums, and how often declarations agree
     per_host = scored.where(evident).select(
@@ -186,11 +186,12 @@ def identify_languages(
             miss = np.log((1 - r) / max(1, width - 1))
             said = said + F.when(F.col(column) == lang, float(np.log(r))).when(F.col(column).isin(languages), float(miss)).otherwise(0.0)
         logs.append(F.col("_ev_text")[i] + F.log(F.coalesce(prior, F.lit(everyone[i])) + 1e-9) + said)
-    joined = joined.withColumn("_posterior", F.array(*_softmax(logs)))
-    best = F.array_max("_posterior")
+    joined = joined.withColumn("_logs", F.array(*logs))
+    shares = F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs")))
+    joined = joined.withColumn("_best", 1 / F.aggregate(shares, F.lit(0.0), lambda t, x: t + x))
     return joined.withColumns({
-        "id_language": F.when(evident, F.element_at(F.array(*map(F.lit, languages)), F.array_position("_posterior", best).cast("int"))).otherwise("und"),
-        "id_probability": F.when(evident, best).otherwise(0.0), "id_keep": evident & (best >= least),
+        "id_language": F.when(evident, best_of(F.col("_logs"))).otherwise("und"),
+        "id_probability": F.when(evident, F.col("_best")).otherwise(0.0), "id_keep": evident & (F.col("_best") >= least),
     }).select(*(F.col(f"`{c}`") for c in rows.columns), "id_language", "id_probability", "id_keep")
 
 

@@ -58,7 +58,10 @@ def near_copies(seed=3):
 
 @pytest.mark.parametrize("k,num,den", [(3, 90, 100), (5, 8, 10)])
 def test_ngram_classes_equal_brute_force(spark, k, num, den, monkeypatch):
-    monkeypatch.setattr(ngram_join, "block_pairs", lambda m, w: __import__("engram.llm._common", fromlist=["x"]).block_pairs(m, w, 3000))
+    import engram.llm._common as common
+
+    monkeypatch.setattr(common, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "BUNDLE", 30)
     rows = near_copies()
     df = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, key string, x long").repartition(5)
     got = {tuple(r) for r in ngram_join.ngram_classes(df, k=k, num=num, den=den).collect()}
