@@ -6,7 +6,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of an Arrow batch handed to Python; small, since one text can be long.
@@ -86,8 +89,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels.select("node", "label")
 
 
-def pivot_members(keys: DataFrame, key: list[str]) -> DataFrame:
-    """Clusters that cover all pairs which share a key: (pivot, x), distinct.
+def pivot_members(keys: DataFrame, key: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Clusters that cover all pairs which share a key: (pivot, x), distinct,
+    and the ``carry`` columns of the key, which then part clusters.
 
     ``keys`` has the key columns and a long ``x``.  The smallest x of each key
     is its pivot; any two rows that share a key are then members of that
@@ -103,12 +107,12 @@ def pivot_members(keys: DataFrame, key: list[str]) -> DataFrame:
         dealt.groupBy(*key).agg(F.min("x").alias("pivot"), F.max("x").alias("last"))
         .where("pivot < last").drop("last")
     )
-    others = dealt.join(heads.hint("merge"), key).where("x <> pivot").select("pivot", "x").distinct()
+    others = dealt.join(heads.hint("merge"), key).where("x <> pivot").select(*carry, "pivot", "x").distinct()
     others = materialize(others, "clusters")
-    return others.union(others.select("pivot", F.col("pivot").alias("x")).distinct())
+    return others.union(others.select(*carry, "pivot", F.col("pivot").alias("x")).distinct())
 
 
-def block_pairs(members: DataFrame, weight: str | None = None, most: int = 2_000_000) -> DataFrame:
+def block_pairs(members: DataFrame, weight: str | None = None, most: int = 2_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """Deal each cluster into blocks and each pair of its blocks to one group.
 
     Adds block_a <= block_b (the group within ``pivot``) and ``own`` (the row's
@@ -117,11 +121,31 @@ def block_pairs(members: DataFrame, weight: str | None = None, most: int = 2_000
     whose sum in a block stays about ``most``.
     """
     heavy = F.sum(weight) / F.lit(most) if weight else F.lit(0.0)
-    sizes = members.groupBy("pivot").agg(
+    sizes = members.groupBy(*carry, "pivot").agg(
         F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(heavy), F.lit(1)).cast("int").alias("blocks")
     )
-    dealt = members.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    dealt = members.join(sizes, [*carry, "pivot"]).withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(
         "*", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b")
     ).drop("blocks", "other")
+
+
+def bundled(dealt: DataFrame, group: list[str], bundles: int) -> DataFrame:
+    """``dealt`` with a ``bundle`` that takes in many whole groups, so that a
+    call of a Python function serves more than one small group."""
+    return dealt.withColumn("bundle", F.pmod(F.xxhash64(*group), F.lit(max(1, bundles))))
+
+
+def groups_of(table: pa.Table, group: list[str]) -> Iterator[pa.Table]:
+    """The groups of a bundle."""
+    columns = [table.column(c).to_numpy() for c in group]
+    order = np.lexsort(columns[::-1])
+    edges = np.zeros(len(order), bool)
+    edges[:1] = True
+    for c in columns:
+        edges[1:] |= c[order][1:] != c[order][:-1]
+    starts = np.flatnonzero(edges)
+    ordered = table.take(pa.array(order)).combine_chunks()
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)]):
+        yield ordered.slice(a, b - a)

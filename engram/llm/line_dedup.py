@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from engram.llm._common import materialize, prepare
+from engram.llm._common import discard, materialize, prepare
 from engram.llm._text import mix
 
 LEAST = 16
@@ -102,9 +102,11 @@ def near_lines(first: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFr
     """
     halves = first.where(F.col("n") >= least).select("h1", "h2", F.explode(F.array_distinct(F.array("s0", "s1", "s2", "s3"))).alias("key"))
     suspects = sharing(halves).join(first.select("h1", "h2", "at"), ["h1", "h2"])
-    lines = materialize(texts(materialize(suspects, "suspects")), "suspect-lines")
+    wanted = materialize(suspects, "suspects")
+    coarse = materialize(texts(wanted), "suspect-lines")
+    discard(wanted)
     finer = F.explode(F.array_distinct(F.array(*segment_keys(F.col("line"), F.length("line"), FINE))))
-    lines = materialize(lines.join(sharing(lines.select("h1", "h2", finer.alias("key"))), ["h1", "h2"]), "suspect-lines")
+    lines = materialize(coarse.join(sharing(coarse.select("h1", "h2", finer.alias("key"))), ["h1", "h2"]), "suspect-lines")
 
     made = lines.select("h1", "h2", "at", F.explode(arrow_udf(_variants, "array<struct<key:bigint,place:int>>")("line")).alias("v"))
     made = made.select("h1", "h2", "at", F.col("v.key").alias("key"), F.col("v.place").alias("place"))
@@ -121,6 +123,7 @@ def near_lines(first: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFr
         F.when(later, F.col("s1")).otherwise(F.col("h1")), F.when(later, F.col("s2")).otherwise(F.col("h2")),
     ))
     pairs = materialize(pairs.distinct(), "line-pairs")
+    discard(coarse)
     one = lines.select("h1", "h2", F.col("line").alias("one"))
     two = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("two"))
     checked = pairs.join(one, ["h1", "h2"]).join(two, ["g1", "g2"]).where(F.levenshtein("one", "two", 1).between(0, 1))

@@ -3,11 +3,16 @@
 Each text's set of word shingles is XOR-hashed into a bit sketch: every
 shingle flips one bit, so two sketches differ in at most as many bits as the
 sets differ in shingles.  Sets of similarity num/den and sizes up to ``hi``
-differ in at most t = 2 * hi * (den - num) / (den + num) shingles; a sketch
-cut into t + 1 parts therefore has an equal part in every pair to be found
-(pigeonhole).  Parts are joined by their hash within a band of sizes, the
-pairs of each pivot's cluster are verified on their shingle sets, and
-components follow by label propagation.
+differ in at most t = 2 * hi * (den - num) / (den + num) shingles, so of the
+P parts a sketch is cut into, P - t at least are equal in every pair to be
+found (pigeonhole).  It is then enough to join t + 1 parts of each sketch, if
+all sketches choose them by one order of parts: two sets with P - t members in
+common out of P meet in the first t + 1 of any order.  The order is by the
+number of set bits, most first, so the parts joined say much and empty parts
+are hardly ever among them.  Parts are joined by their hash within a band of
+sizes.  Within each pivot's cluster the whole sketches are compared: rows that
+have no partner within the bound leave.  What remains is verified on the
+shingle sets, and components follow by label propagation.
 
 Nulls and empty texts have no shingles and link with nothing.  Equal sets
 (copies, repeated rows) are one node.  Rows with a null id take part; a
@@ -21,13 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from engram.llm._common import BATCH_ROWS, block_pairs, connected_components, materialize, pivot_members, prepare
+from engram.llm._common import BATCH_ROWS, block_pairs, bundled, connected_components, discard, groups_of, materialize, pivot_members, prepare
 from engram.llm._text import buffers, mix, shingles, word_hashes
 
 #: Bits of one part of a sketch.
 PART_BITS = 1024
+#: Parts of a sketch for each part that is joined.
+PARTS = 2
 #: Ratio between the bounds of neighbouring size bands.
 BAND = 1.5
+#: Rows, and shingles, that one call of a Python function takes in on average.
+BUNDLE, BUNDLE_SHINGLES = 2000, 500_000
 
 
 def band_bounds(num: int, den: int, most: int) -> list[int]:
@@ -39,17 +48,20 @@ def band_bounds(num: int, den: int, most: int) -> list[int]:
     return bounds
 
 
-def part_keys(found: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the sketch parts of one set, in all bands it must stand in."""
-    n, keys = len(found), []
+def part_keys(found: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray, bytes]]:
+    """(band, hashes of the chosen sketch parts, compact sketch) of one set, for
+    all bands it must stand in.  The compact sketch folds the same bits to
+    about two a shingle; its distances are lower bounds too."""
+    n, out = len(found), []
     bounds = band_bounds(num, den, n * den // num)
     for band in range(len(bounds) - 1):
         low, hi = bounds[band], bounds[band + 1] - 1
         if n > hi or n * den // num < low:
             continue
-        parts = 2 * hi * (den - num) // (den + num) + 1
-        if parts < 2:
+        most = 2 * hi * (den - num) // (den + num)
+        if most < 1:
             continue  # only equal sets can reach the bound; those are one node
+        parts = PARTS * (most + 1)
         bit = np.sort(found % np.uint64(parts * PART_BITS))
         _, first, count = np.unique(bit, return_index=True, return_counts=True)
         bit = bit[first[count % 2 == 1]]  # set bits: flipped an odd number of times
@@ -58,8 +70,12 @@ def part_keys(found: np.ndarray, num: int, den: int) -> np.ndarray:
         value = np.zeros(parts, np.uint64)
         with np.errstate(over="ignore"):
             np.add.at(value, part, mix(bit + np.uint64(0x5851F42D4C957F2D)))
-            keys.append(mix(value + salt))
-    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            value = mix(value + salt)
+        held = np.bincount(part, minlength=parts)
+        width = 64 * max(8, -(-2 * hi // 64))
+        folded = np.bincount((mix(found) % np.uint64(width)).astype(np.int64), minlength=width) % 2
+        out.append((band, value[np.lexsort((value, -held))[: most + 1]], np.packbits(folded.astype(np.uint8)).tobytes()))
+    return out
 
 
 def _set_id(found: np.ndarray) -> int:
@@ -74,29 +90,46 @@ def _sets(batch: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, set_id, keys) per row; a set's keys stand in its first row of a task."""
+    """(id, n_shingles, set_id, bands) per row; a set's bands stand in its first row of a task."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             found = _sets(batch, "text", k)
             ids = [_set_id(x) if len(x) else None for x in found]
-            keys = []
+            bands = []
             for i, x in zip(ids, found):
                 if i is None or i in seen:
-                    keys.append(None)
+                    bands.append(None)
                 else:
                     seen.add(i)
-                    keys.append(part_keys(x, num, den).view(np.int64))
+                    bands.append([{"band": b, "keys": keys.view(np.int64), "bits": bits} for b, keys, bits in part_keys(x, num, den)])
             if len(seen) > 200_000:
                 seen.clear()
+            kind = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x) for x in found], pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["id", "n_shingles", "set_id", "keys"],
+                [batch.column("id"), pa.array([len(x) for x in found], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, kind)],
+                ["id", "n_shingles", "set_id", "bands"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, set_id long, keys array<long>")
+    return rows.mapInArrow(run, "id long, n_shingles long, set_id long, bands array<struct<band:int,keys:array<long>,bits:binary>>")
+
+
+def near_sketches(group: pa.Table, num: int, den: int) -> np.ndarray:
+    """x of the rows whose sketch is near enough another's of the group."""
+    x, rows = np.unique(group.column("x").to_numpy(), return_index=True)
+    n = group.column("n").to_numpy()[rows]
+    held = group.column("bits")
+    bits = np.stack([np.frombuffer(held[i].as_py(), np.uint64) for i in rows.tolist()])
+    near = np.zeros(len(x), bool)
+    for i in range(len(x) - 1):
+        apart = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        ok = apart * (den + num) <= (den - num) * (n[i + 1 :] + n[i])
+        if ok.any():
+            near[i] = True
+            near[i + 1 :] |= ok
+    return x[near]
 
 
 def verified_links(table: pa.Table, num: int, den: int) -> np.ndarray:
@@ -153,9 +186,30 @@ def ngram_classes(
         .agg(F.min("id").alias("least_id"), F.first("n_shingles").alias("n")),
         "sets",
     )
-    keys = sketched.where("keys is not null").select(F.col("set_id").alias("x"), F.explode("keys").alias("key"))
-    members = pivot_members(keys, ["key"])
-    dealt = block_pairs(members.join(nodes.withColumnRenamed("set_id", "x"), "x"), "n")
+    banded = sketched.where("bands is not null").select(F.col("set_id").alias("x"), F.inline("bands"))
+    keys = banded.select("x", "band", F.explode("keys").alias("key"))
+    members = pivot_members(keys, ["band", "key"], ("band",))
+    group = ["band", "pivot", "block_a", "block_b"]
+    sketches = banded.select("x", "band", "bits").dropDuplicates(["x", "band"])
+    compared = block_pairs(members, carry=("band",)).join(nodes.select(F.col("set_id").alias("x"), "n"), "x").join(sketches, ["x", "band"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        pivots, xs = [], []
+        for one in groups_of(table, group):
+            if len(one) > 1:
+                near = near_sketches(one, num, den)
+                xs.append(near)
+                pivots.append(np.full(len(near), one.column("pivot")[0].as_py(), np.int64))
+        return pa.table({"pivot": np.concatenate([np.zeros(0, np.int64), *pivots]), "x": np.concatenate([np.zeros(0, np.int64), *xs])})
+
+    members = bundled(compared, group, members.count() // BUNDLE).groupBy("bundle").applyInArrow(compare, "pivot long, x long").distinct()
+    members = materialize(members, "near")
+    # the sketches have done their work: go on with a slim table
+    rows = materialize(sketched.select("id", "n_shingles", "set_id"), "rows")
+    discard(sketched)
+    weighed = materialize(members.join(nodes.withColumnRenamed("set_id", "x"), "x"), "weighed")
+    total = weighed.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    dealt = block_pairs(weighed, "n")
     # all places of a set, gathered by the id to fetch its text by
     wanted = dealt.groupBy(F.col("least_id").alias("fetch_id")).agg(
         F.collect_list(F.struct("x", "pivot", "block_a", "block_b", "own")).alias("places")
@@ -179,18 +233,23 @@ def ngram_classes(
 
     dealt = fetched.mapInArrow(read_sets, "x long, pivot long, block_a int, block_b int, own int, shingles binary")
 
+    group = ["pivot", "block_a", "block_b"]
+
     def verify(table: pa.Table) -> pa.Table:
-        return pa.table({"a": (e := verified_links(table, num, den))[:, 0], "b": e[:, 1]})
+        edges = np.concatenate([np.zeros((0, 2), np.int64), *(verified_links(one, num, den) for one in groups_of(table, group) if len(one) > 1)])
+        return pa.table({"a": edges[:, 0], "b": edges[:, 1]})
 
-    edges = dealt.groupBy("pivot", "block_a", "block_b").applyInArrow(verify, "a long, b long")
+    bundles = max(total["rows"] // BUNDLE, (total["n"] or 0) // BUNDLE_SHINGLES)
+    edges = bundled(dealt, group, bundles).groupBy("bundle").applyInArrow(verify, "a long, b long")
     labels = connected_components(edges)
+    discard(wanted)
     rooted = nodes.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").select(
         "set_id", "least_id", F.coalesce("label", "set_id").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = materialize(rooted.join(least, "root").select("set_id", "component_id"), "classes")
     return (
-        sketched.select("id", "n_shingles", "set_id").join(classes, "set_id", "left")
+        rows.join(classes, "set_id", "left")
         .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     )
 
