@@ -24,19 +24,26 @@ not kept; documents without a non-blank line are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from engram.llm._common import discard, materialize, prepare
-from engram.llm._text import mix
+from engram.llm._text import LOWER, SLICE, buffers, mix
 
 LEAST = 16
 #: Segments of the finer filter.
 FINE = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_POWERS = _INVERSES = np.zeros(0, np.uint64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 13, 32]] = True
+#: Two independent values of a character: what is added before mixing, and a table for ASCII.
+_CHARACTERS = [(np.uint64(salt), mix(np.arange(256, dtype=np.uint64) + np.uint64(salt))) for salt in (1 << 40, 3 << 41)]
 
 
 def normal(line: Column) -> Column:
@@ -61,17 +68,124 @@ def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
         return mix(np.append(gone + (n - np.uint64(1)) * _BASE, total + n * _BASE)), np.append(np.arange(len(c)), -1)
 
 
-def segment_keys(line: Column, n: Column, segments: int) -> list[Column]:
-    """Hashes of a line without one of its segments, for partners at least as
-    long (m = n) and for those one shorter (m = n - 1): an edit within segment
-    i of the shorter leaves what stands before and after that segment."""
-    keys = []
+def _growing(table: np.ndarray, base: np.uint64, n: int) -> np.ndarray:
+    if len(table) >= n:
+        return table
+    with np.errstate(over="ignore"):
+        return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, SLICE) + 1, base, np.uint64))])
+
+
+def hashed_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
+    """Lines of a byte buffer, trimmed, as prefix sums of two polynomial hashes.
+
+    Yields (which, first byte, sums 1, sums 2, a, b) for runs of about 1 MB of
+    neighbouring lines: line ``which[j]`` is characters a[j] to b[j] of the
+    run.  Blank lines are left out.  A line longer than a run is one by itself.
+    """
+    global _POWERS, _INVERSES
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        part = LOWER[data[lo:hi]]
+        solid = np.flatnonzero(~_BLANK[part])
+        first, last = np.searchsorted(solid, starts[i:j] - lo), np.searchsorted(solid, ends[i:j] - lo)
+        which = np.flatnonzero(last > first)
+        if len(which):
+            a, b = solid[first[which]], solid[last[which] - 1] + 1
+            if part.max() < 128:
+                value, at_a, at_b = part, a, b
+            else:  # a character is a lead byte with what continues it
+                lead = (part & 0xC0) != 0x80
+                lead[a] = True
+                at = np.flatnonzero(lead)
+                more = np.concatenate([part, np.zeros(3, np.uint8)]).astype(np.uint64)
+                value, goes = more[at].copy(), np.ones(len(at), bool)
+                for k in (1, 2, 3):
+                    goes &= (more[at + k] & np.uint64(0xC0)) == 0x80
+                    value |= np.where(goes, more[at + k] << np.uint64(8 * k), np.uint64(0))
+                at_a, at_b = np.searchsorted(at, a), np.searchsorted(at, b)
+            _POWERS, _INVERSES = _growing(_POWERS, _BASE, len(value)), _growing(_INVERSES, _INVERSE, len(value))
+            sums = []
+            for salt, ascii_values in _CHARACTERS:
+                known = ascii_values[value] if value.dtype == np.uint8 else mix(value + salt)
+                with np.errstate(over="ignore"):
+                    sums.append(np.concatenate([[np.uint64(0)], np.cumsum(known * _POWERS[: len(known)], dtype=np.uint64)]))
+            yield which + i, lo, *sums, at_a, at_b
+        i = j
+
+
+def _span(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (sums[b] - sums[a]) * _INVERSES[a]
+
+
+def segment_keys(sums: np.ndarray, a: np.ndarray, b: np.ndarray, segments: int) -> np.ndarray:
+    """[lines, 2 * segments] hashes of lines without one of their segments, for
+    partners at least as long (m = n) and for those one shorter (m = n - 1):
+    an edit within segment i of the shorter leaves what stands before and
+    after that segment."""
+    n, keys = b - a, []
     for m in (n, n - 1):
         for i in range(segments):
-            low, high = F.floor(m * i / segments).cast("int"), F.floor(m * (i + 1) / segments).cast("int")
-            rest = (m - high).cast("int")
-            keys.append(F.xxhash64(F.lit(i), low, rest, line.substr(F.lit(1), low), line.substr((n - rest + 1).cast("int"), rest)))
-    return keys
+            low, rest = m * i // segments, m - m * (i + 1) // segments
+            with np.errstate(over="ignore"):
+                left = mix(_span(sums, a, a + low) + (low * segments + i).astype(np.uint64) * _BASE)
+                keys.append(mix(left + _span(sums, b - rest, b) * _INVERSE + rest.astype(np.uint64)))
+    return np.stack(keys, axis=1).view(np.int64)
+
+
+def _line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, text, number) of all lines of the texts, blank ones too."""
+    breaks = np.flatnonzero(data == 10)
+    before = np.searchsorted(breaks, at)
+    count = np.diff(before) + 1
+    text = np.repeat(np.arange(len(at) - 1), count)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    starts, ends = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
+    opens = number == 0
+    starts[opens], starts[~opens] = at[:-1], breaks + 1
+    closes = np.append(opens[1:], True)[: len(opens)]
+    ends[closes], ends[~closes] = at[1:], breaks
+    return starts, ends, text, number
+
+
+def scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text_hash, text) rows to one row a line that is not blank."""
+    for batch in batches:
+        data, at = buffers(batch.column(2))
+        starts, ends, text, number = _line_bounds(data, at)
+        for which, _, one, two, a, b in hashed_slices(data, starts, ends):
+            n = b - a
+            with np.errstate(over="ignore"):
+                h1, h2 = (mix(_span(s, a, b) + n.astype(np.uint64) * _BASE).view(np.int64) for s in (one, two))
+            rows = pa.array(text[which])
+            parts = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(number[which].astype(np.int32)), pa.array(h1), pa.array(h2), pa.array(n.astype(np.int32))]
+            halves = segment_keys(one, a, b, 2)
+            yield pa.RecordBatch.from_arrays([*parts, *(pa.array(halves[:, i]) for i in range(4))], ["id", "text_hash", "number", "h1", "h2", "n", "s0", "s1", "s2", "s3"])
+
+
+def _fine_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, line) rows to (h1, h2, key) rows of the finer filter."""
+    for batch in batches:
+        data, at = buffers(batch.column(2))
+        for which, _, one, _, a, b in hashed_slices(data, at[:-1], at[1:]):
+            keys = segment_keys(one, a, b, FINE)
+            rows = pa.array(np.repeat(which, keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(keys.ravel())], ["h1", "h2", "key"])
+
+
+def _count_lines(column: pa.Array) -> pa.Array:
+    """Lines of each text that are not blank."""
+    data, at = buffers(column)
+    solid = np.flatnonzero(~_BLANK[data])
+    line = np.searchsorted(np.flatnonzero(data == 10), solid)
+    opens = np.ones(len(solid), bool)
+    opens[1:] = line[1:] != line[:-1]
+    begin = np.searchsorted(solid, at)
+    opens[begin[begin < len(solid)]] = True  # a text's first line is its own
+    upto = np.concatenate([[0], np.cumsum(opens)])
+    return pa.array(np.diff(upto[begin]), pa.int64())
 
 
 def sharing(keyed: DataFrame) -> DataFrame:
@@ -80,18 +194,13 @@ def sharing(keyed: DataFrame) -> DataFrame:
     return keyed.join(shared, "key").select("h1", "h2").distinct()
 
 
-def _variants(column: pa.Array) -> pa.Array:
-    """For each line the (key, place) list: substitutions share key and place,
-    and an insertion pairs a variant (place -2) with a whole line (place -2)."""
-    out = []
-    for line in column.to_pylist():
-        keys, places = deletion_keys(line or "")
-        whole = np.unique(keys[:-1])
-        pairs = [{"key": k, "place": p} for k, p in zip(keys[:-1].view(np.int64).tolist(), places[:-1].tolist())]
-        pairs += [{"key": k, "place": -2} for k in whole.view(np.int64).tolist()]
-        pairs.append({"key": int(keys[-1:].view(np.int64)[0]), "place": -1})
-        out.append(pairs)
-    return pa.array(out, pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int32())])))
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rank, line) rows to (rank, key, place) rows: a line's variants by the
+    place of the missing character, and itself with place -1."""
+    for batch in batches:
+        for rank, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keys, places = deletion_keys(line)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), rank)), pa.array(keys.view(np.int64)), pa.array(places.astype(np.int32))], ["rank", "key", "place"])
 
 
 def near_lines(first: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFrame:
@@ -105,28 +214,24 @@ def near_lines(first: DataFrame, texts: DataFrame, least: int = LEAST) -> DataFr
     wanted = materialize(suspects, "suspects")
     coarse = materialize(texts(wanted), "suspect-lines")
     discard(wanted)
-    finer = F.explode(F.array_distinct(F.array(*segment_keys(F.col("line"), F.length("line"), FINE))))
-    lines = materialize(coarse.join(sharing(coarse.select("h1", "h2", finer.alias("key"))), ["h1", "h2"]), "suspect-lines")
+    finer = coarse.select("h1", "h2", "line").mapInArrow(_fine_keys, "h1 long, h2 long, key long").distinct()
+    ranked = coarse.join(sharing(finer), ["h1", "h2"]).orderBy("at").withColumn("rank", F.monotonically_increasing_id())
+    lines = materialize(ranked.drop("at"), "ranked-lines")
+    discard(coarse)
 
-    made = lines.select("h1", "h2", "at", F.explode(arrow_udf(_variants, "array<struct<key:bigint,place:int>>")("line")).alias("v"))
-    made = made.select("h1", "h2", "at", F.col("v.key").alias("key"), F.col("v.place").alias("place"))
+    made = materialize(lines.select("rank", "line").mapInArrow(_variants, "rank long, key long, place int"), "variants")
     # substitutions: variants equal in hash and place; all members are one edit apart
     changed = made.where("place >= 0")
-    heads = changed.groupBy("key", "place").agg(F.min(F.struct("at", "h1", "h2")).alias("e"), F.max("at").alias("last")).where("e.at < last").drop("last")
-    pairs = changed.join(heads, ["key", "place"]).where("at > e.at").select("h1", "h2", F.col("e.h1").alias("g1"), F.col("e.h2").alias("g2"))
+    heads = changed.groupBy("key", "place").agg(F.min("rank").alias("early"), F.max("rank").alias("last")).where("early < last").drop("last")
+    pairs = changed.join(heads, ["key", "place"]).where("rank > early").select(F.col("rank").alias("late"), "early")
     # insertions: a longer line's variant is a shorter line; that line is one text
-    short = made.where("place = -1").select("key", F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("at").alias("s_at"))
-    longer = made.where("place = -2").join(short, "key")
-    later = F.col("at") > F.col("s_at")
-    pairs = pairs.union(longer.select(
-        F.when(later, F.col("h1")).otherwise(F.col("s1")), F.when(later, F.col("h2")).otherwise(F.col("s2")),
-        F.when(later, F.col("s1")).otherwise(F.col("h1")), F.when(later, F.col("s2")).otherwise(F.col("h2")),
-    ))
-    pairs = materialize(pairs.distinct(), "line-pairs")
-    discard(coarse)
-    one = lines.select("h1", "h2", F.col("line").alias("one"))
-    two = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("two"))
-    checked = pairs.join(one, ["h1", "h2"]).join(two, ["g1", "g2"]).where(F.levenshtein("one", "two", 1).between(0, 1))
+    short = made.where("place = -1").select("key", F.col("rank").alias("short"))
+    longer = changed.join(short, "key").select(F.greatest("rank", "short").alias("late"), F.least("rank", "short").alias("early"))
+    pairs = materialize(pairs.union(longer).distinct(), "line-pairs")
+    discard(made)
+    one = lines.select("h1", "h2", F.col("rank").alias("late"), F.col("line").alias("one"))
+    two = lines.select(F.col("rank").alias("early"), F.col("line").alias("two"))
+    checked = pairs.join(one, "late").join(two, "early").where(F.levenshtein("one", "two", 1).between(0, 1))
     return checked.select("h1", "h2").distinct()
 
 
@@ -136,15 +241,10 @@ def kept_lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST)
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     keyed = rows.withColumn("text_hash", F.xxhash64("text"))
-    exploded = keyed.select("id", "text_hash", F.posexplode(F.split("text", "\n")).alias("number", "raw"))
-    line = normal(F.col("raw"))
-    lines = exploded.select("id", "text_hash", "number", line.alias("line")).where("line <> ''")
-    n = F.length("line")
-    hashed = lines.select(
-        F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"),
-        F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "number").alias("at"), n.alias("n"),
-        *(key.alias(f"s{i}") for i, key in enumerate(segment_keys(F.col("line"), n, 2))),
-    )
+    schema = "id long, text_hash long, number int, h1 long, h2 long, n int, s0 long, s1 long, s2 long, s3 long"
+    lines = keyed.where("text <> ''").select("id", "text_hash", "text").mapInArrow(scan_lines, schema)
+    at = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash", "number").alias("at")
+    hashed = lines.select("h1", "h2", at, "n", "s0", "s1", "s2", "s3")
     same = [F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "s3")]
     first = materialize(hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), *same), "first-lines")
 
@@ -184,7 +284,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col).cast("string")
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"),
-        F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\r\n][^\n]*")), F.lit(0)).cast("long").alias("n_lines"),
+        arrow_udf(_count_lines, "long")(F.coalesce(text, F.lit(""))).alias("n_lines"),
     )
     joined = rows.join(kept, F.col("id").eqNullSafe(F.col("_kept_id")) & (F.col("hash") == F.col("_kept_hash")), "left")
     return joined.select(

@@ -222,3 +222,24 @@ def test_deletion_keys_meet():
     shorter, _ = line_dedup.deletion_keys("abd")
     changed, _ = line_dedup.deletion_keys("abxd")
     assert keys[2] == shorter[-1] == changed[2] and places.tolist() == [0, 1, 2, 3, -1]
+
+
+def test_scanned_lines_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    texts = [t for _, t in line_rows(3)] + ["é" * 40 + "\nABC é\n\n", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], ["id", "text_hash", "text"])
+    whole = pa.Table.from_batches(line_dedup.scan_lines([batch])).to_pylist()
+    monkeypatch.setattr(line_dedup, "SLICE", 64)
+    assert pa.Table.from_batches(line_dedup.scan_lines([batch])).to_pylist() == whole
+    want = {}
+    for i, text in enumerate(texts):
+        for n, raw in enumerate((text or "").split("\n")):
+            line = "".join(c.lower() if "A" <= c <= "Z" else c for c in raw.strip(" \t\r"))
+            if line:
+                want[i, n] = line
+    assert {(r["id"], r["number"]): r["n"] for r in whole} == {k: len(v) for k, v in want.items()}
+    hashes = {(r["h1"], r["h2"]): want[r["id"], r["number"]] for r in whole}
+    assert len(hashes) == len(set(want.values())) and all(hashes[r["h1"], r["h2"]] == want[r["id"], r["number"]] for r in whole)
+    counted = line_dedup._count_lines(pa.array(texts)).to_pylist()
+    assert counted == [sum(k[0] == i for k in want) for i in range(len(texts))]
