@@ -74,6 +74,14 @@ def ring_verdict(found: DataFrame, least: float = 0.5) -> DataFrame:
     )
 
 
+def ablation(history: DataFrame, event: DataFrame, width: int) -> DataFrame:
+    """Verdicts (arm, rings, ring_score, should_open_case) of one event with its
+    history (warm) and alone (cold)."""
+    warm = history.unionByName(event).dropDuplicates(["event_id"])
+    both = [ring_verdict(rings(e, width)).select(F.lit(arm).alias("arm"), "rings", "ring_score", "should_open_case") for arm, e in (("warm", warm), ("cold", event))]
+    return both[0].unionByName(both[1])
+
+
 def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -165,16 +173,15 @@ def supersede_heads(pairs: DataFrame) -> DataFrame:
             return up
 
 
-def reaches(edges: DataFrame, proposals: DataFrame, most: int = 50) -> DataFrame:
+def reaches(edges: DataFrame, proposals: DataFrame) -> DataFrame:
     """Of the proposed (src, dst) edges those that would close a cycle: dst
-    already reaches src, or both are one."""
+    already reaches src, or both are one.  Ends when no new node is reached."""
     step = edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct()
     found = _cut(proposals.select("src", "dst", F.col("dst").alias("at")).distinct())
     front = found
-    for _ in range(most):
+    while True:
         front = front.join(step, front["at"] == step["from"]).select("src", "dst", F.col("to").alias("at")).distinct().join(found, ["src", "dst", "at"], "left_anti")
         front = _cut(front)
         if front.isEmpty():
-            break
+            return found.where("at = src").select("src", "dst").distinct()
         found = _cut(found.union(front))
-    return found.where("at = src").select("src", "dst").distinct()

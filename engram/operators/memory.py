@@ -117,3 +117,25 @@ def live_edges(log: DataFrame) -> DataFrame:
 def key_counts(rows: DataFrame, key: str, k: int = 8) -> DataFrame:
     """The k most frequent keys."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
+
+
+def dedup_counts(log: DataFrame) -> DataFrame:
+    """By partition: records fetched, offsets surfaced once each, and repeats."""
+    surfaced = F.count_distinct("off")
+    return log.groupBy("part").agg(F.count("*").alias("fetched"), surfaced.alias("surfaced"), (F.count("*") - surfaced).alias("duplicates"))
+
+
+def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(extra, missing): rows of ``a`` beyond ``b`` and of ``b`` beyond ``a``, repeats counted."""
+    extra = a.exceptAll(b).agg(F.count("*").alias("extra"))
+    return extra.crossJoin(b.exceptAll(a).agg(F.count("*").alias("missing")))
+
+
+def mutation_counts(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(created, matched, kept): keys that an upsert adds, meets and leaves alone."""
+    a, b = stored.select(key).distinct().withColumn("old", F.lit(1)), rows.select(key).distinct().withColumn("new", F.lit(1))
+    both = a.join(b, key, "full_outer")
+    return both.agg(
+        F.count_if(F.col("old").isNull()).alias("created"), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("matched"),
+        F.count_if(F.col("new").isNull()).alias("kept"),
+    )

@@ -70,3 +70,18 @@ def stratified_allocation(counts: DataFrame, total: int) -> DataFrame:
     place = F.row_number().over(Window.orderBy(F.desc("part"), "stratum"))
     rest = F.lit(total) - F.sum("base").over(everything)
     return floored.withColumn("take", F.col("base") + (place <= rest).cast("long")).select("stratum", "n", "take")
+
+
+def writer_stats(rows: DataFrame, key: str) -> DataFrame:
+    """(key, seen, admitted, rejected_pct) of rows with an ``admitted`` flag."""
+    rejected = F.count_if(~F.col("admitted"))
+    return rows.groupBy(key).agg(
+        F.count("*").alias("seen"), F.count_if("admitted").alias("admitted"), F.bround(F.lit(100.0) * rejected / F.count("*"), 1).alias("rejected_pct")
+    )
+
+
+def accuracy_table(judged: DataFrame) -> DataFrame:
+    """Accuracy overall, by type, and by type and abstention, in one pass."""
+    types = [F.col("question_type"), F.col("is_abstention")]
+    grouped = judged.groupingSets([[], types[:1], types], *types)
+    return grouped.agg(F.count("*").alias("n"), F.round(F.avg(F.col("label").cast("double")), 9).alias("accuracy"))

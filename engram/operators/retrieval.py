@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from engram.functions.columns import cosine_distance, normalize_entity
+from functools import reduce
 
-# Words that are no entities.
-STOP = ["the", "this", "that", "these", "those", "and", "but", "for", "with", "from", "you", "your", "our"]
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from engram.functions.columns import cosine_distance
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(query_id, vec_id, distance, rank): exact cosine neighbours of a stated
-    set of queries, small enough to send to every partition (its rows are
-    the caller's list, not the data)."""
-    pairs = vectors.join(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(cosine_distance(F.col("q"), F.col("embedding")), 9).alias("distance"))
+    set of queries among all vectors.
+
+    Queries are sent out in blocks of about ``block``, so what a task holds
+    does not grow with their number; each task keeps its own best k first.
+    """
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    blocks = max(1, -(-queries.count() // block))
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = []
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked
+        pairs = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id"))
+        scored = pairs.select("query_id", "vec_id", F.round(cosine_distance(F.col("q"), F.col("embedding")), 9).alias("distance"))
+        best.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, best)
 
 
 def term_hits(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
@@ -40,16 +47,23 @@ def fuse_ranks(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
 
 def expand(seeds: DataFrame, mentions: DataFrame, fanout: int) -> DataFrame:
     """(seed neighbours) nodes that share entities with the seeds: (id, shared),
-    counted over all seeds and entities, the seeds' own rows left out."""
-    reached = seeds.select(F.col("id").alias("seed")).join(mentions.withColumnRenamed("id", "seed"), "seed").join(mentions, "entity").where("id <> seed")
-    return reached.groupBy("id").agg(F.count("*").alias("shared")).orderBy(F.desc("shared"), "id").limit(fanout)
-
-
-def entities(text: Column, most: int = 6) -> Column:
-    """Normalised capitalised words, in order, ``most`` of them."""
-    found = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]{2,})"), F.lit(1))
-    named = F.transform(found, normalize_entity)
-    return F.slice(F.filter(F.array_distinct(named), lambda e: ~e.isin(STOP)), 1, most)
+    counted over all seeds and entities, a seed's pairs with itself left out.
+
+    Seeds are counted by entity before the join, so an entity of many nodes
+    makes one row a mention, not one a pair.
+    """
+    own = mentions.join(seeds.select("id").distinct(), "id", "left_semi").groupBy("id", "entity").agg(F.count("*").alias("own"))
+    per = own.groupBy("entity").agg(F.sum("own").alias("every"))
+    pairs = mentions.join(per, "entity").join(own, ["id", "entity"], "left")
+    shared = F.sum(F.col("every") - F.coalesce("own", F.lit(0)))
+    return pairs.groupBy("id").agg(shared.alias("shared")).where("shared > 0").orderBy(F.desc("shared"), "id").limit(fanout)
+
+
+def coverage(terms: DataFrame, held: DataFrame) -> DataFrame:
+    """(item_id, asked, present, missing) of (item_id, term) against (term, held)."""
+    found = terms.join(held, "term", "left")
+    missing = F.array_join(F.sort_array(F.collect_list(F.when(F.col("held").isNull(), F.col("term")))), "|")
+    return found.groupBy("item_id").agg(F.count("*").alias("asked"), F.count("held").alias("present"), missing.alias("missing"))
 
 
 def turn_chunks(turns: DataFrame, window: int = 4, stride: int = 2) -> DataFrame:
