@@ -85,3 +85,22 @@ def accuracy_table(judged: DataFrame) -> DataFrame:
     types = [F.col("question_type"), F.col("is_abstention")]
     grouped = judged.groupingSets([[], types[:1], types], *types)
     return grouped.agg(F.count("*").alias("n"), F.round(F.avg(F.col("label").cast("double")), 9).alias("accuracy"))
+
+
+def row_violations(rows: DataFrame, run_id: str, pinned: str) -> DataFrame:
+    """(guard, question_id, found) of rows of another run (``fresh_rows``) or
+    answered by another model than the pinned one (``served_model``); a missing
+    value is a violation."""
+    wanted = {"fresh_rows": ("run_id", run_id), "served_model": ("served_model", pinned)}
+    checks = F.array(*(
+        F.when(~F.col(c).eqNullSafe(F.lit(x)), F.struct(F.lit(guard).alias("guard"), F.col(c).cast("string").alias("found"))) for guard, (c, x) in wanted.items()
+    ))
+    return rows.select("question_id", F.explode(F.array_compact(checks)).alias("c")).select("c.guard", "question_id", "c.found")
+
+
+def stray_metrics(metrics: DataFrame, spaces: tuple[str, ...] = ("qa.", "retrieval.")) -> DataFrame:
+    """Metric names outside the named spaces; a null name is one of them."""
+    inside = F.lit(False)
+    for s in spaces:
+        inside = inside | F.startswith(F.col("name"), F.lit(s))
+    return metrics.where(~F.coalesce(inside, F.lit(False)))

@@ -186,3 +186,19 @@ def record_decode(spark, sf):
 @query("select doc_id, substr(coalesce(nullif(trim(text), ''), nullif(trim(source), ''), cast(doc_id as varchar)), 1, 180) as snippet from documents")
 def node_snippets(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", C.snippet("text", "source", "doc_id").alias("snippet"))
+
+
+@query("""with r as (select event_id as question_id, event_type as run_id, nullif(json_extract_string(props, '$.k'), '7') as served_model from events)
+select 'fresh_rows' as guard, question_id, run_id as found from r where run_id is distinct from 'view'
+union all select 'served_model', question_id, served_model from r where served_model is distinct from '8'""")
+def guard_rows(spark, sf):
+    """Events as answer rows: those of another run or another model than stated."""
+    k = F.nullif(F.get_json_object("props", "$.k"), F.lit("7"))
+    r = S.table(spark, sf, "events").select(F.col("event_id").alias("question_id"), F.col("event_type").alias("run_id"), k.alias("served_model"))
+    return X.row_violations(r, "view", "8")
+
+
+@query("""select distinct source || '.' || lang as name from documents where not starts_with(source || '.' || lang, 'qa.') and not starts_with(source || '.' || lang, 'retrieval.')""")
+def guard_namespaces(spark, sf):
+    d = S.table(spark, sf, "documents")
+    return X.stray_metrics(d.select(F.concat("source", F.lit("."), "lang").alias("name")).where("name is not null").distinct())

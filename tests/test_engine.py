@@ -97,3 +97,13 @@ def test_expand_counts_pairs(spark):
     m = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (3, "b"), (1, "b"), (4, "c")], "id long, entity string")
     seeds = spark.createDataFrame([(1,), (2,)], "id long")
     assert [tuple(r) for r in R.expand(seeds, m, 10).collect()] == [(3, 3), (1, 1), (2, 1)]
+
+
+def test_row_guards(spark):
+    from engram.operators import metrics as X
+
+    rows = spark.createDataFrame([(1, "r", "m"), (2, "old", "m"), (3, "r", None), (4, None, "x")], "question_id long, run_id string, served_model string")
+    got = {tuple(r) for r in X.row_violations(rows, "r", "m").collect()}
+    assert got == {("fresh_rows", 2, "old"), ("served_model", 3, None), ("fresh_rows", 4, None), ("served_model", 4, "x")}
+    names = spark.createDataFrame([("qa.micro",), ("retrieval.r5",), ("accuracy",), (None,)], "name string")
+    assert {r.name for r in X.stray_metrics(names).collect()} == {"accuracy", None}
