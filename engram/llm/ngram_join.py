@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import AtomicType
 
 from engram.llm._common import BATCH_ROWS, block_pairs, bundled, connected_components, discard, groups_of, materialize, pivot_members, prepare
 from engram.llm._text import buffers, mix, shingles, word_hashes
@@ -85,12 +86,18 @@ def _set_id(found: np.ndarray) -> int:
     return int(mix(both).view(np.int64)[0])
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Key of a row, never null: a 64-bit hash of id and text.  Only rows that
+    repeat both share it."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def _sets(batch: pa.RecordBatch, text: str, k: int) -> list[np.ndarray]:
     return shingles(*word_hashes(*buffers(batch.column(text))), k)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, set_id, bands) per row; a set's bands stand in its first row of a task."""
+    """(id, row_key, n_shingles, set_id, bands) per row; a set's bands stand in its first row of a task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -108,12 +115,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: i
                 seen.clear()
             kind = pa.list_(pa.struct([("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([len(x) for x in found], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, kind)],
-                ["id", "n_shingles", "set_id", "bands"],
+                [batch.column("id"), batch.column("row_key"), pa.array([len(x) for x in found], pa.int64()), pa.array(ids, pa.int64()), pa.array(bands, kind)],
+                ["id", "row_key", "n_shingles", "set_id", "bands"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, set_id long, bands array<struct<band:int,keys:array<long>,bits:binary>>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, row_key long, n_shingles long, set_id long, bands array<struct<band:int,keys:array<long>,bits:binary>>")
 
 
 def near_sketches(group: pa.Table, num: int, den: int) -> np.ndarray:
@@ -170,13 +177,12 @@ def verified_links(table: pa.Table, num: int, den: int) -> np.ndarray:
     return np.stack([x, x[root]], axis=1)[root != np.arange(len(x))]
 
 
-def ngram_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10
-) -> DataFrame:
-    """(id_col, n_shingles, component_id) for every row of ``docs``.
+def row_classes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
+    """(id, row_key, n_shingles, root, component_id) for every row of ``docs``.
 
-    Rows link when den * |A & B| >= num * |A | B| for their sets of k-word
-    shingles; component_id is the smallest id reachable by links.
+    ``root`` names the class, null for rows without shingles; component_id is
+    the smallest id of the class, so an id that stands on texts of two classes
+    can be that of both.
     """
     prepare(docs.sparkSession)
     sketched = materialize(sketch(docs, id_col, text_col, k, num, den), "sketches")
@@ -205,7 +211,7 @@ def ngram_classes(
     members = bundled(compared, group, members.count() // BUNDLE).groupBy("bundle").applyInArrow(compare, "pivot long, x long").distinct()
     members = materialize(members, "near")
     # the sketches have done their work: go on with a slim table
-    rows = materialize(sketched.select("id", "n_shingles", "set_id"), "rows")
+    rows = materialize(sketched.select("id", "row_key", "n_shingles", "set_id"), "rows")
     discard(sketched)
     weighed = materialize(members.join(nodes.withColumnRenamed("set_id", "x"), "x"), "weighed")
     total = weighed.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
@@ -247,19 +253,45 @@ def ngram_classes(
         "set_id", "least_id", F.coalesce("label", "set_id").alias("root")
     )
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = materialize(rooted.join(least, "root").select("set_id", "component_id"), "classes")
-    return (
-        rows.join(classes, "set_id", "left")
-        .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    classes = materialize(rooted.join(least, "root").select("set_id", "root", "component_id"), "classes")
+    return rows.join(classes, "set_id", "left").select("id", "row_key", "n_shingles", "root", "component_id")
+
+
+def ngram_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10
+) -> DataFrame:
+    """(id_col, n_shingles, component_id) for every row of ``docs``.
+
+    Rows link when den * |A & B| >= num * |A | B| for their sets of k-word
+    shingles; component_id is the smallest id reachable by links.
+    """
+    return row_classes(docs, id_col, text_col, k, num, den).select(
+        F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest id.
+    """``docs`` with exactly one row of each class: one with the smallest id.
 
-    Rows with a null id stay unless a row with an id is in their class; of
-    rows that repeat a kept id, all stay that bear the id's own class.
+    A null id comes after all others.  Of texts of one class under one id the
+    one with the smallest row key stays; of rows that repeat id and text, the
+    first by the other columns.  Rows without shingles are in no class and stay.
     """
-    classes = ngram_classes(docs, id_col, text_col, k, num, den)
-    gone = classes.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col)).distinct()
-    return docs.join(materialize(gone, "near-copies"), id_col, "left_anti")
+    rows = row_classes(docs, id_col, text_col, k, num, den).where("root is not null")
+    rows = materialize(rows.groupBy("root", "component_id", "id", "row_key").agg(F.count("*").alias("n")), "class-rows")
+    # classes of more than one row key, and the key that stays
+    kept = (
+        rows.groupBy("root").agg(
+            F.min(F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("row_key"))).alias("kept"),
+            F.min("row_key").alias("low"), F.max("row_key").alias("high"),
+        ).where("low < high").select("root", "kept")
+    )
+    gone = materialize(rows.join(kept, "root").where("row_key <> kept").select("row_key"), "near-copies")
+    repeated = materialize(rows.where("n > 1").select("row_key").join(gone, "row_key", "left_anti"), "repeated-rows")
+    keyed = docs.withColumn("_row_key", row_key(id_col, text_col))
+    gone, repeated = (t.withColumnRenamed("row_key", "_row_key") for t in (gone, repeated))
+    once = keyed.join(gone.union(repeated), "_row_key", "left_anti")
+    other = [F.col(f"`{f.name}`") for f in docs.schema if f.name not in (id_col, text_col) and isinstance(f.dataType, AtomicType)]
+    first = Window.partitionBy("_row_key").orderBy(*(other or ["_row_key"]))
+    again = keyed.join(repeated, "_row_key", "left_semi").withColumn("_tie", F.row_number().over(first)).where("_tie = 1")
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).union(again.select(*(F.col(f"`{c}`") for c in docs.columns)))

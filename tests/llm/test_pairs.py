@@ -77,6 +77,39 @@ def test_ngram_repeated_rows_null_ids_and_empty_table(spark):
     assert ngram_join.ngram_classes(df.limit(0)).count() == 0
 
 
+def test_near_copies_leave_one_row_of_each_class(spark):
+    a, b, c = ("one two three four five six", "red green blue black white grey", "north south east west up down")
+    rows = [
+        (3, a, "s"), (7, a.upper(), "s"), (7, b, "s"), (8, b, "s"), (9, b.title(), "s"),  # id 7 on texts of two classes
+        (20, c, "t"), (20, c, "s"), (20, c, "s"), (21, c, "s"), (None, c, "s"),  # repeated rows of the kept id
+        (None, "only null ids stand on this text", "s"), (None, "only null ids stand on this text", "s"), (None, "only null IDS stand on this text", "s"),
+        (None, "and on this one as well now", "s"), (30, None, "s"), (31, "", "s"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = ngram_join.drop_near_copies(df)
+    assert out.columns == df.columns
+    got = [(r.doc_id, (r.text or "").lower(), r.source) for r in out.collect()]
+    want = [(3, a, "s"), (7, b, "s"), (20, c, "s"), (None, "only null ids stand on this text", "s"), (None, "and on this one as well now", "s"), (30, "", "s"), (31, "", "s")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_near_copies_with_odd_ids_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([i, i // 3, None]), t) for i, t in near_copies(5)]
+    rows += rng.sample(rows, 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    root = {i: r for i, _, r in brute_ngrams([(n, t) for n, (_, t) in enumerate(rows)], 5, 8, 10)}
+    classes, loose = {}, []
+    for n, (i, t) in enumerate(rows):
+        if (t or "").encode().split():
+            classes.setdefault(root[n], []).append((i is None, i or 0))
+        else:
+            loose.append((i is None, i or 0))
+    want = sorted([min(ids) for ids in classes.values()] + loose)
+    out = ngram_join.drop_near_copies(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == want
+
+
 def test_shingle_words_cut_at_ascii_space_only():
     from engram.llm._text import word_hashes
 
