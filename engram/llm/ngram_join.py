@@ -186,10 +186,10 @@ def row_classes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     """
     prepare(docs.sparkSession)
     sketched = materialize(sketch(docs, id_col, text_col, k, num, den), "sketches")
-    # distinct sets with one id to fetch a text by; copies are one node
+    # distinct sets with the key of one row to fetch a text by; copies are one node
     nodes = materialize(
         sketched.where("set_id is not null").groupBy("set_id")
-        .agg(F.min("id").alias("least_id"), F.first("n_shingles").alias("n")),
+        .agg(F.min("id").alias("least_id"), F.min("row_key").alias("fetch_key"), F.first("n_shingles").alias("n")),
         "sets",
     )
     banded = sketched.where("bands is not null").select(F.col("set_id").alias("x"), F.inline("bands"))
@@ -216,20 +216,20 @@ def row_classes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, d
     weighed = materialize(members.join(nodes.withColumnRenamed("set_id", "x"), "x"), "weighed")
     total = weighed.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
     dealt = block_pairs(weighed, "n")
-    # all places of a set, gathered by the id to fetch its text by
-    wanted = dealt.groupBy(F.col("least_id").alias("fetch_id")).agg(
+    # all places of a set, gathered by the row to fetch its text by: no key has those of two sets
+    wanted = dealt.groupBy(F.col("fetch_key").alias("row_key")).agg(
         F.collect_list(F.struct("x", "pivot", "block_a", "block_b", "own")).alias("places")
     )
     wanted = materialize(wanted, "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    fetched = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("fetch_id"))).select("text", "places")
+    # rows that repeat id and text: one fetches, the others go before the shuffle
+    texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["row_key"])
+    fetched = texts.join(wanted.hint("merge"), "row_key").select("text", "places")
 
     def read_sets(batches):
         for batch in batches:
             rows = [
                 (*(place[c] for c in ("x", "pivot", "block_a", "block_b", "own")), found.tobytes())
                 for found, places in zip(_sets(batch, "text", k), batch.column("places").to_pylist()) if len(found)
-                # a repeated id fetches other texts too
                 for name in [_set_id(found)] for place in places if place["x"] == name
             ]
             kinds = {"x": pa.int64(), "pivot": pa.int64(), "block_a": pa.int32(), "block_b": pa.int32(), "own": pa.int32(), "shingles": pa.binary()}

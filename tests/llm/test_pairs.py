@@ -110,6 +110,30 @@ def test_near_copies_with_odd_ids_equal_brute_force(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == want
 
 
+def test_each_text_is_fetched_once_and_alone(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(12)]
+    texts = [" ".join(x) for x in base] + [" ".join(x[:-1] + ["end"]) for x in base]
+    rows = [(None, t) for t in texts] * 5 + [(1, t + " more") for t in texts]
+    places, written = [], ngram_join.materialize
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "wanted":
+            places.append(out)
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    monkeypatch.setattr(ngram_join, "discard", lambda df: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.ngram_classes(df).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {1}
+    # a key gathers the places of one set only, and stands on one text
+    sets = places[0].select(F.size(F.array_distinct("places.x")).alias("n")).collect()
+    assert len(sets) == 48 and {r.n for r in sets} == {1}
+
+
 def test_shingle_words_cut_at_ascii_space_only():
     from engram.llm._text import word_hashes
 
