@@ -10,7 +10,10 @@ How far declarations and suffixes can be trusted is measured on the corpus,
 as their agreement with the texts.
 
 Rows without a letter (null, empty, digits only) are rejected with language
-``und``; others are kept when the best posterior reaches ``least``.  Missing
+``und``, and so are rows in none of the languages: those whose mean
+log-likelihood a trigram, over the whole text, lies in each language further
+below that of its fitted rows than their spread and the text's length explain.
+Others are kept when the best posterior reaches ``least``.  Missing
 evidence counts for nothing.  A null host has the corpus prior.  Repeated rows
 are judged alike.  Columns of the input pass through unchanged; an empty table
 gives an empty result, and so does a corpus without a labelled row give
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
 from engram.llm._common import materialize, prepare
@@ -33,6 +36,12 @@ BUCKETS, SAMPLE = 1 << 14, 4000
 TEMPER, MOST = 0.25, 400
 #: Strength of the coarser prior, in rows; posterior that keeps a row.
 ALPHA, LEAST = 20.0, 0.5
+#: Open-set test: deviations below the fitted rows' median that a text may lie;
+#: least deviation between rows; how much neighbouring trigrams, which overlap,
+#: raise the variance of a text's mean; trigrams under which a text is not tested.
+OUTSIDE, ROW_SPREAD, OVERLAP, TESTED = 5.0, 0.5, 3.0, 16
+#: Counts a bucket that smoothing adds, to all languages in the same proportion.
+SMOOTH = 0.05
 
 # Languages of country suffixes.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en"}
@@ -48,8 +57,8 @@ def _letters(data: np.ndarray) -> np.ndarray:
 
 
 def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """[texts, 2 * languages + 1]: tempered log-likelihoods, the posteriors of
-    the texts alone, and the number of letters."""
+    """[texts, 2 * languages + 2]: tempered log-likelihoods, the posteriors of
+    the texts alone, and the numbers of letters and trigrams."""
     n = len(at) - 1
     sums, grams, letters = np.zeros((n, table.shape[1])), np.zeros(n), np.zeros(n)
     for i in range(n):
@@ -64,18 +73,37 @@ def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarr
             s = e
     sums *= (TEMPER * np.minimum(1.0, MOST / np.maximum(grams, 1)))[:, None]
     own = np.exp(sums - sums.max(axis=1, keepdims=True, initial=-np.inf))
-    return np.concatenate([sums, own / own.sum(axis=1, keepdims=True), letters[:, None]], axis=1)
+    return np.concatenate([sums, own / own.sum(axis=1, keepdims=True), letters[:, None], grams[:, None]], axis=1)
 
 
-def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log p(trigram | language)) from about ``sample`` labelled rows.
+def like_fitted(sums: np.ndarray, grams: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """1 where a text is like the fitted rows of some language; of a few trigrams
+    that cannot be told."""
+    many = np.maximum(grams, 1)[:, None]
+    means = sums / (TEMPER * np.minimum(many, MOST))
+    limits = fits[:, 0] - OUTSIDE * np.sqrt(fits[:, 1] ** 2 + OVERLAP * fits[:, 2] / many)
+    return ((means >= limits).any(axis=1) | (grams < TESTED)).astype(np.float64)
 
-    Rows are drawn by a hash of id and text, so reruns agree.  Counts are
-    summed in Spark; what comes back is BUCKETS numbers a language.
+
+def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, log p(trigram | language), fits) from about ``sample`` labelled rows.
+
+    Each language gives the same number of rows, or all it has.  Rows are
+    drawn by a hash of id and text, so reruns agree.  Counts are summed in
+    Spark; what comes back is BUCKETS numbers a language and one a drawn row.
+    A trigram unseen everywhere has the same probability in each language.
+
+    ``fits`` holds for each language the median of its rows' mean
+    log-likelihood a trigram, each row scored by the counts without its own,
+    their deviation (of the lower tail, by its 5 % quantile), and the variance
+    of one trigram.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, sample / max(1, labelled.count()))
-    drawn = labelled.where(F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(1_000_000)) < int(share * 1_000_000))
+    labelled = docs.select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col, F.length(text_col)).alias("draw")
+    ).where("lang is not null and text is not null")
+    held = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    shares = held.withColumn("share", F.lit(sample) / F.count("*").over(Window.partitionBy()) / F.col("rows")).select("lang", "share")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -90,14 +118,38 @@ def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": t[at]})
 
-    counted = drawn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sums = counted.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    sums = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sums["lang"].unique().tolist())
-    table = np.full((BUCKETS, max(1, len(languages))), 0.05)
+    counts = np.zeros((BUCKETS, max(1, len(languages))))
     for i, lang in enumerate(languages):
         own = sums[sums["lang"] == lang]
-        table[own["bucket"].to_numpy(), i] += own["n"].to_numpy()
-    return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
+        counts[own["bucket"].to_numpy(), i] = own["n"].to_numpy()
+    total = np.maximum(counts.sum(axis=0), 1)
+    smooth = SMOOTH * BUCKETS / (SMOOTH * BUCKETS + total.mean())
+    table = (1 - smooth) * counts / total + smooth / BUCKETS
+    place = {lang: i for i, lang in enumerate(languages)}
+
+    def held_out(batches):
+        for batch in batches:
+            data, at = buffers(batch.column(1))
+            langs, means = [], []
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                part = data[at[i] : at[i + 1]]
+                if len(part) > 2:
+                    code, n = np.unique(_codes(part), return_counts=True)
+                    rest = (counts[code, place[lang]] - n) / max(total[place[lang]] - n.sum(), 1)
+                    langs.append(lang)
+                    means.append(float(n @ np.log((1 - smooth) * rest + smooth / BUCKETS) / n.sum()))
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(langs, pa.string()), "mean": pa.array(means, pa.float64())})
+
+    means = drawn.mapInArrow(held_out, "lang string, mean double").toPandas() if languages else None
+    fits = np.zeros((max(1, len(languages)), 3))
+    for i, lang in enumerate(languages):
+        own = means["mean"][means["lang"] == lang].to_numpy()
+        middle = np.median(own)
+        p, logs = counts[:, i] / total[i], np.log(table[:, i])
+        fits[i] = middle, max(ROW_SPREAD, (middle - np.quantile(own, 0.05)) / 1.645), p @ logs**2 - (p @ logs) ** 2
+    return languages, np.log(table).astype(np.float32), fits
 
 
 def markup_language(html: Column) -> Column:
@@ -115,12 +167,13 @@ def address_language(url: Column, languages: list[str]) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Markup with scripts, styles, comments and tags taken out."""
-    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    """Markup with scripts, styles, comments and tags taken out, white space as one blank."""
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>", " ")
+    return F.regexp_replace(bare, r"[ \t\r\n]+", " ")
 
 
 def identify_languages(
-    rows: DataFrame, model: tuple[list[str], np.ndarray], text: Column, host: Column, domain: Column | None = None,
+    rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: Column, host: Column, domain: Column | None = None,
     declared: Column | None = None, suffix: Column | None = None, least: float = LEAST,
 ) -> DataFrame:
     """``rows`` with ``id_language``, ``id_probability`` and ``id_keep``.
@@ -130,7 +183,7 @@ def identify_languages(
     (Spark checks its size) or as a join that splits skewed keys.
     """
     prepare(rows.sparkSession)
-    languages, table = model
+    languages, table, fits = model
     none = F.lit(None).cast("string")
     if not languages:
         return rows.withColumns({"id_language": F.lit("und"), "id_probability": F.lit(0.0), "id_keep": F.lit(False)})
@@ -138,6 +191,7 @@ def identify_languages(
 
     def scores(column: pa.Array) -> pa.Array:
         found = text_scores(*buffers(column), table)
+        found = np.concatenate([found[:, :-1], like_fitted(found[:, :width], found[:, -1], fits)[:, None]], axis=1)
         return pa.array(list(found), pa.list_(pa.float64()))
 
     scored = rows.withColumns({
@@ -146,7 +200,8 @@ def identify_languages(
         "_ev_declared": (declared if declared is not None else none), "_ev_suffix": (suffix if suffix is not None else none),
     })
     own = [F.col("_ev_text")[width + i] for i in range(width)]
-    evident = F.col("_ev_text")[2 * width] > 0
+    # a letter, and like the fitted rows of some language
+    evident = (F.col("_ev_text")[2 * width] > 0) & (F.col("_ev_text")[2 * width + 1] > 0)
     names = F.array(*map(F.lit, languages))
 
     def best_of(scores: Column) -> Column:

@@ -109,6 +109,27 @@ def test_language_accuracy_and_odd_rows(spark, sf_dir):
     assert language_id.document_languages(rows.limit(0)).count() == 0
 
 
+def test_languages_outside_the_model_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = np.random.default_rng(6)
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(n))
+
+    foreign = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "日本語中文字漢学校生大小山川", "bcdfghjklmnpqrstvwxz", "qxzjkvw"]
+    rows = [(10_000 + i, words(x, n), None, "src0", 0) for i, (x, n) in enumerate((x, n) for x in foreign for n in (40, 400))]
+    got = language_id.document_languages(docs.unionByName(spark.createDataFrame(rows, docs.schema)))
+    assert got.where("doc_id >= 10000 and (id_keep or id_language <> 'und')").count() == 0
+    clean = got.where("doc_id < 10000 and length(text) > 60").agg(F.avg(F.col("id_keep").cast("double"))).first()[0]
+    assert clean > 0.99
+
+
+def test_unseen_trigrams_favour_no_language(spark):
+    rows = [(i, "the cat sat on the mat and ran " * 20, "en") for i in range(30)] + [(100, "der hund lief in den wald ", "de")]
+    languages, table, _ = language_id.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert languages == ["de", "en"] and np.allclose(table.min(axis=0)[0], table.min(axis=0)[1]) and np.allclose(np.exp(table).sum(axis=0), 1, atol=1e-3)
+
+
 def test_page_evidence_counts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     page = '<html lang="{}"><body>zx</body></html>'
