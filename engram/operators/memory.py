@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 STATUS_OPEN, STATUS_SUPERSEDED = "open", "superseded"
@@ -67,16 +71,28 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the lines joined by line feeds; no row without a line."""
+    found, some = hashlib.sha256(), False
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            found.update(("\n" + line if some else line).encode())
+            some = True
+    if some:
+        yield pa.RecordBatch.from_pydict({"digest": [found.hexdigest()]})
+
+
 def digest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SHA-256 of the sorted node lines, of the edge lines, and of both digests.
 
     Nodes are (label, key, author), edges (src, relation, relation_key, dst,
-    author).  The lines of a kind meet in one value, as the format asks; for
-    graphs beyond one value's size compare ``bucket_digests``.
+    author).  The format asks for one hash over all lines of a kind in order, so
+    one task a kind reads them; they are sorted on disk and hashed batch by
+    batch, and never meet in one value.  ``bucket_digests`` runs in parallel.
     """
     def one(df: DataFrame, columns: list[str], name: str) -> DataFrame:
         line = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-        return df.select(line.alias("line")).agg(F.expr("sha2(listagg(line, '\\n') within group (order by line), 256)").alias(name))
+        return df.select(line.alias("line")).repartition(1).sortWithinPartitions("line").mapInArrow(_hash_lines, "digest string").agg(F.max("digest").alias(name))
 
     both = one(nodes, ["label", "key", "author"], "nodes_digest").crossJoin(one(edges, ["src", "relation", "relation_key", "dst", "author"], "edges_digest"))
     return both.withColumn("graph_digest", F.sha2(F.concat("nodes_digest", "edges_digest"), 256))

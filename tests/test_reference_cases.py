@@ -94,6 +94,16 @@ def test_digest_depends_on_content_only(spark):
     assert M.digest(changed, edges).first().graph_digest != one.graph_digest
 
 
+def test_digest_gathers_no_lines_in_one_value(spark, capsys):
+    nodes = spark.range(20_000).select(F.lit("L").alias("label"), F.col("id").cast("string").alias("key"), F.lit("a").alias("author"))
+    edges = spark.createDataFrame([], "src string, relation string, relation_key string, dst string, author string")
+    out = M.digest(nodes, edges)
+    out.explain()
+    assert "listagg" not in capsys.readouterr().out.lower()
+    lines = "\n".join(sorted(f"L\x1f{i}\x1fa" for i in range(20_000)))
+    assert out.first() == (hashlib.sha256(lines.encode()).hexdigest(), None, None)
+
+
 def test_columns(spark):
     rows = [("2023/04/10 (Mon) 17:50", " New--York  City! ", "Works At"), ("garbage", "", ""), ("", None, "--")]
     df = spark.createDataFrame(rows, "d string, e string, p string")
