@@ -100,3 +100,20 @@ def route(question: Column) -> dict[str, Column]:
         "is_assistant": has(r"\b(you|your|assistant)\b"),
         "n_tokens": F.size(F.split(F.trim(question), r"\s+")).cast("long"),
     }
+
+
+def recall_of_first(rows: DataFrame, group: str, order: str, gold: str, k: int) -> DataFrame:
+    """(group, recall_k): share of a group's gold rows whose ``order`` is among its first ``k`` rows.
+
+    The first rows are cut before the shuffle and gold rows are only counted,
+    so no group is held.  A value counts once among the hits however often it
+    stands in the first rows; nulls rank last and are no gold.
+    """
+    is_gold = F.coalesce(F.col(gold), F.lit(False)) & F.col(order).isNotNull()
+    total = rows.groupBy(group).agg(F.count_if(is_gold).alias("_gold"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col(order).asc_nulls_last()))
+    first = rows.where(F.col(order).isNotNull()).select(group, order).withColumn("_n", place).where(F.col("_n") <= k).select(group, order).distinct()
+    golden = rows.where(is_gold).select(F.col(group).alias("_group"), F.col(order).alias("_order")).distinct()
+    hits = first.join(golden, F.col(group).eqNullSafe(F.col("_group")) & (F.col(order) == F.col("_order"))).groupBy(F.col(group).alias("_hit_group")).agg(F.count("*").alias("_hits"))
+    share = F.coalesce("_hits", F.lit(0)) / F.col("_gold")
+    return total.join(hits, F.col(group).eqNullSafe(F.col("_hit_group")), "left").select(group, F.when(F.col("_gold") > 0, share).otherwise(0.0).alias(f"recall_{k}"))

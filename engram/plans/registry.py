@@ -364,8 +364,7 @@ def temporal_window(spark, sf):
 select source, case when len(coalesce(gold, [])) = 0 then 0.0 else len(list_intersect(ranked[1:10], gold)) / len(gold) end as recall_10 from g""")
 def recall_at_k(spark, sf):
     d = S.table(spark, sf, "documents").join(S.table(spark, sf, "labels"), "doc_id")
-    g = d.groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ranked"), F.sort_array(F.collect_list(F.when(F.col("quality") == 1, F.col("doc_id")))).alias("gold"))
-    return g.select("source", C.recall_at(F.col("ranked"), F.col("gold"), 10).alias("recall_10"))
+    return R.recall_of_first(d.select("source", "doc_id", (F.col("quality") == 1).alias("gold")), "source", "doc_id", "gold", 10)
 
 
 def _judged(spark, sf):

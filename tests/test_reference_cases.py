@@ -199,3 +199,29 @@ def test_every_sql_has_a_query():
     from engram.plans import registry
 
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) > 45
+
+
+def test_recall_of_first_holds_no_group(spark, capsys):
+    from engram.operators import retrieval as R
+
+    rows = [("a", i, i % 3 == 0) for i in range(30)] + [("b", i, False) for i in range(5)] + [(None, 7, True), (None, 8, None), ("c", 1, True), ("c", 1, True)]
+    got = R.recall_of_first(spark.createDataFrame(rows, "source string, doc_id long, gold boolean").repartition(3), "source", "doc_id", "gold", 10)
+    got.explain()
+    shown = capsys.readouterr().out
+    assert "collect_list" not in shown and "WindowGroupLimit" in shown
+    assert {tuple(r) for r in got.collect()} == {("a", 0.4), ("b", 0.0), (None, 1.0), ("c", 0.5)}
+
+
+def test_recall_query_equals_brute_force(spark, sf_dir):
+    from engram.plans import registry
+
+    docs = {r.doc_id: r.source for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source").collect()}
+    groups = {}
+    for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
+        if r.doc_id in docs:
+            groups.setdefault(docs[r.doc_id], []).append((r.doc_id, r.quality == 1))
+    want = {}
+    for source, rows in groups.items():
+        gold = {i for i, good in rows if good}
+        want[source] = len({i for i, _ in sorted(rows)[:10]} & gold) / len(gold) if gold else 0.0
+    assert {r.source: r.recall_10 for r in registry.recall_at_k(spark, sf_dir).collect()} == pytest.approx(want)
