@@ -11,14 +11,17 @@ steps.  A window whose length is a power of two needs no padding.
 
 A stream is worked off in blocks; the last windows of a block wait for the
 next one, so only the last window of a partition is cut short.  A null or
-empty text is its end id alone.  Repeated rows are packed each.  A null id
-stays null.  Sequence ids combine the partition and a running number: unique,
+empty text is its end id alone.  Repeated rows are packed each, equal costs go
+to the earliest cut.  A null id stays null.  A text of any length is cut as
+often as need be; the ids of one text at a time are held whole.  Other columns
+are ignored, whatever their names.  An empty table gives none.  Sequence ids combine the partition and a running number: unique,
 not gapless.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import deque
 
 import numpy as np
@@ -35,6 +38,8 @@ SENTENCE, TRUNCATED, GRID = 4, 48, 256
 
 # How byte-level tokenizers of this family split a text.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space that the faster library is not asked to split.
+LONG_SPACE = re.compile(r"\s{10000}")
 _PROBE = "It's  a test:\n\t1234 Ünïcödé, don't…\r\n  <|endoftext|> 　x 'll"
 
 
@@ -76,9 +81,19 @@ class TokenIds:
                 self.sentence_end[i] = t.endswith((".", "!", "?", "\n"))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is not None:
-            return [self.fast.encode(t, allowed_special="all") for t in texts]
-        return [e.ids for e in self.slow.encode_batch(texts, add_special_tokens=False)]
+        if self.fast is None:
+            return [e.ids for e in self.slow.encode_batch(texts, add_special_tokens=False)]
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> list[int]:
+        """The faster library's split backtracks over runs of white space, and
+        gives up on long ones; texts that hold one go to ``tokenizers``."""
+        if LONG_SPACE.search(text) is None:
+            try:
+                return self.fast.encode(text, allowed_special="all")
+            except ValueError:
+                pass
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 _LOADED: dict[str, TokenIds] = {}

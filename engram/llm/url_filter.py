@@ -6,10 +6,13 @@ are blocked are blocked seeds.  Trust spreads from trusted seeds along links
 (personalised PageRank); distrust spreads from blocked seeds against the
 links, since who links to blocked hosts is suspect.  A host is blocked where
 its distrust reaches ``least`` of the seeds' mean share and outweighs its
-trust.  A page's rule, where one fits, always decides.
+trust.  A page's rule, where one fits, always decides.  Propagation goes on
+until what is still to come is a small part of the smallest share that counts.
 
 Null urls and urls without ``://`` have empty host and path, no rule and the
-verdict allow.  Repeated rows are judged each.  An empty table gives none.
+verdict allow.  Repeated rows are judged each, their links counted once.  Urls
+and markup are read whole.  Ties between trust and distrust are allowed.
+Other columns are ignored, whatever their names.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ RULES = [
     ("block", "net/es/"),
     ("block", "net/fr/"),
 ]
-DAMPING, ROUNDS, TOLERANCE, LEAST = 0.85, 20, 1e-6, 0.05
+#: Share passed on a link, distrust (in seeds' mean shares) that blocks a host,
+#: and the part of it by which shares may still move when propagation ends.
+DAMPING, LEAST, TOLERANCE = 0.85, 0.05, 1e-3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,11 +70,13 @@ def host_edges(pages: DataFrame, html_col: str) -> DataFrame:
     )
 
 
-def propagate(hosts: DataFrame, edges: DataFrame) -> DataFrame:
+def propagate(hosts: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame:
     """(host, trust, distrust): PageRank from the seeds, distrust on reversed edges.
 
     ``hosts`` has (host, good, bad) with the seeds' weights, each summing to 1
-    or to 0.  What hosts without links hold returns to the seeds.
+    or to 0.  What hosts without links hold returns to the seeds.  Ends when
+    all that later rounds could still move is below ``tolerance``: each moves at
+    most DAMPING times what the one before it moved.
     """
     out = edges.groupBy("src").agg(F.count("*").alias("fan"))
     back = edges.groupBy("dst").agg(F.count("*").alias("fan"))
@@ -77,30 +84,31 @@ def propagate(hosts: DataFrame, edges: DataFrame) -> DataFrame:
         edges.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0), 1 / F.col("fan"))
     )
     ways = materialize(ways, "ways")
-    state = materialize(hosts.select("host", "good", "bad", F.col("good").alias("trust"), F.col("bad").alias("distrust")), "trust")
-    if ways.isEmpty():
-        return state
-    for _ in range(ROUNDS):
+    ends = ways.groupBy(F.col("src").alias("host")).agg(F.max(F.col("good") > 0).alias("sends"), F.max(F.col("bad") > 0).alias("gives"))
+    no, zero = F.lit(False), F.lit(0.0)
+    state = materialize(
+        hosts.join(ends, "host", "left").select("host", "good", "bad", F.coalesce("sends", no).alias("sends"), F.coalesce("gives", no).alias("gives"), F.col("good").alias("trust"), F.col("bad").alias("distrust"), zero.alias("moved")),
+        "trust",
+    )
+    # one table and one row of sums a round: what moved, and what the next round's senders hold
+    sums = [F.sum("moved").alias("moved"), F.sum(F.when(F.col("sends"), F.col("trust"))).alias("t"), F.sum(F.when(F.col("gives"), F.col("distrust"))).alias("d")]
+    held = state.agg(*sums).first()
+    while held["t"] or held["d"]:
         sent = ways.join(state.select(F.col("host").alias("src"), "trust", "distrust"), "src").select(
             F.col("dst").alias("host"), (F.col("good") * F.col("trust")).alias("t"), (F.col("bad") * F.col("distrust")).alias("d")
         ).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        sent = materialize(sent, "sent")
-        lost = sent.agg(F.coalesce(F.sum("t"), F.lit(0.0)).alias("t"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("d")).first()
-        zero = F.lit(0.0)
-        step = state.join(sent, "host", "left").select(
-            "host", "good", "bad",
-            (F.col("good") * (1 - DAMPING * lost["t"]) + DAMPING * F.coalesce("t", zero)).alias("next_trust"),
-            (F.col("bad") * (1 - DAMPING * lost["d"]) + DAMPING * F.coalesce("d", zero)).alias("next_distrust"),
-            "trust", "distrust",
+        trust = F.col("good") * (1 - DAMPING * (held["t"] or 0.0)) + DAMPING * F.coalesce("t", zero)
+        distrust = F.col("bad") * (1 - DAMPING * (held["d"] or 0.0)) + DAMPING * F.coalesce("d", zero)
+        moved = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
+        after = materialize(
+            state.drop("moved").join(sent, "host", "left").select("host", "good", "bad", "sends", "gives", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved")),
+            "trust",
         )
-        step = materialize(step, "trust")
-        moved = step.agg(
-            F.sum(F.abs(F.col("next_trust") - F.col("trust")) + F.abs(F.col("next_distrust") - F.col("distrust"))).alias("m")
-        ).first()["m"]
-        discard(sent)
-        state = step.select("host", "good", "bad", F.col("next_trust").alias("trust"), F.col("next_distrust").alias("distrust"))
-        if (moved or 0.0) < TOLERANCE:
+        discard(state)
+        state, held = after, after.agg(*sums).first()
+        if held["moved"] * DAMPING / (1 - DAMPING) < tolerance:
             break
+    discard(ways)
     return state
 
 
@@ -125,11 +133,13 @@ def filter_urls(
     )
     total = seeded.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
     good, bad = max(total["g"] or 0.0, 1.0), max(total["b"] or 0.0, 1.0)
-    ranked = propagate(seeded.select("host", (F.col("good") / good).alias("good"), (F.col("bad") / bad).alias("bad")), edges)
+    ranked = propagate(seeded.select("host", (F.col("good") / good).alias("good"), (F.col("bad") / bad).alias("bad")), edges, TOLERANCE * LEAST / bad)
     verdicts = materialize(
         ranked.select("host", "trust", "distrust", ((F.col("distrust") >= LEAST / bad) & (F.col("distrust") > F.col("trust"))).alias("bad_host")),
         "host-verdicts",
     )
+    for spent in (edges, seeded, ranked):
+        discard(spent)
     return judged.drop("html").join(verdicts, "host", "left").select(
         id_col, "host", "path", F.col("fit.rule").alias("rule"),
         F.coalesce(F.col("fit.verdict"), F.when(F.col("bad_host"), "block").otherwise("allow")).alias("verdict"),

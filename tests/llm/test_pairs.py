@@ -73,7 +73,7 @@ def test_ngram_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(7, text), (7, text), (None, text), (3, text.upper()), (9, "other words are here now")], "doc_id long, text string")
     got = sorted(((r[0] is None, r[0] or 0, r[2]) for r in ngram_join.ngram_classes(df).collect()))
     assert got == [(False, 3, 3), (False, 7, 3), (False, 7, 3), (False, 9, 9), (True, 0, 3)]
-    assert sorted(r.doc_id or 0 for r in ngram_join.drop_near_copies(df).collect()) == [0, 3, 9] or True
+    assert sorted(r.doc_id or 0 for r in ngram_join.drop_near_copies(df).collect()) == [3, 9]
     assert ngram_join.ngram_classes(df.limit(0)).count() == 0
 
 
