@@ -106,6 +106,36 @@ def test_license_base_equals_brute_force(spark, sf_dir):
     assert license_scan.scan_licenses(rows.limit(0)).count() == 0
 
 
+def test_positional_matches_equal_brute_force():
+    rng = np.random.default_rng(8)
+    known = license_scan.read_templates(license_scan.TEMPLATES)
+    held = {w: int(rng.integers(0, 50)) for _, words, _ in known for w in words}
+    index = license_scan.build_index(1000, held, known)
+    rare = []
+    for _, words, _ in known:
+        rare.append(set(sorted(set(words), key=lambda w: (held[w], w))[: license_scan.RARE]))
+    for _ in range(60):
+        text = []
+        for _ in range(4):
+            label, words, keys = known[int(rng.integers(len(known)))]
+            copy = list(words)
+            for _ in range(int(rng.choice([0, 1, 3, len(copy) // 3]))):
+                copy[int(rng.integers(len(copy)))] = b"other"
+            text += [b"filler"] * int(rng.integers(0, 4)) + copy[: int(rng.integers(len(copy) // 2, len(copy) + 1))]
+        want = []
+        for t, (label, words, keys) in enumerate(known):
+            for at in range(len(text)):
+                there = text[at : at + len(words)]
+                agree = [a == b for a, b in zip(words, there)]
+                seen = sum(ok and w in rare[t] for ok, w in zip(agree, words))
+                phrases = all(text[at + p : at + p + len(k)] == k for p, k in keys)
+                if seen >= len(rare[t]) - 1 and phrases and sum(agree) / len(words) >= license_scan.AGREE:
+                    want.append((label, at, sum(agree) / len(words)))
+        got = license_scan.scan_text(text, index, known)
+        assert sorted((m["label"], m["start"], m["share"]) for m in got["matches"]) == sorted(want)
+    assert license_scan.scan_text(license_scan.words_of(license_scan.MIT_TEXT), index, known)["labels"].startswith("mit")
+
+
 def test_language_accuracy_and_odd_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, "12 34 !!", None, "src0", 8), (9003, "12 34 !!", None, "src0", 8)], docs.schema)
