@@ -10,27 +10,48 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows of an Arrow batch handed to Python; small, since one text can be long.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch handed to Python, whichever comes first.
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 #: Members of a cluster that one block holds; a task compares two blocks.
 BLOCK_ROWS = 768
+#: Parts that the members of large clusters are dealt to before they are copied.
+SALTS = 64
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the Python stages rely on (bounded Arrow batches)."""
+    """Session settings the Python stages rely on: Arrow batches bounded in rows
+    and bytes.  They stay set, since plans are made when results are asked for."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can see; a local one only if none is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder every executor can see, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves if driver and executors are
+    one process (master ``local``); on a cluster that is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + os.path.join("/tmp/checkpoints", os.path.basename(tempfile.gettempdir()))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "engram-tables")
     return folder.rstrip("/")
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` bears it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -46,12 +67,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table of ``materialize`` that no plan reads any more."""
+    """Delete a table of ``materialize`` that no plan reads any more.
+
+    The driver's JVM is asked to collect as well: Spark removes the shuffle
+    files of finished steps once nothing there refers to them.
+    """
     path = getattr(df, "_written_to", None)
     if path:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -89,9 +115,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels.select("node", "label")
 
 
-def pivot_members(keys: DataFrame, key: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Clusters that cover all pairs which share a key: (pivot, x), distinct,
-    and the ``carry`` columns of the key, which then part clusters.
+def pivot_members(keys: DataFrame, key: list[str]) -> DataFrame:
+    """Clusters that cover all pairs which share a key: (pivot, x), distinct.
 
     ``keys`` has the key columns and a long ``x``.  The smallest x of each key
     is its pivot; any two rows that share a key are then members of that
@@ -107,12 +132,25 @@ def pivot_members(keys: DataFrame, key: list[str], carry: tuple[str, ...] = ())
         dealt.groupBy(*key).agg(F.min("x").alias("pivot"), F.max("x").alias("last"))
         .where("pivot < last").drop("last")
     )
-    others = dealt.join(heads.hint("merge"), key).where("x <> pivot").select(*carry, "pivot", "x").distinct()
+    others = dealt.join(heads.hint("merge"), key).where("x <> pivot").select("pivot", "x").distinct()
     others = materialize(others, "clusters")
-    return others.union(others.select(*carry, "pivot", F.col("pivot").alias("x")).distinct())
+    return others.union(others.select("pivot", F.col("pivot").alias("x")).distinct())
+
+
+def _blocks(weight: str | None, most: int) -> Column:
+    heavy = F.sum(weight) / F.lit(most) if weight else F.lit(0.0)
+    return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)), F.ceil(heavy), F.lit(1)).cast("int")
 
 
-def block_pairs(members: DataFrame, weight: str | None = None, most: int = 2_000_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def _spread(members: DataFrame, large: DataFrame) -> DataFrame:
+    """``members`` with the columns of ``large`` (by pivot, null elsewhere); the
+    members of a large cluster are spread over SALTS tasks before they are copied."""
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("x", F.lit(7)), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["pivot", "salt"], "left").drop("salt")
+
+
+def block_pairs(members: DataFrame, weight: str | None = None, most: int = 2_000_000) -> DataFrame:
     """Deal each cluster into blocks and each pair of its blocks to one group.
 
     Adds block_a <= block_b (the group within ``pivot``) and ``own`` (the row's
@@ -120,17 +158,45 @@ def block_pairs(members: DataFrame, weight: str | None = None, most: int = 2_000
     row is copied once for each block of its cluster.  ``weight``: a column
     whose sum in a block stays about ``most``.
     """
-    heavy = F.sum(weight) / F.lit(most) if weight else F.lit(0.0)
-    sizes = members.groupBy(*carry, "pivot").agg(
-        F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(heavy), F.lit(1)).cast("int").alias("blocks")
-    )
-    dealt = members.join(sizes, [*carry, "pivot"]).withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    large = members.groupBy("pivot").agg(_blocks(weight, most).alias("blocks")).where("blocks > 1")
+    dealt = _spread(members, large).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.select(
         "*", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b")
     ).drop("blocks", "other")
 
 
+def own_blocks(members: DataFrame, weight: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows dealt, pivots of more than one block): each cluster in blocks, each
+    block a group of its own with the cluster's ``head`` in it.  Rows are not
+    copied, but for one head a block."""
+    large = materialize(members.groupBy("pivot").agg(_blocks(weight, most).alias("blocks")).where("blocks > 1"), "large")
+    dealt = _spread(members, large).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")
+    dealt = dealt.withColumn("own", F.explode(F.when(F.col("head"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
+    return dealt.select("*", F.col("own").alias("block_a"), F.col("own").alias("block_b")).drop("blocks"), large.select("pivot")
+
+
+def cross_blocks(members: DataFrame, weight: str, most: int) -> DataFrame:
+    """Deal the pairs of a cluster that are not yet known to be in one class.
+
+    ``members`` have a ``root``; those of a cluster's most frequent root meet
+    only its others, which meet each other too.  Nothing is dealt of a cluster
+    whose members all have one root, however many they are.
+    """
+    roots = members.groupBy("pivot", "root").agg(F.count("*").alias("n"))
+    main = roots.groupBy("pivot").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = _spread(members, main.drop("roots")).where("main is not null").withColumn("minor", F.col("root") != F.col("main")).drop("main")
+    mixed = materialize(mixed, "mixed")
+    sizes = mixed.groupBy("pivot").pivot("minor", [True, False]).agg(_blocks(weight, most)).select("pivot", F.col("true").alias("few"), F.col("false").alias("many"))
+    dealt = _spread(mixed, sizes)
+    own = F.when(F.col("minor"), F.pmod(F.xxhash64("x"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("x"), F.col("many"))).cast("int")
+    last = F.when(F.col("minor"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("*", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b")).drop("few", "many", "other", "minor")
+
+
 def bundled(dealt: DataFrame, group: list[str], bundles: int) -> DataFrame:
     """``dealt`` with a ``bundle`` that takes in many whole groups, so that a
     call of a Python function serves more than one small group."""

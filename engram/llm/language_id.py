@@ -15,9 +15,11 @@ log-likelihood a trigram, over the whole text, lies in each language further
 below that of its fitted rows than their spread and the text's length explain.
 Others are kept when the best posterior reaches ``least``.  Missing
 evidence counts for nothing.  A null host has the corpus prior.  Repeated rows
-are judged alike.  Columns of the input pass through unchanged; an empty table
-gives an empty result, and so does a corpus without a labelled row give
-``und`` throughout.
+are judged alike; of equal posteriors the first language in order of name is
+taken.  Texts of any length are read whole, in slices.  Columns of the input
+pass through unchanged: where one has the name of a result, the result's name
+is lengthened by ``_``.  An empty table gives an empty result, and a corpus
+without a labelled row gives ``und`` throughout.
 """
 
 from __future__ import annotations
@@ -27,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from engram.llm._common import materialize, prepare
+from engram.llm._common import apart, materialize, prepare
 from engram.llm._text import LOWER, SLICE, buffers
 
 #: Hashed trigrams; labelled rows (expected) that the text model is fitted on.
 BUCKETS, SAMPLE = 1 << 14, 4000
-#: Trigrams are not independent: how much each counts, and the most that count.
-TEMPER, MOST = 0.25, 400
+#: Trigrams are not independent: how much each counts.
+TEMPER = 0.25
 #: Strength of the coarser prior, in rows; posterior that keeps a row.
 ALPHA, LEAST = 20.0, 0.5
 #: Open-set test: deviations below the fitted rows' median that a text may lie;
@@ -71,7 +73,7 @@ def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarr
                 sums[i] += table[_codes(part)].sum(axis=0, dtype=np.float64)
                 grams[i] += len(part) - 2
             s = e
-    sums *= (TEMPER * np.minimum(1.0, MOST / np.maximum(grams, 1)))[:, None]
+    sums *= TEMPER
     own = np.exp(sums - sums.max(axis=1, keepdims=True, initial=-np.inf))
     return np.concatenate([sums, own / own.sum(axis=1, keepdims=True), letters[:, None], grams[:, None]], axis=1)
 
@@ -80,7 +82,7 @@ def like_fitted(sums: np.ndarray, grams: np.ndarray, fits: np.ndarray) -> np.nda
     """1 where a text is like the fitted rows of some language; of a few trigrams
     that cannot be told."""
     many = np.maximum(grams, 1)[:, None]
-    means = sums / (TEMPER * np.minimum(many, MOST))
+    means = sums / (TEMPER * many)
     limits = fits[:, 0] - OUTSIDE * np.sqrt(fits[:, 1] ** 2 + OVERLAP * fits[:, 2] / many)
     return ((means >= limits).any(axis=1) | (grams < TESTED)).astype(np.float64)
 
@@ -154,7 +156,7 @@ def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s
 
 def markup_language(html: Column) -> Column:
     """Two-letter language an ``<html lang=...>`` declares, or null."""
-    found = F.regexp_extract(html, r"(?i)<html[^>]{0,200}\blang\s*=\s*[\"']?([a-z]{2})", 1)
+    found = F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2})(?![a-z])", 1)
     return F.nullif(F.lower(found), F.lit(""))
 
 
@@ -174,9 +176,14 @@ def visible_text(html: Column) -> Column:
 
 def identify_languages(
     rows: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: Column, host: Column, domain: Column | None = None,
-    declared: Column | None = None, suffix: Column | None = None, least: float = LEAST,
+    declared: Column | None = None, suffix: Column | None = None, least: float = LEAST, columns: list[str] | None = None,
 ) -> DataFrame:
-    """``rows`` with ``id_language``, ``id_probability`` and ``id_keep``.
+    """``columns`` of ``rows`` (all by default) with ``id_language``,
+    ``id_probability`` and ``id_keep``.
+
+    With ``columns`` the scores are written beside them, so that texts are read
+    once; all columns would be a copy of the table, so there texts are scored
+    again when the result is read.
 
     ``host`` may hold any share of the rows: priors are sums over groups with
     map-side partial sums, and joined back as a small table where it is one
@@ -185,8 +192,13 @@ def identify_languages(
     prepare(rows.sparkSession)
     languages, table, fits = model
     none = F.lit(None).cast("string")
+    whole = columns is None
+    columns = rows.columns if whole else columns
+    results = apart(rows.select(*(F.col(f"`{c}`") for c in columns)), "id_language", "id_probability", "id_keep")
+    passed = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
     if not languages:
-        return rows.withColumns({"id_language": F.lit("und"), "id_probability": F.lit(0.0), "id_keep": F.lit(False)})
+        und = [v.alias(c) for v, c in zip((F.lit("und"), F.lit(0.0), F.lit(False)), results)]
+        return rows.select(*(F.col(f"`{c}`") for c in columns), *und)
     width = len(languages)
 
     def scores(column: pa.Array) -> pa.Array:
@@ -194,11 +206,13 @@ def identify_languages(
         found = np.concatenate([found[:, :-1], like_fitted(found[:, :width], found[:, -1], fits)[:, None]], axis=1)
         return pa.array(list(found), pa.list_(pa.float64()))
 
-    scored = rows.withColumns({
-        "_ev_text": arrow_udf(scores, "array<double>")(F.coalesce(text.cast("string"), F.lit(""))),
-        "_ev_host": host.cast("string"), "_ev_domain": (domain if domain is not None else none).cast("string"),
-        "_ev_declared": (declared if declared is not None else none), "_ev_suffix": (suffix if suffix is not None else none),
-    })
+    scored = rows.select(
+        passed, arrow_udf(scores, "array<double>")(F.coalesce(text.cast("string"), F.lit(""))).alias("_ev_text"),
+        host.cast("string").alias("_ev_host"), (domain if domain is not None else none).cast("string").alias("_ev_domain"),
+        (declared if declared is not None else none).alias("_ev_declared"), (suffix if suffix is not None else none).alias("_ev_suffix"),
+    )
+    if not whole:
+        scored = materialize(scored, "language-scores")
     own = [F.col("_ev_text")[width + i] for i in range(width)]
     # a letter, and like the fitted rows of some language
     evident = (F.col("_ev_text")[2 * width] > 0) & (F.col("_ev_text")[2 * width + 1] > 0)
@@ -244,20 +258,25 @@ def identify_languages(
     joined = joined.withColumn("_logs", F.array(*logs))
     shares = F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs")))
     joined = joined.withColumn("_best", 1 / F.aggregate(shares, F.lit(0.0), lambda t, x: t + x))
-    return joined.withColumns({
-        "id_language": F.when(evident, best_of(F.col("_logs"))).otherwise("und"),
-        "id_probability": F.when(evident, F.col("_best")).otherwise(0.0), "id_keep": evident & (F.col("_best") >= least),
-    }).select(*(F.col(f"`{c}`") for c in rows.columns), "id_language", "id_probability", "id_keep")
+    verdicts = (
+        F.when(evident, best_of(F.col("_logs"))).otherwise("und"), F.when(evident, F.col("_best")).otherwise(0.0), evident & (F.col("_best") >= least)
+    )
+    return joined.select(*(F.col(f"row.`{c}`") for c in columns), *(v.alias(c) for v, c in zip(verdicts, results)))
 
 
-def document_languages(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def document_languages(docs: DataFrame, least: float = LEAST, columns: list[str] | None = None) -> DataFrame:
     """Languages of a documents table: text, markup in the text, source as host."""
     model = fit_text_model(docs, "doc_id", "text", "lang")
     text = F.col("text").cast("string")
-    return identify_languages(docs, model, text, F.col("source"), declared=markup_language(text), least=least)
+    return identify_languages(docs, model, text, F.col("source"), declared=markup_language(text), least=least, columns=columns)
+
+
+def identified_documents(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    return document_languages(docs, least).where(F.col(apart(docs, "id_keep")[0])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def page_languages(pages: DataFrame, docs: DataFrame, least: float = LEAST) -> DataFrame:
+def page_languages(pages: DataFrame, docs: DataFrame, least: float = LEAST, columns: list[str] | None = None) -> DataFrame:
     """Languages of a pages table: visible text, declared language, address, host and domain."""
     from engram.llm.url_filter import host_of
 
@@ -265,5 +284,5 @@ def page_languages(pages: DataFrame, docs: DataFrame, least: float = LEAST) -> D
     host = host_of(F.col("url"))
     domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
     return identify_languages(
-        pages, model, visible_text(F.col("html")), host, domain, markup_language(F.col("html")), address_language(F.col("url"), model[0]), least
+        pages, model, visible_text(F.col("html")), host, domain, markup_language(F.col("html")), address_language(F.col("url"), model[0]), least, columns
     )

@@ -1,9 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line occurrence is dropped when its text stood before, or when a line that
-stands earlier differs from it by at most one edit (one character inserted,
-deleted or changed) and both have at least ``least`` characters.  Earliest
-is the order of doc_id (nulls last), then of the text's hash, then of the line
+stands earlier lies within the edit bound of both: one edit (one character
+inserted, deleted or changed) for lines of at least ``least`` characters, none
+for shorter ones, in which one character says too much.  Earliest is the order of doc_id (nulls last), then of the text's hash, then of the line
 number; the place of a line's text is its first occurrence.
 
 Lines are compared after trimming and lower-casing A-Z; blank lines are kept.
@@ -19,7 +19,9 @@ distance on the texts.
 
 A null text has no lines and stays null.  Rows that repeat doc_id and text
 are one document.  Documents all of whose non-blank lines were dropped are
-not kept; documents without a non-blank line are.
+not kept; documents without a non-blank line are.  Texts of any length are
+read whole, in time in proportion to it.  Other columns pass through, whatever
+their names.  An empty table gives none.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql.functions import arrow_udf
 from engram.llm._common import discard, materialize, prepare
 from engram.llm._text import LOWER, SLICE, buffers, mix
 
+#: Characters of a line for one edit to be within its bound.
 LEAST = 16
 #: Segments of the finer filter.
 FINE = 16
@@ -188,6 +191,24 @@ def _count_lines(column: pa.Array) -> pa.Array:
     return pa.array(np.diff(upto[begin]), pa.int64())
 
 
+def _pick_lines(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+    """Normal forms of the lines of each text with the given numbers."""
+    picked = []
+    for text, wanted in zip(texts.to_pylist(), numbers.to_pylist()):
+        lines = text.split("\n")
+        picked.append([lines[n].strip(" \t\r").encode().lower().decode() for n in wanted])
+    return pa.array(picked, pa.list_(pa.string()))
+
+
+def _rebuild(texts: pa.Array, kept: pa.Array) -> pa.Array:
+    """Each text with the kept lines and its blank ones."""
+    built = []
+    for text, numbers in zip(texts.to_pylist(), kept.to_pylist()):
+        wanted = set(numbers or ())
+        built.append("\n".join(x for n, x in enumerate(text.split("\n")) if n in wanted or not x.strip(" \t\r")))
+    return pa.array(built, pa.string())
+
+
 def sharing(keyed: DataFrame) -> DataFrame:
     """Of (h1, h2, key) rows the lines that share a key with another line."""
     shared = keyed.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
@@ -253,8 +274,9 @@ def kept_lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST)
             F.col("at.id").alias("want_id"), F.col("at.text_hash").alias("want_hash"), F.struct("h1", "h2", "at").alias("w")
         ).groupBy("want_id", "want_hash").agg(F.collect_list("w").alias("ws"))  # at most one document's lines
         found = keyed.join(wanted, F.col("id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")))
-        found = found.select(F.explode("ws").alias("w"), F.split("text", "\n").alias("all"))
-        return found.select("w.h1", "w.h2", "w.at", normal(F.get("all", F.col("w.at.number"))).alias("line")).dropDuplicates(["h1", "h2"])
+        lines = arrow_udf(_pick_lines, "array<string>")("text", F.transform("ws", lambda w: w["at"]["number"]))
+        found = found.select(F.explode(F.arrays_zip(F.col("ws"), lines.alias("line"))).alias("w"))
+        return found.select("w.ws.h1", "w.ws.h2", "w.ws.at", "w.line").dropDuplicates(["h1", "h2"])
 
     near = near_lines(first, texts, least)
     kept = first.select("h1", "h2", "at").join(near, ["h1", "h2"], "left_anti")
@@ -266,14 +288,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents left without a line go; columns and other values stay.
     """
-    kept = materialize(kept_lines(docs, id_col, text_col, least).select(F.col("id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), F.col("lines").alias("_kept")), "kept-lines")
+    kept = materialize(kept_lines(docs, id_col, text_col, least), "kept-lines")
     text = F.col(text_col).cast("string")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text) == F.col("_kept_hash"))
-    joined = docs.join(kept, same, "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("row_id"), F.xxhash64(text).alias("row_hash"))
+    joined = rows.join(kept, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("text_hash")), "left")
+    text = F.col(f"row.`{text_col}`").cast("string")
     blank = F.coalesce(~text.rlike(r"[^ \t\r\n]"), F.lit(True))
-    numbered = F.filter(F.split(text, "\n"), lambda x, i: F.array_contains("_kept", i) | (normal(x) == ""))
-    left = F.when(blank, F.col(text_col)).otherwise(F.array_join(numbered, "\n"))
-    return joined.where(blank | F.col("_kept").isNotNull()).withColumn(text_col, left).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rebuilt = joined.where(blank | F.col("lines").isNotNull()).withColumn(
+        "left", arrow_udf(_rebuild, "string")(F.coalesce(text, F.lit("")), F.col("lines"))
+    )
+    left = F.when(blank, text).otherwise(F.col("left"))
+    return rebuilt.select(*((left.alias(c) if c == text_col else F.col(f"row.`{c}`")) for c in docs.columns))
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:

@@ -9,21 +9,24 @@ probability p.  For the rest documents are ranked by
 
     u / (1 - u)  /  (p / (1 - p))
 
-with u drawn from a hash of the id, and the smallest are taken one copy more,
-as long as the words taken come nearest the source's target: a sample of fixed
-size (in words) with the given inclusion odds.
-
-A null text has size 0.  Rows whose id repeats share their draw and are
-ranked by size; a null id is drawn as -1.  An empty table gives an empty
-result.  Only the words of one rank cell of a source meet in a window, never a
-source.
+with u drawn from a hash of id and text, and the smallest are taken one copy
+more, as long as the words taken come nearest the source's target: a sample of
+fixed size (in words) with the given inclusion odds.  Rows of a source thus
+differ by one cut in their order, which is all that is computed from them:
+the documents are never shuffled.
+
+A null text has size 0.  Rows that repeat id and text share their draw and are
+all taken or all left; ties of draws go by id and size.  A null id is drawn as
+-1.  Texts of any length count whole.  Other columns are ignored or passed
+through, whatever their names.  An empty table gives an empty result.  Only the
+distinct rows of one rank cell of a source meet in a window, never a source.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from engram.llm._common import materialize
+from engram.llm._common import discard, materialize
 
 # Weights of the sources, repeating.
 WEIGHTS = [5, 2, 1]
@@ -38,10 +41,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def draw(id_col: Column, seed: int = 0) -> Column:
-    """A number in (0, 1) from the md5 of the seed and the id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("-1"))))
-    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(_UNIT)
+def draw(id_col: Column, text: Column, seed: int = 0) -> Column:
+    """A number in (0, 1) from the md5 of the seed, the id and the text's md5."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("-1")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(_UNIT)
 
 
 def source_targets(sizes: DataFrame, source: str = "source", size: str = "size") -> DataFrame:
@@ -66,57 +69,77 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size")
     return final.select(source, "source_size", F.least("cap", F.col("weight") * F.coalesce("lambda", F.lit(float("inf")))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """(id, source, size, source_size, target, copies) per row."""
-    sized = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col).cast("string")).alias("size"),
-    )
-    sized = materialize(sized.withColumn("u", draw(F.col("id"), seed)), "sizes")
-    targets = materialize(source_targets(sized), "targets")
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *more: Column) -> DataFrame:
+    text, name = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    return docs.select(*more, name.alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), draw(name, text, seed).alias("u"))
+
+
+def _ranked(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """``sized`` with its source's rates and the Pareto variable mapped to
+    (0, 1), which keeps its order."""
+    odds = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
+    return sized.join(rates, F.col("source").eqNullSafe(F.col("of"))).withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)))
+
+
+def source_cuts(sized: DataFrame) -> DataFrame:
+    """(of, source_size, target, whole, p, low, cut): of a source's rows in order
+    of (rank, id, size) those below rank ``low``, and those up to ``cut``, are
+    taken once more than ``whole`` times."""
+    targets = source_targets(sized)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rated = targets.withColumn("whole", F.floor(rate + 1e-12).cast("long")).withColumn("p", F.greatest(rate - F.floor(rate + 1e-12), F.lit(0.0)))
-    rated = rated.select(F.col("source").alias("of"), "source_size", "target", "whole", "p", (F.col("target") - F.col("whole") * F.col("source_size")).alias("want"))
-    rows = sized.join(rated, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    odds = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
-    # the Pareto variable mapped to (0, 1), which keeps its order
-    rows = rows.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds)))
+    rated = materialize(rated.select(F.col("source").alias("of"), "source_size", "target", "whole", "p", (F.col("target") - F.col("whole") * F.col("source_size")).alias("want")), "rates")
+    rows = _ranked(sized, rated)
 
     # narrow the place where the target is reached, cell by cell: all rows of
     # lower cells are taken, all of higher ones are not
-    spots = rated.where("p > 0").select(F.col("of"), F.lit(0.0).alias("low"), F.lit(1.0).alias("step"), F.col("want").alias("rest"))
+    spots = rated.where("p > 0").select(F.col("of").alias("at"), F.lit(0.0).alias("low"), F.lit(1.0).alias("step"), F.col("want").alias("rest"))
     for level in range(LEVELS):
         spots = materialize(spots, "spots")
-        within = rows.where("rank is not null").join(spots, F.col("source").eqNullSafe(F.col("of")))
+        within = rows.where("rank is not null").join(spots, F.col("source").eqNullSafe(F.col("at")))
         within = within.where("rank >= low and rank < low + step")
         cell = F.least(F.floor((F.col("rank") - F.col("low")) / (F.col("step") / CELLS)), F.lit(CELLS - 1)).cast("int")
-        sums = within.groupBy("of", "low", "step", "rest", cell.alias("cell")).agg(F.sum("size").alias("words"))
-        upto = F.sum("words").over(Window.partitionBy("of").orderBy("cell"))
+        sums = within.groupBy("at", "low", "step", "rest", cell.alias("cell")).agg(F.sum("size").alias("words"))
+        upto = F.sum("words").over(Window.partitionBy("at").orderBy("cell"))
         reached = sums.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
-        nearest = reached.groupBy("of").agg(F.min_by(F.struct("cell", "low", "step", "rest", "upto", "words"), "cell").alias("c"))
-        found = nearest.select(F.col("of").alias("found_of"), (F.col("c.low") + F.col("c.cell") * (F.col("c.step") / CELLS)).alias("low2"), (F.col("c.step") / CELLS).alias("step2"), (F.col("c.rest") - F.col("c.upto") + F.col("c.words")).alias("rest2"))
+        nearest = reached.groupBy("at").agg(F.min_by(F.struct("cell", "low", "step", "rest", "upto", "words"), "cell").alias("c"))
+        found = nearest.select(F.col("at").alias("found"), (F.col("c.low") + F.col("c.cell") * (F.col("c.step") / CELLS)).alias("low2"), (F.col("c.step") / CELLS).alias("step2"), (F.col("c.rest") - F.col("c.upto") + F.col("c.words")).alias("rest2"))
         # a source whose rows do not reach the target takes all of them
-        spots = spots.join(found, F.col("of").eqNullSafe(F.col("found_of")), "left").select(
-            "of", F.coalesce("low2", F.lit(1.0)).alias("low"), F.coalesce("step2", F.lit(0.0)).alias("step"), F.coalesce("rest2", F.lit(0.0)).alias("rest")
+        spots = spots.join(found, F.col("at").eqNullSafe(F.col("found")), "left").select(
+            "at", F.coalesce("low2", F.lit(1.0)).alias("low"), F.coalesce("step2", F.lit(0.0)).alias("step"), F.coalesce("rest2", F.lit(0.0)).alias("rest")
         )
     spots = materialize(spots, "spots")
-    placed = rows.join(spots, F.col("source").eqNullSafe(F.col("of")), "left")
-    inside = (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("step"))
-    # rows of one narrow cell only
-    edge = placed.where(inside)
-    running = Window.partitionBy("source").orderBy("rank", "id", "size")  # equal rows share one decision
-    edge = edge.withColumn("upto", F.sum("size").over(running))
-    # a row more is taken if that comes nearer the target
-    edge = edge.withColumn("extra", (2 * (F.col("rest") - (F.col("upto") - F.col("size"))) >= F.col("size")) & (F.col("upto") - F.col("size") <= F.col("rest"))).drop("upto")
-    clear = placed.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.coalesce(F.col("rank") < F.col("low"), F.lit(False)))
-    both = edge.unionByName(clear)
-    return both.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra").cast("long")).alias("copies"))
+    # rows of one narrow cell only, equal ones as one: a row more is taken if that comes nearer the target
+    edge = rows.join(spots, F.col("source").eqNullSafe(F.col("at"))).where("rank >= low and rank < low + step")
+    edge = edge.groupBy("at", "rest", "rank", "id", "size").agg((F.col("size") * F.count("*")).alias("words"))
+    before = F.sum("words").over(Window.partitionBy("at").orderBy("rank", "id", "size")) - F.col("size")
+    taken = edge.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (2 * (F.col("rest") - F.col("before")) >= F.col("size")))
+    cuts = taken.groupBy(F.col("at").alias("cut_of")).agg(F.max(F.struct("rank", "id", "size")).alias("cut"))
+    placed = spots.select("at", "low").join(cuts, F.col("at").eqNullSafe(F.col("cut_of")), "left")
+    return materialize(
+        rated.join(placed, F.col("of").eqNullSafe(F.col("at")), "left").select("of", "source_size", "target", "whole", "p", "low", "cut"), "cuts"
+    )
+
+
+def _copies(ranked: DataFrame) -> Column:
+    up_to_cut = F.struct("rank", "id", "size") <= F.col("cut")
+    extra = (F.col("rank") < F.col("low")) | up_to_cut
+    return F.col("whole") + F.coalesce(extra, F.lit(False)).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
+    """(id, source, size, source_size, target, copies) per row."""
+    sized = materialize(_sized(docs, id_col, text_col, source_col, seed), "sizes")
+    ranked = _ranked(sized, source_cuts(sized))
+    return ranked.select("id", "source", "size", "source_size", "target", _copies(ranked).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """``docs`` with each row as often as the mix takes it; columns stay."""
-    copies = materialize(mix(docs, id_col, text_col, source_col, seed).select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies")).distinct(), "copies")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_mix_source"))
-    joined = docs.join(copies, same & (word_count(F.col(text_col).cast("string")) == F.col("_mix_size"))).where("_mix_copies > 0")
-    repeated = joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
+    sized = materialize(_sized(docs, id_col, text_col, source_col, seed), "sizes")
+    cuts = source_cuts(sized)
+    discard(sized)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    ranked = _ranked(_sized(docs, id_col, text_col, source_col, seed, row), cuts)
+    taken = ranked.select("row", _copies(ranked).alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -5,13 +5,18 @@ components.  Learned filters of 8 bytes slide over the whole text in steps of
 4; their activations are max-pooled over overlapping chunks of 128 bytes, and
 the chunks' maxima are combined, as mean and maximum over all chunks, into one
 probability.  Filters and combination are learned together by gradient
-descent on a bounded sample of labelled rows (``sample``), of which windows
-of at most ``TRAIN_BYTES`` are used; scoring always reads whole texts.
+descent on the whole texts of a bounded sample of labelled rows (``sample``
+rows and ``sample_bytes`` characters of text at most); scoring reads whole
+texts in slices.
 
 Scores depend on the text alone.  A null text counts as empty; empty texts
-get the network's score for nothing but padding.  Repeated rows score alike.
+get the network's score for nothing but padding.  Repeated rows score alike,
+and count once in the fit; of an id that stands on several texts each text
+counts.  The sample is drawn by a hash of id and text, so reruns agree.
 Labels of rows whose crc32(id as text) mod 5 is 0, and of null ids, are never
-read.  Without any label of both kinds every score is 0.5.
+read; a repeated label counts as its largest value.  Without any label of both
+kinds every score is 0.5.  Other columns are ignored, whatever their names.
+An empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,8 +29,8 @@ from pyspark.sql.functions import arrow_udf
 from engram.llm._common import prepare
 from engram.llm._text import buffers
 
-#: Labelled rows (expected) and characters of each that the network is fitted on.
-SAMPLE, TRAIN_BYTES = 2000, 6000
+#: Labelled rows, and characters of their texts in all, that the network is fitted on at most.
+SAMPLE, SAMPLE_BYTES = 2000, 24_000_000
 WIDTH, STEP, HALF, FILTERS = 12, 4, 64, 24
 EPOCHS, BATCH, RATE, SEED = 10, 48, 0.01, 5
 THRESHOLD = 0.3
@@ -177,20 +182,33 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """The network, fitted on about ``sample`` labelled rows that are not held out.
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES,
+) -> dict[str, np.ndarray]:
+    """The network, fitted on labelled rows that are not held out.
 
-    The drawn labels are a table bounded by ``sample`` and joined as such; the
-    driver gets ``sample`` windows of TRAIN_BYTES characters.
+    About ``sample`` labels are drawn and joined as a table of that size; of
+    their texts, each once and in order of a hash, whole ones are taken while
+    they fit into ``sample_bytes`` characters.  The driver gets those.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("y"))
     share = min(1.0, sample / max(1, usable.count()))
     drawn = usable.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    begin = F.floor(F.pmod(F.xxhash64(id_col), F.lit(1000)) / 1000 * F.greatest(F.length(text) - TRAIN_BYTES, F.lit(0))).cast("int") + 1
-    windows = docs.select(F.col(id_col).cast("long").alias("id"), text.substr(begin, F.lit(TRAIN_BYTES)).alias("text"))
-    rows = windows.join(F.broadcast(drawn), "id").select("id", "text", "y").dropDuplicates(["id"]).toPandas().sort_values("id")
-    return train([t.encode() for t in rows["text"]], rows["y"].to_numpy(np.float32))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("draw"), F.length(text).alias("size"), text.alias("text"))
+    # slim rows first: which texts there are, and how long
+    slim = rows.join(F.broadcast(drawn), "id").where(F.col("size") <= sample_bytes).groupBy("draw").agg(F.min("size").alias("size"))
+    fits, left = [], sample_bytes
+    for r in slim.orderBy("draw").limit(sample).collect():
+        if r["size"] > left:
+            break
+        fits.append((r["draw"],))
+        left -= r["size"]
+    taken = docs.sparkSession.createDataFrame(fits, "draw long")
+    whole = rows.join(F.broadcast(taken), "draw").join(F.broadcast(drawn), "id").groupBy("draw").agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    whole = whole.toPandas().sort_values("draw")
+    return train([t.encode() for t in whole["text"]], whole["y"].to_numpy(np.float32))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DataFrame:

@@ -25,7 +25,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, language, probability, keep of every document."""
     docs = _table(spark, sf_dir, "documents")
-    return language_id.document_languages(docs).select(
+    return language_id.document_languages(docs, columns=["doc_id"]).select(
         "doc_id", F.col("id_language").alias("language"), F.col("id_probability").alias("probability"), F.col("id_keep").alias("keep")
     )
 
@@ -33,7 +33,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for pages, with declared language, address and host evidence."""
     pages, docs = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents")
-    return language_id.page_languages(pages, docs).select(
+    return language_id.page_languages(pages, docs, columns=["page_id"]).select(
         "page_id", F.col("id_language").alias("language"), F.col("id_probability").alias("probability"), F.col("id_keep").alias("keep")
     )
 
@@ -89,10 +89,11 @@ ORACLE_SQL = {
     # every vector that is sound, as integers; all pairs of a stated query and a vector
     "op6_topk_search": """
         with v as (
-          select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+          select vec_id, min(list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))) as v
           from embeddings
           where vec_id is not null and embedding is not null
             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+          group by vec_id
         ), s as (
           select q.vec_id as query_id, c.vec_id,
                  cast(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) as bigint) as score
@@ -105,7 +106,7 @@ ORACLE_SQL = {
     "op10_mixing": """
         with sized as (
           select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
-                 (cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '-1')), 1, 12) as bigint) + 0.5) / 281474976710656.0 as u
+                 (cast('0x' || substr(md5('0:' || coalesce(cast(doc_id as varchar), '-1') || ':' || md5(coalesce(text, ''))), 1, 12) as bigint) + 0.5) / 281474976710656.0 as u
           from documents
         ), per as (
           select source, cast(sum(size) as bigint) as source_size,
