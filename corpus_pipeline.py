@@ -15,7 +15,7 @@ from engram.llm.queries import tokenizer_path
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; the rest goes."""
-    return language_id.document_languages(docs).where("id_keep").select(*docs.columns)
+    return language_id.identified_documents(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

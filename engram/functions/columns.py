@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
@@ -53,10 +54,11 @@ def contains_text(haystack: Column, needle: Column) -> Column:
     return F.contains(F.lower(F.coalesce(haystack, F.lit(""))), F.lower(needle))
 
 
-def search_terms(question: Column, most: int = 24) -> Column:
-    """Distinct lower-case words of more than two characters, ``most`` of them."""
+def search_terms(question: Column, most: int | None = 24) -> Column:
+    """The first ``most`` lower-case words of more than two characters, each once."""
     words = F.split(F.lower(F.regexp_replace(question, "[^A-Za-z0-9]+", " ")), " ")
-    return F.slice(F.array_distinct(F.filter(words, lambda w: F.length(w) > 2)), 1, most)
+    long = F.filter(words, lambda w: F.length(w) > 2)
+    return F.array_distinct(long if most is None else F.slice(long, 1, most))
 
 
 def sentences(text: Column, least: int = 25) -> Column:
@@ -68,3 +70,90 @@ def recall_at(ranked: Column, gold: Column, k: int) -> Column:
     """Share of the gold ids among the first k ranked; 0 without gold."""
     hit = F.size(F.array_intersect(F.slice(ranked, 1, k), gold))
     return F.when(F.size(gold) > 0, hit / F.size(gold)).otherwise(0.0)
+
+
+def round_half_even(x: Column, places: int) -> Column:
+    """Rounded by the exact value of the binary number, halves to even.
+
+    Neither ``round`` nor ``bround`` does so: both start from the shortest
+    decimal, which may be a half where the number is not.  Meant for the few
+    rows of a finished report."""
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else round(v, places) for v in column.to_pylist()], pa.float64())
+
+    return F.arrow_udf(run, "double")(x.cast("double"))
+
+
+def flat_text(x: Column, kind: str) -> Column:
+    """Any content as one string: text as it is, numbers written out, lists and
+    maps as JSON; null is empty.  ``kind`` is the column's type name."""
+    if kind.startswith(("array", "map", "struct")):
+        return F.coalesce(F.to_json(x), F.lit(""))
+    return F.coalesce(F.initcap(x.cast("string")) if kind == "boolean" else x.cast("string"), F.lit(""))
+
+
+def encode_map(x: Column) -> Column:
+    """A map of strings as JSON with its keys in order; null is ``{}``."""
+    entries = F.map_from_entries(F.array_sort(F.map_entries(x)))
+    return F.coalesce(F.to_json(entries), F.lit("{}"))
+
+
+def graph_key(split: Column, question_id: Column) -> Column:
+    """Key of a question's own graph: other than letters, digits and ``_`` become ``_``."""
+    return F.concat(F.lit("lme_"), F.regexp_replace(F.concat(split, F.lit("_"), question_id), "[^A-Za-z0-9_]+", "_"))
+
+
+# What counts as true and as false in a query string.
+TRUE_WORDS, FALSE_WORDS = ["1", "true", "yes", "on"], ["0", "false", "no", "off", "null", "none", ""]
+
+
+def coerce(x: Column, kind: str) -> Column:
+    """A query-string value as the JSON type its schema declares, itself JSON:
+    what cannot be read stays a string, and so does a value of another kind."""
+    as_text = F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    low = F.lower(F.trim(x))
+    if kind == "integer":
+        return F.coalesce(F.when(F.trim(x).rlike(r"^[+-]?\d+$"), F.trim(x).try_cast("decimal(38,0)").cast("string")), as_text)
+    if kind == "number":
+        return F.coalesce(F.trim(x).try_cast("double").cast("string"), as_text)
+    if kind == "boolean":
+        return F.when(low.isin(TRUE_WORDS), "true").when(low.isin(FALSE_WORDS), "false").otherwise("true")
+    if kind in ("array", "object"):
+        body = F.trim(x)
+        read = F.when(body.startswith("[") | body.startswith("{"), F.coalesce(F.try_parse_json(body).cast("string"), as_text))
+        parts = F.to_json(F.filter(F.split(x, ","), lambda p: p != "")) if kind == "array" else F.lit("{}")
+        return F.coalesce(read, parts)
+    return as_text
+
+
+# Names of model families, and what a model's name holds.
+MODEL_FAMILIES = {
+    "anthropic": ["claude", "anthropic", "sonnet", "opus", "haiku", "fable"],
+    "openai": ["gpt-", "gpt4", "gpt3", "o1-", "o3-", "o4-", "openai", "davinci", "chatgpt"],
+    "google": ["gemini", "palm", "bison", "gemma"], "meta": ["llama"], "mistral": ["mistral", "mixtral", "magistral"],
+    "nvidia": ["nemotron"], "qwen": ["qwen"], "deepseek": ["deepseek"], "cohere": ["command-r", "cohere"],
+}
+
+
+def model_family(model: Column) -> Column:
+    """The first family a model's name points to, else ``unknown:`` and the name."""
+    name = F.lower(F.coalesce(model, F.lit("")))
+    held = [(family, [F.contains(name, F.lit(n)) for n in needles]) for family, needles in MODEL_FAMILIES.items()]
+    out = F.concat(F.lit("unknown:"), name)
+    for family, found in reversed(held):
+        out = F.when(F.array_contains(F.array(*found), True), family).otherwise(out)
+    return out
+
+
+def fill_template(template: Column, values: list[tuple[str, Column]]) -> Column:
+    """``{name}`` of each value replaced by it, one after the other, in a text
+    that may hold other braces."""
+    out = template
+    for name, value in values:
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
+    return out
+
+
+def lag_us(arrived_us: Column, origin_us: Column) -> Column:
+    """Microseconds between a record's origin and its place in the log."""
+    return arrived_us - origin_us

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from engram.operators.steps import join_split, spent, written
 
 
 def near_in_time(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, width: int) -> DataFrame:
@@ -23,7 +25,7 @@ def coedit_pairs(edits: DataFrame, width: int | None) -> DataFrame:
     b = edits.select("page", F.col("actor").alias("b"), F.col("ts_us").alias("tb"))
     if width is None:
         a, b = a.select("page", "a").distinct(), b.select("page", "b").distinct()
-        return a.join(b, "page").where("a < b")
+        return join_split(a, b, ["page"]).where("a < b")
     return near_in_time(a, b, ["page"], "ta", "tb", width).where("a < b")
 
 
@@ -56,6 +58,10 @@ def rings(edits: DataFrame, width: int, since: int | None = None, until: int | N
     two = e.select("page", F.col("actor").alias("end"), F.col("ts_us").alias("te"))
     pairs = near_in_time(one, two, ["page"], "tm", "te", width).where("mid <> end")
     pairs = pairs.select("mid", "end", "page", F.least("tm", "te").alias("low"), F.greatest("tm", "te").alias("high")).distinct()
+    # only a middle actor that meets others on two pages at least can be in a ring
+    pairs = written(pairs, "meetings")
+    wide = pairs.groupBy("mid").agg(F.min("page").alias("p"), F.max("page").alias("q"), F.min("end").alias("e"), F.max("end").alias("f")).where("p < q and e < f")
+    pairs = pairs.join(wide.select("mid"), "mid", "left_semi")
     left = pairs.select("mid", F.col("end").alias("a"), F.col("page").alias("x"), F.col("low").alias("l1"), F.col("high").alias("h1"))
     right = pairs.select("mid", F.col("end").alias("c"), F.col("page").alias("y"), F.col("low").alias("l2"), F.col("high").alias("h2"))
     span = F.greatest("h1", "h2") - F.least("l1", "l2")
@@ -82,62 +88,69 @@ def ablation(history: DataFrame, event: DataFrame, width: int) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/engram")
-    return df.checkpoint()
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): smallest node reachable, over undirected edges."""
     both = edges.select(F.col(a).alias("s"), F.col(b).alias("d")).union(edges.select(F.col(b), F.col(a))).distinct()
-    both = _cut(both)
-    labels = _cut(both.groupBy(F.col("s").alias("node")).agg(F.least(F.min("d"), F.min("s")).alias("component")))
+    both = written(both, "edges")
+    labels = written(both.groupBy(F.col("s").alias("node")).agg(F.least(F.min("d"), F.min("s")).alias("next")).withColumn("component", F.col("next")), "labels")
     while True:
-        heard = both.join(labels.withColumnRenamed("node", "s"), "s").groupBy(F.col("d").alias("node")).agg(F.min("component").alias("other"))
-        up = labels.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        step = labels.join(heard, "node").withColumn("next", F.least("component", "other")).drop("other")
-        step = step.join(up.withColumnRenamed("component", "next"), "next", "left").select("node", "component", F.least("next", "up").alias("next"))
-        step = _cut(step)
-        labels = step.select("node", F.col("next").alias("component"))
-        if step.where("next <> component").isEmpty():
-            return labels
-
-
-def pagerank(edges: DataFrame, nodes: DataFrame, n_total: int, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, score) after ``rounds`` unweighted steps over directed edges
-    (a, b); ``n_total`` nodes share the mass, those outside ``nodes`` too.
+        known = labels.select("node", F.col("next").alias("component"))
+        heard = both.join(known.withColumnRenamed("node", "s"), "s").groupBy(F.col("d").alias("node")).agg(F.min("component").alias("other"))
+        up = known.select(F.col("node").alias("next"), F.col("component").alias("up"))
+        step = known.join(heard, "node").withColumn("next", F.least("component", "other")).drop("other")
+        step = written(step.join(up, "next", "left").select("node", "component", F.least("next", "up").alias("next")), "labels")
+        spent(labels)
+        labels = step
+        if labels.where("next <> component").isEmpty():
+            spent(both)
+            return labels.select("node", F.col("next").alias("component"))
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, n_total: int, tolerance: float = 1e-7, most: int = 500, damping: float = 0.85) -> DataFrame:
+    """(node, score) by unweighted steps over directed edges (a, b), until a step
+    moves less than ``tolerance`` in all; ``n_total`` nodes share the mass,
+    those outside ``nodes`` too.  More than ``most`` steps raise.
 
     Outside nodes have no edges, so all of them hold one common score, kept
-    beside the table as a column.
+    beside the table.  A step is one written table and one row of sums, which
+    tells both what moved and what the next step's senders hold.
     """
     fan = edges.groupBy("a").agg(F.count("*").alias("fan"))
-    ways = _cut(edges.join(fan, "a").select("a", "b", "fan"))
-    known = nodes.count()
-    rank = _cut(nodes.select("node", F.lit(1.0 / n_total).alias("score")).join(fan.select(F.col("a").alias("node"), F.lit(True).alias("sends")), "node", "left"))
-    outside = 1.0 / n_total
-    for i in range(rounds):
-        loose = (rank.where("sends is null").agg(F.sum("score")).first()[0] or 0.0) + outside * (n_total - known)
-        base = (1 - damping) / n_total + damping * loose / n_total
+    ways = written(edges.join(fan, "a").select("a", "b", "fan"), "ways")
+    start = nodes.select("node", F.lit(1.0 / n_total).alias("score")).join(fan.select(F.col("a").alias("node"), F.lit(True).alias("sends")), "node", "left")
+    rank = written(start.withColumn("moved", F.lit(0.0)), "rank")
+    sums = [F.coalesce(F.sum(F.when(F.col("sends"), F.col("score"))), F.lit(0.0)).alias("sent"), F.sum("moved").alias("moved")]
+    held = rank.agg(*sums).first()
+    for _ in range(most):
+        base = (1 - damping) / n_total + damping * (1 - held["sent"]) / n_total
         sent = ways.join(rank.select(F.col("node").alias("a"), "score"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("score") / F.col("fan")).alias("got"))
-        rank = rank.join(sent, "node", "left").select("node", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("score"), "sends")
-        outside = base
-        if i % 2 == 1 or i + 1 == rounds:
-            rank = _cut(rank)
-    return rank.select("node", "score")
-
-
-def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label) after synchronous steps: the most frequent label among the
-    neighbours, the smallest on ties."""
-    both = _cut(edges.select(F.col("a").alias("s"), F.col("b").alias("d")).union(edges.select("b", "a")).distinct())
-    labels = both.select(F.col("s").alias("node")).distinct().withColumn("label", F.col("node"))
-    first = Window.partitionBy("node").orderBy(F.desc("n"), "label")
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "s"), "s").groupBy(F.col("d").alias("node"), "label").agg(F.count("*").alias("n"))
-        labels = _cut(votes.withColumn("r", F.row_number().over(first)).where("r = 1").select("node", "label"))
-    return labels
+        score = F.lit(base) + damping * F.coalesce("got", F.lit(0.0))
+        after = written(rank.join(sent, "node", "left").select("node", score.alias("score"), "sends", F.abs(score - F.col("score")).alias("moved")), "rank")
+        spent(rank)
+        rank, held = after, after.agg(*sums).first()
+        if (held["moved"] or 0.0) < tolerance:
+            spent(ways)
+            return rank.select("node", "score")
+    raise RuntimeError(f"ranks still move by {held['moved']} after {most} steps")
+
+
+def label_propagation(edges: DataFrame, most: int = 20) -> DataFrame:
+    """(node, label) by synchronous steps until none changes: the most frequent
+    label among the neighbours, the smallest on ties.  Where labels swing for
+    ever, as on bipartite parts, they are those after ``most`` steps."""
+    both = written(edges.select(F.col("a").alias("s"), F.col("b").alias("d")).union(edges.select("b", "a")).distinct(), "edges")
+    labels = written(both.select(F.col("s").alias("node")).distinct().select("node", F.col("node").alias("label"), F.lit(True).alias("moved")), "labels")
+    for _ in range(most):
+        votes = both.join(labels.select(F.col("node").alias("s"), "label"), "s").groupBy(F.col("d").alias("node"), "label").agg(F.count("*").alias("n"))
+        won = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("few"), "label")).alias("best"))
+        step = won.select("node", F.col("best.label").alias("label")).join(labels.select("node", F.col("label").alias("old")), "node")
+        step = written(step.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")
+        spent(labels)
+        labels = step
+        if labels.where("moved").isEmpty():
+            break
+    spent(both)
+    return labels.select("node", "label")
 
 
 def cells(labels: DataFrame, least: int = 2) -> DataFrame:
@@ -145,6 +158,15 @@ def cells(labels: DataFrame, least: int = 2) -> DataFrame:
     return labels.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= least)
 
 
+def cell_members(labels: DataFrame, least: int = 2) -> DataFrame:
+    """(component, size, place, node): the members of each cell in order, a row
+    each, so that a cell of any size stays rows."""
+    from engram.operators.steps import numbered
+
+    large = labels.join(cells(labels, least), "component")
+    return numbered(large, "component", ["node"], "place").select("component", "size", "place", "node")
+
+
 def supersede_pairs(claims: DataFrame) -> DataFrame:
     """(newer, older, relation) of neighbouring claims of a subject and
     predicate whose texts differ; of equal date: contradicts."""
@@ -157,31 +179,104 @@ def supersede_pairs(claims: DataFrame) -> DataFrame:
     return seen.where("older is not null and text <> old_text").select("newer", "older", relation.alias("relation"))
 
 
-def supersede_heads(pairs: DataFrame) -> DataFrame:
-    """(id, head, depth): where the chain of newer claims ends, by doubling.
+def supersede_heads(pairs: DataFrame, clocks: DataFrame) -> DataFrame:
+    """(id, head, depth, via): for each superseded id the end of its chain of
+    newer claims, the steps to it, and the first of them.
 
-    Where a claim has several newer ones the largest id leads on; each round
-    doubles the distance, so long chains need few.
+    Where chains fork the longest path wins, then the newest head, then the
+    smaller id.  ``clocks``: (id, clock); a missing clock counts as 0.  Ids on a
+    cycle, and those all of whose paths run into one, have no row.
+
+    Stretches without forks are jumped over by doubling, so a long chain costs
+    few rounds; forks are then settled from the heads down, each once.
     """
-    up = _cut(pairs.groupBy(F.col("older").alias("id")).agg(F.max("newer").alias("head")).withColumn("depth", F.lit(1).cast("long")))
+    ups = written(pairs.select(F.col("older").alias("id"), F.col("newer").alias("up")).distinct(), "ups")
+    newer = ups.groupBy("id").agg(F.count("*").alias("n"), F.min("up").alias("up"))
+    # stretches: one newer claim; anchor = the head or fork at their end
+    jump = written(newer.where("n = 1").select("id", F.col("up").alias("anchor"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")), "jumps")
+    longest = jump.count()
+    while not jump.where("moved").isEmpty():
+        ahead = jump.select(F.col("id").alias("anchor"), F.col("anchor").alias("far"), F.col("steps").alias("more"))
+        step = jump.join(ahead, "anchor", "left").select("id", F.coalesce("far", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved"))
+        # more steps than there are claims: on a cycle, or led into one
+        after = written(step.where(F.col("steps") <= longest), "jumps")
+        spent(jump)
+        jump = after
+    lost = jump.select("id", "anchor", "steps")
+    # an anchor must be a head or a fork; what ends elsewhere ended at a cycle
+    single = newer.where("n = 1").select(F.col("id").alias("anchor"))
+    lost = lost.join(single, "anchor", "left_anti")
+    heads = ups.select(F.col("up").alias("id")).distinct().join(newer.select("id"), "id", "left_anti")
+    zero = F.lit(0).cast("long")
+    best = heads.join(clocks.select("id", "clock"), "id", "left").select("id", F.col("id").alias("head"), F.coalesce(F.col("clock").cast("long"), zero).alias("clock"), zero.alias("depth"), F.lit(None).cast(dict(ups.dtypes)["up"]).alias("via"))
+    done = written(best, "settled")
+    ways = ups.join(newer.where("n > 1").select("id"), "id", "left_semi").join(lost.select(F.col("id").alias("up"), "anchor", "steps"), "up", "left")
+    ways = ways.join(single.select(F.col("anchor").alias("up"), F.lit(True).alias("goes_on")), "up", "left").where("goes_on is null or anchor is not null")
+    ways = written(ways.select("id", F.col("up").alias("via"), F.coalesce("anchor", "up").alias("anchor"), (F.coalesce("steps", zero) + 1).alias("steps")), "forks")
     while True:
-        further = up.select(F.col("id").alias("head"), F.col("head").alias("top"), F.col("depth").alias("more"))
-        step = up.join(further, "head", "left").select("id", F.coalesce("top", "head").alias("head"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("top").isNotNull().alias("moved"))
-        step = _cut(step)
-        up = step.drop("moved")
-        if step.where("moved").isEmpty():
-            return up
+        known = done.select(F.col("id").alias("anchor"), "head", "clock", "depth")
+        left = ways.join(done.select("id"), "id", "left_anti").join(known, "anchor", "left")
+        order = F.struct((-(F.col("depth") + F.col("steps"))).alias("far"), (-F.col("clock")).alias("old"), "head", "via", "clock")
+        ready = left.groupBy("id").agg(F.count("*").alias("n"), F.count("head").alias("k"), F.min(F.when(F.col("head").isNotNull(), order)).alias("b")).where("n = k")
+        settled = written(ready.select("id", "b.head", "b.clock", (-F.col("b.far")).alias("depth"), "b.via"), "settled")
+        if settled.isEmpty():
+            break
+        after = written(done.unionByName(settled), "settled")
+        spent(done)
+        done = after
+    first = newer.where("n = 1").select("id", F.col("up").alias("via"))
+    plain = lost.join(done.select(F.col("id").alias("anchor"), "head", "depth"), "anchor").join(first, "id")
+    plain = plain.select("id", "head", (F.col("depth") + F.col("steps")).alias("depth"), "via")
+    return done.where("via is not null").select("id", "head", "depth", "via").unionByName(plain)
+
+
+def lineage(hits: DataFrame, heads: DataFrame, most: int | None = None) -> DataFrame:
+    """(id, step, node): of each hit the claims from itself (step 0) up to its
+    head along ``via``, or its first ``most`` steps.  A hit without a newer
+    claim has its own row only."""
+    front = written(hits.select("id").distinct().select("id", F.lit(0).cast("long").alias("step"), F.col("id").alias("node")), "lineage")
+    found, up = [front], heads.select(F.col("id").alias("node"), "via")
+    while most is None or len(found) <= most:
+        last = found[-1]
+        step = written(last.join(up, "node").select("id", (F.col("step") + 1).alias("step"), F.col("via").alias("node")), "lineage")
+        if step.isEmpty():
+            break
+        found.append(step)
+    out = found[0]
+    for step in found[1:]:
+        out = out.unionByName(step)
+    return out
 
 
 def reaches(edges: DataFrame, proposals: DataFrame) -> DataFrame:
     """Of the proposed (src, dst) edges those that would close a cycle: dst
-    already reaches src, or both are one.  Ends when no new node is reached."""
-    step = edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct()
-    found = _cut(proposals.select("src", "dst", F.col("dst").alias("at")).distinct())
+    already reaches src, or both are one.
+
+    All cycles lie in what is left of edges and proposals when those that
+    nothing leads to, or that lead nowhere, are taken off again and again; only
+    there is it searched from each proposal, so an acyclic graph costs no search.
+    """
+    wanted = proposals.select("src", "dst").distinct()
+    every = edges.select("src", "dst").union(wanted).where("src <> dst").distinct()
+    core = written(every, "core")
+    n = core.count()
+    while n:
+        kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        after = written(kept.select("src", "dst"), "core")
+        spent(core)
+        core, before, n = after, n, after.count()
+        if n == before:
+            break
+    loops = wanted.where("src = dst")
+    if not n:
+        return loops
+    held = edges.select("src", "dst").distinct().join(core, ["src", "dst"], "left_semi")
+    step = written(held.select(F.col("src").alias("from"), F.col("dst").alias("to")), "held")
+    found = written(wanted.join(core, ["src", "dst"], "left_semi").select("src", "dst", F.col("dst").alias("at")), "reached")
     front = found
     while True:
         front = front.join(step, front["at"] == step["from"]).select("src", "dst", F.col("to").alias("at")).distinct().join(found, ["src", "dst", "at"], "left_anti")
-        front = _cut(front)
+        front = written(front, "front")
         if front.isEmpty():
-            return found.where("at = src").select("src", "dst").distinct()
-        found = _cut(found.union(front))
+            return found.where("at = src").select("src", "dst").distinct().union(loops)
+        found = written(found.union(front), "reached")

@@ -8,6 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from engram.functions.columns import encode_map, snippet, stable_id
+from engram.functions.embed import embed
+
 STATUS_OPEN, STATUS_SUPERSEDED = "open", "superseded"
 
 
@@ -106,14 +109,15 @@ def bucket_digests(rows: DataFrame, columns: list[str], buckets: int = 4096) ->
 
 
 def seek(log: DataFrame, limit: int, offset: int | None = None, since_us: int | None = None) -> DataFrame:
-    """At most ``limit`` records of each partition from an offset or a time on."""
+    """At most ``limit`` records of each partition from an offset or a time on,
+    in order of time, partition and offset."""
     wanted = log
     if offset is not None:
         wanted = wanted.where(F.col("off") >= offset)
     if since_us is not None:
         wanted = wanted.where(F.col("ts_us") >= since_us)
     place = F.row_number().over(Window.partitionBy("part").orderBy("off"))
-    return wanted.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n")
+    return wanted.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n").orderBy("ts_us", "part", "off")
 
 
 def tail(log: DataFrame, limit: int, since_offset: int | None = None) -> DataFrame:
@@ -155,3 +159,87 @@ def mutation_counts(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
         F.count_if(F.col("old").isNull()).alias("created"), F.count_if(F.col("old").isNotNull() & F.col("new").isNotNull()).alias("matched"),
         F.count_if(F.col("new").isNull()).alias("kept"),
     )
+
+
+def upsert_event_graph(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of all edits in log order: an Event, its Actor, Page and
+    Case, and the edges actor EDITED event, event ON page, case IMPLICATES event.
+
+    ``edits``: (event_id, actor, page, ts_us, case_id, author).  A node keeps
+    the author of its first writer and the clock of its last.
+    """
+    at = F.struct("ts_us", "event_id")
+    named = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
+    kinds = [("Event", "event_id"), ("Actor", "actor"), ("Page", "page"), ("Case", "case_id")]
+    nodes = edits.select(F.explode(F.array(*(F.struct(named(k, c).alias("id"), F.lit(k).alias("label")) for k, c in kinds))).alias("n"), "author", "ts_us", at.alias("at"))
+    nodes = nodes.where("n.id is not null").groupBy("n.id", "n.label").agg(F.min_by("author", "at").alias("author"), F.max("ts_us").alias("clock"))
+    ends = [("Actor", "actor", "EDITED", "Event", "event_id"), ("Event", "event_id", "ON", "Page", "page"), ("Case", "case_id", "IMPLICATES", "Event", "event_id")]
+    made = F.array(*(F.struct(named(k, a).alias("src"), F.lit(r).alias("relation"), named(m, b).alias("dst")) for k, a, r, m, b in ends))
+    edges = edits.select(F.explode(made).alias("e")).select("e.*").where("src is not null and dst is not null").distinct()
+    return nodes, edges
+
+
+def remember(stored: DataFrame, rows: DataFrame, nearest: DataFrame | None = None, threshold: float = 0.15) -> DataFrame:
+    """``stored`` after an upsert of typed nodes (label, block_type, text, tags,
+    metadata, author, ts_us): an id is the hash of label, type and text, so
+    what is remembered twice is one node; metadata becomes JSON.
+
+    ``nearest``: (id, distance) of new nodes to the stored ones; those nearer
+    than ``threshold`` are left out (the gate is opt-in).
+    """
+    new = rows.withColumn("id", stable_id("blk", F.col("label"), F.col("block_type"), F.col("text")))
+    if nearest is not None:
+        new = new.join(nearest.where(F.col("distance") < threshold).select("id"), "id", "left_anti")
+    order = F.struct("ts_us", "author")
+    new = new.withColumn("metadata_json", encode_map(F.col("metadata"))).groupBy("id").agg(
+        F.first("label").alias("label"), F.first("block_type").alias("block_type"), F.first("text").alias("text"),
+        *(F.max_by(c, order).alias(c) for c in ("tags", "metadata_json", "author")),
+        F.min("ts_us").alias("created_us"), F.max("ts_us").alias("updated_us"),
+    )
+    return merge_nodes(stored, new.select(*stored.columns), "id", ["created_us"])
+
+
+def link_case(cases: DataFrame, edges: DataFrame, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cases, edges) after linking (case_id, id, why, ts_us): a missing case is
+    opened at its first link, nodes must exist, the last reason stands."""
+    ok = links.join(nodes.select("id").distinct(), "id", "left_semi")
+    opened = ok.groupBy(F.col("case_id").alias("id")).agg(F.lit("open").alias("status"), F.min("ts_us").alias("opened_us"))
+    made = ok.groupBy(F.col("case_id").alias("src"), F.lit("IMPLICATES").alias("relation"), F.col("id").alias("dst")).agg(
+        F.coalesce(F.max_by("why", "ts_us"), F.lit("remember")).alias("why")
+    )
+    kept = edges.join(made.select("src", "relation", "dst"), ["src", "relation", "dst"], "left_anti")
+    return merge_nodes(cases, opened, "id", ["status", "opened_us"]), kept.unionByName(made)
+
+
+def project_edges(edges: DataFrame) -> DataFrame:
+    """(relation, type, src, dest): an edge's own relation, else its type, else RELATES."""
+    relation = F.coalesce(F.nullif("relation", F.lit("")), F.nullif("type", F.lit("")), F.lit("RELATES"))
+    return edges.select(relation.alias("relation"), F.coalesce(F.nullif("type", F.lit("")), relation).alias("type"), "src", F.col("dst").alias("dest"))
+
+
+def project_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes without their embedding, with a ``snippet``: the first of ``keys``
+    that is not blank, 180 characters of it, else the id."""
+    return nodes.drop("embedding").withColumn("snippet", snippet(*keys, "id"))
+
+
+def project_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path_id, ids, labels) of (path_id, place, id) rows: a path's nodes in order."""
+    held = paths.join(nodes.select("id", "label"), "id").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "label"))).alias("n"))
+    return held.select("path_id", F.col("n.id").alias("ids"), F.col("n.label").alias("labels"))
+
+
+def write_artifacts(folder: str, **tables: DataFrame) -> None:
+    """Each table as JSON lines in a folder of its name, replacing what is there."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{folder}/{name}")
+
+
+def embedded(texts: DataFrame, cache: DataFrame, kind: str, dim: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(texts with ``embedding``, rows to add to the cache): a text is embedded
+    once; ``cache`` is (cache_key, embedding), keyed by kind, width and text."""
+    key = F.sha2(F.concat_ws("|", F.lit(kind), F.lit(str(dim)), F.coalesce("text", F.lit(""))), 256)
+    keyed = texts.withColumn("cache_key", key)
+    missing = keyed.select("cache_key", "text").dropDuplicates(["cache_key"]).join(cache.select("cache_key"), "cache_key", "left_anti")
+    made = missing.select("cache_key", embed(F.col("text"), kind, dim).alias("embedding"))
+    return keyed.join(cache.select("cache_key", "embedding").unionByName(made), "cache_key").drop("cache_key"), made

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from engram.functions.columns import model_family, round_half_even
 
 
 def micro_macro(judged: DataFrame) -> DataFrame:
@@ -62,8 +64,6 @@ def violations(rows: DataFrame, expected: int, budget: int) -> DataFrame:
 
 def stratified_allocation(counts: DataFrame, total: int) -> DataFrame:
     """(stratum, take): proportional shares by largest remainder."""
-    from pyspark.sql import Window
-
     everything = Window.partitionBy()
     share = F.col("n") * total / F.sum("n").over(everything)
     floored = counts.withColumn("base", F.floor(share)).withColumn("part", F.round(share - F.floor(share), 9))
@@ -72,12 +72,12 @@ def stratified_allocation(counts: DataFrame, total: int) -> DataFrame:
     return floored.withColumn("take", F.col("base") + (place <= rest).cast("long")).select("stratum", "n", "take")
 
 
-def writer_stats(rows: DataFrame, key: str) -> DataFrame:
-    """(key, seen, admitted, rejected_pct) of rows with an ``admitted`` flag."""
-    rejected = F.count_if(~F.col("admitted"))
-    return rows.groupBy(key).agg(
-        F.count("*").alias("seen"), F.count_if("admitted").alias("admitted"), F.bround(F.lit(100.0) * rejected / F.count("*"), 1).alias("rejected_pct")
-    )
+def writer_stats(rows: DataFrame, key: str, places: int | None = 1) -> DataFrame:
+    """(key, seen, admitted, rejected_pct) of rows with an ``admitted`` flag; the
+    percentage with ``places`` digits after the point, or all."""
+    share = F.lit(100.0) * F.count_if(~F.col("admitted")) / F.count("*")
+    out = rows.groupBy(key).agg(F.count("*").alias("seen"), F.count_if("admitted").alias("admitted"), share.alias("rejected_pct"))
+    return out if places is None else out.withColumn("rejected_pct", round_half_even(F.col("rejected_pct"), places))
 
 
 def accuracy_table(judged: DataFrame) -> DataFrame:
@@ -104,3 +104,92 @@ def stray_metrics(metrics: DataFrame, spaces: tuple[str, ...] = ("qa.", "retriev
     for s in spaces:
         inside = inside | F.startswith(F.col("name"), F.lit(s))
     return metrics.where(~F.coalesce(inside, F.lit(False)))
+
+
+def by_bucket(judged: DataFrame, types: list[str]) -> DataFrame:
+    """(table, place, bucket, n, accuracy): the official types in their declared
+    order, and a clean table in which abstentions are a bucket of their own."""
+    order = F.array_position(F.array(*map(F.lit, types)), F.col("bucket"))
+    own = judged.select(F.lit("official").alias("table"), F.col("question_type").alias("bucket"), "label")
+    clean = judged.select(F.lit("clean"), F.when(F.col("is_abstention"), "abstention").otherwise(F.col("question_type")), "label")
+    found = own.union(clean).groupBy("table", "bucket").agg(F.count("*").alias("n"), F.avg(F.col("label").cast("double")).alias("accuracy"))
+    by_name = F.row_number().over(Window.partitionBy("table").orderBy("bucket"))
+    return found.where((F.col("table") == "clean") | (order > 0)).withColumn("place", F.when(F.col("table") == "official", order).otherwise(by_name)).select("table", "place", "bucket", "n", "accuracy")
+
+
+def family_accuracy(votes: DataFrame) -> DataFrame:
+    """(family, n, accuracy) of (id, family, vote): a family's majority an id,
+    undecided ones counted as false; no rows for an empty panel."""
+    per = votes.groupBy("id", "family").agg(F.count_if(F.col("vote") == F.lit(True)).alias("yes"), F.count_if(F.col("vote") == F.lit(False)).alias("no"), F.count("*").alias("all"))
+    right = ((F.col("all") - F.col("yes") - F.col("no")) * 2 < F.col("all")) & (F.col("yes") > F.col("no"))
+    return per.groupBy("family").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+
+
+def stratified_sample(rows: DataFrame, allocation: DataFrame, id_col: str, stratum: str, seed: int) -> DataFrame:
+    """(id, stratum): of each stratum the ``take`` rows with the smallest hash of
+    seed and id, so the sample depends on neither order nor partitions."""
+    drawn = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    order = Window.partitionBy(stratum).orderBy("_draw", id_col)
+    placed = rows.select(id_col, stratum, drawn.alias("_draw")).withColumn("_n", F.row_number().over(order))
+    most = allocation.agg(F.max("take")).first()[0] or 0  # a bound for all strata lets Spark cut rows before the shuffle
+    wanted = allocation.select(F.col("stratum").alias(stratum), "take")
+    return placed.where(F.col("_n") <= most).join(wanted, stratum).where(F.col("_n") <= F.col("take")).select(id_col, stratum)
+
+
+def family_clashes(panels: DataFrame, least: int = 3) -> DataFrame:
+    """(panel_id, found) of (panel_id, reader, judges): a judge of the reader's
+    family, a model of no known family, or a panel of fewer than ``least`` families."""
+    families = F.transform("judges", model_family)
+    reader = model_family(F.col("reader"))
+    unknown = F.exists(families, lambda f: f.startswith("unknown:")) | reader.startswith("unknown:")
+    found = F.array_compact(F.array(
+        F.when(F.array_contains(families, reader), "same family"), F.when(unknown, "unknown family"), F.when(F.size(F.array_distinct(families)) < least, "too few families")
+    ))
+    return panels.select("panel_id", F.explode(found).alias("found"))
+
+
+def unhashed(configs: DataFrame, required: list[str]) -> DataFrame:
+    """(config_id, missing): required inputs that a configuration's hash leaves out."""
+    missing = F.array_except(F.array(*map(F.lit, required)), F.col("hashed"))
+    return configs.select("config_id", F.explode(missing).alias("missing"))
+
+
+# Fixed value: the accuracy from which labels' own noise explains a number.
+NOISE_FLOOR = 0.96
+
+
+def noise_notes(metrics: DataFrame) -> DataFrame:
+    """(name, value): accuracies at or past the noise floor of the labels."""
+    return metrics.where(F.col("value") >= NOISE_FLOOR)
+
+
+def summed_deltas(deltas: DataFrame, composed: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(arm, summed, composed): arms whose levers' deltas do not add up to the
+    delta measured for all of them, so that only the latter may be quoted."""
+    summed = deltas.groupBy("arm").agg(F.sum("delta").alias("summed"))
+    return composed.join(summed, "arm").where(F.abs(F.col("summed") - F.col("composed")) > tolerance).select("arm", "summed", "composed")
+
+
+def gold_reads(features: DataFrame, gold: list[str]) -> DataFrame:
+    """(router, field): gold fields among the features that a router reads."""
+    return features.where(F.col("field").isin(gold)).select("router", "field").distinct()
+
+
+def gate_failures(gates: DataFrame) -> DataFrame:
+    """(gate): gates that let a sabotaged arm pass, or that were never shown one."""
+    shown = gates.groupBy("gate").agg(F.count_if("sabotaged").alias("n"), F.count_if(F.col("sabotaged") & F.col("passed")).alias("let"))
+    return shown.where("n = 0 or let > 0").select("gate")
+
+
+def combine_metrics(*tables: DataFrame) -> DataFrame:
+    """(name, value) rows of all tables, each name once; a name with two values
+    raises when the rows are read, as does accuracy without micro and macro."""
+    both = tables[0].select("name", "value")
+    for t in tables[1:]:
+        both = both.unionByName(t.select("name", "value"))
+    one = both.groupBy("name").agg(F.min("value").alias("value"), F.max("value").alias("_high"))
+    same = F.assert_true(F.col("value").eqNullSafe(F.col("_high")), F.concat(F.lit("differing values of "), "name"))
+    halves = one.agg(F.max(F.contains("name", F.lit(".micro"))).alias("_mi"), F.max(F.contains("name", F.lit(".macro"))).alias("_ma"))
+    whole = F.assert_true(~F.col("name").startswith("qa.") | (F.col("_mi") & F.col("_ma")), F.lit("micro and macro must both be there"))
+    checked = one.crossJoin(F.broadcast(halves))  # one row
+    return checked.where(same.isNull() & whole.isNull()).select("name", "value")

@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from engram.functions.columns import cosine_distance
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+#: Vectors and queries that meet in one task.
+VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
+
+
+def _block_best(table: pa.Table, k: int) -> pa.Table:
+    """The k nearest vectors of a block for each query of a block."""
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    ids = np.array(table.column("id").to_pylist())
+    q_ids, v_ids = ids[asks], ids[~asks]
+    if not len(q_ids) or not len(v_ids):
+        return table.slice(0, 0).select(["id"]).append_column("vec_id", table.slice(0, 0).column("id")).append_column("distance", pa.array([], pa.float64())).rename_columns(["query_id", "vec_id", "distance"])
+    x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        distance = 1 - unit[asks] @ unit[~asks].T
+    distance[q_ids[:, None] == v_ids[None, :]] = np.inf
+    distance = np.round(distance, 9)
+    some = min(k, len(v_ids))
+    # the k-th smallest of each query; ties at it stay, the ids decide among all blocks
+    kth = np.partition(distance, some - 1, axis=1)[:, some - 1]
+    a, b = np.nonzero((distance <= kth[:, None]) & (distance < np.inf))
+    kind = table.schema.field("id").type
+    return pa.table({"query_id": pa.array(q_ids[a].tolist(), kind), "vec_id": pa.array(v_ids[b].tolist(), kind), "distance": pa.array(distance[a, b], pa.float64())})
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, distance, rank): exact cosine neighbours of a stated
-    set of queries among all vectors.
+    set of queries among all vectors of their width, a query's own id left out.
 
-    Queries are sent out in blocks of about ``block``, so what a task holds
-    does not grow with their number; each task keeps its own best k first.
+    Blocks of queries meet blocks of vectors, one matrix product each; what a
+    task holds is bounded, and of each pair of blocks k rows a query go on.
     """
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks = max(1, -(-queries.count() // block))
+    v_blocks, q_blocks = (max(1, -(-t.count() // n)) for t, n in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
+
+    def dealt(df: DataFrame, asks: bool) -> DataFrame:
+        own, other = (q_blocks, v_blocks) if asks else (v_blocks, q_blocks)
+        mine, theirs = F.pmod(F.xxhash64("vec_id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        rows = df.where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("width"), F.lit(asks).alias("asks"), mine.alias("mine"), theirs.alias("theirs"))
+        qb, vb = ("mine", "theirs") if asks else ("theirs", "mine")
+        return rows.select("id", "v", "width", "asks", F.col(qb).cast("int").alias("qb"), F.col(vb).cast("int").alias("vb"))
+
+    kind = dict(vectors.dtypes)["vec_id"]
+    schema = f"query_id {kind}, vec_id {kind}, distance double"
+    best = dealt(queries, True).union(dealt(vectors, False)).groupBy("width", "qb", "vb").applyInArrow(lambda t: _block_best(t, k), schema)
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    best = []
-    for i in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else asked
-        pairs = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "vec_id", F.round(cosine_distance(F.col("q"), F.col("embedding")), 9).alias("distance"))
-        best.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, best)
-
-
-def term_hits(docs: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, hits, rank): documents by the number of a query's terms they hold."""
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), " "))).alias("term"))
-    found = words.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def term_hits(docs: DataFrame, terms: DataFrame, k: int | None) -> DataFrame:
+    """(query_id, doc_id, hits, held, rank): documents by the number of a query's
+    terms they hold; ``held`` is the number of distinct words of a document."""
+    every = F.array_distinct(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), " "))
+    words = docs.select("doc_id", every.alias("every")).select("doc_id", F.size("every").alias("held"), F.explode("every").alias("term"))
+    found = words.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.first("held").alias("held"))
     order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def fuse_ranks(lists: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
@@ -87,19 +118,33 @@ def temporal_window(claims: DataFrame, low: int | None, high: int | None, k: int
     return wanted.orderBy("valid_us", "id").limit(k)
 
 
+# Patterns of a question's features.
+TEMPORAL = (
+    r"\b(when|how long|how many (?:days|weeks|months|years|hours)|before|after|since|until|earlier|later|first|last|latest|most recent|recently|ago|during|between|"
+    r"january|february|march|april|may|june|july|august|september|october|november|december|yesterday|today|tomorrow|week|month|year|date|time)\b"
+)
+EXPLICIT_DATE = r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\b\d{4}\b)"
+PREFERENCE = (
+    r"\b(prefer|preference|recommend|recommendation|suggest|should i|would i (?:like|enjoy|prefer)|favorite|favourite|like better|best (?:for|option|choice)|"
+    r"pick|choose|advice|what would (?:i|you) (?:want|like|enjoy)|tailor|personali[sz]ed)\b"
+)
+SUPERLATIVE = r"\b(most|least|best|worst|biggest|smallest|highest|lowest|top)\b"
+UPDATE = r"\b(now|currently|these days|still|any ?more|changed|switch(?:ed)?|new|latest|updated|no longer|instead)\b"
+# Fields of the gold answer, which no feature may be named after.
+GOLD_FIELDS = ["question_type", "answer", "answer_session_ids", "has_answer", "gold", "gold_session_ids", "is_abstention"]
+
+
 def route(question: Column) -> dict[str, Column]:
-    """Features of a question's text alone."""
-    def has(pattern: str) -> Column:
-        return question.rlike(f"(?i){pattern}")
-
-    return {
-        "is_temporal": has(r"\b(when|before|after|since|until|first|last|date|year|month|day)\b"),
-        "is_counting": has(r"\b(how many|how much|number of|count|total)\b"),
-        "is_update": has(r"\b(now|current|currently|latest|still|anymore|changed)\b"),
-        "is_preference": has(r"\b(prefer|favou?rite|recommend|suggest|like)\b"),
-        "is_assistant": has(r"\b(you|your|assistant)\b"),
-        "n_tokens": F.size(F.split(F.trim(question), r"\s+")).cast("long"),
+    """Features of a question's text alone; a null text counts as empty."""
+    text = F.coalesce(question, F.lit(""))
+    found = {
+        name: text.rlike(f"(?i){pattern}")
+        for name, pattern in (("temporal", TEMPORAL), ("has_explicit_date", EXPLICIT_DATE), ("preference", PREFERENCE), ("superlative", SUPERLATIVE), ("update", UPDATE))
     }
+    found["n_tokens"] = F.regexp_count(text, F.lit(r"\S+")).cast("long")
+    if leaked := [name for name in found if name in GOLD_FIELDS]:
+        raise ValueError(f"a router may not read {leaked}")
+    return found
 
 
 def recall_of_first(rows: DataFrame, group: str, order: str, gold: str, k: int) -> DataFrame:

@@ -17,7 +17,8 @@ ORACLE_SQL: dict[str, str] = {}
 
 SECOND = 1_000_000
 HOUR = 3600 * SECOND
-PR_ROUNDS = 12
+#: Steps of the SQL; by then nothing moves in the digits compared.
+PR_ROUNDS = 60
 
 EDITS = """edits as (
   select event_id, cast(user_id as varchar) as actor, json_extract_string(props, '$.k') as page, epoch_us(ts) as ts_us,
@@ -56,11 +57,11 @@ def coedit_sql(width: int) -> str:
     from edits a join edits b on a.page = b.page and a.actor < b.actor and abs(a.ts_us - b.ts_us) <= {width} group by 1, 2"""
 
 
-def ring_sql(width: int, anchor: str | None = None) -> str:
+def ring_sql(width: int, anchor: str | None = None, only: str = "true") -> str:
     held = f"and '{anchor}' in (p.e, p.m, q.e)" if anchor else ""
-    return f"""with {EDITS}, pairs as (
+    return f"""with {EDITS}, chosen as (select * from edits where {only}), pairs as (
       select distinct a.actor as m, b.actor as e, a.page as page, least(a.ts_us, b.ts_us) as low, greatest(a.ts_us, b.ts_us) as high
-      from edits a join edits b on a.page = b.page and a.actor <> b.actor and abs(a.ts_us - b.ts_us) <= {width}),
+      from chosen a join chosen b on a.page = b.page and a.actor <> b.actor and abs(a.ts_us - b.ts_us) <= {width}),
     paths as (
       select array_to_string(list_sort([p.e, p.m, q.e]), '|') as actors, array_to_string(list_sort([p.page, q.page]), '|') as pages,
              greatest(p.high, q.high) - least(p.low, q.low) as span_us
@@ -152,7 +153,7 @@ def _pagerank_sql() -> str:
     nodes as materialized (select 'a' || actor as node from (select distinct actor from edits) where false union select actor from edits union select 'page ' || page from edits),
     total as (select count(*)::double as n from nodes),
     r0 as materialized (select node, 1 / t.n as score from nodes cross join total t), {", ".join(steps)}
-    select node as actor, round(score, 9) as score from r{PR_ROUNDS} where node not like 'page %' order by round(score, 9) desc, node limit 10"""
+    select node as actor, round(score, 8) as score from r{PR_ROUNDS} where node not like 'page %' order by round(score, 8) desc, node limit 10"""
 
 
 @query(_pagerank_sql())
@@ -161,7 +162,7 @@ def pagerank_topk(spark, sf):
     links = G.coedit_pairs(e, HOUR).select("a", "b").distinct()
     actors = e.select(F.col("actor").alias("node")).distinct()
     n = actors.count() + e.select("page").distinct().count()
-    ranked = G.pagerank(links, actors, n, PR_ROUNDS).select(F.col("node").alias("actor"), F.round("score", 9).alias("score"))
+    ranked = G.pagerank(links, actors, n, 1e-10).select(F.col("node").alias("actor"), F.round("score", 8).alias("score"))
     return ranked.orderBy(F.desc("score"), "actor").limit(10)
 
 
@@ -177,7 +178,7 @@ def ringleader(spark, sf):
     links = G.coedit_pairs(e, HOUR).select("a", "b").distinct()
     actors = e.select(F.col("actor").alias("node")).distinct()
     n = actors.count() + e.select("page").distinct().count()
-    ranked = G.pagerank(links, actors, n, PR_ROUNDS)
+    ranked = G.pagerank(links, actors, n)
     mean = ranked.agg(F.avg("score").alias("mean"))
     first = ranked.orderBy(F.desc("score"), "node").limit(1).crossJoin(mean)
     labels = G.components(links)
@@ -271,12 +272,42 @@ def supersede_pairs(spark, sf):
     return G.supersede_pairs(S.claims(spark, sf))
 
 
-@query(f"""with recursive {CLAIMS}, {PAIRS}, walk as (
-  select older as id, newer as head, 1 as depth from spairs
-  union all select w.id, p.newer, w.depth + 1 from walk w join spairs p on p.older = w.head)
-select id, arg_max(head, depth) as head, cast(max(depth) as bigint) as depth from walk group by 1""")
+FORKED = """forked as (select newer, older from spairs union select id, before from (
+  select id, predicate, lag(id) over w as before, lag(predicate) over w as was from claims window w as (partition by subject order by valid_us, id))
+  where was = '1-URGENT' and predicate <> was)"""
+WALK = """walk as (
+  select older as id, newer as head, 1 as depth from forked
+  union all select w.id, p.newer, w.depth + 1 from walk w join forked p on p.older = w.head),
+heads as (select w.id, w.head, w.depth, row_number() over (partition by w.id order by w.depth desc, c.valid_us desc, w.head) as n
+  from walk w join claims c on c.id = w.head where w.head not in (select older from forked))"""
+
+
+def _forked(spark, sf):
+    """The recorded pairs, and claims of other predicates that follow an urgent
+    one: where both follow a claim its chain forks."""
+    c = S.claims(spark, sf)
+    by_subject = Window.partitionBy("subject").orderBy("valid_us", "id")
+    after = c.select(F.col("id").alias("newer"), F.lag("id").over(by_subject).alias("older"), "predicate", F.lag("predicate").over(by_subject).alias("was"))
+    after = after.where("was = '1-URGENT' and predicate <> was").select("newer", "older")
+    return G.supersede_pairs(c).select("newer", "older").union(after).distinct(), c.select("id", F.col("valid_us").alias("clock"))
+
+
+@query(f"with recursive {CLAIMS}, {PAIRS}, {FORKED}, {WALK} select id, head, cast(depth as bigint) as depth from heads where n = 1")
 def supersede_head(spark, sf):
-    return G.supersede_heads(G.supersede_pairs(S.claims(spark, sf)))
+    return G.supersede_heads(*_forked(spark, sf)).select("id", "head", "depth")
+
+
+@query(f"""with recursive {CLAIMS}, {PAIRS}, {FORKED}, {WALK}, best as (select id, head, depth from heads where n = 1),
+ups as (select f.older as id, f.newer as via, row_number() over (partition by f.older order by coalesce(b.depth, 0) desc, c.valid_us desc, coalesce(b.head, f.newer), f.newer) as n
+  from forked f left join best b on b.id = f.newer join claims c on c.id = coalesce(b.head, f.newer)),
+line as (select c_id as id, 0 as step, c_id as node from (select id as c_id from claims where cast(id as bigint) % 100 = 0)
+  union all select l.id, l.step + 1, u.via from line l join ups u on u.id = l.node and u.n = 1 where l.step < 6)
+select id, cast(step as bigint) as step, node from line""")
+def supersede_lineage(spark, sf):
+    """Six steps of the lineage of every hundredth claim."""
+    pairs, clocks = _forked(spark, sf)
+    hits = clocks.where(F.col("id").cast("long") % 100 == 0)
+    return G.lineage(hits, G.supersede_heads(pairs, clocks), 6)
 
 
 @query(f"""with recursive {CLAIMS}, {PAIRS}, walk as (
@@ -314,36 +345,39 @@ def knn_top10(spark, sf):
     return R.nearest(v.where("vec_id % 100 = 0"), v, 10)
 
 
-TERMS = """terms as (select distinct item_id as query_id, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' ')) as term from benchmark where item_id % 100 = 0),
+TERMS = """terms as (select distinct item_id as query_id, unnest(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2)[1:24]) as term
+  from benchmark where item_id % 100 = 0),
+asked as (select query_id, count(*) as asked from terms group by 1),
 words as (select distinct doc_id, unnest(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' ')) as term from documents),
+held as (select doc_id, count(*) as held from words group by 1),
 lexical as (select *, row_number() over (partition by query_id order by hits desc, doc_id) as rank from (
-  select query_id, doc_id, count(*) as hits from words join terms using (term) where length(term) > 2 group by 1, 2))"""
+  select query_id, doc_id, count(*) as hits from words join terms using (term) group by 1, 2))"""
 
 
-def _lexical(spark, sf, k):
+def _terms(spark, sf):
     b = S.table(spark, sf, "benchmark").where("item_id % 100 = 0")
-    terms = b.select(F.col("item_id").alias("query_id"), F.explode(C.search_terms(F.col("text"), 1_000_000)).alias("term"))
-    return R.term_hits(S.table(spark, sf, "documents"), terms, k)
+    return b.select(F.col("item_id").alias("query_id"), F.explode(C.search_terms(F.col("text"))).alias("term"))
 
 
 @query(f"with {TERMS} select query_id, doc_id, hits, cast(rank as int) as rank from lexical where rank <= 20")
 def lexical_search(spark, sf):
-    return _lexical(spark, sf, 20)
+    return R.term_hits(S.table(spark, sf, "documents"), _terms(spark, sf), 20).drop("held")
 
 
-@query(f"""with {TERMS}, lists as (
-  select query_id, doc_id as id, rank from lexical where rank <= 20
-  union all select query_id, id, row_number() over (partition by query_id order by n_chars desc, id) as rank from (
-    select l.query_id, l.doc_id as id, d.n_chars from lexical l join documents d using (doc_id) where l.rank <= 40)),
+@query(f"""with {TERMS}, near as (select query_id, doc_id as id, row_number() over (partition by query_id order by round(hits / (asked + held - hits), 12) desc, doc_id) as rank
+  from lexical join asked using (query_id) join held using (doc_id)),
+lists as (select query_id, doc_id as id, rank from lexical where rank <= 24 union all select query_id, id, rank from near where rank <= 24),
 f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 12) as score from lists group by 1, 2)
 select query_id, id, score, cast(place as int) as place from (select *, row_number() over (partition by query_id order by score desc, id) as place from f) where place <= 12""")
 def rrf_fuse(spark, sf):
-    hits = _lexical(spark, sf, 40)
-    first = hits.where("rank <= 20").select("query_id", F.col("doc_id").alias("id"), "rank")
-    docs = S.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    second = hits.select("query_id", F.col("doc_id").alias("id")).join(docs, "id")
-    second = second.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "id")))
-    return R.fuse_ranks([first, second], 12)
+    """Documents by shared terms, fused with those whose word sets are nearest the question's."""
+    terms = _terms(spark, sf)
+    hits = R.term_hits(S.table(spark, sf, "documents"), terms, None)
+    asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
+    near = hits.join(asked, "query_id").withColumn("close", F.round(F.col("hits") / (F.col("asked") + F.col("held") - F.col("hits")), 12))
+    near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("close"), "doc_id"))).where("rank <= 24")
+    first = hits.where("rank <= 24").select("query_id", F.col("doc_id").alias("id"), "rank")
+    return R.fuse_ranks([first, near.select("query_id", F.col("doc_id").alias("id"), "rank")], 12)
 
 
 @query("""with m as (select p_partkey as id, p_brand as entity from part),
@@ -476,13 +510,28 @@ def normalizers(spark, sf):
     )
 
 
-@query("""select item_id, regexp_matches(text, '(?i)\\b(when|before|after|since|until|first|last|date|year|month|day)\\b') as is_temporal,
-regexp_matches(text, '(?i)\\b(how many|how much|number of|count|total)\\b') as is_counting, regexp_matches(text, '(?i)\\b(now|current|currently|latest|still|anymore|changed)\\b') as is_update,
-regexp_matches(text, '(?i)\\b(prefer|favou?rite|recommend|suggest|like)\\b') as is_preference, regexp_matches(text, '(?i)\\b(you|your|assistant)\\b') as is_assistant,
-len(regexp_extract_all(trim(text, ' '), '\\s+')) + 1 as n_tokens from benchmark""")
+def _features_sql(text: str) -> str:
+    return ", ".join(f"regexp_matches({text}, '(?i){p}') as {n}" for n, p in (
+        ("temporal", R.TEMPORAL), ("has_explicit_date", R.EXPLICIT_DATE), ("preference", R.PREFERENCE), ("superlative", R.SUPERLATIVE), ("update", R.UPDATE)))
+
+
+ASKED = """q as (select item_id, case item_id % 7 when 0 then 'When did I last see ' when 1 then 'What would you recommend about ' when 2 then 'Which is the biggest of '
+  when 3 then 'Is it still 2023-04-10 for ' when 4 then 'How many weeks since 3/4/21 and ' when 5 then 'I prefer ' else '' end || text as question from benchmark)"""
+
+
+def _asked(spark, sf):
+    """Benchmark passages as questions of several kinds."""
+    n = F.col("item_id") % 7
+    lead = (
+        F.when(n == 0, "When did I last see ").when(n == 1, "What would you recommend about ").when(n == 2, "Which is the biggest of ")
+        .when(n == 3, "Is it still 2023-04-10 for ").when(n == 4, "How many weeks since 3/4/21 and ").when(n == 5, "I prefer ").otherwise("")
+    )
+    return S.table(spark, sf, "benchmark").select("item_id", F.concat(lead, "text").alias("question"))
+
+
+@query(f"with {ASKED} select item_id, {_features_sql('question')}, len(regexp_extract_all(question, '\\S+')) as n_tokens from q")
 def router_features(spark, sf):
-    b = S.table(spark, sf, "benchmark")
-    return b.select("item_id", *(c.alias(n) for n, c in R.route(F.col("text")).items()))
+    return _asked(spark, sf).select("item_id", *(c.alias(n) for n, c in R.route(F.col("question")).items()))
 
 
 @query()

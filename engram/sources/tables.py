@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from engram.operators.steps import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,13 +27,12 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str, partitions: int = 4) -> DataFrame:
     """Log records (part, off, ts_us, event_id, user_id, kind): event id modulo
-    the number of partitions deals the records, in order of their ids."""
+    the number of partitions deals the records, in order of their ids.
+
+    Offsets are counted in parallel, however few the partitions are."""
     e = table(spark, sf_dir, "events")
-    part = F.pmod("event_id", F.lit(partitions)).cast("int")
-    order = Window.partitionBy("part").orderBy("event_id")
-    return e.select(part.alias("part"), "event_id", micros(F.col("ts")).alias("ts_us"), "user_id", F.col("event_type").alias("kind")).withColumn(
-        "off", (F.row_number().over(order) - 1).cast("long")
-    )
+    rows = e.select(F.pmod("event_id", F.lit(partitions)).cast("int").alias("part"), "event_id", micros(F.col("ts")).alias("ts_us"), "user_id", F.col("event_type").alias("kind"))
+    return numbered(rows, "part", ["event_id"], "off").select("part", "event_id", "ts_us", "user_id", "kind", F.col("off").cast("long").alias("off"))
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,57 +2,101 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from engram.operators.memory import bucket_digests
+from engram.operators.steps import numbered, written
 
+#: Offsets of a partition that share one row of state.
+BLOCK = 1 << 16
 LOG_SCHEMA = "key string, event_id bigint, ts_us bigint, value string, part int, off bigint"
 
 
-def append_to_log(rows: DataFrame, path: str, partitions: int = 4) -> None:
+def append_to_log(rows: DataFrame, path: str, partitions: int = 4, batch: str | None = None) -> None:
     """Append (key, event_id, ts_us, value) records; a key keeps its partition.
 
-    Offsets go on from the largest of each partition.
+    Offsets go on from the largest of each partition.  A named ``batch`` that is
+    written again replaces itself and gets the same offsets, so a retry is safe;
+    one writer at a time is assumed.
     """
     spark = rows.sparkSession
+    name = batch or uuid.uuid4().hex
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"))
-    from pyspark.sql import Window
-
+    known = spark.read.schema(LOG_SCHEMA + ", batch string").option("basePath", path)
     try:
-        ends = spark.read.schema(LOG_SCHEMA).parquet(path).groupBy("part").agg((F.max("off") + 1).alias("next"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        before = known.parquet(path).where(F.col("batch") != name)
+        again = known.parquet(path).where(F.col("batch") == name).groupBy("part").agg(F.min("off").alias("own"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        ends = spark.createDataFrame([], "part int, next bigint")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("ts_us", "event_id")) - 1
-    numbered = dealt.withColumn("_n", place).join(ends, "part", "left").withColumn("off", F.col("_n") + F.coalesce("next", F.lit(0)))
-    numbered.select("key", "event_id", "ts_us", "value", "part", "off").write.mode("append").parquet(path)
+        before = again = None
+    numbers = numbered(dealt, "part", ["ts_us", "event_id"], "_n")
+    if before is None:
+        offsets = numbers.withColumn("off", F.col("_n"))
+    else:
+        ends = before.groupBy("part").agg((F.max("off") + 1).alias("next"))
+        starts = written(ends.join(again, "part", "full_outer").select("part", F.coalesce("own", "next").alias("start")), "starts")
+        offsets = numbers.join(starts, "part", "left").withColumn("off", F.col("_n") + F.coalesce("start", F.lit(0)))
+    offsets.select("key", "event_id", "ts_us", "value", "part", F.col("off").cast("long").alias("off")).write.mode("overwrite").parquet(f"{path}/batch={name}")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """All records, from the first offset on."""
-    return spark.read.schema(LOG_SCHEMA).parquet(path)
+    return spark.read.schema(LOG_SCHEMA).parquet(path).drop("batch")
 
 
 def follow_log(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     """The log as a stream; ``files`` bounds what one trigger takes in."""
-    return spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files).parquet(path)
+    return spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", files).parquet(path).drop("batch")
+
 
+def once(stream: DataFrame) -> DataFrame:
+    """The stream's records, each (part, off) once however often and in whatever
+    batch it is delivered.
 
-def drain(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    State is a bit an offset, kept in blocks of BLOCK offsets of a partition;
+    of a block that is full only that fact is kept.
+    """
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else bytes(BLOCK // 8)
+        if held == b"":  # full: all its offsets were there
+            return
+        seen = np.unpackbits(np.frombuffer(held, np.uint8))
+        for frame in frames:
+            at = (frame["off"] % BLOCK).to_numpy()
+            new = ~frame["off"].duplicated().to_numpy() & (seen[at] == 0)
+            seen[at] = 1
+            if new.any():
+                yield frame.loc[new, names]
+        state.update((b"" if seen.all() else np.packbits(seen).tobytes(),))
+
+    names = stream.columns
+    blocked = stream.withColumn("_block", F.floor(F.col("off") / BLOCK))
+    return blocked.groupBy("part", "_block").applyInPandasWithState(fold, stream.schema, "seen binary", "append", "NoTimeout")
+
+
+def drain(stream: DataFrame, sink: str, checkpoint: str, admitted: Callable[[DataFrame], DataFrame] | None = None, topic: str | None = None) -> None:
     """Write what the stream holds now, each (part, off) once, and stop.
 
     A batch is written under its own number, so a batch that runs again after
-    a failure replaces itself.
+    a failure replaces itself.  ``topic``: where the records that ``admitted``
+    lets through are published as well, as JSON.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["part", "off"]).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        batch.persist()
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        if topic is not None:
+            wanted = admitted(batch) if admitted is not None else batch
+            wanted.write.mode("overwrite").json(f"{topic}/batch={number}")
+        batch.unpersist()
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    once(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def same_records(a: DataFrame, b: DataFrame) -> bool:
@@ -93,3 +137,29 @@ def novelty_gate(rows: DataFrame, threshold: float, group: str = "graph_key", or
 
     dealt = rows.select(group, order, vector).repartition(group).sortWithinPartitions(group, order)
     return dealt.mapInPandas(fold, schema)
+
+
+def gate_stream(rows: DataFrame, threshold: float | None, group: str = "graph_key", order: str = "place", vector: str = "embedding") -> DataFrame:
+    """The novelty gate over a stream: (group, order, distance, admitted).
+
+    State holds a group's admitted vectors from batch to batch; rows of a batch
+    are taken in their order.  With ``threshold`` None the gate is off: all rows
+    are admitted, and their distances are still told.
+    """
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(frames)).sort_values(order)
+        x = np.stack([np.asarray(v, np.float64) for v in frame[vector]])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        held = list(np.frombuffer(state.get[0], np.float64).reshape(-1, x.shape[1])) if state.exists else []
+        out = []
+        for place, v in zip(frame[order], x):
+            distance = 1 - float(max(np.array(held) @ v)) if held else None
+            admitted = distance is None or threshold is None or distance >= threshold
+            if admitted:
+                held.append(v)
+            out.append((key[0], place, distance, admitted))
+        state.update((np.array(held).tobytes(),))
+        yield pd.DataFrame(out, columns=[group, order, "distance", "admitted"])
+
+    schema = f"{group} string, {order} bigint, distance double, admitted boolean"
+    return rows.select(group, order, vector).groupBy(group).applyInPandasWithState(fold, schema, "held binary", "append", "NoTimeout")

@@ -87,10 +87,13 @@ def test_reader(spark):
     assert got == {1: ("The river floods often.", 1.0), 2: (None, None)}
 
 
-def test_nearest_in_blocks(spark):
+def test_nearest_in_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(i, [1.0, i / 7]) for i in range(20)], "vec_id long, embedding array<double>")
-    one, more = (sorted(map(tuple, R.nearest(v, v, 3, block=b).collect())) for b in (1000, 6))
-    assert one == more and len(one) == 60
+    one = sorted(map(tuple, R.nearest(v, v, 3).collect()))
+    monkeypatch.setattr(R, "VECTOR_BLOCK", 3)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 6)
+    assert sorted(map(tuple, R.nearest(v, v, 3).collect())) == one and len(one) == 60
+    assert R.nearest(v.limit(0), v, 3).count() == R.nearest(v, v.limit(0), 3).count() == 0
 
 
 def test_expand_counts_pairs(spark):
@@ -107,3 +110,15 @@ def test_row_guards(spark):
     assert got == {("fresh_rows", 2, "old"), ("served_model", 3, None), ("fresh_rows", 4, None), ("served_model", 4, "x")}
     names = spark.createDataFrame([("qa.micro",), ("retrieval.r5",), ("accuracy",), (None,)], "name string")
     assert {r.name for r in X.stray_metrics(names).collect()} == {"accuracy", None}
+
+
+def test_engine_neighbours_lineage_and_counts(spark):
+    from engram.api import Engine
+
+    nodes = spark.createDataFrame([("a", "Claim", "x", "me", 1, None), ("b", "Claim", "y", None, 2, None), ("c", "Claim", "z", "me", 3, None), ("t", "Entity", "tea", "", 1, None)], "id string, label string, text string, author string, clock long, embedding array<float>")
+    edges = spark.createDataFrame([("b", "supersedes", "a"), ("c", "supersedes", "b"), ("a", "MENTIONS", "t"), ("c", "ABOUT", "t")], "src string, relation string, dst string")
+    e = Engine(spark, nodes, edges, spark.createDataFrame([], "event_id long, actor string, page string, ts_us long"))
+    hits = spark.createDataFrame([("q", "a")], "query_id string, id string")
+    assert [tuple(r) for r in e.recall_neighbours(hits).collect()] == [("q", "c", "t", "a")]
+    assert sorted((r.step, r.node) for r in e.recall_lineage(hits).collect()) == [(0, "a"), (1, "b"), (2, "c")]
+    assert {tuple(r) for r in e.graph_counts().collect()} >= {("label", "Claim", 3), ("relation", "supersedes", 2), ("author", "unbound", 2), ("author", "me", 2)}

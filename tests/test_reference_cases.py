@@ -41,7 +41,7 @@ def test_coedit(spark):
 def test_pagerank_golden_values(spark):
     links = spark.createDataFrame([("N", "V"), ("W", "V")], "a string, b string")
     nodes = spark.createDataFrame([("N",), ("V",), ("W",)], "node string")
-    got = {r.node: r.score for r in G.pagerank(links, nodes, 12, 40).collect()}
+    got = {r.node: r.score for r in G.pagerank(links, nodes, 12).collect()}
     assert all(abs(got[n] - x) < 2e-6 for n, x in {"V": 0.197079, "N": 0.072993, "W": 0.072993}.items())
     assert [tuple(r) for r in G.cells(G.components(links)).collect()] == [("N", 3)]
 
@@ -56,13 +56,32 @@ def test_lineage(spark):
     assert pairs([("c1", "u", "p", 1, "a"), ("c2", "u", "p", 1, "b")]) == {("c2", "c1", "contradicts")}
     assert pairs([("c1", "u", "p", 1, "a"), ("c2", "u", "p", 2, "a"), ("c3", "u", "q", 3, "b")]) == set()
     chain = spark.createDataFrame([(f"v{i + 1:02}", f"v{i:02}", "supersedes") for i in range(1, 9)], "newer string, older string, relation string")
-    heads = {r.id: (r.head, r.depth) for r in G.supersede_heads(chain).collect()}
-    assert heads["v01"] == ("v09", 8) and heads["v08"] == ("v09", 1)
+    clocks = spark.createDataFrame([], "id string, clock long")
+    heads = G.supersede_heads(chain, clocks)
+    got = {r.id: (r.head, r.depth) for r in heads.collect()}
+    assert got["v01"] == ("v09", 8) and got["v08"] == ("v09", 1) and len(got) == 8
+    hits = spark.createDataFrame([("v06",), ("v09",)], "id string")
+    assert sorted((r.id, r.step, r.node) for r in G.lineage(hits, heads).collect()) == [("v06", 0, "v06"), ("v06", 1, "v07"), ("v06", 2, "v08"), ("v06", 3, "v09"), ("v09", 0, "v09")]
+    assert G.lineage(hits, heads, 1).count() == 3
     edges = spark.createDataFrame([("b", "a"), ("c", "b")], "src string, dst string")
     new = spark.createDataFrame([("a", "c"), ("a", "a"), ("d", "a")], "src string, dst string")
     assert {tuple(r) for r in G.reaches(edges, new).collect()} == {("a", "c"), ("a", "a")}
 
 
+def test_forked_lineage(spark):
+    """The longest chain wins, then the newest head, then the smaller id; cycles end the walk."""
+    def heads(pairs, clocks=()):
+        df = spark.createDataFrame(pairs, "newer string, older string")
+        return {r.id: (r.head, r.depth) for r in G.supersede_heads(df, spark.createDataFrame(list(clocks), "id string, clock long")).collect()}
+
+    assert heads([("b", "old"), ("c", "b"), ("z", "old")]) == {"old": ("c", 2), "b": ("c", 1)}
+    assert heads([("new_a", "old"), ("new_b", "old")], [("new_a", 5), ("new_b", 7)]) == {"old": ("new_b", 1)}
+    assert heads([("new_b", "old"), ("new_a", "old")]) == {"old": ("new_a", 1)}
+    ladder = [(f"n{i + 1:02}", f"n{i:02}") for i in range(20)] + [("n12", "n03"), ("y", "n10"), ("x2", "x1"), ("x1", "n05")]
+    assert heads(ladder)["n00"] == ("n20", 20) and heads(ladder)["n18"] == ("n20", 2)
+    assert heads([("b", "a"), ("c", "b"), ("a", "c"), ("b", "s"), ("h", "t"), ("a", "t")]) == {"t": ("h", 1)}
+
+
 def test_handovers(spark):
     rows = [("r", 1, 10, "open"), ("r", 2, 20, "open"), ("s", 3, 10, "open"), ("s", 4, 20, "done")]
     df = spark.createDataFrame(rows, "to_agent string, handover_id long, created_us long, status string")
@@ -170,6 +189,98 @@ def test_log_replay_parity(spark, tmp_path):
     assert SL.same_records(warm, whole) and not SL.same_records(warm.limit(49), whole)
 
 
+def test_redelivered_records_surface_once(spark, tmp_path):
+    log, sink, check, topic = (str(tmp_path / n) for n in ("log", "sink", "check", "topic"))
+    rows = spark.range(40).select(F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("key"), F.col("id").alias("event_id"), F.col("id").alias("ts_us"), F.lit("v").alias("value"), (F.col("id") % 2).cast("int").alias("part"), F.floor(F.col("id") / 2).alias("off"))
+    rows.where("event_id < 30").write.parquet(f"{log}/batch=a")
+    SL.drain(SL.follow_log(spark, log), sink, check, lambda d: d.where("event_id % 10 = 0"), topic)
+    # a later file brings old records again, in another order, some of them twice, and new ones below them
+    again = rows.where("event_id >= 12").union(rows.where("event_id > 33")).orderBy(F.desc("event_id")).coalesce(1)
+    again.write.parquet(f"{log}/batch=b")
+    SL.drain(SL.follow_log(spark, log), sink, check, lambda d: d.where("event_id % 10 = 0"), topic)
+    assert sorted(r.event_id for r in spark.read.parquet(sink).collect()) == list(range(40))
+    assert sorted(r.event_id for r in spark.read.json(topic).collect()) == [0, 10, 20, 30]
+
+
+def test_a_batch_appended_again_replaces_itself(spark, tmp_path):
+    log = str(tmp_path / "log")
+    for name, low in (("one", 0), ("two", 10), ("one", 0), ("two", 10)):
+        rows = spark.range(low, low + 10).select(F.lit("k").alias("key"), F.col("id").alias("event_id"), F.col("id").alias("ts_us"), F.lit("v").alias("value"))
+        SL.append_to_log(rows, log, 2, name)
+    assert [(r.event_id, r.off) for r in SL.read_log(spark, log).orderBy("event_id").collect()] == [(i, i) for i in range(20)]
+
+
+def test_gate_stream_keeps_what_it_admitted(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    rng = np.random.default_rng(2)
+    rows = [("g", i, [float(x) for x in rng.normal(0, 1, 3)]) for i in range(40)]
+    schema = "graph_key string, place long, embedding array<float>"
+    for part in (rows[:25], rows[25:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = SL.gate_stream(spark.readStream.schema(schema).parquet(path), 0.15)
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = {r.place: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.place: r.admitted for r in SL.novelty_gate(spark.createDataFrame(rows, schema), 0.15).collect()}
+    assert got == want and 0 < sum(got.values()) < 40
+
+
+def test_numbers_and_joins_of_a_hot_key(spark):
+    from engram.operators.steps import join_split, numbered
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).otherwise("hot").alias("g"), (F.col("id") * 7919 % 3001).alias("v"))
+    got = numbered(rows, "g", ["v"], "n").collect()
+    for g in ("hot", None):
+        own = sorted((r.v, r.n) for r in got if r.g == g)
+        assert [n for _, n in own] == list(range(len(own)))
+    a, b = rows.where("g = 'hot'").limit(50).select("g", F.col("v").alias("x")), rows.where("g = 'hot'").select("g", F.col("v").alias("y"))
+    assert join_split(a, b, ["g"], 100).distinct().count() == 50 * 2000
+
+
+def test_rounding_is_of_the_exact_number(spark):
+    values = [2.675, 0.125, 0.375, 1.005, 66.65, -2.675, 1e300, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (1, 2):
+        assert [r[0] for r in df.select(C.round_half_even(F.col("v"), places)).collect()] == [round(v, places) for v in values]
+
+
+def test_route_patterns(spark):
+    asked = ["How many weeks since March?", "Which is best for me, should I switch now?", "On 2023/04/10", "top of 1999", "Tell me more", None]
+    df = spark.createDataFrame([(q,) for q in asked], "q string")
+    got = [tuple(r) for r in df.select(*(c.alias(n) for n, c in R.route(F.col("q")).items())).collect()]
+    assert got == [
+        (True, False, False, False, False, 5), (False, False, True, True, True, 9), (False, True, False, False, False, 2),
+        (False, True, False, True, False, 3), (False, False, False, False, False, 3), (False, False, False, False, False, 0),
+    ]
+
+
+def test_guards_and_combination(spark):
+    panel = spark.createDataFrame([(1, "claude-3", ["gpt-4o", "gemini", "llama"]), (2, "gpt-4o", ["GPT-4", "gemini", "llama"]), (3, "x", ["gpt-4", "gpt-3.5", "llama"])], "panel_id int, reader string, judges array<string>")
+    assert {tuple(r) for r in X.family_clashes(panel).collect()} == {(2, "same family"), (3, "unknown family"), (3, "too few families")}
+    one = spark.createDataFrame([("qa.micro", 0.5), ("qa.macro", 0.4)], "name string, value double")
+    other = spark.createDataFrame([("qa.micro", 0.6)], one.schema)
+    assert X.combine_metrics(one, one).count() == 2
+    for bad in ((one, other), (other,)):
+        with pytest.raises(Exception, match="differing values|micro and macro"):
+            X.combine_metrics(*bad).collect()
+
+
+def test_embedding_cache_and_remember(spark):
+    cache = spark.createDataFrame([], "cache_key string, embedding array<float>")
+    texts = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id int, text string")
+    out, made = M.embedded(texts, cache, "word", 16)
+    made = spark.createDataFrame(made.collect(), made.schema)
+    assert out.count() == 3 and made.count() == 2
+    assert M.embedded(texts, made, "word", 16)[1].count() == 0
+    rows = spark.createDataFrame([("Claim", "note", "x", ["t"], {"b": "1", "a": "2"}, "me", 5), ("Claim", "note", "x", ["u"], None, "you", 9)], "label string, block_type string, text string, tags array<string>, metadata map<string,string>, author string, ts_us long")
+    none = spark.createDataFrame([], "id string, label string, block_type string, text string, tags array<string>, metadata_json string, author string, created_us long, updated_us long")
+    after = M.remember(none, rows)
+    r = after.first()
+    assert after.count() == 1 and (r.tags, r.metadata_json, r.author, r.created_us, r.updated_us) == (["u"], "{}", "you", 5, 9)
+    near = after.select("id", F.lit(0.1).alias("distance"))
+    assert M.remember(none, rows, near).count() == 0
+
+
 def test_gate_equals_a_plain_fold(spark):
     rng = np.random.default_rng(1)
     rows = [(f"g{i % 2}", i, [float(x) for x in rng.normal(0, 1, 3)]) for i in range(80)]
