@@ -66,18 +66,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(df: DataFrame, shuffles: bool = True) -> None:
     """Delete a table of ``materialize`` that no plan reads any more.
 
-    The driver's JVM is asked to collect as well: Spark removes the shuffle
-    files of finished steps once nothing there refers to them.
+    With ``shuffles`` the driver's JVM is asked to collect as well: Spark removes
+    the shuffle files of finished steps once nothing there refers to them.
     """
     path = getattr(df, "_written_to", None)
     if path:
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-        jvm.System.gc()
+        if shuffles:
+            jvm.System.gc()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -109,7 +110,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             merged.join(up, "label", "left").select("node", F.least("label", "up").alias("label"), "old"),
             "cc-labels",
         )
-        discard(labels)
+        discard(labels, shuffles=False)
         labels = after
         if labels.where("label <> old").isEmpty():
             return labels.select("node", "label")

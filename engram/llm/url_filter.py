@@ -104,7 +104,7 @@ def propagate(hosts: DataFrame, edges: DataFrame, tolerance: float) -> DataFrame
             state.drop("moved").join(sent, "host", "left").select("host", "good", "bad", "sends", "gives", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved")),
             "trust",
         )
-        discard(state)
+        discard(state, shuffles=False)
         state, held = after, after.agg(*sums).first()
         if held["moved"] * DAMPING / (1 - DAMPING) < tolerance:
             break

@@ -170,3 +170,115 @@ def test_convolution_equals_plain_loops():
         chunks = np.array([np.max(spots[h * per : (h + 2) * per], axis=0) for h in range(halves - 1)])
         z = chunks.mean(axis=0) @ net["mean"] + chunks.max(axis=0) @ net["top"] + net["c"][0]
         assert abs(p - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_posteriors_equal_a_plain_computation(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    odd = spark.createDataFrame([(9001, "<html lang='fr'> abc def ghi", None, None, 0), (9002, "<html lang=xx> the and", None, "src1", 0), (9003, None, "en", "src1", 0), (9004, "12", None, "lone", 0)], docs.schema)
+    docs = spark.createDataFrame(docs.union(odd).collect(), docs.schema)
+    languages, table, fits = language_id.fit_text_model(docs, "doc_id", "text", "lang")
+    rows = []
+    for r in docs.collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        codes = language_id._codes(data) if len(data) > 2 else np.zeros(0, int)
+        sums = language_id.TEMPER * table[codes].astype(np.float64).sum(axis=0) if len(codes) else np.zeros(len(languages))
+        own = np.exp(sums - sums.max())
+        own /= own.sum()
+        letters = any(b >= 128 or chr(b).isalpha() for b in data.tolist())
+        like = language_id.like_fitted(sums[None], np.array([float(len(codes))]), fits)[0] > 0
+        said = re.search(r"<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2})(?![a-z])", (r.text or "").lower())
+        rows.append((r.doc_id, r.source, sums, own, letters and like, said and said[1]))
+    evident = [x for x in rows if x[4]]
+    every = (sum(x[3] for x in evident) + 1) / (len(evident) + len(languages))
+    told = [x for x in evident if x[5] in languages]
+    sure = (sum(languages[int(x[2].argmax())] == x[5] for x in told) + 4) / (len(told) + 5)
+    want = {}
+    for i, source, sums, own, ok, said in rows:
+        host = [x for x in evident if x[1] == source] if source is not None else []
+        if host:
+            prior = (np.maximum(sum(x[3] for x in host) - own * ok, 0) + language_id.ALPHA * every) / (len(host) - ok + language_id.ALPHA)
+        else:
+            prior = every
+        spoken = np.array([(np.log(sure) if said == lang else np.log((1 - sure) / (len(languages) - 1))) if said in languages else 0.0 for lang in languages])
+        logs = sums + np.log(prior + 1e-9) + spoken
+        share = np.exp(logs - logs.max())
+        want[i] = (languages[int(logs.argmax())], 1 / share.sum()) if ok else ("und", 0.0)
+    got = {r.doc_id: (r.id_language, r.id_probability) for r in language_id.document_languages(docs, columns=["doc_id"]).collect()}
+    assert {i: g[0] for i, g in got.items()} == {i: w[0] for i, w in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
+
+
+def plain_mix(rows):
+    """{(id, text): copies} of (id, text, source) rows by the definition, one source after the other."""
+    import hashlib
+
+    sizes = {}
+    for _, text, source in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").encode().split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    free, want, total = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(order)}, {}, sum(sizes.values())
+    while free:
+        level = (mixing.SHARE * total - sum(want.values())) / sum(free.values())
+        over = [s for s in free if level * free[s] > mixing.MOST * sizes[s]]
+        for s in over or list(free):
+            want[s] = mixing.MOST * sizes[s] if over else level * free[s]
+            del free[s]
+    out = {}
+    for s in order:
+        rate = want[s] / sizes[s] if sizes[s] else 0.0
+        whole = int(rate + 1e-12)
+        p, rest, upto = max(rate - whole, 0.0), want[s] - whole * sizes[s], 0
+        ranked = []
+        for i, text, source in rows:
+            if source == s:
+                name = f"0:{-1 if i is None else i}:{hashlib.md5((text or '').encode()).hexdigest()}"
+                u = (int(hashlib.md5(name.encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+                ranked.append((u / (1 - u), i, text, len((text or "").encode().split())))
+        for _, i, text, size in sorted(ranked, key=lambda r: (r[0], r[1] or 0)):
+            out[i, text] = whole + (p > 0 and upto <= rest and 2 * (rest - upto) >= size)
+            upto += size
+    return out
+
+
+def test_pipeline_stages_equal_brute_force(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from test_pairs import brute_lines, brute_ngrams
+
+    from engram.llm._common import materialize
+
+    stages = dict(pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 150")
+    docs = spark.createDataFrame(docs.collect(), docs.schema).withColumn("own", F.lit("x"))
+    kept = materialize(stages["language_id"](spark, docs, sf_dir), "one")
+    keep = {r.doc_id for r in language_id.document_languages(docs).where("id_keep").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.text for r in kept.collect()} == {i: texts[i] for i in keep}
+
+    lined = materialize(stages["line_dedup"](spark, kept, sf_dir), "two")
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    want, texts = brute_lines(rows), dict(rows)
+    blank = {i for i, t in rows if not (t or "").strip(" \t\r\n")}
+    got = {r.doc_id: r.text for r in lined.collect()}
+    assert set(got) == set(want) | blank
+    assert all(got[i] == "\n".join(x for n, x in enumerate(texts[i].split("\n")) if n in want[i] or not x.strip(" \t\r")) for i in want)
+
+    single = materialize(stages["ngram_join"](spark, lined, sf_dir), "three")
+    rows = [(r.doc_id, r.text) for r in lined.collect()]
+    root = {i: r for i, _, r in brute_ngrams(rows, 5, 8, 10)}
+    assert sorted((r.doc_id, r.text) for r in single.collect()) == sorted((i, t) for i, t in rows if root[i] == i)
+
+    mixed = materialize(stages["mixing"](spark, single, sf_dir), "four")
+    copies = plain_mix([(r.doc_id, r.text, r.source) for r in single.collect()])
+    taken = {}
+    for r in mixed.collect():
+        taken[r.doc_id, r.text] = taken.get((r.doc_id, r.text), 0) + 1
+    assert taken == {k: n for k, n in copies.items() if n}
+
+    slow = packing.token_ids(queries.tokenizer_path()).slow
+    pieces = {}
+    for r in stages["packing"](spark, mixed, sf_dir).collect():
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.length
+    want = {}
+    for (i, text), n in taken.items():
+        want[i] = want.get(i, 0) + n * (len(slow.encode(text or "", add_special_tokens=False).ids) + 1)
+    assert pieces == want
