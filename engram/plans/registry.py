@@ -162,7 +162,7 @@ def pagerank_topk(spark, sf):
     links = G.coedit_pairs(e, HOUR).select("a", "b").distinct()
     actors = e.select(F.col("actor").alias("node")).distinct()
     n = actors.count() + e.select("page").distinct().count()
-    ranked = G.pagerank(links, actors, n, 1e-10).select(F.col("node").alias("actor"), F.round("score", 8).alias("score"))
+    ranked = G.pagerank(links, actors, n, 1e-9).select(F.col("node").alias("actor"), F.round("score", 8).alias("score"))
     return ranked.orderBy(F.desc("score"), "actor").limit(10)
 
 
