@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of an Arrow batch handed to Python, whichever comes first.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 #: Members of a cluster that one block holds; a task compares two blocks.
 BLOCK_ROWS = 768
 #: Parts that the members of large clusters are dealt to before they are copied.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -49,7 +49,7 @@ _POWERS = np.zeros(0, np.uint64)
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all ``[^\\x20\\x09-\\x0D]+`` words, A-Z lower-cased, and
     each text's first word (n + 1 offsets).  Works through slices of about
-    1 MB cut between words, so a very long text needs no more memory."""
+    half a MB cut between words, so a very long text needs no more memory."""
     hashes, starts, ends_of_texts, s = [], [], at[1:-1], 0
     while s < len(data):
         e = min(s + SLICE, len(data))

@@ -58,6 +58,14 @@ def _letters(data: np.ndarray) -> np.ndarray:
     return (data >= 128) | ((LOWER[data] >= 97) & (LOWER[data] <= 122))
 
 
+def _counts(data: np.ndarray) -> np.ndarray:
+    """Trigrams of a text by bucket, counted in slices."""
+    out = np.zeros(BUCKETS, np.int64)
+    for s in range(0, len(data) - 2, SLICE):
+        out += np.bincount(_codes(data[s : s + SLICE + 2]), minlength=BUCKETS)
+    return out
+
+
 def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
     """[texts, 2 * languages + 2]: tempered log-likelihoods, the posteriors of
     the texts alone, and the numbers of letters and trigrams."""
@@ -114,8 +122,7 @@ def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s
             for i, lang in enumerate(batch.column(0).to_pylist()):
                 part = data[at[i] : at[i + 1]]
                 if len(part) > 2:
-                    totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                    totals[lang] += np.bincount(_codes(part), minlength=BUCKETS)
+                    totals[lang] = totals.get(lang, 0) + _counts(part)
         for lang, t in totals.items():
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": t[at]})
@@ -138,7 +145,9 @@ def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s
             for i, lang in enumerate(batch.column(0).to_pylist()):
                 part = data[at[i] : at[i + 1]]
                 if len(part) > 2:
-                    code, n = np.unique(_codes(part), return_counts=True)
+                    n = _counts(part)
+                    code = np.flatnonzero(n)
+                    n = n[code]
                     rest = (counts[code, place[lang]] - n) / max(total[place[lang]] - n.sum(), 1)
                     langs.append(lang)
                     means.append(float(n @ np.log((1 - smooth) * rest + smooth / BUCKETS) / n.sum()))

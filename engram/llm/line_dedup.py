@@ -81,7 +81,7 @@ def _growing(table: np.ndarray, base: np.uint64, n: int) -> np.ndarray:
 def hashed_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
     """Lines of a byte buffer, trimmed, as prefix sums of two polynomial hashes.
 
-    Yields (which, first byte, sums 1, sums 2, a, b) for runs of about 1 MB of
+    Yields (which, first byte, sums 1, sums 2, a, b) for runs of about half a MB of
     neighbouring lines: line ``which[j]`` is characters a[j] to b[j] of the
     run.  Blank lines are left out.  A line longer than a run is one by itself.
     """

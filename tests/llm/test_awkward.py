@@ -85,7 +85,9 @@ def test_operators_give_a_row_for_each_row(docs, name):
     key = "doc_id" if "doc_id" in out.columns else "id"
     assert sorted(str(r[0]) for r in out.select(key).collect()) == sorted(str(r[0]) for r in docs.select("doc_id").collect())
     again = OPERATORS[name](docs.repartition(5))
-    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+    # sums of floats depend on their order in the last digits
+    plain = [sorted(str([round(x, 4) if isinstance(x, float) else x for x in r]) for r in t.collect()) for t in (out, again)]
+    assert plain[0] == plain[1]
 
 
 def test_packing_of_awkward_rows(docs):
