@@ -1,7 +1,8 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
-Every component is quantised to a cell; the approximations alone give bounds
-on each score.  A first pass over them, block by block, keeps for each query
+Every component is quantised to a cell, one byte a component, with cells as
+wide as the vector's largest component needs; the approximations alone give
+bounds on each score.  A first pass over them, block by block, keeps for each query
 the vectors whose upper bound reaches the k-th best lower bound.  Exact
 vectors are then read in the order of their bounds: a first batch of the best
 bounds fixes a k-th score, and only vectors whose upper bound reaches it are
@@ -10,36 +11,49 @@ read after that, so the k-th result is certain.
 Vectors that are null or hold null or non-finite components take no part; ids
 that are null neither.  Of equal vectors only the k + 1 smallest ids can be
 among the best, so no more are searched.  Ties go to the smaller id.  Rows
-that repeat an id and its vector count once.
+that repeat an id and its vector count once; an id that stands on several
+vectors has the smallest of them, component by component.  Vectors are compared with those
+of their own width.  Other columns are ignored, whatever their names.  An empty
+table gives none.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from engram.llm._common import materialize, prepare
+from engram.llm._common import discard, materialize, prepare
 
-#: Rows of a block of vectors and of a block of queries, and a cell's width.
-VECTOR_BLOCK, QUERY_BLOCK, CELL = 4096, 1024, 4
+#: Rows of a block of vectors and of a block of queries, and the bits of a cell's
+#: number; the narrowest cell is of width 4.
+VECTOR_BLOCK, QUERY_BLOCK, CELL_BITS, NARROWEST = 4096, 1024, 7, 2
 FIRST_BATCH = 4
 
 
+def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(n, -1).astype(np.float64)
+
+
 def _bounds(table: pa.Table, k: int) -> pa.Table:
     """Candidates of one block of queries in one block of vectors."""
-    asks = table.column("asks").to_numpy(zero_copy_only=False)
-    ids = table.column("id").to_numpy()
-    x = np.array(table.column("v").to_pylist(), np.float64)
-    queries, q_ids, cells, v_ids = x[asks], ids[asks], x[~asks], ids[~asks]
+    asks = table.column("asks")
+    queries, stored = table.filter(asks), table.filter(pa.compute.invert(asks))
+    q_ids, v_ids = queries.column("id").to_numpy(), stored.column("id").to_numpy()
     out_q, out_v, out_hi, out_lo = [], [], [], []
-    if len(queries) and len(cells):
-        low, high = cells * CELL, cells * CELL + (CELL - 1)
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    if len(q_ids) and len(v_ids) and table.column("width")[0].as_py():
+        asked, cells = _matrix(queries.column("v"), len(q_ids)), _matrix(stored.column("cells"), len(v_ids))
+        wide = np.exp2(stored.column("shift").to_numpy())[:, None]
+        low, high = cells * wide, cells * wide + (wide - 1)
+        up, down = np.maximum(asked, 0), np.minimum(asked, 0)
         most, least = up @ high.T + down @ low.T, up @ low.T + down @ high.T
+    else:
+        most = least = np.zeros((len(q_ids), len(v_ids)))
+    if most.size:
         same = q_ids[:, None] == v_ids[None, :]
         least[same] = -np.inf
-        most[same] = -np.inf
         kth = np.partition(least, -k, axis=1)[:, -k] if least.shape[1] > k else np.full(len(q_ids), -np.inf)
         a, b = np.nonzero((most >= kth[:, None]) & ~same)
         out_q, out_v, out_hi, out_lo = q_ids[a], v_ids[b], most[a, b], least[a, b]
@@ -58,7 +72,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     ints = vectors.where(F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False))).select(
         F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v")
     )
-    ints = materialize(ints.distinct(), "int-vectors")
+    ints = materialize(ints.groupBy("id").agg(F.min("v").alias("v")), "int-vectors")
     # the k + 1 smallest ids of each vector; Spark limits each group before the shuffle
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     searched = ints.withColumn("nth", first).where(F.col("nth") <= k + 1).drop("nth")
@@ -67,14 +81,21 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     n_vectors, n_queries = searched.count(), asked.count()
     v_blocks, q_blocks = max(1, -(-n_vectors // VECTOR_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
 
-    def dealt(df: DataFrame, own: int, other: int, asks: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
-        theirs = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        value = "v" if asks else F.transform("v", lambda x: F.floor(x / CELL)).alias("v")
-        cols = df.select("id", value, F.size("v").alias("width"), F.lit(asks).alias("asks"), mine.alias("mine"), theirs.alias("theirs"))
-        return cols.select("id", "v", "width", "asks", *((F.col(a).alias(b) for a, b in (("mine", "qb"), ("theirs", "vb")) if asks) if asks else (F.col("theirs").alias("qb"), F.col("mine").alias("vb"))))
+    # cells of a vector: as wide, a power of two, as its largest component needs
+    largest = F.array_max(F.transform("v", lambda x: F.greatest(x, -x - 1)))
+    shift = F.coalesce(F.greatest(F.length(F.bin(largest)) - CELL_BITS, F.lit(NARROWEST)), F.lit(NARROWEST)).alias("shift")
+    cells = F.transform("v", lambda x: F.call_function("shiftright", x, F.col("shift")).cast("tinyint")).alias("cells")
+
+    def block(n: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
-    pairs = dealt(asked, q_blocks, v_blocks, True).union(dealt(searched, v_blocks, q_blocks, False).select("id", "v", "width", "asks", "qb", "vb"))
+    def every_block(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    wide = F.size("v").alias("width")
+    stored = searched.select("id", "v", shift).select("id", F.lit(None).cast("array<bigint>").alias("v"), cells, "shift", wide, F.lit(False).alias("asks"), block(v_blocks).alias("vb"), every_block(q_blocks).alias("qb"))
+    sent = asked.select("id", "v", F.lit(None).cast("array<tinyint>").alias("cells"), F.lit(0).alias("shift"), wide, F.lit(True).alias("asks"), every_block(v_blocks).alias("vb"), block(q_blocks).alias("qb"))
+    pairs = sent.unionByName(stored)
     bounded = pairs.groupBy("width", "qb", "vb").applyInArrow(lambda t: _bounds(t, k), "query_id long, vec_id long, hi double, lo double")
     bounded = materialize(bounded, "bounds")
     # the k-th best lower bound of a query over all blocks
@@ -82,8 +103,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     floor = bounded.select("query_id", "lo", F.row_number().over(by_low).alias("nth")).where(F.col("nth") <= k)
     floor = floor.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lo")).otherwise(F.lit(float("-inf"))).alias("floor"))
     left = bounded.join(floor, "query_id").where("hi >= floor")
-    by_high = Window.partitionBy("query_id").orderBy(F.desc("hi"), "vec_id")
-    left = materialize(left.select("query_id", "vec_id", "hi", F.row_number().over(by_high).alias("turn")), "candidates")
+    left = materialize(left.select("query_id", "vec_id", "hi"), "candidates")
+    discard(bounded)
 
     def exact(wanted: DataFrame) -> DataFrame:
         read = wanted.join(searched.select(F.col("id").alias("vec_id"), F.col("v").alias("v")), "vec_id")
@@ -92,9 +113,12 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
         return read.where(F.size("q") == F.size("v")).select("query_id", "vec_id", product.alias("score"))
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    early = materialize(exact(left.where(F.col("turn") <= FIRST_BATCH * k)), "read-first")
-    sure = early.select("query_id", "score", F.row_number().over(ranked.orderBy(F.desc("score"))).alias("nth")).where(F.col("nth") == k)
+    # windows that keep a few rows a query; Spark cuts each task's rows before the shuffle
+    by_high = Window.partitionBy("query_id").orderBy(F.desc("hi"), "vec_id")
+    first = left.select("query_id", "vec_id", F.row_number().over(by_high).alias("turn")).where(F.col("turn") <= FIRST_BATCH * k)
+    early = materialize(exact(first), "read-first")
+    sure = early.select("query_id", "score", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))).alias("nth")).where(F.col("nth") == k)
     sure = sure.select("query_id", F.col("score").alias("kth"))
-    late = left.where(F.col("turn") > FIRST_BATCH * k).join(sure, "query_id", "left").where("kth is null or hi >= kth")
+    late = left.join(sure, "query_id", "left").where("kth is null or hi >= kth").join(early, ["query_id", "vec_id"], "left_anti")
     best = early.union(exact(late.select("query_id", "vec_id"))).withColumn("rank", F.row_number().over(ranked))
     return best.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
