@@ -1,4 +1,4 @@
-"""The ten numbered queries over the corpus tables, and SQL for those SQL can express."""
+"""The thirteen numbered queries over the corpus tables, and SQL for those SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from engram.llm import embedding_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, packing, quality, topk_search, url_filter
+from engram.llm import conversation_repair, embedding_dedup, filter_audit, language_id, license_scan, line_dedup, mixing, ngram_join, packing, quality, topk_search, url_filter, warc
 
 
 def tokenizer_path() -> str:
@@ -77,11 +77,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_url_filter, op3_embedding_dedup, op4_license_scan, op5_line_dedup, op6_topk_search,
-        op7_quality, op8_ngram_join, op9_packing, op10_mixing, language_id_pages,
+        op7_quality, op8_ngram_join, op9_packing, op10_mixing, op11_conversation_repair, op12_warc, op13_filter_audit,
+        language_id_pages,
     )
 }
 
@@ -137,4 +150,56 @@ ORACLE_SQL = {
                cast(size * (whole + case when p > 0 and upto - size <= want and 2 * (want - (upto - size)) >= size then 1 else 0 end) as bigint) as taken
         from summed
     """,
+    "op12_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        g as (select *, max(page_id) over (partition by html) as leader from p),
+        r as (select *, strlen(html) >= 1000 and leader is not null and page_id is distinct from leader as again from g)
+        select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as payload_digest,
+               case when again then 'revisit' else 'response' end as record_type, case when again then leader end as refers_to,
+               cast(null as varchar) as error
+        from r
+    """,
+    # masks of each document, counts by part and mask, and each of the 120 orders over the masks
+    "op13_filter_audit": """
+        with d as (
+          select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents
+        ), w as (
+          select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, min(doc_id) over (partition by text) as first_id from d
+        ), m as (
+          select doc_id, part,
+                 [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+                  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text),
+                  regexp_matches(text, '[#$%&*|]'), doc_id is distinct from first_id] as fails
+          from w
+        ), l as (
+          select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+          from labels where doc_id is not null group by doc_id
+        ), c as (
+          select part, fails, count(*) as docs, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+          from m left join l on m.doc_id = l.doc_id group by part, fails
+        ), f as (select unnest(range(1, 6)) as f),
+        o as (
+          select [a.f, b.f, c.f, d.f, e.f] as ord from f a, f b, f c, f d, f e
+          where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+        ), s as (select ord, unnest(range(1, 6)) as step from o),
+        t as (
+          select c.*, s.ord, s.step, s.ord[s.step] as f,
+                 len(list_filter(s.ord[1 : s.step - 1], lambda x: c.fails[x])) as before, c.fails[s.ord[s.step]] as here
+          from c, s
+        ), a as (
+          select part, ord, step, f,
+                 coalesce(sum(docs) filter (before = 0 and not here), 0) as kept,
+                 coalesce(sum(docs) filter (before = 0 and here), 0) as removed,
+                 coalesce(sum(docs) filter (before > 0 and here), 0) as redundant,
+                 coalesce(sum(docs) filter (here and len(list_filter(fails, lambda x: x)) = 1), 0) as unique_fails,
+                 coalesce(sum(good) filter (before = 0 and here), 0) as good_lost,
+                 coalesce(sum(toxic) filter (before = 0 and here), 0) as toxic_lost
+          from t group by part, ord, step, f
+        )
+        select part, list_aggregate(list_transform(ord, lambda x: substr('ABCDE', x::int, 1)), 'string_agg', '') as filter_order, cast(step as int) as step,
+               cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+               cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+               cast(sum(removed) over (partition by part, f) as bigint) as shapley
+        from a
+    """,
 }
