@@ -6,12 +6,12 @@ import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine of two numeric arrays, in double precision."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def sound_vector(v: Column) -> Column:
+    """Whether a numeric array has a direction: not null, all components finite
+    and one of them not zero."""
+    wide = lambda x: x.cast("double")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(wide(x)) & (F.abs(wide(x)) < float("inf")))
+    return F.coalesce(v.isNotNull() & finite & F.exists(v, lambda x: wide(x) != 0), F.lit(False))
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

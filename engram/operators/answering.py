@@ -20,32 +20,79 @@ LANE, FINAL, FANOUT, WINDOW, PACK, PROMOTED, CHAIN = 24, 12, 12, 40, 6, 36, 6
 KINDS = ["fact", "preference", "event"]
 
 
+# Fixed value: what Python's str.strip takes off.
+BLANKS = r"[\s\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{BLANKS}+|{BLANKS}+\\z", "")
+
+
+def _member(object_: Column, name: str) -> Column:
+    """A member as VARIANT; SQL null where it is missing, a VARIANT null where it is null."""
+    return F.try_variant_get(object_, f"$.{name}", "variant")
+
+
+def _written_out(v: Column) -> Column:
+    """A member as text: strings as they are, ``True``, ``False`` and ``None`` as
+    Python writes them, numbers with their digits, the rest as JSON."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    return F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).when(kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double").cast("string")).otherwise(text)
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def parsed_claims(replies: DataFrame) -> DataFrame:
     """(session_id, place, raw) of (session_id, reply): the claims of replies that
-    hold a JSON object, fenced or amid prose; others give none."""
-    body = F.regexp_extract(F.regexp_replace(F.trim("reply"), r"^```[a-zA-Z]*\s*|\s*```$", ""), r"(?s)(\{.*\})", 1)
-    claim = "text string, kind string, predicate string, entities array<string>, from_turn string, valid_from string"
-    read = F.from_json(body, f"claims array<struct<{claim.replace(' ', ':').replace(',:', ',')}>>")
-    return replies.select("session_id", F.posexplode(read["claims"]).alias("place", "raw"))
+    are a JSON object with ``claims``, fenced or amid prose, each as VARIANT.
+
+    A reply that is JSON of another kind, such as a list, gives none; neither does
+    one without JSON.  Members of the list that are no objects are left out, and
+    keep their place.
+    """
+    body = _stripped(F.col("reply"))
+    body = F.when(F.startswith(body, F.lit("```")), F.regexp_replace(F.regexp_replace(body, "^```[a-zA-Z]*\\s*", ""), "\\s*```\\z", "")).otherwise(body)
+    whole = F.try_parse_json(body)
+    within = F.try_parse_json(F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit("")))
+    read = replies.select("session_id", F.coalesce(whole, within).alias("reply"))
+    found = F.when(_is_object(F.col("reply")), F.try_variant_get("reply", "$.claims", "array<variant>"))
+    return read.select("session_id", F.posexplode(found).alias("place", "raw")).where(_is_object(F.col("raw")))
 
 
 def normal_claims(parsed: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(session_id, place, text, kind, predicate, entities, subject, from_turn,
-    valid_from) of ``parsed_claims``: blank texts go, unknown kinds are facts,
-    turns are clamped to the session's, the subject is the first entity.
+    """(session_id, place, id, text, kind, predicate, entities, subject,
+    from_turn, valid_from) of ``parsed_claims``: blank texts go, unknown kinds
+    are facts, turns are cut to whole numbers and clamped to the session's, the
+    subject is the first entity, an empty date gives way to the session's.
 
-    ``sessions``: (session_id, n_turns, date_iso)."""
+    ``sessions``: (session_id, n_turns, date_iso).  Entities that are no list
+    count as none.
+    """
     raw = F.col("raw")
-    named = F.filter(F.coalesce(raw["entities"], F.array().cast("array<string>")), lambda e: F.trim(e) != "")
+    said = lambda name: _written_out(_member(raw, name))
+    text = _stripped(F.coalesce(said("text"), F.lit("")))
+    listed = F.coalesce(F.try_variant_get(raw, "$.entities", "array<variant>"), F.array().cast("array<variant>"))
+    named = F.filter(F.transform(listed, _written_out), lambda e: _stripped(e) != "")
     norm = F.filter(F.transform(named, normalize_entity), lambda e: e != "")
-    turn = F.greatest(F.lit(0), F.least(F.coalesce(raw["from_turn"].try_cast("int"), F.lit(0)), F.col("n_turns") - 1))
-    kind = F.lower(raw["kind"])
-    return parsed.where(F.trim(raw["text"]) != "").join(sessions, "session_id").select(
-        "session_id", "place", F.trim(raw["text"]).alias("text"), F.when(kind.isin(KINDS), kind).otherwise("fact").alias("kind"),
-        normalize_predicate(F.coalesce(raw["predicate"], F.lit(""))).alias("predicate"), norm.alias("entities"),
+    turn, turn_kind = _member(raw, "from_turn"), F.schema_of_variant(_member(raw, "from_turn"))
+    whole = F.when(turn_kind == "STRING", F.when(_stripped(said("from_turn")).rlike(r"^[+-]?[0-9]+\z"), _stripped(said("from_turn")).try_cast("decimal(38,0)")))
+    whole = whole.when(turn_kind == "BOOLEAN", F.try_variant_get(turn, "$", "boolean").cast("int").cast("decimal(38,0)"))
+    number = F.try_variant_get(turn, "$", "double")
+    whole = F.coalesce(whole.otherwise(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).try_cast("decimal(38,0)")), F.lit(0))
+    turn = F.greatest(F.lit(0), F.least(whole, F.col("n_turns") - 1)).cast("int")
+    date, date_kind = said("valid_from"), F.schema_of_variant(_member(raw, "valid_from"))
+    empty = (date == "") | (date_kind == "VOID") | date.isin("False", "[]", "{}") | F.coalesce(F.try_variant_get(_member(raw, "valid_from"), "$", "double") == 0, F.lit(False)) & (date_kind != "STRING")
+    kind = F.lower(F.coalesce(said("kind"), F.lit("fact")))
+    return parsed.where(text != "").join(sessions, "session_id").select(
+        "session_id", "place", F.concat(F.col("session_id").cast("string"), F.lit("::c"), F.col("place").cast("string")).alias("id"), text.alias("text"),
+        F.when(kind.isin(KINDS), kind).otherwise("fact").alias("kind"),
+        normalize_predicate(F.coalesce(said("predicate"), F.lit(""))).alias("predicate"), norm.alias("entities"),
         F.when(F.size(named) > 0, normalize_entity(F.get(named, F.lit(0)))).otherwise("").alias("subject"),
-        turn.alias("from_turn"), F.coalesce(raw["valid_from"], F.substring("date_iso", 1, 10)).alias("valid_from"),
-    )
+        turn.alias("from_turn"), F.when(empty, None).otherwise(date).alias("valid_from"), F.substring("date_iso", 1, 10).alias("_day"),
+    ).withColumn("valid_from", F.coalesce("valid_from", "_day")).drop("_day")
 
 
 def claim_graph(sessions: DataFrame, turns: DataFrame, claims: DataFrame, dated: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,9 @@ ABSTAINS = [
     "i don't have enough information", "i do not have enough information", "not enough information", "cannot be determined from",
     "isn't mentioned in", "is not mentioned in", "no information about",
 ]
+# What ends a line, and lines of a context that are no evidence.
+LINES = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+HEADINGS = ["SESSION DATE INDEX", "CONVERSATION HISTORY", "QUESTION:"]
 # Patterns of names, long words, slot verbs and kinds.
 NAMES = r"\b[A-Z][a-zA-Z0-9]{2,}(?:\s+[A-Z][a-zA-Z0-9]{2,})*"
 LONG_WORDS = r"[A-Za-z][A-Za-z0-9']{4,}"
@@ -95,11 +98,15 @@ def terms(text: Column) -> Column:
 
 def read_answers(questions: DataFrame, context: DataFrame, key: str, order: list[str]) -> DataFrame:
     """(key, answer, overlap): the context sentence that shares most words with
-    its question, the earliest on ties; null where none shares any.
+    its question, the earliest on ties; null where none shares any.  A sentence
+    ends with its line at the latest, and headings are not read.
 
     ``questions``: (key, question); ``context``: (key, *order, text).
     """
-    s = context.select(key, *order, F.posexplode(sentences(F.col("text"), 13)).alias("_place", "answer"))
+    lines = context.select(key, *order, F.posexplode(F.split("text", LINES)).alias("_line", "text")).withColumn("text", F.trim("text"))
+    lines = lines.where(~F.col("text").rlike("^(" + "|".join(HEADINGS) + ")"))
+    order = [*order, "_line"]
+    s = lines.select(key, *order, F.posexplode(sentences(F.col("text"), 13)).alias("_place", "answer"))
     both = s.join(questions.select(key, terms(F.col("question")).alias("_q")), key).withColumn("_t", terms(F.col("answer")))
     shared = F.size(F.array_intersect("_q", "_t"))
     scored = both.where(shared > 0).withColumn("overlap", F.round(shared / (F.sqrt(F.size("_q")) * F.sqrt(F.size("_t"))), 9))

@@ -33,19 +33,28 @@ def lane_band(a: DataFrame, b: DataFrame, most: float = 0.02) -> DataFrame:
     return means.withColumn("confirmed", F.abs(F.col("lane_a") - F.col("lane_b")) <= most)
 
 
-def majority(votes: DataFrame) -> DataFrame:
-    """Per id: majority of the families' majorities; ties and families whose
-    votes could mostly not be read count for nothing."""
-    def verdict(yes, no):
-        return F.when(yes > no, True).when(yes < no, False)
+def _more(yes: Column, no: Column) -> Column:
+    return F.when(yes > no, True).when(yes < no, False)
+
 
+def family_labels(votes: DataFrame) -> DataFrame:
+    """(id, family, label) of (id, family, vote): the majority of the votes that
+    could be read; null on a tie, and where at least twice as many could not be
+    read as could."""
     per = votes.groupBy("id", "family").agg(
         F.count_if(F.col("vote") == F.lit(True)).alias("yes"), F.count_if(F.col("vote") == F.lit(False)).alias("no"), F.count("*").alias("all")
     )
-    unread = F.col("all") - F.col("yes") - F.col("no")
-    per = per.withColumn("v", F.when(unread * 2 >= F.col("all"), None).otherwise(verdict(F.col("yes"), F.col("no"))))
-    total = per.groupBy("id").agg(F.count_if("v").alias("y"), F.count_if(~F.col("v")).alias("n"))
-    return total.select("id", verdict(F.col("y"), F.col("n")).alias("verdict"), (F.col("n") == 0).alias("unanimous"))
+    cast = F.col("yes") + F.col("no")
+    return per.select("id", "family", F.when(cast * 2 > F.col("all") - cast, _more(F.col("yes"), F.col("no"))).alias("label"))
+
+
+def majority(votes: DataFrame) -> DataFrame:
+    """(id, verdict, floor, unanimous): the majority of the families' labels, ties
+    undecided; whether every family says true; whether all have one and the same
+    label, none of them null."""
+    total = family_labels(votes).groupBy("id").agg(F.count_if("label").alias("y"), F.count_if(~F.col("label")).alias("n"), F.count("*").alias("all"))
+    all_true, all_false = F.col("y") == F.col("all"), F.col("n") == F.col("all")
+    return total.select("id", _more(F.col("y"), F.col("n")).alias("verdict"), all_true.alias("floor"), (all_true | all_false).alias("unanimous"))
 
 
 def violations(rows: DataFrame, expected: int, budget: int) -> DataFrame:
@@ -120,9 +129,8 @@ def by_bucket(judged: DataFrame, types: list[str]) -> DataFrame:
 def family_accuracy(votes: DataFrame) -> DataFrame:
     """(family, n, accuracy) of (id, family, vote): a family's majority an id,
     undecided ones counted as false; no rows for an empty panel."""
-    per = votes.groupBy("id", "family").agg(F.count_if(F.col("vote") == F.lit(True)).alias("yes"), F.count_if(F.col("vote") == F.lit(False)).alias("no"), F.count("*").alias("all"))
-    right = ((F.col("all") - F.col("yes") - F.col("no")) * 2 < F.col("all")) & (F.col("yes") > F.col("no"))
-    return per.groupBy("family").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("accuracy"))
+    right = F.coalesce("label", F.lit(False)).cast("double")
+    return family_labels(votes).groupBy("family").agg(F.count("*").alias("n"), F.avg(right).alias("accuracy"))
 
 
 def stratified_sample(rows: DataFrame, allocation: DataFrame, id_col: str, stratum: str, seed: int) -> DataFrame:

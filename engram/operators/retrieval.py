@@ -2,56 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from engram.functions.columns import sound_vector
 
 #: Vectors and queries that meet in one task.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
-def _block_best(table: pa.Table, k: int) -> pa.Table:
-    """The k nearest vectors of a block for each query of a block."""
-    asks = table.column("asks").to_numpy(zero_copy_only=False)
-    ids = np.array(table.column("id").to_pylist())
-    q_ids, v_ids = ids[asks], ids[~asks]
-    if not len(q_ids) or not len(v_ids):
-        return table.slice(0, 0).select(["id"]).append_column("vec_id", table.slice(0, 0).column("id")).append_column("distance", pa.array([], pa.float64())).rename_columns(["query_id", "vec_id", "distance"])
-    x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        distance = 1 - unit[asks] @ unit[~asks].T
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; divided by their largest component first, so that no square overflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one width as rows."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _closest(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, distance) of the k nearest of each query, with those that tie with the k-th."""
+    distance = np.round(1 - q @ v.T, 9)
     distance[q_ids[:, None] == v_ids[None, :]] = np.inf
-    distance = np.round(distance, 9)
     some = min(k, len(v_ids))
-    # the k-th smallest of each query; ties at it stay, the ids decide among all blocks
     kth = np.partition(distance, some - 1, axis=1)[:, some - 1]
     a, b = np.nonzero((distance <= kth[:, None]) & (distance < np.inf))
-    kind = table.schema.field("id").type
-    return pa.table({"query_id": pa.array(q_ids[a].tolist(), kind), "vec_id": pa.array(v_ids[b].tolist(), kind), "distance": pa.array(distance[a, b], pa.float64())})
+    return a, b, distance[a, b]
+
+
+def _hits(q_ids: np.ndarray, v_ids: np.ndarray, found: tuple, kind: pa.DataType) -> pa.Table:
+    a, b, distance = found
+    return pa.table({"query_id": pa.array(q_ids[a].tolist(), kind), "vec_id": pa.array(v_ids[b].tolist(), kind), "distance": pa.array(distance, pa.float64())})
+
+
+def _block_best(table: pa.Table, k: int) -> pa.Table:
+    """The k nearest vectors of a block for each query of a block."""
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    ids, kind = np.array(table.column("id").to_pylist()), table.schema.field("id").type
+    if asks.all() or not asks.any():
+        return _hits(ids, ids, (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), kind)
+    x = unit_rows(matrix(table.column("v")))
+    return _hits(ids[asks], ids[~asks], _closest(ids[asks], x[asks], ids[~asks], x[~asks], k), kind)
+
+
+def _scan_best(asked: pa.Table, k: int):
+    """For a few queries: what is nearest to each in a partition, batch by batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, widths = np.array(asked.column("id").to_pylist()), np.array(asked.column("width").to_pylist())
+        by_width = {w: (q_ids[widths == w], unit_rows(matrix(asked.filter(pa.array(widths == w)).column("v")))) for w in set(widths.tolist())}
+        kind, held = asked.schema.field("id").type, []
+
+        def cut() -> pa.Table:
+            every = pa.concat_tables(held).sort_by([("query_id", "ascending"), ("distance", "ascending"), ("vec_id", "ascending")])
+            ids = np.array(every.column("query_id").to_pylist())
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)]))
+            return every.filter(pa.array(place < k))
+
+        for batch in batches:
+            width = batch.column("width").to_numpy(zero_copy_only=False)
+            for w in set(width.tolist()) & set(by_width):
+                some = batch.filter(pa.array(width == w))
+                v_ids, v = np.array(some.column("id").to_pylist()), unit_rows(matrix(some.column("v")))
+                own, q = by_width[w]
+                held.append(_hits(own, v_ids, _closest(own, q, v_ids, v, k), kind))
+            if sum(map(len, held)) > 4 * k * len(q_ids):
+                held[:] = [cut()]
+        if held and sum(map(len, held)):
+            yield from cut().combine_chunks().to_batches()
+
+    return run
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, distance, rank): exact cosine neighbours of a stated
     set of queries among all vectors of their width, a query's own id left out.
 
-    Blocks of queries meet blocks of vectors, one matrix product each; what a
-    task holds is bounded, and of each pair of blocks k rows a query go on.
+    Vectors without a direction (null, zero, or with a component that is null or
+    not finite) neither ask nor are found.  Up to QUERY_BLOCK queries are handed
+    to every task, which reads its vectors where they are and passes k rows a
+    query on.  More queries meet the vectors block by block, one matrix product
+    each; what a task holds is bounded either way.
     """
-    v_blocks, q_blocks = (max(1, -(-t.count() // n)) for t, n in ((vectors, VECTOR_BLOCK), (queries, QUERY_BLOCK)))
+    def sound(df: DataFrame) -> DataFrame:
+        return df.where(sound_vector(F.col("embedding"))).select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("width"))
+
+    asking, found = sound(queries), sound(vectors)
+    kind = dict(vectors.dtypes)["vec_id"]
+    schema = f"query_id {kind}, vec_id {kind}, distance double"
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    few = asking.limit(QUERY_BLOCK + 1).toArrow()
+    if len(few) <= QUERY_BLOCK:
+        best = found.mapInArrow(_scan_best(few, k), schema)
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    v_blocks, q_blocks = (max(1, -(-t.count() // n)) for t, n in ((found, VECTOR_BLOCK), (asking, QUERY_BLOCK)))
 
     def dealt(df: DataFrame, asks: bool) -> DataFrame:
         own, other = (q_blocks, v_blocks) if asks else (v_blocks, q_blocks)
-        mine, theirs = F.pmod(F.xxhash64("vec_id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
-        rows = df.where("embedding is not null").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.size("embedding").alias("width"), F.lit(asks).alias("asks"), mine.alias("mine"), theirs.alias("theirs"))
+        mine, theirs = F.pmod(F.xxhash64("id"), F.lit(own)), F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+        rows = df.select("*", F.lit(asks).alias("asks"), mine.alias("mine"), theirs.alias("theirs"))
         qb, vb = ("mine", "theirs") if asks else ("theirs", "mine")
         return rows.select("id", "v", "width", "asks", F.col(qb).cast("int").alias("qb"), F.col(vb).cast("int").alias("vb"))
 
-    kind = dict(vectors.dtypes)["vec_id"]
-    schema = f"query_id {kind}, vec_id {kind}, distance double"
-    best = dealt(queries, True).union(dealt(vectors, False)).groupBy("width", "qb", "vb").applyInArrow(lambda t: _block_best(t, k), schema)
-    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    best = dealt(asking, True).union(dealt(found, False)).groupBy("width", "qb", "vb").applyInArrow(lambda t: _block_best(t, k), schema)
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -98,12 +158,13 @@ def coverage(terms: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def turn_chunks(turns: DataFrame, window: int = 4, stride: int = 2) -> DataFrame:
-    """Windows of ``window`` turns every ``stride``; the last one reaches the end."""
+    """Windows of ``window`` turns, each a line ``role: text``, every ``stride``;
+    the last one reaches the end."""
     n = F.count("*").over(Window.partitionBy("conv_id"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     ahead = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(0, window - 1)
     whole = turns.withColumn("n", n).withColumn("start", place)
-    whole = whole.withColumn("n_turns", F.count("*").over(ahead)).withColumn("chunk", F.array_join(F.collect_list("text").over(ahead), "\n"))
+    whole = whole.withColumn("n_turns", F.count("*").over(ahead)).withColumn("chunk", F.array_join(F.collect_list(F.concat("role", F.lit(": "), F.coalesce("text", F.lit("")))).over(ahead), "\n"))
     first = (F.col("start") % stride == 0) & ((F.col("start") == 0) | (F.col("start") - stride + window < F.col("n")))
     return whole.where(first).select("conv_id", "start", "n_turns", "chunk")
 

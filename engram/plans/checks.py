@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import columns as C
 from engram.operators import answering as A, graph as G, memory as M, metrics as X, retrieval as R
-from engram.plans.registry import EDITS, JUDGED, _judged, query
+from engram.plans.registry import EDITS, JUDGED, VOTES, _judged, _votes, query
 from engram.sources import tables as S
 
 FAMILIES = " ".join(f"when {' or '.join(f"contains(m, '{n}')" for n in needles)} then '{family}'" for family, needles in C.MODEL_FAMILIES.items())
@@ -86,12 +86,9 @@ def qa_buckets(spark, sf):
     return X.by_bucket(_judged(spark, sf), ["src2", "src0", "src1"]).withColumn("place", F.col("place").cast("int"))
 
 
-@query("""with v as (select l_orderkey as id, l_suppkey % 3 as family, case when l_linenumber % 4 = 0 then null else l_quantity > 25 end as vote from lineitem),
-p as (select id, family, count(*) filter (where vote) as yes, count(*) filter (where not vote) as no, count(*) as n from v group by 1, 2)
-select family, count(*) as n, avg(((n - yes - no) * 2 < n and yes > no)::int) as accuracy from p group by 1""")
+@query(f"with {VOTES} select family, count(*) as n, avg(case when label then 1.0 else 0.0 end) as accuracy from labels_of group by 1")
 def panel_families(spark, sf):
-    l = S.table(spark, sf, "lineitem")
-    return X.family_accuracy(l.select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 3).alias("family"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity") > 25).alias("vote")))
+    return X.family_accuracy(_votes(spark, sf))
 
 
 @query("""with c as (select source as stratum, count(*) as n from documents group by 1), s as (select *, floor(n * 100 / sum(n) over ()) as base,
@@ -152,16 +149,37 @@ def coerced(spark, sf):
     return S.table(spark, sf, "documents").where(n != 3).select("doc_id", C.coerce(v, "boolean").alias("as_bool"))
 
 
-@query("""with r as (select conv_id as session_id, count(*) as n_turns from conversations group by 1)
-select session_id, cast(0 as int) as place, 'seen ' || session_id as text, case when session_id % 3 = 0 then 'preference' else 'fact' end as kind, 'likes_tea' as predicate, 'green tea|session' as entities,
-'green tea' as subject, cast(least(greatest(session_id - 5, 0), n_turns - 1) as int) as from_turn, '2023-04-10' as valid_from from r where session_id % 4 <> 3""")
+#: Replies as extraction gives them, by session modulo their number: (text, claims found as
+#: (place, text, kind, predicate, entities, subject, from_turn, valid_from)); %d is the session.
+REPLIES = [
+    ('```json\n{"claims": [{"text": " seen %d ", "kind": "Preference", "predicate": "Likes Tea!", "entities": ["Green--Tea", " ", "Session"], "from_turn": "1"}, {"text": " "}]}\n```',
+     [(0, "seen %d", "preference", "likes_tea", "green tea|session", "green tea", 1, "2023-04-10")]),
+    ('Here: {"claims": [{"text": "\\n c \\n", "kind": "guess", "from_turn": 2.7, "valid_from": ""}]} Done.', [(0, "c", "fact", "unspecified", "", "", 2, "2023-04-10")]),
+    ('[{"claims": [{"text": "in a list"}]}]', []),
+    ("no claims { here", []),
+    ('{"claims": [5, {"text": 7, "kind": null, "entities": "tea", "from_turn": true, "valid_from": "2020-01-02"}, {"text": true, "from_turn": -3, "entities": [12, null]}]}',
+     [(1, "7", "fact", "unspecified", "", "", 1, "2020-01-02"), (2, "True", "fact", "unspecified", "12|none", "12", 0, "2023-04-10")]),
+    ('{"claims": [{"text": null, "from_turn": "2.7", "predicate": null, "valid_from": 0}, {"kind": "event"}, {"text": "late", "from_turn": 99}]}',
+     [(0, "None", "fact", "none", "", "", 0, "2023-04-10"), (2, "late", "fact", "unspecified", "", "", 99, "2023-04-10")]),
+    ('{"answer": []}', []), ('{"claims": {"text": "no list"}}', []), ("", []),
+]
+
+
+def _replies_sql() -> str:
+    rows = [f"({i}, {', '.join(repr(x) if isinstance(x, str) else str(x) for x in c)})" for i, (_, found) in enumerate(REPLIES) for c in found]
+    return f"""with s as (select conv_id as session_id, cast(count(*) as int) as n_turns from conversations group by 1),
+    found(reply, place, text, kind, predicate, entities, subject, from_turn, valid_from) as (values {", ".join(rows)})
+    select session_id, cast(place as int) as place, session_id || '::c' || place as id, replace(text, '%d', cast(session_id as varchar)) as text, kind, predicate, entities, subject,
+      cast(least(from_turn, n_turns - 1) as int) as from_turn, valid_from from s join found on session_id % {len(REPLIES)} = reply"""
+
+
+@query(_replies_sql())
 def claims_parsed(spark, sf):
-    """Replies as extraction gives them: fenced, amid prose, bare, and without JSON."""
+    """Replies as extraction gives them: fenced, amid prose, bare, without JSON,
+    JSON of other kinds, and members of other types than asked for."""
     s = S.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.count("*").cast("int").alias("n_turns")).withColumn("date_iso", F.lit("2023-04-10T17:50"))
-    n = F.col("session_id")
-    kind = F.when(n % 3 == 0, "Preference").otherwise("guess")
-    body = F.format_string('{"claims": [{"text": " seen %d ", "kind": "%s", "predicate": "Likes Tea!", "entities": ["Green--Tea", " ", "Session"], "from_turn": "%d"}, {"text": " "}]}', n, kind, n - 5)
-    reply = F.when(n % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n % 4 == 1, F.concat(F.lit("Here: "), body, F.lit(" Done."))).when(n % 4 == 2, body).otherwise("no claims { here")
+    text = F.get(F.array(*(F.lit(t) for t, _ in REPLIES)), F.pmod("session_id", F.lit(len(REPLIES))).cast("int"))
+    reply = F.replace(text, F.lit("%d"), F.col("session_id").cast("string"))
     found = A.normal_claims(A.parsed_claims(s.select("session_id", reply.alias("reply"))), s)
     return found.withColumn("entities", F.array_join("entities", "|"))
 

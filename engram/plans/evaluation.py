@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import columns as C
 from engram.operators import extraction as E, graph as G, memory as M, metrics as X, retrieval as R
-from engram.plans.registry import EDITS, HOUR, JUDGED, LOG, _judged, query, ring_sql
+from engram.plans.registry import EDITS, HOUR, JUDGED, LOG, VOTES, _judged, _votes, query, ring_sql
 from engram.sources import tables as S
 
 SPLIT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
@@ -78,17 +78,10 @@ def set_sizes(spark, sf):
     return _judged(spark, sf).groupBy("question_type").agg(F.round(F.avg("returned"), 6).alias("mean"), F.min("returned").alias("least"), F.max("returned").alias("most"))
 
 
-@query("""with v as (select l_orderkey as id, l_suppkey % 3 as family, case when l_linenumber % 4 = 0 then null else l_quantity > 25 end as vote from lineitem),
-p as (select id, family, count(*) filter (where vote) as yes, count(*) filter (where not vote) as no, count(*) as n from v group by 1, 2),
-f as (select id, case when (n - yes - no) * 2 >= n then null when yes > no then true when yes < no then false end as v from p),
-t as (select id, count(*) filter (where v) as y, count(*) filter (where not v) as n from f group by 1),
-r as (select case when y > n then true when y < n then false end as verdict, n = 0 as unanimous from t)
-select count(*) as n, round(avg(coalesce(verdict, false)::int), 9) as maj3, round(avg((coalesce(verdict, false) and unanimous)::int), 9) as floor,
-count(*) filter (where verdict is null) as undecided, round(avg(unanimous::int), 9) as unanimous_rate from r""")
+@query(f"""with {VOTES} select count(*) as n, round(avg(coalesce(verdict, false)::int), 9) as maj3, round(avg(floor::int), 9) as floor,
+count(*) filter (where verdict is null) as undecided, round(avg(unanimous::int), 9) as unanimous_rate from verdicts""")
 def panel_summary(spark, sf):
-    l = S.table(spark, sf, "lineitem")
-    m = X.majority(l.select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 3).alias("family"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity") > 25).alias("vote")))
-    return E.panel_summary(m.withColumn("floor", F.col("verdict") & F.col("unanimous")))
+    return E.panel_summary(X.majority(_votes(spark, sf)))
 
 
 @query("""with r as (select l.doc_id, case when toxic = 1 then 'I cannot say; no information about it' when quality = 1 then 'Sure: {"verdict": true} yes' when d.n_chars % 2 = 0 then 'verdict = False' else '' end as reply

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from engram.functions import columns as C
 from engram.functions.embed import embed
 from engram.operators import extraction as E, graph as G, memory as M, metrics as X, retrieval as R
+from engram.operators.novelty import gate
+from engram.operators.steps import shared_folder
 from engram.sources import tables as S
-from engram.streaming.log import novelty_gate
+from engram.streaming.derived import coedited_now, finalize_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,6 +45,19 @@ JUDGED = """judged as (
   from labels join documents d using (doc_id))"""
 
 
+#: Votes of three families an order; even lines and some quantities could not be read.
+VOTES = """votes as (select l_orderkey as id, l_suppkey % 3 as family, case when l_linenumber % 2 = 0 or l_quantity % 5 = 0 then null else l_quantity > 25 end as vote from lineitem),
+cast_votes as (select id, family, count(*) as n, count(vote) as n_cast, sum(case when vote then 1 else 0 end) as n_true from votes group by 1, 2),
+labels_of as (select id, family, case when n_cast = 0 or n_cast * 2 <= n - n_cast or n_true * 2 = n_cast then null else n_true * 2 > n_cast end as label from cast_votes),
+verdicts as (select id, case when count(label) = 0 or count(*) filter (where label) = count(*) filter (where not label) then null else count(*) filter (where label) > count(*) filter (where not label) end as verdict,
+  bool_and(label is not distinct from true) as floor, count(distinct coalesce(label::varchar, 'none')) = 1 and min(coalesce(label::varchar, 'none')) <> 'none' as unanimous from labels_of group by 1)"""
+
+
+def _votes(spark, sf):
+    unread = (F.col("l_linenumber") % 2 == 0) | (F.col("l_quantity") % 5 == 0)
+    return S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 3).alias("family"), F.when(~unread, F.col("l_quantity") > 25).alias("vote"))
+
+
 def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
@@ -85,6 +101,19 @@ def coedit_windowed_1h(spark, sf):
     return G.coedited_windowed(S.edits(spark, sf), HOUR)
 
 
+@query(coedit_sql(HOUR))
+def coedit_incremental(spark, sf):
+    """The edits in four batches by time, every tenth of them late: the derived
+    edges after the last batch are those of the whole table."""
+    e = S.edits(spark, sf).select("event_id", "actor", "page", "ts_us")
+    low, high = e.agg(F.min("ts_us"), F.max("ts_us")).first()
+    at = F.floor((F.col("ts_us") - (low or 0)) * 4 / ((high or 0) - (low or 0) + 1))
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/derived-{uuid.uuid4().hex}"
+    for number in range(4):
+        finalize_batch(e.where(F.when(F.col("event_id") % 10 == 0, 3).otherwise(at) == number), number, folder, HOUR)
+    return coedited_now(spark, folder)
+
+
 @query(f"""with {EDITS}, d as (select distinct page, actor from edits)
 select a.actor as a, b.actor as b, count(*) as weight from d a join d b on a.page = b.page and a.actor < b.actor group by 1, 2""")
 def coedit_weight(spark, sf):
@@ -325,8 +354,8 @@ def next_spine(spark, sf):
     return S.table(spark, sf, "conversations").select("conv_id", "turn", F.lead("turn").over(order).alias("next_turn")).where("next_turn is not null")
 
 
-@query("""with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) - 1 as start, count(*) over (partition by conv_id) as n from conversations)
-select a.conv_id, a.start, count(*) as n_turns, string_agg(b.text, chr(10) order by b.start) as chunk
+@query("""with t as (select conv_id, turn, role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn) - 1 as start, count(*) over (partition by conv_id) as n from conversations)
+select a.conv_id, a.start, count(*) as n_turns, string_agg(b.role || ': ' || b.text, chr(10) order by b.start) as chunk
 from t a join t b on a.conv_id = b.conv_id and b.start between a.start and a.start + 3
 where a.start % 2 = 0 and (a.start = 0 or a.start - 2 + 4 < a.n) group by a.conv_id, a.start""")
 def turn_chunks(spark, sf):
@@ -434,14 +463,9 @@ def lane_agreement(spark, sf):
     return out.select(*(F.round(c, 9).alias(c) for c in ("lane_a", "lane_b", "agreement")), "confirmed")
 
 
-@query("""with v as (select l_orderkey as id, l_suppkey % 3 as family, case when l_linenumber % 4 = 0 then null else l_quantity > 25 end as vote from lineitem),
-p as (select id, family, count(*) filter (where vote) as yes, count(*) filter (where not vote) as no, count(*) as n from v group by 1, 2),
-f as (select id, case when (n - yes - no) * 2 >= n then null when yes > no then true when yes < no then false end as v from p),
-t as (select id, count(*) filter (where v) as y, count(*) filter (where not v) as n from f group by 1)
-select id, case when y > n then true when y < n then false end as verdict, n = 0 as unanimous from t""")
+@query(f"with {VOTES} select id, verdict, floor, unanimous from verdicts")
 def majority_vote(spark, sf):
-    l = S.table(spark, sf, "lineitem")
-    return X.majority(l.select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 3).alias("family"), F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity") > 25).alias("vote")))
+    return X.majority(_votes(spark, sf))
 
 
 @query(f"""with {JUDGED}, a as (select abs(count(*) - 1000) as complete, count(*) - count(distinct question_id) as no_duplicates,
@@ -541,10 +565,22 @@ def sentence_entities(spark, sf):
     return d.select("doc_id", "place", F.xxhash64("sentence").alias("sentence_hash"), F.array_join(E.entities(F.col("sentence")), "|").alias("entities"))
 
 
-@query()
+@query("""with recursive v as (select cast(label as varchar) as graph_key, vec_id as place, embedding, row_number() over (partition by label order by vec_id) as n from embeddings),
+d as (select a.graph_key, a.n, b.n as m, round(1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double)) /
+  (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))), 9) as distance
+  from v a join v b on a.graph_key is not distinct from b.graph_key and b.n < a.n),
+near as (select graph_key, n, list(m) as near from d where distance < 0.6 group by 1, 2),
+fold as (select graph_key, n, [n] as held from v where n = 1
+  union all select f.graph_key, v.n, case when len(list_intersect(coalesce(near, []), held)) = 0 then list_append(held, v.n) else held end
+  from fold f join v on v.graph_key is not distinct from f.graph_key and v.n = f.n + 1 left join near on near.graph_key is not distinct from v.graph_key and near.n = v.n),
+taken as (select graph_key, unnest(held) as m from (select graph_key, arg_max(held, n) as held from fold group by 1)),
+least as (select d.graph_key, d.n, min(distance) as distance from d join taken t on t.graph_key is not distinct from d.graph_key and t.m = d.m group by 1, 2)
+select v.graph_key, place, distance, t.m is not null as admitted from v left join least l on l.graph_key is not distinct from v.graph_key and l.n = v.n
+left join taken t on t.graph_key is not distinct from v.graph_key and t.m = v.n""")
 def gate_vectors(spark, sf):
+    """Vectors of each label in order, each admitted if none admitted before is nearer than 0.6."""
     v = S.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("graph_key"), F.col("vec_id").alias("place"), "embedding")
-    return novelty_gate(v, 0.6).withColumn("distance", F.round("distance", 9))
+    return gate(v, 0.6)
 
 
 @query()

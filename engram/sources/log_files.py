@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from engram.functions.columns import date_iso, stable_id
+
 RAW_EVENT = (
     "type string, user string, bot boolean, title string, wiki string, server_name string, title_url string, notify_url string, "
     "timestamp double, comment string, length struct<old:bigint,new:bigint>, meta struct<id:string,offset:bigint>, id string"
@@ -13,19 +15,40 @@ RAW_EVENT = (
 def read_ndjson(spark: SparkSession, path: str, limit: int | None = None, schema: str = RAW_EVENT) -> DataFrame:
     """Rows of a JSON-lines file; blank and unreadable lines are skipped, and
     ``limit`` counts the rows that could be read."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"), "value")
-    rows = parsed.where(F.col("e").isNotNull() & F.get_json_object("value", "$").startswith("{")).select("e.*")
+    rows = parse_lines(spark.read.text(path), schema)
     return rows.limit(limit) if limit is not None else rows
 
 
+def parse_lines(lines: DataFrame, schema: str = RAW_EVENT) -> DataFrame:
+    """JSON objects out of (value) lines, of a batch or a stream; other lines are skipped."""
+    parsed = lines.where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e"), "value")
+    return parsed.where(F.col("e").isNotNull() & F.get_json_object("value", "$").startswith("{")).select("e.*")
+
+
+# Fixed value: the public stream that a live source means.
+LIVE_URL = "https://stream.wikimedia.org/v2/stream/recentchange"
+
+
 def resolve_source(source: str) -> tuple[str, str]:
     """(kind, address) of a source name: live stream, web address or file."""
-    if source in ("sse", "live", "wikimedia") or source.startswith(("http://", "https://")):
+    if source in ("sse", "live", "wikimedia"):
+        return "stream", LIVE_URL
+    if source.startswith(("http://", "https://")):
         return "stream", source
     return "file", source.removeprefix("file://")
 
 
+def open_source(spark: SparkSession, source: str, rows: int = 1000, seconds: float = 5, limit: int | None = None, schema: str = RAW_EVENT) -> DataFrame:
+    """The raw events that a source name stands for, as a stream: a live source,
+    at most ``rows`` a trigger and ``limit`` in all, or the lines of a file or folder."""
+    kind, address = resolve_source(source)
+    if kind == "stream":
+        from engram.sources.live import follow_live
+
+        return parse_lines(follow_live(spark, address, rows, seconds, limit), schema)
+    return parse_lines(spark.readStream.option("maxFilesPerTrigger", 8).text(address), schema)
+
+
 def read_pinned_json(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
     """A JSON list of records; with ``sha256`` the file must have that digest."""
     if sha256 is not None:
@@ -36,12 +59,20 @@ def read_pinned_json(spark: SparkSession, path: str, sha256: str | None = None)
 
 
 def map_events(raw: DataFrame) -> DataFrame:
-    """Raw change events to edits; rows without user or title go."""
-    by = F.coalesce(F.col("meta.id"), F.col("id"), F.sha2(F.concat_ws("\x1f", "user", "title", F.col("timestamp").cast("string")), 256))
+    """Raw change events to edits; rows without user or title go.
+
+    An empty value falls through to the next like a missing one.  Without an id
+    it is ``evt_`` and 16 hex digits of the hash of user, title and time, a time
+    in whole seconds written without a point.
+    """
+    time = F.col("timestamp")
+    as_text = F.coalesce(F.when(time == F.floor(time), F.floor(time).cast("string")).otherwise(time.cast("string")), F.lit(""))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    by = F.coalesce(some("meta.id"), some("id"), stable_id("evt", F.col("user"), F.col("title"), as_text))
     return raw.where("user is not null and user <> '' and title is not null and title <> ''").select(
         by.alias("event_id"), F.col("user").alias("actor"), F.coalesce("bot", F.lit(False)).alias("is_bot"), "title",
         F.coalesce(F.nullif("wiki", F.lit("")), F.nullif("server_name", F.lit("")), F.lit("unknown")).alias("wiki"),
-        F.coalesce("title_url", "notify_url", F.lit("")).alias("url"), F.coalesce("timestamp", F.lit(0.0)).alias("ts"),
+        F.coalesce(some("title_url"), some("notify_url"), F.lit("")).alias("url"), F.coalesce("timestamp", F.lit(0.0)).alias("ts"),
         (F.coalesce("length.new", F.lit(0)) - F.coalesce("length.old", F.lit(0))).alias("bytes_delta"),
         F.coalesce("comment", F.lit("")).alias("summary"), F.coalesce(F.nullif("type", F.lit("")), F.lit("edit")).alias("kind"),
         F.coalesce("meta.offset", F.lit(-1)).alias("offset"),
@@ -58,8 +89,6 @@ def questions_to_turns(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
     zipped = checked.where("_same is null").select(
         "question_id", F.explode(F.arrays_zip("haystack_dates", "haystack_session_ids", "haystack_sessions")).alias("z")
     )
-    from engram.functions.columns import date_iso
-
     s = zipped.select("question_id", F.col("z.haystack_session_ids").alias("session_id"), date_iso(F.col("z.haystack_dates")).alias("date_iso"), F.col("z.haystack_sessions").alias("turns"))
     order = Window.partitionBy("question_id").orderBy(F.col("date_iso") == "", "date_iso", "session_id")
     sessions = s.withColumn("ordinal", F.row_number().over(order) - 1)

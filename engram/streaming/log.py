@@ -1,4 +1,4 @@
-"""The event log as files, the novelty gate, and replay with parity digests."""
+"""The event log as files, the novelty gate over batches, and replay with parity digests."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from engram.operators.memory import bucket_digests
-from engram.operators.steps import numbered, written
+from engram.operators.novelty import gate
+from engram.operators.steps import numbered, spent, written
 
 #: Offsets of a partition that share one row of state.
 BLOCK = 1 << 16
@@ -106,60 +107,39 @@ def same_records(a: DataFrame, b: DataFrame) -> bool:
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 
 
-def novelty_gate(rows: DataFrame, threshold: float, group: str = "graph_key", order: str = "place", vector: str = "embedding") -> DataFrame:
-    """``rows`` with ``distance`` to the nearest admitted row and ``admitted``.
-
-    In each group in order: a row is admitted when its distance to all
-    admitted rows so far is at least ``threshold``; the first always is.  The
-    fold needs a group's order, so groups run in parallel and a group's
-    admitted vectors, not its rows, are held.
-    """
-    schema = f"{group} string, {order} bigint, distance double, admitted boolean"
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, current = np.zeros((0, 0)), 0, object()
-        for f in frames:
-            out = []
-            for g, place, v in zip(f[group], f[order], f[vector]):
-                x = np.asarray(v, np.float64)
-                x = x / np.linalg.norm(x)
-                if g != current:
-                    current, held, size = g, np.zeros((64, len(x))), 0
-                distance = 1 - float((held[:size] @ x).max()) if size else None
-                admitted = distance is None or distance >= threshold
-                if admitted:
-                    if size == len(held):
-                        held = np.concatenate([held, np.zeros_like(held)])
-                    held[size] = x
-                    size += 1
-                out.append((g, place, distance, admitted))
-            yield pd.DataFrame(out, columns=[group, order, "distance", "admitted"])
-
-    dealt = rows.select(group, order, vector).repartition(group).sortWithinPartitions(group, order)
-    return dealt.mapInPandas(fold, schema)
-
-
-def gate_stream(rows: DataFrame, threshold: float | None, group: str = "graph_key", order: str = "place", vector: str = "embedding") -> DataFrame:
-    """The novelty gate over a stream: (group, order, distance, admitted).
-
-    State holds a group's admitted vectors from batch to batch; rows of a batch
-    are taken in their order.  With ``threshold`` None the gate is off: all rows
-    are admitted, and their distances are still told.
+def _earlier(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame | None:
+    """What batches before ``number`` wrote to ``path``; None if there is nothing."""
+    try:
+        return spark.read.schema(schema + ", batch long").parquet(path).where(F.col("batch") < number)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def gate_batch(batch: DataFrame, number: int, folder: str, threshold: float | None, group: str = "graph_key", order: str = "place", vector: str = "embedding") -> None:
+    """Hold one batch against what earlier ones admitted; writes its verdicts and
+    the vectors it admits under its own number, so that a batch that runs again
+    replaces itself and is judged alike."""
+    kinds = dict(batch.dtypes)
+    known = _earlier(batch.sparkSession, f"{folder}/admitted", f"{group} {kinds[group]}, {vector} {kinds[vector]}", number)
+    rows = written(batch.select(group, order, vector), "gate-batch")
+    said = written(gate(rows, threshold, known, group, order, vector), "gate-said")
+    said.write.mode("overwrite").parquet(f"{folder}/verdicts/batch={number}")
+    taken = said.where("admitted").select(F.col(group).alias("_g"), F.col(order).alias("_o"))
+    held = rows.join(taken, F.col(group).eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_o"))).select(group, vector)
+    held.write.mode("overwrite").parquet(f"{folder}/admitted/batch={number}")
+    spent(rows, said)
+
+
+def gate_stream(stream: DataFrame, threshold: float | None, folder: str, checkpoint: str, group: str = "graph_key", order: str = "place", vector: str = "embedding") -> DataFrame:
+    """The novelty gate over what a stream holds now: verdicts (group, order,
+    distance, admitted, batch) of all batches so far.
+
+    Rows of a batch are taken in their order, after all earlier batches.  What
+    was admitted lies in ``folder`` as rows, and meets a batch block by block;
+    no task or state value holds a graph.
     """
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(frames)).sort_values(order)
-        x = np.stack([np.asarray(v, np.float64) for v in frame[vector]])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        held = list(np.frombuffer(state.get[0], np.float64).reshape(-1, x.shape[1])) if state.exists else []
-        out = []
-        for place, v in zip(frame[order], x):
-            distance = 1 - float(max(np.array(held) @ v)) if held else None
-            admitted = distance is None or threshold is None or distance >= threshold
-            if admitted:
-                held.append(v)
-            out.append((key[0], place, distance, admitted))
-        state.update((np.array(held).tobytes(),))
-        yield pd.DataFrame(out, columns=[group, order, "distance", "admitted"])
-
-    schema = f"{group} string, {order} bigint, distance double, admitted boolean"
-    return rows.select(group, order, vector).groupBy(group).applyInPandasWithState(fold, schema, "held binary", "append", "NoTimeout")
+    run = lambda batch, number: gate_batch(batch, number, folder, threshold, group, order, vector)
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/verdicts")

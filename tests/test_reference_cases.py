@@ -10,6 +10,7 @@ from engram.functions import columns as C
 from engram.functions.embed import embed, trigram_vector, word_vector
 from engram.operators import graph as G, memory as M, metrics as X, retrieval as R
 from engram.sources import log_files as L
+from engram.operators.novelty import gate
 from engram.streaming import log as SL
 
 S = 1_000_000
@@ -217,11 +218,9 @@ def test_gate_stream_keeps_what_it_admitted(spark, tmp_path):
     schema = "graph_key string, place long, embedding array<float>"
     for part in (rows[:25], rows[25:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
-        stream = SL.gate_stream(spark.readStream.schema(schema).parquet(path), 0.15)
-        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-    got = {r.place: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {r.place: r.admitted for r in SL.novelty_gate(spark.createDataFrame(rows, schema), 0.15).collect()}
+        out = SL.gate_stream(spark.readStream.schema(schema).parquet(path), 0.15, str(tmp_path / "gate"), str(tmp_path / "c"))
+    got = {r.place: r.admitted for r in out.collect()}
+    want = {r.place: r.admitted for r in gate(spark.createDataFrame(rows, schema), 0.15).collect()}
     assert got == want and 0 < sum(got.values()) < 40
 
 
@@ -285,7 +284,7 @@ def test_gate_equals_a_plain_fold(spark):
     rng = np.random.default_rng(1)
     rows = [(f"g{i % 2}", i, [float(x) for x in rng.normal(0, 1, 3)]) for i in range(80)]
     df = spark.createDataFrame(rows, "graph_key string, place long, embedding array<float>").repartition(5)
-    got = {r.place: r.admitted for r in SL.novelty_gate(df, 0.15).collect()}
+    got = {r.place: r.admitted for r in gate(df, 0.15).collect()}
     for g in ("g0", "g1"):
         held = []
         for _, place, v in (r for r in rows if r[0] == g):
