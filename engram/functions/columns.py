@@ -126,6 +126,25 @@ def coerce(x: Column, kind: str) -> Column:
     return as_text
 
 
+# Labels of nodes, types of blocks, and words that stand for a type and a kind.
+NODE_LABELS = ["Actor", "Page", "Wiki", "Event", "Entity", "Claim", "Case", "Agent", "Assertion", "Action"]
+BLOCK_TYPES = ["note", "snippet", "doc", "code", "trace", "decision", "anti-pattern", "dataset", "exploit", "kg", "conversation", "utterance", "other"]
+NOT_BLOCK_TYPES = {"fix": ("decision", "fix"), "learning": ("note", "learning")}
+
+
+def block_type(given: Column, metadata: Column) -> tuple[Column, Column]:
+    """(type, metadata) of a block: none is a note, ``fix`` and ``learning`` are a
+    type and a ``kind`` in the metadata (one that is there stays); other words
+    raise when the rows are read."""
+    held = F.coalesce(metadata, F.create_map().cast("map<string,string>"))
+    kind, out = held, F.when(given.isNull() | (given == ""), "note")
+    for word, (real, name) in NOT_BLOCK_TYPES.items():
+        out = out.when(given == word, real)
+        kind = F.when((given == word) & ~F.map_contains_key(held, "kind"), F.map_concat(held, F.create_map(F.lit("kind"), F.lit(name)))).otherwise(kind)
+    unknown = F.raise_error(F.concat(F.lit("unknown block type "), given)).cast("string")
+    return out.when(given.isin(BLOCK_TYPES), given).otherwise(unknown), kind
+
+
 # Names of model families, and what a model's name holds.
 MODEL_FAMILIES = {
     "anthropic": ["claude", "anthropic", "sonnet", "opus", "haiku", "fable"],

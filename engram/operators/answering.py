@@ -151,10 +151,23 @@ def preference_pack(questions: DataFrame, claims: DataFrame, mentions: DataFrame
     return about.unionByName(rest.select("query_id", "id", "place"))
 
 
+STAGES = ["s1a", "s1b", "s1_fused", "s2", "s4", "s3_promoted", "s5", "preference_pack", "missing_entities"]
+
+
 def retrieve(questions: DataFrame, claims: DataFrame, turns: DataFrame, sessions: DataFrame, expansion: bool = True, supersede: bool = True, temporal: bool = True, sufficiency: bool = True) -> DataFrame:
-    """(query_id, part, place, claim_id, promoted, session_id, date_iso, role,
-    turn_text, missing): the items served for each question, their source turns
-    verbatim, and the names in the question that no claim mentions.
+    """What ``retrieve_counted`` serves."""
+    return retrieve_counted(questions, claims, turns, sessions, expansion, supersede, temporal, sufficiency)[0]
+
+
+def retrieve_counted(questions: DataFrame, claims: DataFrame, turns: DataFrame, sessions: DataFrame, expansion: bool = True, supersede: bool = True, temporal: bool = True, sufficiency: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(served, counts) for all questions at once.
+
+    Served are rows (query_id, part, place, claim_id, promoted, session_id,
+    date_iso, role, turn_text, missing, claim_text, predicate, kind, lineage,
+    session_rank): the items for each question, their source turns verbatim, the
+    names in the question that no claim mentions, what an item has superseded
+    (from the head down to the claim that was hit, each with its text and date),
+    and the place of its session among the question's, by first item.
 
     Nearest claims and claims of turns that hold its words are fused by rank,
     then fused with claims that share entities with the first six, and for
@@ -162,45 +175,113 @@ def retrieve(questions: DataFrame, claims: DataFrame, turns: DataFrame, sessions
     way to the head of its chain, if that is at most six steps away; twelve
     remain.  Questions about preferences get the stated ones as well, as part
     ``preference``.  The flags leave a stage out.
+
+    Counts are rows (query_id, and one column a stage of STAGES): how many claims
+    each stage found, how many gave way to a head, what was served and missed.
     """
     features = R.route(F.col("question"))
     asked = written(questions.select("query_id", "question", "embedding", features["temporal"].alias("temporal"), features["preference"].alias("preference")), "asked")
     mentions = claims.select("id", F.explode(F.array_distinct("entities")).alias("entity"))
+    stages = []
+
+    def counted(stage: str, rows: DataFrame) -> DataFrame:
+        stages.append(rows.select("query_id", F.lit(stage).alias("stage")))
+        return rows
 
     vectors = claims.where("embedding is not null").select(F.col("id").alias("vec_id"), "embedding")
-    near = R.nearest(asked.select(F.col("query_id").alias("vec_id"), "embedding"), vectors, LANE).select("query_id", F.col("vec_id").alias("id"), "rank")
+    near = R.nearest(asked.select(F.col("query_id").alias("vec_id"), "embedding"), vectors, LANE).select("query_id", F.col("vec_id").alias("id"), "rank", F.lit("s1a").alias("lane"))
     terms = asked.select("query_id", F.explode(search_terms(F.col("question"))).alias("term"))
     hits = R.term_hits(turns.select(F.struct("session_id", "turn").alias("doc_id"), "text"), terms, LANE).select("query_id", "doc_id.session_id", "doc_id.turn", F.col("rank").alias("turn_rank"))
     order = Window.partitionBy("query_id").orderBy("turn_rank", "id")
-    words = hits.join(claims.select("id", "session_id", "turn"), ["session_id", "turn"]).withColumn("rank", F.row_number().over(order)).select("query_id", "id", "rank")
+    words = hits.join(claims.select("id", "session_id", "turn"), ["session_id", "turn"]).withColumn("rank", F.row_number().over(order)).select("query_id", "id", "rank", F.lit("s1b").alias("lane"))
+    lanes = written(near.unionByName(words), "lanes")
+    lists = [counted(lane, lanes.where(F.col("lane") == lane)) for lane in ("s1a", "s1b")]
     everything = 10**9
-    fused = written(R.fuse_ranks([near, words], everything).select("query_id", "id", F.col("place").alias("rank")), "fused")
+    fused = counted("s1_fused", written(R.fuse_ranks(lists, everything).select("query_id", "id", F.col("place").alias("rank")), "fused"))
     found = fused
     if expansion:
-        found = R.fuse_ranks([found, expand_each(fused.where(F.col("rank") <= max(4, FINAL // 2)), mentions, FANOUT)], everything).select("query_id", "id", F.col("place").alias("rank"))
+        shared = counted("s2", written(expand_each(fused.where(F.col("rank") <= max(4, FINAL // 2)), mentions, FANOUT), "expanded"))
+        found = R.fuse_ranks([found, shared], everything).select("query_id", "id", F.col("place").alias("rank"))
     if temporal:
         dated = claims.join(sessions.where("date_iso <> ''"), "session_id").orderBy("date_iso", "id").limit(WINDOW)
         dated = dated.withColumn("rank", F.row_number().over(Window.orderBy("date_iso", "id"))).select("id", "rank")
-        window = asked.where("temporal").select("query_id").crossJoin(F.broadcast(dated))  # WINDOW rows
+        window = counted("s4", asked.where("temporal").select("query_id").crossJoin(F.broadcast(dated)))  # WINDOW rows
         found = R.fuse_ranks([found, window], everything).select("query_id", "id", F.col("place").alias("rank"))
-    found = found.withColumn("promoted", F.lit(False))
+    found = found.select("query_id", "id", "rank", F.lit(False).alias("promoted"), F.lit(None).cast(dict(claims.dtypes)["id"]).alias("origin"))
+    heads = None
     if supersede:
         pairs = G.supersede_pairs(claims.where("subject <> ''")).where("relation = 'supersedes'").select("newer", "older")
-        heads = G.supersede_heads(pairs, claims.select("id", F.col("valid_us").alias("clock"))).where(F.col("depth") <= CHAIN).select("id", "head")
-        led = found.join(heads, "id", "left").withColumn("head", F.when(F.col("rank") <= PROMOTED, F.col("head")))
-        found = led.select("query_id", F.coalesce("head", "id").alias("id"), "rank", F.col("head").isNotNull().alias("promoted"))
-        found = found.groupBy("query_id", "id").agg(F.min("rank").alias("rank"), F.max("promoted").alias("promoted"))
+        heads = written(G.supersede_heads(pairs, claims.select("id", F.col("valid_us").alias("clock"))), "heads")
+        led = found.drop("promoted", "origin").join(heads.where(F.col("depth") <= CHAIN).select("id", "head"), "id", "left").withColumn("head", F.when(F.col("rank") <= PROMOTED, F.col("head")))
+        led = written(led.select("query_id", F.coalesce("head", "id").alias("id"), "rank", F.col("head").isNotNull().alias("promoted"), F.when(F.col("head").isNotNull(), F.col("id")).alias("origin")), "led")
+        counted("s3_promoted", led.where("promoted"))
+        found = led.groupBy("query_id", "id").agg(F.min("rank").alias("rank"), F.max("promoted").alias("promoted"), F.min_by("origin", F.when(F.col("promoted"), F.col("rank"))).alias("origin"))
     final = Window.partitionBy("query_id").orderBy("rank")
-    items = written(found.withColumn("place", F.row_number().over(final)).where(F.col("place") <= FINAL).select("query_id", F.lit("item").alias("part"), "place", "id", "promoted"), "items")
+    items = counted("s5", written(found.withColumn("place", F.row_number().over(final)).where(F.col("place") <= FINAL).select("query_id", F.lit("item").alias("part"), "place", "id", "promoted", "origin"), "items"))
     pack = preference_pack(asked.where("preference"), claims, mentions).join(items.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    served = items.unionByName(pack.select("query_id", F.lit("preference").alias("part"), "place", "id", F.lit(False).alias("promoted")))
+    counted("preference_pack", pack)
+    served = items.unionByName(pack.select("query_id", F.lit("preference").alias("part"), "place", "id", F.lit(False).alias("promoted"), F.lit(None).cast(dict(items.dtypes)["origin"]).alias("origin")))
 
     named = asked.select("query_id", F.explode(question_entities(F.col("question"))).alias("entity"))
-    absent = named.join(mentions.select("entity").distinct(), "entity", "left_anti").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("entity")), "|").alias("missing"))
-    source = claims.select("id", "session_id", "turn").join(turns.withColumnRenamed("text", "turn_text"), ["session_id", "turn"], "left").join(sessions, "session_id", "left")
+    unknown = named.join(mentions.select("entity").distinct(), "entity", "left_anti")
+    if sufficiency:
+        counted("missing_entities", unknown)
+    absent = unknown.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("entity")), "|").alias("missing"))
+    day = F.coalesce(F.date_format(F.timestamp_micros("valid_us"), "yyyy-MM-dd"), F.lit(""))
+    said = claims.select("id", "session_id", "turn", F.col("text").alias("claim_text"), "predicate", "kind", day.alias("valid_from"))
+    source = said.join(turns.withColumnRenamed("text", "turn_text"), ["session_id", "turn"], "left").join(sessions, "session_id", "left")
     out = served.join(source, "id", "left").join(absent, "query_id", "left")
+    if heads is not None:
+        line = G.lineage(served.where("origin is not null").select(F.col("origin").alias("id")), heads, CHAIN).join(said.select(F.col("id").alias("node"), F.col("claim_text").alias("text"), F.col("valid_from").alias("from")), "node")
+        line = line.groupBy(F.col("id").alias("origin")).agg(F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("back"), "text", "from"))).alias("line"))  # CHAIN + 1 at most
+        out = out.join(line, "origin", "left").withColumn("lineage", F.transform("line", lambda x: F.struct(x["text"], x["from"])))
+    else:
+        out = out.withColumn("lineage", F.lit(None).cast("array<struct<text:string,from:string>>"))
+    at = F.when(F.col("part") == "item", F.col("place")).otherwise(FINAL + F.col("place"))
+    first = F.min(at).over(Window.partitionBy("query_id", "session_id"))
+    rank = F.dense_rank().over(Window.partitionBy("query_id").orderBy("first"))
     missing = F.coalesce("missing", F.lit("")) if sufficiency else F.lit("")
-    return out.select("query_id", "part", "place", F.col("id").alias("claim_id"), "promoted", "session_id", "date_iso", "role", "turn_text", missing.alias("missing"))
+    out = out.withColumn("first", first).withColumn("session_rank", rank).select(
+        "query_id", "part", "place", F.col("id").alias("claim_id"), "promoted", "session_id", "date_iso", "role", "turn_text", missing.alias("missing"),
+        "claim_text", "predicate", "kind", "lineage", "session_rank",
+    )
+    every = stages[0]
+    for s in stages[1:]:
+        every = every.unionByName(s)
+    sums = every.groupBy("query_id").pivot("stage", STAGES).count()
+    counts = asked.select("query_id").join(sums, "query_id", "left").select("query_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in STAGES))
+    return out, counts
+
+
+def render_context(served: DataFrame, dates: DataFrame) -> DataFrame:
+    """(query_id, context, date_index) of what ``retrieve`` serves.
+
+    An item is its date and session, its source turn, its claim, and what that has
+    superseded; stated preferences and names without memory follow.  ``dates``:
+    (query_id, date_iso) of a question's sessions, for the index of dates.
+    """
+    # The forms of the lines.
+    changed = "   \u26a0 SUPERSEDES an earlier statement (lineage shown)"
+    preferences = "\nUSER'S STATED PREFERENCES (always included, not ranked):"
+    coverage = "\nCOVERAGE NOTE: no memory at all about: "
+    day = F.coalesce(F.nullif(F.substring("date_iso", 1, 10), F.lit("")), F.lit("undated"))
+    older = F.coalesce(F.transform(F.slice("lineage", 2, CHAIN), lambda x: F.format_string("      \u21b3 superseded value (as of %s): %s", F.coalesce(x["from"], F.lit("?")), x["text"])), F.array().cast("array<string>"))
+    head = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), day, F.lit(" \u2014 session "), F.col("session_id").cast("string"), F.when(F.size("lineage") > 1, changed).otherwise(""))
+    turn = F.when(F.coalesce("turn_text", F.lit("")) != "", F.concat(F.lit("    "), "role", F.lit(': "'), "turn_text", F.lit('"')))
+    slot = F.when(F.coalesce("predicate", F.lit("")) != "", F.concat(F.lit("      (attribute: "), "predicate", F.lit(", kind: "), "kind", F.lit(")")))
+    item = F.array_join(F.concat(F.array(head, turn, F.concat(F.lit("    \u2192 claim: "), "claim_text"), slot), older), "\n")
+    preference = F.concat(F.lit("    \u2022 ["), day, F.lit("] "), "claim_text")
+    line = F.when(F.col("part") == "item", item).otherwise(preference)
+    of = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("place", line.alias("line"))))), lambda x: x["line"]), "\n")
+    held = served.groupBy("query_id").agg(of("item").alias("items"), of("preference").alias("liked"), F.max("missing").alias("missing"))
+    gaps = F.array_join(F.slice(F.split("missing", r"\|"), 1, 5), ", ")
+    context = F.array_join(F.array(
+        F.col("items"), F.when(F.col("liked") != "", F.concat(F.lit(preferences + "\n"), "liked")), F.when(F.col("missing") != "", F.concat(F.lit(coverage), gaps)),
+    ), "\n")
+    days = dates.where("date_iso <> ''").groupBy("query_id").agg(F.array_sort(F.collect_set("date_iso")).alias("d"))
+    short = F.transform("d", lambda x: F.substring(x, 1, 10))
+    listed = F.format_string("SESSION DATE INDEX: %s (%d sessions, %s \u2192 %s)", F.array_join(short, ", "), F.size("d"), F.element_at(short, 1), F.element_at(short, -1))
+    return held.join(days, "query_id", "left").select("query_id", context.alias("context"), F.coalesce(listed, F.lit("")).alias("date_index"))
 
 
 def entity_neighbours(seeds: DataFrame, mentions: DataFrame, k: int) -> DataFrame:

@@ -233,19 +233,26 @@ def supersede_heads(pairs: DataFrame, clocks: DataFrame) -> DataFrame:
 def lineage(hits: DataFrame, heads: DataFrame, most: int | None = None) -> DataFrame:
     """(id, step, node): of each hit the claims from itself (step 0) up to its
     head along ``via``, or its first ``most`` steps.  A hit without a newer
-    claim has its own row only."""
-    front = written(hits.select("id").distinct().select("id", F.lit(0).cast("long").alias("step"), F.col("id").alias("node")), "lineage")
-    found, up = [front], heads.select(F.col("id").alias("node"), "via")
-    while most is None or len(found) <= most:
-        last = found[-1]
-        step = written(last.join(up, "node").select("id", (F.col("step") + 1).alias("step"), F.col("via").alias("node")), "lineage")
-        if step.isEmpty():
-            break
-        found.append(step)
-    out = found[0]
-    for step in found[1:]:
-        out = out.unionByName(step)
-    return out
+    claim has its own row only.
+
+    The known stretch of every path doubles each round, and so do the jumps it
+    grows by, so a chain costs rounds in the logarithm of its length.
+    """
+    found = hits.select("id").distinct().select("id", F.lit(0).cast("long").alias("step"), F.col("id").alias("node"))
+    jump, span, short = heads.select("id", F.col("via").alias("far")), 1, most is not None and most < 8
+    if not short:
+        found, jump = written(found, "lineage"), written(jump, "jumps")
+    while most is None or span <= most:
+        more = found.join(jump.select(F.col("id").alias("node"), "far"), "node").select("id", (F.col("step") + span).alias("step"), F.col("far").alias("node"))
+        more = more if most is None else more.where(F.col("step") <= most)
+        if not short:
+            more = written(more, "lineage")
+            if more.isEmpty():
+                break
+        found, span = found.unionByName(more), 2 * span
+        ahead = jump.join(jump.select(F.col("id").alias("far"), F.col("far").alias("farther")), "far").select("id", F.col("farther").alias("far"))
+        jump = ahead if short else written(ahead, "jumps")
+    return found
 
 
 def reaches(edges: DataFrame, proposals: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
-from engram.functions.columns import encode_map, snippet, stable_id
+from engram.functions.columns import NODE_LABELS, block_type, encode_map, flat_text, snippet, sound_vector, stable_id
 from engram.functions.embed import embed
+from engram.operators.novelty import gate
+from engram.operators.steps import written
 
 STATUS_OPEN, STATUS_SUPERSEDED = "open", "superseded"
 
@@ -161,6 +163,33 @@ def mutation_counts(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     )
 
 
+def upsert_counted(stored: DataFrame, rows: DataFrame, key: str, keep_first: list[str], path: str) -> dict[str, int]:
+    """Write ``stored`` overlaid by ``rows`` to ``path``, as ``merge_nodes`` does, and
+    count on the way: created, matched, kept, properties_set (values that the rows
+    bring and that stand afterwards) and properties_changed.
+
+    The counts are observed on the rows as they are written; nothing is read twice.
+    """
+    other = [c for c in stored.columns if c != key]
+    a, b = stored.select(key, F.struct(*other).alias("a")), rows.select(key, F.struct(*(F.col(c) if c in rows.columns else F.lit(None).cast(dict(stored.dtypes)[c]).alias(c) for c in other)).alias("b"))
+    met = a.join(b, key, "full_outer")
+
+    def value(c: str):
+        first, second = (F.col(f"{s}.{c}") for s in ("ab" if c in keep_first else "ba"))
+        return F.coalesce(first, second)
+
+    brought = [F.col(f"b.{c}").isNotNull() & (F.col(f"a.{c}").isNull() if c in keep_first else F.lit(True)) for c in other]
+    changed = [taken & ~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c, taken in zip(other, brought)]
+    total = lambda flags: F.coalesce(F.sum(sum((x.cast("long") for x in flags), F.lit(0))), F.lit(0))
+    seen = Observation()
+    counted = met.observe(
+        seen, F.count_if(F.col("a").isNull()).alias("created"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"),
+        F.count_if(F.col("b").isNull()).alias("kept"), total(brought).alias("properties_set"), total(changed).alias("properties_changed"),
+    )
+    counted.select(key, *(value(c).alias(c) for c in other)).write.mode("overwrite").parquet(path)
+    return dict(seen.get)
+
+
 def upsert_event_graph(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all edits in log order: an Event, its Actor, Page and
     Case, and the edges actor EDITED event, event ON page, case IMPLICATES event.
@@ -199,6 +228,71 @@ def remember(stored: DataFrame, rows: DataFrame, nearest: DataFrame | None = Non
     return merge_nodes(stored, new.select(*stored.columns), "id", ["created_us"])
 
 
+#: What ``remember_nodes`` writes of a node, beside its id and label.
+REMEMBERED = {
+    "text": "string", "summary": "string", "block_type": "string", "metadata_json": "string", "tags": "array<string>", "embedding": "array<float>",
+    "ts": "double", "author": "string", "created_us": "bigint", "updated_us": "bigint",
+}
+
+
+def remember_nodes(stored: DataFrame, rows: DataFrame, author: str | None = None, threshold: float | None = None, now_us: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes after, receipt) of rows to remember.
+
+    ``rows`` need ``content`` (of any type) or ``text``; they may have id, label,
+    block_type, metadata (map of strings), tags, embedding, ts (seconds), case_id
+    and why, each of which may be null.  Without an id a node's is the hash of its
+    label, type and text.  Events carry their text as ``summary`` too.  Embedding
+    and ``ts`` of a stored node stay unless new ones are given; the rest is
+    replaced, but for ``created_us``.  ``author`` stands above the rows' own.  Of
+    rows with one id the one with the latest ``ts`` counts, then the greatest text.
+    Unknown labels and types raise when the tables are read.
+
+    With ``threshold`` a row with a sound embedding is skipped if a node of its
+    label, stored or admitted before it (by ts, then id), is nearer than that.
+
+    Receipt: id, label, block_type, created, skipped, distance, case_id, why.
+    Nodes after have all columns of ``stored`` and of ``REMEMBERED``; ``clock``,
+    where stored, is a new node's time of creation.
+    """
+    have = dict(rows.dtypes)
+    given = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
+    content = flat_text(F.col("content"), have["content"]) if "content" in have else F.coalesce(F.col("text"), F.lit(""))
+    label = F.coalesce(given("label", "string"), F.lit("Claim"))
+    checked = F.when(label.isin(NODE_LABELS), label).otherwise(F.raise_error(F.concat(F.lit("unknown label "), label)).cast("string"))
+    kind, metadata = block_type(given("block_type", "string"), given("metadata", "map<string,string>"))
+    now = F.unix_micros(F.current_timestamp()) if now_us is None else now_us
+    new = rows.select(
+        given("id", "string").alias("given_id"), checked.alias("label"), content.alias("text"), kind.alias("block_type"), encode_map(metadata).alias("metadata_json"),
+        F.coalesce(given("tags", "array<string>"), F.array().cast("array<string>")).alias("tags"), given("embedding", "array<float>").alias("embedding"), given("ts", "double").alias("ts"),
+        F.coalesce(F.lit(author), given("author", "string")).alias("author"), now.alias("now"), given("case_id", "string").alias("case_id"), given("why", "string").alias("why"),
+    )
+    made = F.coalesce(F.nullif("given_id", F.lit("")), stable_id("blk", F.col("label"), F.col("block_type"), F.col("text")))
+    last = [c for c in new.columns if c not in ("given_id", "label")]
+    order = F.struct("ts", "text")
+    new = new.withColumn("id", made).groupBy("id", "label").agg(*(F.max_by(c, order).alias(c) for c in last))
+    new = written(new.withColumn("summary", F.when(F.col("label") == "Event", F.col("text"))), "remembered")
+    said = new.select("id", "label", F.lit(None).cast("double").alias("distance"), F.lit(True).alias("admitted"))
+    if threshold is not None:
+        asked = new.where(sound_vector(F.col("embedding"))).select("label", "id", "embedding", F.concat(F.lpad(F.coalesce((F.col("ts") * 1e6).cast("decimal(20,0)"), F.lit(0)).cast("string"), 20, "0"), F.lit(":"), "id").alias("place"))
+        held = stored.select("label", F.col("embedding").cast("array<float>").alias("embedding"))
+        told = gate(asked.select("label", "place", "embedding"), threshold, held, group="label").join(asked.select("label", "place", "id"), ["label", "place"])
+        told = told.select("id", "label", F.col("distance").alias("near"), F.col("admitted").alias("passed"))
+        said = said.join(told, ["id", "label"], "left").select("id", "label", F.col("near").alias("distance"), F.coalesce("passed", F.lit(True)).alias("admitted"))
+        said = written(said, "gated")
+    known = stored.select("id", "label").distinct().withColumn("old", F.lit(True))
+    receipt = new.join(said, ["id", "label"]).join(known, ["id", "label"], "left").select(
+        "id", "label", "block_type", (F.col("admitted") & F.col("old").isNull()).alias("created"), (~F.col("admitted")).alias("skipped"), "distance", "case_id", "why",
+    )
+    kept = new.join(said.where("admitted").select("id", "label"), ["id", "label"], "left_semi")
+    kept = kept.withColumns({"created_us": F.col("now"), "updated_us": F.col("now")})
+    if "clock" in stored.columns:
+        kept = kept.withColumn("clock", F.col("now").cast(dict(stored.dtypes)["clock"]))
+    full = stored.select("*", *(F.lit(None).cast(t).alias(c) for c, t in REMEMBERED.items() if c not in stored.columns))
+    types = dict(full.dtypes)
+    fit = kept.select(*(F.col(c).cast(types[c]).alias(c) if c in kept.columns else F.lit(None).cast(types[c]).alias(c) for c in full.columns))
+    return merge_nodes(full, fit, "id", ["created_us", "clock"]), receipt
+
+
 def link_case(cases: DataFrame, edges: DataFrame, links: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cases, edges) after linking (case_id, id, why, ts_us): a missing case is
     opened at its first link, nodes must exist, the last reason stands."""

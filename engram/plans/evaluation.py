@@ -260,7 +260,7 @@ def claim_graph_edges(spark, sf):
     return claim_graph(sessions, turns, c)[1]
 
 
-def _retrieve_sql() -> str:
+def _retrieve_sql(final: str = "select * from ranked") -> str:
     from engram.operators import retrieval as R
     from engram.plans.registry import ASKED
 
@@ -289,19 +289,43 @@ def _retrieve_sql() -> str:
     {fuse("timed", "wider", "dated")},
     sp as (select newer, older from (select id as newer, lag(id) over w as older, text, lag(text) over w as old_text, valid_us, lag(valid_us) over w as old_valid
       from graph window w as (partition by subject, predicate order by valid_us, id)) where older is not null and text <> old_text and valid_us <> old_valid),
-    walk as (select older as id, newer as head, 1 as depth from sp union all select w.id, p.newer, w.depth + 1 from walk w join sp p on p.older = w.head where w.depth < 6),
-    heads as (select id, head from walk where head not in (select older from sp)),
-    led as (select query_id, coalesce(h.head, t.id) as id, min(rank) as rank, bool_or(h.head is not null) as promoted from timed t left join heads h on h.id = t.id and t.rank <= 36 group by 1, 2),
+    walk as (select older as id, newer as head, 1 as depth, [older, newer] as path from sp union all select w.id, p.newer, w.depth + 1, list_append(w.path, p.newer) from walk w join sp p on p.older = w.head where w.depth < 6),
+    heads as (select id, head, path from walk where head not in (select older from sp)),
+    moved as (select query_id, coalesce(h.head, t.id) as id, rank, h.path from timed t left join heads h on h.id = t.id and t.rank <= 36),
+    led as (select query_id, id, min(rank) as rank, bool_or(path is not null) as promoted, arg_min(path, rank) filter (where path is not null) as path from moved group by 1, 2),
     items as materialized (select * from (select *, row_number() over (partition by query_id order by rank) as place from led) where place <= 12),
     names as (select distinct query_id, e as entity from (select query_id, unnest(list_transform(regexp_extract_all(question, '{E.NAMES}'), lambda e: {norm})) as e from asked) where length(e) > 2),
     about as (select query_id, id, row_number() over (partition by query_id order by id) as place from (select distinct n.query_id, m.id from names n join mentions m using (entity) join graph g on g.id = m.id
       where g.kind = 'preference' and n.query_id in (select query_id from asked where preference))),
     latest as (select id, row_number() over (order by valid_us desc, id) as place from graph where kind = 'preference'),
     pack as (select * from about where place <= 6 union all select query_id, id, place from asked, latest where place <= 6 and preference and query_id not in (select query_id from about)),
-    served as (select query_id, 'item' as part, place, id, promoted from items union all select query_id, 'preference', place, id, false from pack p where not exists (select 1 from items i where i.query_id = p.query_id and i.id = p.id)),
-    absent as (select query_id, string_agg(entity, '|' order by entity) as missing from names where entity not in (select entity from mentions) group by 1)
-    select s.query_id, part, cast(place as int) as place, s.id as claim_id, promoted, g.session_id, date_iso, c.role, c.text as turn_text, coalesce(missing, '') as missing
-    from served s join graph g on g.id = s.id left join conversations c on c.conv_id = g.session_id and c.turn = g.turn left join sessions using (session_id) left join absent a on a.query_id = s.query_id"""
+    served as (select query_id, 'item' as part, place, id, promoted, path from items union all select query_id, 'preference', place, id, false, null from pack p where not exists (select 1 from items i where i.query_id = p.query_id and i.id = p.id)),
+    absent as (select query_id, string_agg(entity, '|' order by entity) as missing from names where entity not in (select entity from mentions) group by 1),
+    lines as (select query_id, id, n, path[n] as node from (select query_id, id, path, unnest(range(1, len(path) + 1)) as n from served where path is not null)),
+    line as (select l.query_id, l.id, string_agg(strftime(make_timestamp(g.valid_us), '%Y-%m-%d') || '=' || g.text, chr(10) order by n desc) as lineage from lines l join graph g on g.id = l.node group by 1, 2),
+    whole as (select s.query_id, part, cast(place as int) as place, s.id as claim_id, promoted, g.session_id, date_iso, c.role, c.text as turn_text, coalesce(missing, '') as missing,
+      g.text as claim_text, g.predicate, g.kind, coalesce(lineage, '') as lineage, min(case when part = 'item' then place else 12 + place end) over (partition by s.query_id, g.session_id) as first
+      from served s join graph g on g.id = s.id left join conversations c on c.conv_id = g.session_id and c.turn = g.turn left join sessions using (session_id) left join absent a on a.query_id = s.query_id
+      left join line l on l.query_id = s.query_id and l.id = s.id and part = 'item'),
+    ranked as (select * exclude (first), cast(dense_rank() over (partition by query_id order by first) as int) as session_rank from whole)
+    {final}"""
+
+
+STAGE_SQL = """, n as (select query_id, 's1a' as stage from near union all select query_id, 's1b' from lexical union all select query_id, 's1_fused' from fused union all select query_id, 's2' from expanded
+      union all select query_id, 's4' from dated union all select query_id, 's3_promoted' from moved where path is not null union all select query_id, 's5' from items
+      union all select query_id, 'preference_pack' from served where part = 'preference' union all select query_id, 'missing_entities' from names where entity not in (select entity from mentions))
+    select a.query_id, """ + ", ".join(f"count(*) filter (where stage = '{s}') as {s}" for s in ("s1a", "s1b", "s1_fused", "s2", "s4", "s3_promoted", "s5", "preference_pack", "missing_entities")) + """
+    from asked a left join n on n.query_id = a.query_id group by 1"""
+RENDER_SQL = """, it as (select *, string_split(lineage, chr(10)) as older from ranked),
+    told as (select query_id, string_agg('[' || place || '] ' || date_iso || ' \u2014 session ' || session_id || case when len(older) > 1 then '   \u26a0 SUPERSEDES an earlier statement (lineage shown)' else '' end || chr(10)
+        || case when turn_text <> '' then '    ' || role || ': "' || turn_text || '"' || chr(10) else '' end || '    \u2192 claim: ' || claim_text || chr(10) || '      (attribute: ' || predicate || ', kind: ' || kind || ')'
+        || coalesce((select string_agg(chr(10) || '      \u21b3 superseded value (as of ' || substr(x, 1, 10) || '): ' || substr(x, 12), '' order by i) from (select unnest(older[2:]) as x, unnest(range(2, len(older) + 1)) as i)), ''),
+        chr(10) order by place) filter (where part = 'item') as items,
+      string_agg('    \u2022 [' || date_iso || '] ' || claim_text, chr(10) order by place) filter (where part = 'preference') as liked, max(missing) as missing,
+      list_sort(list(distinct date_iso)) as d from it group by 1)
+    select query_id, items || case when liked is not null then chr(10) || chr(10) || 'USER''S STATED PREFERENCES (always included, not ranked):' || chr(10) || liked else '' end
+      || case when missing <> '' then chr(10) || chr(10) || 'COVERAGE NOTE: no memory at all about: ' || array_to_string(string_split(missing, '|')[1:5], ', ') else '' end as context,
+      'SESSION DATE INDEX: ' || array_to_string(d, ', ') || ' (' || len(d) || ' sessions, ' || d[1] || ' \u2192 ' || d[-1] || ')' as date_index from told"""
 
 
 @query(_retrieve_sql())
@@ -309,7 +333,26 @@ def retrieve(spark, sf):
     """The composed retrieval for every fifth benchmark passage, asked as a question."""
     from engram.operators.answering import retrieve as run
 
-    return run(_questions(spark, sf), *_claim_graph(spark, sf))
+    lines = F.transform("lineage", lambda x: F.concat(x["from"], F.lit("="), x["text"]))
+    return run(_questions(spark, sf), *_claim_graph(spark, sf)).withColumn("lineage", F.coalesce(F.array_join(lines, "\n"), F.lit("")))
+
+
+@query(_retrieve_sql(STAGE_SQL))
+def retrieve_counts(spark, sf):
+    """How many claims each stage found for each of these questions."""
+    from engram.operators.answering import retrieve_counted
+
+    return retrieve_counted(_questions(spark, sf), *_claim_graph(spark, sf))[1]
+
+
+@query(_retrieve_sql(RENDER_SQL))
+def rendered_context(spark, sf):
+    """What is served to these questions as a reader's context, with the dates of the served sessions."""
+    from engram.operators.answering import render_context, retrieve as run
+    from engram.operators.steps import written
+
+    served = written(run(_questions(spark, sf), *_claim_graph(spark, sf)), "served")
+    return render_context(served, served.select("query_id", "date_iso"))
 
 
 @query(f"""with {GRAPH}, s as (select conv_id % 3 as query_id, conv_id || '.' || turn || '.' || place as id from claims where conv_id % 10 = 0),

@@ -23,8 +23,10 @@ def engine(spark):
 
 def test_writes(spark, engine):
     new = spark.createDataFrame([("v1", "Claim", "drives", "eve", 9, None), ("n", "Page", "t", "eve", 9, None)], engine.nodes.schema)
-    after = {r.id: (r.text, r.author) for r in engine.remember(new).collect()}
-    assert after["v1"] == ("drives", "ann") and after["n"] == ("t", "eve") and len(after) == 4
+    after = {r.id: r for r in engine.remember(new)[0].collect()}
+    # the acting agent signs every write; clock and embedding stay where nothing new is given
+    assert (after["v1"].text, after["v1"].author, after["v1"].clock, after["v1"].embedding) == ("drives", "eve", 1, [1.0, 0.0])
+    assert (after["n"].text, after["n"].author) == ("t", "eve") and len(after) == 4
     wanted = spark.createDataFrame([("v1", "supersedes", "v2"), ("v1", "about", "x"), ("v1", "about", "gone"), ("x", "supersedes", "x")], engine.edges.schema)
     made, lost = engine.relate(wanted)
     assert {tuple(r) for r in made.select("src", "relation", "dst").collect()} == {("v2", "supersedes", "v1"), ("v1", "about", "x")}
