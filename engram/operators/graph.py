@@ -98,59 +98,99 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         heard = both.join(known.withColumnRenamed("node", "s"), "s").groupBy(F.col("d").alias("node")).agg(F.min("component").alias("other"))
         up = known.select(F.col("node").alias("next"), F.col("component").alias("up"))
         step = known.join(heard, "node").withColumn("next", F.least("component", "other")).drop("other")
-        step = written(step.join(up, "next", "left").select("node", "component", F.least("next", "up").alias("next")), "labels")
+        step = written(step.join(up, "next", "left").select("node", "component", F.least("next", "up").alias("next")), "labels", moved=F.count_if(F.col("next") != F.col("component")))
         spent(labels)
         labels = step
-        if labels.where("next <> component").isEmpty():
+        if not labels.seen["moved"]:
             spent(both)
             return labels.select("node", F.col("next").alias("component"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, n_total: int, tolerance: float = 1e-7, most: int = 500, damping: float = 0.85) -> DataFrame:
-    """(node, score) by unweighted steps over directed edges (a, b), until a step
-    moves less than ``tolerance`` in all; ``n_total`` nodes share the mass,
-    those outside ``nodes`` too.  More than ``most`` steps raise.
+def pagerank(edges: DataFrame, nodes: DataFrame, n_total: int, tolerance: float = 1e-7, most: int = 500, damping: float = 0.85, stride: int = 6) -> DataFrame:
+    """(node, score) of unweighted ranks over directed edges (a, b), to within
+    ``tolerance`` in all; ``n_total`` nodes share the mass, those outside ``nodes``
+    too.  More than ``most`` steps raise.
 
-    Outside nodes have no edges, so all of them hold one common score, kept
-    beside the table.  A step is one written table and one row of sums, which
-    tells both what moved and what the next step's senders hold.
+    Mass that ends at a node without edges goes to all nodes alike, which only
+    scales the ranks: they are the sum of what a uniform start hands on, step by
+    step, divided by the total at the end.  A step is then one join and one sum
+    over what was handed on last, without a number from the driver, so ``stride``
+    steps are one plan; a node meets itself in the join as well, and so keeps its
+    sum.  What a step hands on bounds what is still to come.
     """
     fan = edges.groupBy("a").agg(F.count("*").alias("fan"))
-    ways = written(edges.join(fan, "a").select("a", "b", "fan"), "ways")
-    start = nodes.select("node", F.lit(1.0 / n_total).alias("score")).join(fan.select(F.col("a").alias("node"), F.lit(True).alias("sends")), "node", "left")
-    rank = written(start.withColumn("moved", F.lit(0.0)), "rank")
-    sums = [F.coalesce(F.sum(F.when(F.col("sends"), F.col("score"))), F.lit(0.0)).alias("sent"), F.sum("moved").alias("moved")]
-    held = rank.agg(*sums).first()
-    for _ in range(most):
-        base = (1 - damping) / n_total + damping * (1 - held["sent"]) / n_total
-        sent = ways.join(rank.select(F.col("node").alias("a"), "score"), "a").groupBy(F.col("b").alias("node")).agg(F.sum(F.col("score") / F.col("fan")).alias("got"))
-        score = F.lit(base) + damping * F.coalesce("got", F.lit(0.0))
-        after = written(rank.join(sent, "node", "left").select("node", score.alias("score"), "sends", F.abs(score - F.col("score")).alias("moved")), "rank")
-        spent(rank)
-        rank, held = after, after.agg(*sums).first()
-        if (held["moved"] or 0.0) < tolerance:
+    own = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(None).cast("double").alias("share"))
+    ways = written(edges.join(fan, "a").select("a", "b", (F.lit(damping) / F.col("fan")).alias("share")).union(own), "ways")
+    each = 1.0 / n_total
+    rank = nodes.select("node", F.lit(each).alias("given"), F.lit(each).alias("kept"))
+    for _ in range(0, most, stride):
+        for _ in range(stride):
+            met = ways.join(rank.select(F.col("node").alias("a"), "given", "kept"), "a")
+            given = F.coalesce(F.sum(F.col("given") * F.col("share")), F.lit(0.0))
+            rank = met.groupBy(F.col("b").alias("node")).agg(given.alias("given"), (given + F.sum(F.when(F.col("share").isNull(), F.col("kept")))).alias("kept"))
+        rank = written(rank, "rank", given=F.sum("given"), kept=F.sum("kept"), n=F.count(F.lit(1)))
+        total = (rank.seen["kept"] or 0.0) + (n_total - rank.seen["n"]) * each
+        if (rank.seen["given"] or 0.0) * damping / (1 - damping) <= tolerance * total:
             spent(ways)
-            return rank.select("node", "score")
-    raise RuntimeError(f"ranks still move by {held['moved']} after {most} steps")
-
-
-def label_propagation(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(node, label) by synchronous steps until none changes: the most frequent
-    label among the neighbours, the smallest on ties.  Where labels swing for
-    ever, as on bipartite parts, they are those after ``most`` steps."""
-    both = written(edges.select(F.col("a").alias("s"), F.col("b").alias("d")).union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.select(F.col("s").alias("node")).distinct().select("node", F.col("node").alias("label"), F.lit(True).alias("moved")), "labels")
-    for _ in range(most):
-        votes = both.join(labels.select(F.col("node").alias("s"), "label"), "s").groupBy(F.col("d").alias("node"), "label").agg(F.count("*").alias("n"))
-        won = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("few"), "label")).alias("best"))
-        step = won.select("node", F.col("best.label").alias("label")).join(labels.select("node", F.col("label").alias("old")), "node")
-        step = written(step.select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")
-        spent(labels)
-        labels = step
-        if labels.where("moved").isEmpty():
-            break
-    spent(both)
-    return labels.select("node", "label")
+            return rank.select("node", (F.col("kept") / total).alias("score"))
+    raise RuntimeError(f"ranks still move by {rank.seen['given']} after {most} steps")
+
+
+def label_propagation(edges: DataFrame) -> DataFrame:
+    """(node, label): labels that have settled, so that each node has one of the
+    most frequent labels among its neighbours.
+
+    A node moves only to a label that strictly more of its neighbours have (the
+    smallest of the most frequent).  Of neighbours that would move to different
+    labels, only those to the label first in that step's order of hashes move;
+    so no move spoils another's, every step adds to the edges whose ends agree,
+    and the steps end by themselves.
+    """
+    both = written(edges.select(F.col("a").alias("s"), F.col("b").alias("d")).union(edges.select("b", "a")).where("s <> d").distinct(), "edges")
+    labels = written(both.select(F.col("s").alias("node")).distinct().select("node", F.col("node").alias("label")), "labels")
+    step = 0
+    while True:
+        named = labels.select(F.col("node").alias("d"), F.col("label").alias("own"))
+        votes = both.join(labels.select(F.col("node").alias("s"), "label"), "s").groupBy("d", "label").agg(F.count("*").alias("n")).join(named, "d")
+        won = votes.groupBy(F.col("d").alias("node"), F.col("own").alias("label")).agg(
+            F.min(F.struct((-F.col("n")).alias("few"), "label")).alias("best"), F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("n"))), F.lit(0)).alias("held")
+        )
+        target = F.when(-F.col("best.few") > F.col("held"), F.col("best.label"))
+        order = F.md5(F.concat(target.cast("string"), F.lit(f":{step}")))
+        wish = written(won.select("node", "label", target.alias("target"), order.alias("place")), "wishes", moving=F.count("target"))
+        if not wish.seen["moving"]:
+            spent(both, wish)
+            return labels
+        movers = wish.where("target is not null").select("node", "target", F.struct("place", "target").alias("first"))
+        near = both.join(movers.select(F.col("node").alias("s"), F.col("first").alias("other")), "s").groupBy(F.col("d").alias("node")).agg(F.min("other").alias("other"))
+        met = wish.join(near, "node", "left")
+        moves = F.col("target").isNotNull() & (F.col("other").isNull() | (F.struct("place", "target") <= F.col("other")))
+        after = written(met.select("node", F.when(moves, F.col("target")).otherwise(F.col("label")).alias("label")), "labels")
+        spent(labels, wish)
+        labels, step = after, step + 1
+
+
+def ringleader(links: DataFrame, actors: DataFrame, n_total: int, k: int = 5) -> dict[str, DataFrame]:
+    """Who leads and with whom, over co-edit links (a, b).
+
+    ``influence`` (place, node, score, score_vs_baseline): the ``k`` best ranked,
+    against the mean of all actors; ``communities`` (component, size, place,
+    node): components of two and more; ``cell``: that of the first in rank;
+    ``label_propagation``: the same by settled labels.
+    """
+    links = written(links.select("a", "b").distinct(), "links")
+    ranked = pagerank(links, actors, n_total)
+    by_rank = Window.orderBy(F.desc("score"), "node")
+    top = ranked.orderBy(F.desc("score"), "node").limit(k).withColumn("place", F.row_number().over(by_rank))
+    top = written(top.crossJoin(ranked.agg(F.avg("score").alias("mean"))), "leaders")  # k rows
+    cells_of = written(cell_members(components(links)), "cells")
+    leader = top.where("place = 1").select("node")
+    own = cells_of.join(leader, "node", "left_semi").select("component")
+    return {
+        "influence": top.select("place", "node", "score", (F.col("score") / F.col("mean")).alias("score_vs_baseline")),
+        "communities": cells_of, "cell": cells_of.join(own, "component", "left_semi").select(*cells_of.columns),
+        "label_propagation": cell_members(label_propagation(links).withColumnRenamed("label", "component")),
+    }
 
 
 def cells(labels: DataFrame, least: int = 2) -> DataFrame:
@@ -193,13 +233,13 @@ def supersede_heads(pairs: DataFrame, clocks: DataFrame) -> DataFrame:
     ups = written(pairs.select(F.col("older").alias("id"), F.col("newer").alias("up")).distinct(), "ups")
     newer = ups.groupBy("id").agg(F.count("*").alias("n"), F.min("up").alias("up"))
     # stretches: one newer claim; anchor = the head or fork at their end
-    jump = written(newer.where("n = 1").select("id", F.col("up").alias("anchor"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")), "jumps")
-    longest = jump.count()
-    while not jump.where("moved").isEmpty():
+    jump = written(newer.where("n = 1").select("id", F.col("up").alias("anchor"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")), "jumps", moved=F.count_if("moved"))
+    longest = jump.seen["moved"]
+    while jump.seen["moved"]:
         ahead = jump.select(F.col("id").alias("anchor"), F.col("anchor").alias("far"), F.col("steps").alias("more"))
         step = jump.join(ahead, "anchor", "left").select("id", F.coalesce("far", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("far").isNotNull().alias("moved"))
         # more steps than there are claims: on a cycle, or led into one
-        after = written(step.where(F.col("steps") <= longest), "jumps")
+        after = written(step.where(F.col("steps") <= longest), "jumps", moved=F.count_if("moved"))
         spent(jump)
         jump = after
     lost = jump.select("id", "anchor", "steps")
@@ -212,18 +252,26 @@ def supersede_heads(pairs: DataFrame, clocks: DataFrame) -> DataFrame:
     done = written(best, "settled")
     ways = ups.join(newer.where("n > 1").select("id"), "id", "left_semi").join(lost.select(F.col("id").alias("up"), "anchor", "steps"), "up", "left")
     ways = ways.join(single.select(F.col("anchor").alias("up"), F.lit(True).alias("goes_on")), "up", "left").where("goes_on is null or anchor is not null")
-    ways = written(ways.select("id", F.col("up").alias("via"), F.coalesce("anchor", "up").alias("anchor"), (F.coalesce("steps", zero) + 1).alias("steps")), "forks")
+    ways = ways.select("id", F.col("up").alias("via"), F.coalesce("anchor", "up").alias("anchor"), (F.coalesce("steps", zero) + 1).alias("steps"))
+    # forks still open; a round takes in what the last one settled, and nothing else
+    kind = dict(ups.dtypes)["up"]
+    open_ = ways.withColumns({"head": F.lit(None).cast(kind), "clock": zero, "depth": zero})
+    fresh, settled_all = done, [done]
     while True:
-        known = done.select(F.col("id").alias("anchor"), "head", "clock", "depth")
-        left = ways.join(done.select("id"), "id", "left_anti").join(known, "anchor", "left")
-        order = F.struct((-(F.col("depth") + F.col("steps"))).alias("far"), (-F.col("clock")).alias("old"), "head", "via", "clock")
-        ready = left.groupBy("id").agg(F.count("*").alias("n"), F.count("head").alias("k"), F.min(F.when(F.col("head").isNotNull(), order)).alias("b")).where("n = k")
-        settled = written(ready.select("id", "b.head", "b.clock", (-F.col("b.far")).alias("depth"), "b.via"), "settled")
-        if settled.isEmpty():
+        known = fresh.select(F.col("id").alias("anchor"), F.col("head").alias("_h"), F.col("clock").alias("_c"), F.col("depth").alias("_d"))
+        met = open_.join(known, "anchor", "left").select("id", "via", "anchor", "steps", F.coalesce("head", "_h").alias("head"), F.when(F.col("head").isNotNull(), F.col("clock")).otherwise(F.coalesce("_c", zero)).alias("clock"), F.when(F.col("head").isNotNull(), F.col("depth")).otherwise(F.coalesce("_d", zero)).alias("depth"))
+        met = met.withColumn("left", F.count_if(F.col("head").isNull()).over(Window.partitionBy("id")))
+        met = written(met, "forks", ready=F.count_if(F.col("left") == 0))
+        if not met.seen["ready"]:
             break
-        after = written(done.unionByName(settled), "settled")
-        spent(done)
-        done = after
+        order = F.struct((-(F.col("depth") + F.col("steps"))).alias("far"), (-F.col("clock")).alias("old"), "head", "via", "clock")
+        ready = met.where("left = 0").groupBy("id").agg(F.min(order).alias("b"))
+        fresh = written(ready.select("id", "b.head", "b.clock", (-F.col("b.far")).alias("depth"), "b.via"), "settled")
+        settled_all.append(fresh)
+        open_ = met.where("left > 0").drop("left")
+    done = settled_all[0]
+    for more in settled_all[1:]:
+        done = done.unionByName(more)
     first = newer.where("n = 1").select("id", F.col("up").alias("via"))
     plain = lost.join(done.select(F.col("id").alias("anchor"), "head", "depth"), "anchor").join(first, "id")
     plain = plain.select("id", "head", (F.col("depth") + F.col("steps")).alias("depth"), "via")

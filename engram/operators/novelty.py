@@ -23,31 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from engram.functions.columns import sound_vector
 from engram.operators.retrieval import matrix, unit_rows
-from engram.operators.steps import numbered, spent, written
+from engram.operators.steps import numbered, runs, spent, written
 
 #: Vectors of a block; two blocks meet in a task, in tiles of TILE rows.
 BLOCK, TILE = 4096, 512
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """The rows of each value of ``keys``, from batches sorted by them."""
-    held, now = [], None
-    for batch in batches:
-        values = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-        start = 0
-        for i, value in enumerate(values):
-            if value != now:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, now, start = [], value, i
-        if values:
-            held.append(batch.slice(start))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _meet(below: float | None):
     """Of two blocks: the least distance of each asking row to an earlier held one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from engram.functions.columns import sound_vector
+from engram.operators.steps import runs, written
 
 #: Vectors and queries that meet in one task.
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
@@ -115,6 +116,66 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _within(k: int):
+    """Of each question's part: the k of its vectors most like the question's."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["question_id", "part"]):
+            asks = table.column("asks").to_numpy(zero_copy_only=False)
+            if asks.all() or not asks.any():
+                continue
+            x = unit_rows(matrix(table.column("v")))
+            likeness = np.round(x[~asks] @ x[asks][0], 9)
+            own = table.filter(pa.array(~asks)).select(["question_id", "chunk_id"]).append_column("similarity", pa.array(likeness))
+            yield from own.sort_by([("similarity", "descending"), ("chunk_id", "ascending")]).slice(0, k).combine_chunks().to_batches()
+
+    return run
+
+
+def nearest_within(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(question_id, chunk_id, similarity, place): of each question's own chunks the
+    ``k`` most like it by cosine, ties to the smaller chunk id.
+
+    ``questions``: (question_id, embedding), one row each; ``chunks``:
+    (question_id, chunk_id, embedding).  A question meets its chunks where they are
+    dealt to; one of many chunks is dealt to several tasks by parts of VECTOR_BLOCK,
+    each of which passes ``k`` rows on.  Vectors without a direction, or of another
+    width than the question's, are left out.
+    """
+    def sound(df: DataFrame, *columns) -> DataFrame:
+        return df.where(sound_vector(F.col("embedding"))).select(*columns, F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("width"))
+
+    asked, held = sound(questions, "question_id"), sound(chunks, "question_id", "chunk_id")
+    asked = written(asked.join(held.groupBy("question_id", "width").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("parts")), ["question_id", "width"]), "asked")
+    part = F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int")
+    own = held.join(asked.select("question_id", "width", "parts"), ["question_id", "width"]).select("question_id", part.alias("part"), F.lit(False).alias("asks"), "chunk_id", "v")
+    each = asked.select("question_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("asks"), F.lit(None).cast(dict(chunks.dtypes)["chunk_id"]).alias("chunk_id"), "v")
+    dealt = own.union(each).repartition("question_id", "part").sortWithinPartitions("question_id", "part")
+    kinds = dict(own.dtypes)
+    best = dealt.mapInArrow(_within(k), f"question_id {kinds['question_id']}, chunk_id {kinds['chunk_id']}, similarity double")
+    order = Window.partitionBy("question_id").orderBy(F.desc("similarity"), "chunk_id")
+    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def served_chunks(questions: DataFrame, chunks: DataFrame, k: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(blocks, served) of the plain arm: each question's ``k`` chunks most like it.
+
+    ``chunks``: (question_id, session_id, start, chunk, embedding).  Blocks are
+    (question_id, place, session_id, start, similarity, session_rank), sessions
+    ranked by their first block; served are (question_id, context, session_ids):
+    the blocks as numbered texts, and the sessions in order of rank.
+    """
+    named = chunks.withColumn("chunk_id", F.struct("session_id", "start"))
+    found = nearest_within(questions, named, k).select("question_id", "place", "chunk_id.session_id", "chunk_id.start", "similarity")
+    first = found.withColumn("first", F.min("place").over(Window.partitionBy("question_id", "session_id")))
+    blocks = written(first.withColumn("session_rank", F.dense_rank().over(Window.partitionBy("question_id").orderBy("first"))).drop("first"), "blocks")
+    lines = F.array_join(F.transform(F.split("chunk", r"\r\n|[\n\r]"), lambda x: F.concat(F.lit("    "), x)), "\n")
+    text = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] session "), F.col("session_id").cast("string"), F.lit("\n"), lines)
+    told = blocks.join(chunks.select("question_id", "session_id", "start", "chunk"), ["question_id", "session_id", "start"])
+    sessions = F.array_sort(F.collect_set(F.struct("session_rank", "session_id")))  # k at most
+    served = told.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))).alias("b"), sessions.alias("s"))
+    return blocks, served.select("question_id", F.array_join(F.col("b.text"), "\n").alias("context"), F.col("s.session_id").alias("session_ids"))
+
+
 def term_hits(docs: DataFrame, terms: DataFrame, k: int | None) -> DataFrame:
     """(query_id, doc_id, hits, held, rank): documents by the number of a query's
     terms they hold; ``held`` is the number of distinct words of a document."""

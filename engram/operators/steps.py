@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,14 +22,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **seen: Column) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: the lineage
-    ends there, and later joins know its size."""
+    ends there, and later joins know its size.  The table goes with the application.
+
+    ``seen``: aggregates of its rows, observed while they are written; they are
+    the dict ``seen`` of the table returned."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    noted = Observation() if seen else None
+    (df.observe(noted, *(c.alias(n) for n, c in seen.items())) if seen else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if noted is not None:
+        out.seen = noted.get
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return out
 
 
@@ -65,3 +75,22 @@ def join_split(left: DataFrame, right: DataFrame, key: list[str], most: int = 20
     a = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*(c for c in left.columns if c not in key)), one).cast("int")).drop("_parts")
     b = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
     return a.join(b, [*key, "_part"]).drop("_part")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each value of ``keys``, from batches sorted by them."""
+    held, now = [], None
+    for batch in batches:
+        values = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        start = 0
+        for i, value in enumerate(values):
+            if value != now:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, now, start = [], value, i
+        if values:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from engram.functions import columns as C
 from engram.operators import extraction as E, graph as G, memory as M, metrics as X, retrieval as R
+from engram.operators.steps import shared_folder
 from engram.plans.registry import EDITS, HOUR, JUDGED, LOG, VOTES, _judged, _votes, query, ring_sql
 from engram.sources import tables as S
 
@@ -144,6 +147,22 @@ def upsert_counts(spark, sf):
     return M.mutation_counts(stored, S.table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), "id")
 
 
+@query("""with a as (select c_custkey as id, 'ann' as author, case when c_custkey % 3 = 0 then null else c_name end as name from customer where c_custkey % 4 <> 0),
+b as (select c_custkey as id, 'bob' as author, case when c_custkey % 5 = 0 then null when c_custkey % 7 = 0 then 'new ' || c_name else c_name end as name from customer where c_custkey % 2 = 0),
+m as (select a.id as old, b.id as new, a.name as old_name, b.name as new_name from a full join b using (id))
+select count(*) filter (where old is null) as created, count(*) filter (where old is not null and new is not null) as matched, count(*) filter (where new is null) as kept,
+count(new_name) + count(*) filter (where old is null) as properties_set, count(*) filter (where new_name is not null and new_name is distinct from old_name) + count(*) filter (where old is null) as properties_changed from m""")
+def upsert_counted(spark, sf):
+    """An upsert that keeps first authors, with the counts observed while it is written."""
+    c = S.table(spark, sf, "customer")
+    n, name = F.col("c_custkey"), F.col("c_name")
+    stored = c.where(n % 4 != 0).select(n.alias("id"), F.lit("ann").alias("author"), F.when(n % 3 != 0, name).alias("name"))
+    rows = c.where(n % 2 == 0).select(n.alias("id"), F.lit("bob").alias("author"), F.when(n % 5 == 0, None).when(n % 7 == 0, F.concat(F.lit("new "), name)).otherwise(name).alias("name"))
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/upserted-{uuid.uuid4().hex}"
+    counts = M.upsert_counted(stored, rows, "id", ["author"], folder)
+    return spark.createDataFrame([counts], "created long, matched long, kept long, properties_set long, properties_changed long")
+
+
 @query("""with n as (select 'c' || c_custkey as id from customer union select 'p' || p_partkey from part),
 p as (select distinct 'c' || user_id as src, 'VIEWED' as relation, 'p' || event_id as dst from events where user_id is not null)
 select *, src in (select id from n) and dst in (select id from n) as related from p""")
@@ -328,6 +347,38 @@ RENDER_SQL = """, it as (select *, string_split(lineage, chr(10)) as older from
       'SESSION DATE INDEX: ' || array_to_string(d, ', ') || ' (' || len(d) || ' sessions, ' || d[1] || ' \u2192 ' || d[-1] || ')' as date_index from told"""
 
 
+ARM = """t as (select conv_id, turn, role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn) - 1 as start, count(*) over (partition by conv_id) as n from conversations),
+vecs as (select vec_id, embedding, count(*) over () as n_vecs from embeddings),
+chunks as (select a.conv_id % 12 as question_id, a.conv_id as session_id, a.start, string_agg(b.role || ': ' || b.text, chr(10) order by b.start) as chunk
+  from t a join t b on a.conv_id = b.conv_id and b.start between a.start and a.start + 3 where a.start % 2 = 0 and (a.start = 0 or a.start - 2 + 4 < a.n) group by a.conv_id, a.start),
+scored as (select c.*, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::double * p[2]::double)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))) *
+  sqrt(list_sum(list_transform(v.embedding, lambda x: x::double * x::double)))), 9) as similarity from chunks c join vecs q on q.vec_id = c.question_id join vecs v on v.vec_id = (c.session_id * 31 + c.start * 7) % v.n_vecs),
+placed as (select *, row_number() over (partition by question_id order by similarity desc, session_id, start) as place from scored),
+kept as (select *, min(place) over (partition by question_id, session_id) as first from placed where place <= 12)"""
+
+
+def _arm(spark, sf):
+    """Every twelfth session belongs to one question; vectors are those of the embeddings table."""
+    v = S.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = v.count()
+    q = v.where("vec_id between 0 and 11").select(F.col("vec_id").alias("question_id"), "embedding")
+    c = R.turn_chunks(S.table(spark, sf, "conversations")).select((F.col("conv_id") % 12).alias("question_id"), F.col("conv_id").alias("session_id"), "start", "chunk")
+    c = c.withColumn("vec_id", (F.col("session_id") * 31 + F.col("start") * 7) % n).join(v, "vec_id").drop("vec_id")
+    return R.served_chunks(q, c)
+
+
+@query(f"with {ARM} select question_id, cast(place as int) as place, session_id, start, similarity, cast(dense_rank() over (partition by question_id order by first) as int) as session_rank from kept")
+def plain_arm(spark, sf):
+    """From turns to chunks to the chunks most like each question, and their sessions by rank."""
+    return _arm(spark, sf)[0]
+
+
+@query(f"""with {ARM} select question_id, string_agg('[' || place || '] session ' || session_id || chr(10) || '    ' || replace(chunk, chr(10), chr(10) || '    '), chr(10) order by place) as context,
+(select string_agg(session_id, ',' order by first) from (select distinct session_id, first from kept k where k.question_id = kept.question_id)) as sessions from kept group by 1""")
+def plain_arm_context(spark, sf):
+    return _arm(spark, sf)[1].select("question_id", "context", F.array_join(F.transform("session_ids", lambda x: x.cast("string")), ",").alias("sessions"))
+
+
 @query(_retrieve_sql())
 def retrieve(spark, sf):
     """The composed retrieval for every fifth benchmark passage, asked as a question."""

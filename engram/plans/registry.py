@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from engram.functions import columns as C
 from engram.functions.embed import embed
-from engram.operators import extraction as E, graph as G, memory as M, metrics as X, retrieval as R
+from engram.operators import extraction as E, graph as G, memory as M, metrics as X, retrieval as R, trees as T
 from engram.operators.novelty import gate
-from engram.operators.steps import shared_folder
+from engram.operators.steps import shared_folder, written
 from engram.sources import tables as S
 from engram.streaming.derived import coedited_now, finalize_batch
 
@@ -168,7 +168,8 @@ def cells_wcc(spark, sf):
     return G.cells(G.components(pairs.select("a", "b")))
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(width: int = HOUR, final: str = "") -> str:
+    final = final or f"select node as actor, round(score, 8) as score from r{PR_ROUNDS} where node not like 'page %' order by round(score, 8) desc, node limit 10"
     steps = []
     for i in range(1, PR_ROUNDS + 1):
         steps.append(f"""r{i} as materialized (
@@ -177,12 +178,26 @@ def _pagerank_sql() -> str:
           from nodes n cross join total t left join (
             select w.b as node, sum(r.score / w.fan) as got from ways w join r{i - 1} r on r.node = w.a group by 1) s on n.node = s.node)""")
     return f"""with {EDITS},
-    links as materialized (select distinct a.actor as a, b.actor as b from edits a join edits b on a.page = b.page and a.actor < b.actor and abs(a.ts_us - b.ts_us) <= {HOUR}),
+    links as materialized (select distinct a.actor as a, b.actor as b from edits a join edits b on a.page = b.page and a.actor < b.actor and abs(a.ts_us - b.ts_us) <= {width}),
     ways as materialized (select a, b, count(*) over (partition by a) as fan from links),
     nodes as materialized (select 'a' || actor as node from (select distinct actor from edits) where false union select actor from edits union select 'page ' || page from edits),
     total as (select count(*)::double as n from nodes),
     r0 as materialized (select node, 1 / t.n as score from nodes cross join total t), {", ".join(steps)}
-    select node as actor, round(score, 8) as score from r{PR_ROUNDS} where node not like 'page %' order by round(score, 8) desc, node limit 10"""
+    {final}"""
+
+
+def _ringleader_sql() -> str:
+    cells = f"""select part, component, size, place, node, cast(score_vs_baseline as double) as score_vs_baseline from (
+      select 'influence' as part, cast(null as varchar) as component, cast(null as bigint) as size, place, node, round(score / mean, 6) as score_vs_baseline from top
+      union all select 'communities', component, size, place, node, null from cells
+      union all select 'cell', component, size, place, node, null from cells where component = (select component from cells where node = (select node from top where place = 1)))"""
+    return _pagerank_sql(60 * SECOND, f""", ranked as (select node, score, avg(score) over () as mean from r{PR_ROUNDS} where node not like 'page %'),
+    top as (select * from (select *, row_number() over (order by score desc, node) as place from ranked) where place <= 5),
+    e as (select a, b from links union select b, a from links),
+    reached as (select a as node, a as seen from e union select r.node, e.b from reached r join e on r.seen = e.a),
+    labels as (select node, min(seen) as component from reached group by 1),
+    cells as (select component, count(*) over (partition by component) as size, row_number() over (partition by component order by node) - 1 as place, node from labels)
+    {cells}""").replace("with edits as", "with recursive edits as", 1)
 
 
 @query(_pagerank_sql())
@@ -203,16 +218,24 @@ def label_propagation(spark, sf):
 @query()
 def ringleader(spark, sf):
     """The best-ranked actor, its score against the mean, and its cell's size."""
+    found = _leaders(spark, sf, HOUR)
+    cell = found["influence"].where("place = 1").join(found["communities"].select("node", "size"), "node", "left")
+    return cell.select(F.col("node").alias("actor"), F.round("score_vs_baseline", 6).alias("score_vs_baseline"), F.coalesce("size", F.lit(1)).alias("cell_size"))
+
+
+def _leaders(spark, sf, width):
     e = S.edits(spark, sf)
-    links = G.coedit_pairs(e, HOUR).select("a", "b").distinct()
     actors = e.select(F.col("actor").alias("node")).distinct()
-    n = actors.count() + e.select("page").distinct().count()
-    ranked = G.pagerank(links, actors, n)
-    mean = ranked.agg(F.avg("score").alias("mean"))
-    first = ranked.orderBy(F.desc("score"), "node").limit(1).crossJoin(mean)
-    labels = G.components(links)
-    cell = first.join(labels, "node", "left").join(G.cells(labels), "component", "left")
-    return cell.select(F.col("node").alias("actor"), F.round(F.col("score") / F.col("mean"), 6).alias("score_vs_baseline"), F.coalesce("size", F.lit(1)).alias("cell_size"))
+    return G.ringleader(G.coedit_pairs(e, width).select("a", "b"), actors, actors.count() + e.select("page").distinct().count())
+
+
+@query(_ringleader_sql())
+def ringleader_cells(spark, sf):
+    """Who leads among actors that met within a minute, and the members of all cells."""
+    found = _leaders(spark, sf, 60 * SECOND)
+    lead = found["influence"].select(F.lit("influence").alias("part"), F.lit(None).cast("string").alias("component"), F.lit(None).cast("long").alias("size"), F.col("place").cast("long").alias("place"), "node", F.round("score_vs_baseline", 6).alias("score_vs_baseline"))
+    parts = [found[p].select(F.lit(p).alias("part"), "component", "size", F.col("place").cast("long").alias("place"), "node", F.lit(None).cast("double").alias("score_vs_baseline")) for p in ("cell", "communities")]
+    return lead.unionByName(parts[0]).unionByName(parts[1])
 
 
 def _handovers(spark, sf):
@@ -291,6 +314,33 @@ def digest(spark, sf):
     return M.digest(_nodes(spark, sf).withColumn("key", F.col("id")), _edges(spark, sf).withColumns({"relation_key": F.lit(""), "author": F.lit("")}))
 
 
+CHANGED = f"""with {EDITS}, {NODES}, b as (select id, label, clock, case when clock % 97 = 0 then 'someone else' else author end as author from nodes where clock % 101 <> 0 union all select 'x' || id, label, clock, author from nodes where clock % 103 = 0),
+la as (select id as key, label || chr(31) || id || chr(31) || author as line from nodes), lb as (select id as key, label || chr(31) || id || chr(31) || author as line from b)"""
+
+
+def _versions(spark, sf):
+    """Trees of the nodes, and of a version in which some changed, some went and some came."""
+    nodes = _nodes(spark, sf)
+    kept = nodes.where("clock % 101 <> 0").withColumn("author", F.when(F.col("clock") % 97 == 0, "someone else").otherwise(F.col("author")))
+    other = kept.unionByName(nodes.where("clock % 103 = 0").withColumn("id", F.concat(F.lit("x"), "id")))
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/trees-{uuid.uuid4().hex}"
+    for name, rows in (("a", nodes), ("b", other)):
+        T.write_tree(rows, ["id"], ["label", "id", "author"], f"{folder}/{name}")
+    return f"{folder}/a", f"{folder}/b"
+
+
+@query(CHANGED + """, ga as (select substr(sha256(key), 1, 4) as path, list_sort(list(line)) as held from la group by 1), gb as (select substr(sha256(key), 1, 4) as path, list_sort(list(line)) as held from lb group by 1)
+select path, coalesce(len(ga.held), 0) as lines_a, coalesce(len(gb.held), 0) as lines_b from ga full join gb using (path) where ga.held is distinct from gb.held""")
+def changed_ranges(spark, sf):
+    """Where two versions of the graph's nodes differ, by their trees of digests."""
+    return T.changed_ranges(spark, *_versions(spark, sf))
+
+
+@query(CHANGED + " select key, 'gone' as change, line from (select * from la except all select * from lb) union all select key, 'new', line from (select * from lb except all select * from la)")
+def changed_lines(spark, sf):
+    return T.changed_lines(spark, *_versions(spark, sf))
+
+
 @query()
 def digest_buckets(spark, sf):
     return M.bucket_digests(_nodes(spark, sf), ["id", "label", "clock", "author"], 256)
@@ -401,7 +451,7 @@ select query_id, id, score, cast(place as int) as place from (select *, row_numb
 def rrf_fuse(spark, sf):
     """Documents by shared terms, fused with those whose word sets are nearest the question's."""
     terms = _terms(spark, sf)
-    hits = R.term_hits(S.table(spark, sf, "documents"), terms, None)
+    hits = written(R.term_hits(S.table(spark, sf, "documents"), terms, None), "hits")  # both lists read it
     asked = terms.groupBy("query_id").agg(F.count("*").alias("asked"))
     near = hits.join(asked, "query_id").withColumn("close", F.round(F.col("hits") / (F.col("asked") + F.col("held") - F.col("hits")), 12))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("close"), "doc_id"))).where("rank <= 24")

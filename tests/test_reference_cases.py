@@ -136,16 +136,27 @@ def test_columns(spark):
 def test_retrieval(spark):
     lists = [spark.createDataFrame([("q", i, r) for r, i in enumerate(ids, 1)], "query_id string, id string, rank int") for ids in (["a", "b", "c"], ["b", "d"])]
     assert [r.id for r in R.fuse_ranks(lists, 4).orderBy("place").collect()] == ["b", "a", "d", "c"]
-    turns = spark.createDataFrame([(1, t, f"t{t}") for t in range(7)] + [(2, 0, "x")], "conv_id long, turn long, text string")
-    assert {(r.conv_id, r.start, r.n_turns) for r in R.turn_chunks(turns).collect()} == {(1, 0, 4), (1, 2, 4), (1, 4, 3), (2, 0, 1)}
+    turns = spark.createDataFrame([(1, t, "user", f"t{t}") for t in range(7)] + [(2, 0, "assistant", None)], "conv_id long, turn long, role string, text string")
+    chunks = {(r.conv_id, r.start, r.n_turns): r.chunk for r in R.turn_chunks(turns).collect()}
+    assert set(chunks) == {(1, 0, 4), (1, 2, 4), (1, 4, 3), (2, 0, 1)}
+    assert chunks[1, 4, 3] == "user: t4\nuser: t5\nuser: t6" and chunks[2, 0, 1] == "assistant: "
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.05]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.distance == 0) for r in R.nearest(v.where("vec_id = 0"), v, 2).orderBy("rank").collect()] == [(1, True), (2, False)]
 
 
 def test_votes_and_guards(spark):
-    votes = [(1, "a", True), (1, "a", True), (1, "b", True), (2, "a", True), (2, "b", False), (3, "a", None), (3, "a", True), (3, "b", False)]
-    got = {r.id: r.verdict for r in X.majority(spark.createDataFrame(votes, "id int, family string, vote boolean")).collect()}
-    assert got == {1: True, 2: None, 3: False}
+    def panel(**families):
+        return [(f, {"t": True, "f": False, "-": None}[v]) for f, votes in families.items() for v in votes]
+
+    panels = {
+        1: (panel(a="tt", b="t"), (True, True, True)), 2: (panel(a="t", b="f"), (None, False, False)),
+        # half of a family's votes unread leave it a label, two thirds do not
+        3: (panel(a="tt--"), (True, True, True)), 4: (panel(a="t--", b="f"), (False, False, False)), 5: (panel(a="t-", b="f"), (None, False, False)),
+        6: (panel(a="f", b="ff"), (False, False, True)), 7: (panel(a="-", b="--"), (None, False, False)), 8: (panel(a="t", b="-"), (True, False, False)), 9: (panel(a="tf", b="t"), (True, False, False)),
+    }
+    votes = spark.createDataFrame([(i, *v) for i, (rows, _) in panels.items() for v in rows], "id int, family string, vote boolean")
+    assert {r.id: (r.verdict, r.floor, r.unanimous) for r in X.majority(votes).collect()} == {i: want for i, (_, want) in panels.items()}
+    assert {r.family: (r.n, r.accuracy) for r in X.family_accuracy(votes).collect()} == {"a": (9, 4 / 9), "b": (8, 2 / 8)}
     rows = spark.createDataFrame([("q1", "t", "s", True, 3, 0), ("q1", "t", "s2", None, 30, 0)], "question_id string, question_type string, split string, label boolean, returned int, flag int")
     bad = {r.check_name: r.n for r in X.violations(rows, 3, 12).collect()}
     assert bad == {"complete": 1, "no_duplicates": 1, "one_split": 1, "within_budget": 1, "judged": 1, "too_good": 1}
