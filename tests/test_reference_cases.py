@@ -156,7 +156,7 @@ def test_votes_and_guards(spark):
     }
     votes = spark.createDataFrame([(i, *v) for i, (rows, _) in panels.items() for v in rows], "id int, family string, vote boolean")
     assert {r.id: (r.verdict, r.floor, r.unanimous) for r in X.majority(votes).collect()} == {i: want for i, (_, want) in panels.items()}
-    assert {r.family: (r.n, r.accuracy) for r in X.family_accuracy(votes).collect()} == {"a": (9, 4 / 9), "b": (8, 2 / 8)}
+    assert {r.family: (r.n, r.accuracy) for r in X.family_accuracy(votes).collect()} == {"a": (9, 5 / 9), "b": (8, 2 / 8)}
     rows = spark.createDataFrame([("q1", "t", "s", True, 3, 0), ("q1", "t", "s2", None, 30, 0)], "question_id string, question_type string, split string, label boolean, returned int, flag int")
     bad = {r.check_name: r.n for r in X.violations(rows, 3, 12).collect()}
     assert bad == {"complete": 1, "no_duplicates": 1, "one_split": 1, "within_budget": 1, "judged": 1, "too_good": 1}
