@@ -42,7 +42,7 @@ def claims(turns: DataFrame, most: int = 40) -> DataFrame:
     """(conv_id, turn, place, text, predicate, kind, entities) of (conv_id, turn,
     role, text): one claim a sentence of 25 characters or more that names
     something; the first ``most`` of a session, six entities each."""
-    s = turns.where(F.length("text") >= 25).select("conv_id", "turn", "role", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
+    s = turns.where(F.length("text") >= 25).select("conv_id", "turn", "role", F.posexplode_outer(sentences(F.col("text"))).alias("place", "sentence")).where("sentence is not null")
     s = s.withColumn("found", entities(F.col("sentence"))).where(F.size("found") > 0)
     low = F.lower("sentence")
     head = F.split_part(F.element_at("found", 1), F.lit(" "), F.lit(1))
@@ -106,7 +106,7 @@ def read_answers(questions: DataFrame, context: DataFrame, key: str, order: list
     lines = context.select(key, *order, F.posexplode(F.split("text", LINES)).alias("_line", "text")).withColumn("text", F.trim("text"))
     lines = lines.where(~F.col("text").rlike("^(" + "|".join(HEADINGS) + ")"))
     order = [*order, "_line"]
-    s = lines.select(key, *order, F.posexplode(sentences(F.col("text"), 13)).alias("_place", "answer"))
+    s = lines.select(key, *order, F.posexplode_outer(sentences(F.col("text"), 13)).alias("_place", "answer")).where("answer is not null")
     both = s.join(questions.select(key, terms(F.col("question")).alias("_q")), key).withColumn("_t", terms(F.col("answer")))
     shared = F.size(F.array_intersect("_q", "_t"))
     scored = both.where(shared > 0).withColumn("overlap", F.round(shared / (F.sqrt(F.size("_q")) * F.sqrt(F.size("_t"))), 9))

@@ -260,13 +260,13 @@ def supersede_heads(pairs: DataFrame, clocks: DataFrame) -> DataFrame:
     while True:
         known = fresh.select(F.col("id").alias("anchor"), F.col("head").alias("_h"), F.col("clock").alias("_c"), F.col("depth").alias("_d"))
         met = open_.join(known, "anchor", "left").select("id", "via", "anchor", "steps", F.coalesce("head", "_h").alias("head"), F.when(F.col("head").isNotNull(), F.col("clock")).otherwise(F.coalesce("_c", zero)).alias("clock"), F.when(F.col("head").isNotNull(), F.col("depth")).otherwise(F.coalesce("_d", zero)).alias("depth"))
-        met = met.withColumn("left", F.count_if(F.col("head").isNull()).over(Window.partitionBy("id")))
-        met = written(met, "forks", ready=F.count_if(F.col("left") == 0))
+        by_id = Window.partitionBy("id")
+        best = F.row_number().over(by_id.orderBy(F.desc(F.col("depth") + F.col("steps")), F.desc("clock"), "head", "via"))
+        met = met.withColumn("left", F.count_if(F.col("head").isNull()).over(by_id)).withColumn("best", best)
+        met = written(met.where("left > 0 or best = 1").drop("best"), "forks", ready=F.count_if(F.col("left") == 0))
         if not met.seen["ready"]:
             break
-        order = F.struct((-(F.col("depth") + F.col("steps"))).alias("far"), (-F.col("clock")).alias("old"), "head", "via", "clock")
-        ready = met.where("left = 0").groupBy("id").agg(F.min(order).alias("b"))
-        fresh = written(ready.select("id", "b.head", "b.clock", (-F.col("b.far")).alias("depth"), "b.via"), "settled")
+        fresh = met.where("left = 0").select("id", "head", "clock", (F.col("depth") + F.col("steps")).alias("depth"), "via")
         settled_all.append(fresh)
         open_ = met.where("left > 0").drop("left")
     done = settled_all[0]

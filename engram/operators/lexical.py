@@ -60,10 +60,10 @@ def build_index(docs: DataFrame) -> TextIndex:
     rows = docs.select("id", "label", F.coalesce("text", F.lit("")).alias("text")).withColumn("all", F.lit(1))
     placed = numbered(rows, "all", ["id"], "at")
     held = written(placed.select("id", "label", "text", F.floor(F.col("at") / BLOCK).alias("block"), (F.col("at") % BLOCK).cast("int").alias("bit")), "index-docs")
-    terms = held.select(F.explode(_words(F.col("text"))).alias("term"), "id", "label").where("term <> ''")
+    terms = held.select(F.explode_outer(_words(F.col("text"))).alias("term"), "id", "label").where("term <> ''")
     sizes = held.groupBy("label").agg(F.count("*").alias("docs"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    grams = held.select("block", bit.alias("one"), F.explode(F.concat(*(_runs(F.col("text"), n) for n in (1, 2, 3)))).alias("gram")).groupBy("gram", "block").agg(F.bit_or("one").alias("bits"))
+    grams = held.select("block", bit.alias("one"), F.explode_outer(F.concat(*(_runs(F.col("text"), n) for n in (1, 2, 3)))).alias("gram")).where("gram is not null").groupBy("gram", "block").agg(F.bit_or("one").alias("bits"))
     grams = written(grams, "index-grams")
     return TextIndex(held, terms, sizes, grams, grams.groupBy("gram").agg(F.count("*").alias("blocks")))
 
@@ -84,7 +84,7 @@ def word_hits(index: TextIndex, queries: DataFrame, labels: list[str], k: int) -
     word), both counted within the label."""
     asked = queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("term"))
     wanted = written(asked, "asked-terms")
-    held = index.terms.where(F.col("label").isin(labels)).join(wanted.select("term").distinct(), "term", "left_semi")
+    held = index.terms.where(F.col("label").isin(labels)).join(written(wanted.select("term").distinct(), "asked-words"), "term", "left_semi")
     rare = held.groupBy("term", "label").agg(F.count("*").alias("n")).join(index.sizes, "label")
     weights = rare.select("term", "label", F.log(1 + F.col("docs") / F.col("n")).alias("weight"))
     found = held.join(weights, ["term", "label"]).join(wanted, "term").groupBy("query_id", "id", "label").agg(F.round(F.sum("weight"), 9).alias("score"))

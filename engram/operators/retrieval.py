@@ -178,9 +178,14 @@ def served_chunks(questions: DataFrame, chunks: DataFrame, k: int = 12) -> tuple
 
 def term_hits(docs: DataFrame, terms: DataFrame, k: int | None) -> DataFrame:
     """(query_id, doc_id, hits, held, rank): documents by the number of a query's
-    terms they hold; ``held`` is the number of distinct words of a document."""
+    terms they hold; ``held`` is the number of distinct words of a document.
+
+    Terms are written first, so that Spark knows their size: while they are few,
+    words meet them where they are read."""
+    terms = written(terms, "terms")
     every = F.array_distinct(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z0-9]+", " ")), " "))
-    words = docs.select("doc_id", every.alias("every")).select("doc_id", F.size("every").alias("held"), F.explode("every").alias("term"))
+    # explode_outer: before a plain explode Spark tests the array for rows, which works it out twice more
+    words = docs.select("doc_id", every.alias("every")).select("doc_id", F.size("every").alias("held"), F.explode_outer("every").alias("term"))
     found = words.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"), F.first("held").alias("held"))
     order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(order))

@@ -59,7 +59,7 @@ from t left join w using (term) where length(t.term) > 2 group by 1""")
 def entity_coverage(spark, sf):
     """Terms of each question that no document holds."""
     t = S.table(spark, sf, "benchmark").select("item_id", F.explode(C.search_terms(F.col("text"), None)).alias("term"))
-    w = S.table(spark, sf, "documents").select(F.explode(C.search_terms(F.col("text"), None)).alias("term")).distinct().withColumn("held", F.lit(True))
+    w = S.table(spark, sf, "documents").select(F.explode_outer(C.search_terms(F.col("text"), None)).alias("term")).where("term is not null").distinct().withColumn("held", F.lit(True))
     return R.coverage(t, w)
 
 

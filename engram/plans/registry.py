@@ -611,7 +611,7 @@ def router_features(spark, sf):
 @query()
 def sentence_entities(spark, sf):
     """Sentences of the documents and the first entities of each."""
-    d = S.table(spark, sf, "documents").select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("place", "sentence"))
+    d = S.table(spark, sf, "documents").select("doc_id", F.posexplode_outer(C.sentences(F.col("text"))).alias("place", "sentence")).where("sentence is not null")
     return d.select("doc_id", "place", F.xxhash64("sentence").alias("sentence_hash"), F.array_join(E.entities(F.col("sentence")), "|").alias("entities"))
 
 
