@@ -173,6 +173,11 @@ def fill_template(template: Column, values: list[tuple[str, Column]]) -> Column:
     return out
 
 
+def log_author(headers: Column, default: str) -> Column:
+    """Who a log record is by: its header ``author_agent``, else the default."""
+    return F.coalesce(F.nullif(F.element_at(headers, "author_agent"), F.lit("")), F.lit(default))
+
+
 def lag_us(arrived_us: Column, origin_us: Column) -> Column:
     """Microseconds between a record's origin and its place in the log."""
     return arrived_us - origin_us

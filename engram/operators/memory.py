@@ -317,10 +317,25 @@ def project_nodes(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.drop("embedding").withColumn("snippet", snippet(*keys, "id"))
 
 
-def project_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path_id, ids, labels) of (path_id, place, id) rows: a path's nodes in order."""
-    held = paths.join(nodes.select("id", "label"), "id").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "label"))).alias("n"))
-    return held.select("path_id", F.col("n.id").alias("ids"), F.col("n.label").alias("labels"))
+def project_paths(paths: DataFrame, nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(path_id, ids, labels) of (path_id, place, id) rows: a path's nodes in order.
+
+    With ``edges`` (type, relation, src, dst) also ``relations``: from each node to
+    the next ``relation>``, or ``<relation`` where the edge runs the other way; of
+    several the least, null where there is none."""
+    held = paths.join(nodes.select("id", "label"), "id")
+    if edges is not None:
+        after = paths.select("path_id", (F.col("place") - 1).alias("place"), F.col("id").alias("next"))
+        ways = project_edges(edges).select("relation", "src", "dest")
+        both = ways.select(F.col("src").alias("id"), F.col("dest").alias("next"), F.concat("relation", F.lit(">")).alias("way"))
+        both = both.union(ways.select("dest", "src", F.concat(F.lit("<"), "relation"))).groupBy("id", "next").agg(F.min("way").alias("way"))
+        held = held.join(after, ["path_id", "place"], "left").join(both, ["id", "next"], "left")
+    columns = ["place", "id", "label"] + (["way", "next"] if edges is not None else [])
+    rows = held.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("n"))
+    out = [F.col("n.id").alias("ids"), F.col("n.label").alias("labels")]
+    if edges is not None:
+        out.append(F.transform(F.filter("n", lambda x: x["next"].isNotNull()), lambda x: x["way"]).alias("relations"))
+    return rows.select("path_id", *out)
 
 
 def write_artifacts(folder: str, **tables: DataFrame) -> None:

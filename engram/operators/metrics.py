@@ -201,3 +201,58 @@ def combine_metrics(*tables: DataFrame) -> DataFrame:
     whole = F.assert_true(~F.col("name").startswith("qa.") | (F.col("_mi") & F.col("_ma")), F.lit("micro and macro must both be there"))
     checked = one.crossJoin(F.broadcast(halves))  # one row
     return checked.where(same.isNull() & whole.isNull()).select("name", "value")
+
+
+def recall_table(rows: DataFrame, ks: list[int]) -> DataFrame:
+    """(question_type, k, n, recall) of (question_id, question_type, gold, ranked):
+    the mean share of gold ids among the first ``k`` ranked, over all rows (type
+    null) and by type, in one pass.  A gold id counts as often as it is listed; a
+    row without gold counts 0; no rows give none."""
+    top = lambda k: F.size(F.filter("gold", lambda g: F.array_contains(F.slice("ranked", 1, k), g))) / F.size("gold")
+    at = [F.struct(F.lit(k).alias("k"), F.when(F.size("gold") > 0, top(k)).otherwise(0.0).alias("r")) for k in dict.fromkeys(ks)]
+    each = rows.select("question_type", F.explode(F.array(*at)).alias("c")).select(F.col("question_type").alias("t"), "c.k", "c.r")
+    grouped = each.groupingSets([[F.col("k")], [F.col("t"), F.col("k")]], F.col("t"), F.col("k"))
+    out = grouped.agg(F.grouping("t").alias("all"), F.count("*").alias("n"), F.avg("r").alias("recall"))
+    return out.where("all = 1 or t is not null").select(F.when(F.col("all") == 0, F.col("t")).alias("question_type"), "k", "n", "recall")
+
+
+# Fixed value: the accuracy from which a number is suspect until it is confirmed.
+SUSPECT = 0.90
+
+
+def arm_scores(judged: DataFrame) -> DataFrame:
+    """(metric, value) of (arm, question_type, label): accuracies of each arm, as
+    ``qa.arm``, and of each of its categories, as ``qa.arm.category``."""
+    grouped = judged.groupingSets([[F.col("arm")], [F.col("arm"), F.col("question_type")]], F.col("arm"), F.col("question_type"))
+    found = grouped.agg(F.grouping("question_type").alias("all"), F.avg(F.col("label").cast("double")).alias("value"))
+    return found.select(F.concat_ws(".", F.lit("qa"), "arm", F.when(F.col("all") == 0, F.col("question_type"))).alias("metric"), "value")
+
+
+def suspect_scores(scores: DataFrame, confirmed: DataFrame | None = None) -> DataFrame:
+    """(metric, value): scores at or past SUSPECT that are not among ``confirmed``
+    (metric), and so may not be quoted."""
+    high = scores.where(F.col("value") >= SUSPECT).select("metric", "value")
+    return high if confirmed is None else high.join(confirmed.select("metric").distinct(), "metric", "left_anti")
+
+
+def budget_clashes(arms: DataFrame) -> DataFrame:
+    """(arm, budget) of all arms if they do not declare one and the same budget, else nothing."""
+    differ = arms.agg((F.count_distinct("budget") > 1).alias("_differ"))
+    return arms.select("arm", "budget").distinct().crossJoin(F.broadcast(differ)).where("_differ").drop("_differ")  # one row
+
+
+def floored_allocation(counts: DataFrame, per_type: int, top_up_to: int | None = None) -> DataFrame:
+    """(stratum, n, take) of (stratum, n): ``per_type`` of each stratum, and of the
+    largest ones (ties by name) one more each until ``top_up_to`` in all.
+
+    Too few rows in a stratum, or a total that is not reached with one more each,
+    raises."""
+    strata, short = counts.agg(F.count("*"), F.min("n")).first()
+    extra = 0 if top_up_to is None else top_up_to - per_type * strata
+    if not 0 <= extra <= strata:
+        raise ValueError(f"{top_up_to} is not between {per_type * strata} and {(per_type + 1) * strata}")
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "stratum"))  # one row a stratum
+    out = counts.select("stratum", "n", (F.lit(per_type) + (place <= extra).cast("int")).cast("long").alias("take"))
+    if strata and (short < per_type or not out.where("take > n").isEmpty()):
+        raise ValueError("a stratum has fewer rows than are to be taken")
+    return out

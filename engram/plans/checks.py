@@ -8,6 +8,7 @@ from engram.functions import columns as C
 from engram.operators import answering as A, graph as G, memory as M, metrics as X, retrieval as R
 from engram.plans.registry import EDITS, JUDGED, VOTES, _judged, _votes, query
 from engram.sources import tables as S
+from engram.streaming.derived import rebuild
 
 FAMILIES = " ".join(f"when {' or '.join(f"contains(m, '{n}')" for n in needles)} then '{family}'" for family, needles in C.MODEL_FAMILIES.items())
 MODELS = ["Claude-3", "gpt-4o", "gemini-pro", "LLaMA-2", "mixtral-8x7b", "nemotron", "Qwen2", "deepseek-v3", "command-r", "mystery"]
@@ -203,3 +204,70 @@ def case_links(spark, sf):
     cases = spark.createDataFrame([], "id string, status string, opened_us struct<t:bigint,event_id:bigint>")
     edges = spark.createDataFrame([], "src string, relation string, dst string, why string")
     return M.link_case(cases, edges, links, nodes)[1]
+
+
+RANKED = """rows_of as (select event_type as question_type, list_transform(range(10), lambda i: (event_id * 7 + i * 3) % 20) as ranked,
+  case when event_id % 5 = 0 then cast([] as bigint[]) else [event_id % 20, event_id * 3 % 20, 5] end as gold from events),
+each as (select question_type, k, case when len(gold) = 0 then 0.0 else len(list_filter(gold, lambda g: list_contains(ranked[1:k], g))) / len(gold) end as r from rows_of, (select unnest([1, 5, 10]) as k))"""
+
+
+@query(f"""with {RANKED} select cast(null as varchar) as question_type, k, count(*) as n, round(avg(r), 9) as recall from each group by k
+union all select question_type, k, count(*), round(avg(r), 9) from each where question_type is not null group by question_type, k""")
+def recall_by_type(spark, sf):
+    """Recall at 1, 5 and 10 over rank lists made from the events, in all and by type."""
+    n = F.col("event_id")
+    ranked = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (n * 7 + i * 3) % 20)
+    gold = F.when(n % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(n % 20, n * 3 % 20, F.lit(5).cast("bigint")))
+    rows = S.table(spark, sf, "events").select(n.alias("question_id"), F.col("event_type").alias("question_type"), gold.alias("gold"), ranked.alias("ranked"))
+    return X.recall_table(rows, [1, 5, 10, 5]).withColumn("recall", F.round("recall", 9))
+
+
+@query(f"""with {JUDGED}, s as (select 'qa.' || split as metric, avg(label::int) as value from judged group by split
+union all select 'qa.' || split || '.' || question_type, avg(label::int) from judged group by split, question_type)
+select metric, round(value, 9) as value from s where value >= 0.9 and metric not in (select 'qa.' || min(split) || '.' || min(question_type) from judged)""")
+def guard_suspects(spark, sf):
+    """Accuracies of 0.9 and more of languages as arms and sources as categories, one cell confirmed."""
+    j = _judged(spark, sf)
+    sure = j.agg(F.concat(F.lit("qa."), F.min("split"), F.lit("."), F.min("question_type")).alias("metric"))
+    return X.suspect_scores(X.arm_scores(j.withColumnRenamed("split", "arm")), sure).withColumn("value", F.round("value", 9))
+
+
+@query("select distinct c_mktsegment as arm, 10 + c_custkey % 2 as budget from customer")
+def guard_budgets(spark, sf):
+    """Arms that declare two budgets."""
+    c = S.table(spark, sf, "customer")
+    return X.budget_clashes(c.select(F.col("c_mktsegment").alias("arm"), (10 + F.col("c_custkey") % 2).alias("budget")))
+
+
+@query("""with c as (select source as stratum, count(*) as n from documents group by 1),
+a as (select stratum, 2 + case when row_number() over (order by n desc, stratum) <= 7 then 1 else 0 end as take from c)
+select doc_id, source from (select doc_id, source, row_number() over (partition by source order by md5('20260803:' || doc_id), doc_id) as n from documents) d join a on a.stratum = d.source where n <= take""")
+def stratified_floor(spark, sf):
+    """Two documents of each source, and one more of the seven largest."""
+    d = S.table(spark, sf, "documents")
+    counts = d.groupBy(F.col("source").alias("stratum")).agg(F.count("*").alias("n"))
+    return X.stratified_sample(d, X.floored_allocation(counts, 2, 2 * counts.count() + 7), "doc_id", "source", 20260803)
+
+
+@query("""with e as (select conv_id || '.' || turn as id, lead(conv_id || '.' || turn) over (partition by conv_id order by turn) as next, turn, conv_id, role,
+  case when turn % 3 = 0 then 'NEXT>' when turn % 3 = 1 then '<replies' end as way from conversations)
+select conv_id as path_id, array_to_string(list(id order by turn), '>') as ids, array_to_string(list(coalesce(way, '-') order by turn) filter (where next is not null), ' ') as relations from e group by 1""")
+def path_relations(spark, sf):
+    """Conversations as paths: an edge onwards, one that runs back, and none in turn."""
+    t = S.table(spark, sf, "conversations")
+    name = lambda turn: F.concat_ws(".", F.col("conv_id").cast("string"), turn.cast("string"))
+    here, onwards, there = name(F.col("turn")), F.col("turn") % 3 == 0, name(F.col("turn") + 1)
+    edges = t.where("turn % 3 < 2").select(F.lit("NEXT").alias("type"), F.when(onwards, "").otherwise("replies").alias("relation"), F.when(onwards, here).otherwise(there).alias("src"), F.when(onwards, there).otherwise(here).alias("dst"))
+    paths = M.project_paths(t.select(F.col("conv_id").alias("path_id"), F.col("turn").alias("place"), here.alias("id")), t.select(here.alias("id"), F.col("role").alias("label")), edges)
+    return paths.select("path_id", F.array_join("ids", ">").alias("ids"), F.array_join("relations", " ", "-").alias("relations"))
+
+
+@query(f"""with {EDITS}, n as (select distinct 'Event' || chr(31) || 'Event:' || event_id || chr(31) || 'bridge' as line from edits
+  union all select distinct 'Actor' || chr(31) || 'Actor:' || actor || chr(31) || 'bridge' from edits union all select distinct 'Page' || chr(31) || 'Page:' || page || chr(31) || 'bridge' from edits),
+e as (select 'Actor:' || actor || chr(31) || 'EDITED' || chr(31) || '' || chr(31) || 'Event:' || event_id || chr(31) || '' as line from edits union all select 'Event:' || event_id || chr(31) || 'ON' || chr(31) || '' || chr(31) || 'Page:' || page || chr(31) || '' from edits),
+d as (select (select sha256(string_agg(line, chr(10) order by line)) from n) as nodes_digest, (select sha256(string_agg(line, chr(10) order by line)) from e) as edges_digest)
+select nodes_digest, edges_digest, sha256(nodes_digest || edges_digest) as graph_digest from d""")
+def rebuild_digest(spark, sf):
+    """The graph of the event log, each view delivered twice and in another order, as its digest."""
+    e = S.edits(spark, sf).select("event_id", "actor", "page", "ts_us", "kind", F.lit("bridge").alias("author"), (F.col("event_id") % 4).alias("part"), F.col("event_id").alias("off"))
+    return rebuild(e.unionByName(e.where("kind = 'view'")).orderBy(F.desc("off")), 3_600_000_000)["digest"]
