@@ -51,13 +51,22 @@ def rotations_for(vectors: int, width: int) -> int:
     return n
 
 
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1.  A power of two is taken out of each first, which changes
+    no digit, so that squares of very large or small components neither overflow
+    nor vanish."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -exponent)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def bucket_codes(vectors: np.ndarray, rotations: int) -> np.ndarray:
     """[rows, tables * probes] bucket codes: the nearest signed unit vectors
     of ``rotations`` rotations, and each rotation's second choice in turn."""
     n, width = vectors.shape
     d = 1 << max(1, (width - 1).bit_length())
     x = np.zeros((n, d))
-    x[:, :width] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    x[:, :width] = unit_rows(vectors)
     rng, codes = np.random.Generator(np.random.PCG64(SEED)), []
     for table in range(TABLES):
         best, second = [], []
@@ -88,8 +97,7 @@ def _links(table: pa.Table, threshold: float) -> pa.Table:
     """
     x, own = table.column("x").to_numpy(), table.column("own").to_numpy()
     many = table.column("copies").to_numpy()
-    unit = np.array(table.column("v").to_pylist(), np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = unit_rows(np.array(table.column("v").to_pylist(), np.float64))
     pivot = table.column("pivot")[0].as_py()
     linked = unit @ unit.T >= threshold
     if table.column("block_a")[0].as_py() != table.column("block_b")[0].as_py():

@@ -183,6 +183,12 @@ def test_embedding_classes_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.embedding_classes(df.limit(0)).count() == 0
 
 
+def test_embedding_classes_of_extreme_components(spark):
+    rows = [(1, [1e200, 1e200], "a"), (2, [1e-200, 1e-200], "a"), (3, [1.0, 1.01], "a"), (4, [1e-200, 5e-200], "a"), (5, [5e-324, 5e-324], "a"), (6, [-1e300, 0.0], "a")]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "VECTOR_BLOCK", 64)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
