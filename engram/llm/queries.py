@@ -106,6 +106,7 @@ ORACLE_SQL = {
           from embeddings
           where vec_id is not null and embedding is not null
             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+            and coalesce(list_sum(list_transform(embedding, lambda x: pow(256 * cast(x as double), 2))), 0) < pow(2.0, 62)
           group by vec_id
         ), s as (
           select q.vec_id as query_id, c.vec_id,

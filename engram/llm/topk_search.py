@@ -9,7 +9,9 @@ bounds fixes a k-th score, and only vectors whose upper bound reaches it are
 read after that, so the k-th result is certain.
 
 Vectors that are null or hold null or non-finite components take no part; ids
-that are null neither.  Of equal vectors only the k + 1 smallest ids can be
+that are null neither, nor do vectors whose components times ``scale`` have
+squares that add up to 2 ** 62 or more: the product of any two others fits a
+long, sums on the way too.  Of equal vectors only the k + 1 smallest ids can be
 among the best, so no more are searched.  Ties go to the smaller id.  Rows
 that repeat an id and its vector count once; an id that stands on several
 vectors has the smallest of them, component by component.  Vectors are compared with those
@@ -49,6 +51,10 @@ def _bounds(table: pa.Table, k: int) -> pa.Table:
         low, high = cells * wide, cells * wide + (wide - 1)
         up, down = np.maximum(asked, 0), np.minimum(asked, 0)
         most, least = up @ high.T + down @ low.T, up @ low.T + down @ high.T
+        # past 2 ** 53 products are rounded: bounds are moved outwards by more than that can be
+        furthest = np.maximum(np.abs(low), np.abs(high)).max()
+        slack = np.abs(asked).sum(axis=1, keepdims=True) * furthest * (asked.shape[1] + 2) * 2.0**-52
+        most, least = most + slack, least - slack
     else:
         most = least = np.zeros((len(q_ids), len(v_ids)))
     if most.size:
@@ -69,7 +75,9 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     prepare(spark)
     v = F.col(vector_col).cast("array<double>")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    ints = vectors.where(F.col(id_col).isNotNull() & F.coalesce(sound, F.lit(False))).select(
+    squares = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x * scale) * (x * scale))
+    fits = F.when(F.coalesce(sound, F.lit(False)), squares < F.lit(2.0**62)).otherwise(False)
+    ints = vectors.where(F.col(id_col).isNotNull() & fits).select(
         F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v")
     )
     ints = materialize(ints.groupBy("id").agg(F.min("v").alias("v")), "int-vectors")

@@ -189,6 +189,23 @@ def test_embedding_classes_of_extreme_components(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10 ** rng.integers(3, 7)]) for i in range(150)]
+    rows += [(1000, [1e300, 1.0, 1.0]), (1001, [9e6, 0.0, 0.0]), (50, [2.0**54, 0.0, 0.0]), (1003, [0.0, 0.0, 0.0])]
+    sound = {}
+    for i, v in rows:
+        if sum((256 * x) ** 2 for x in v) < 2.0**62:
+            ints = [math.floor(256 * x) for x in v]
+            sound[i] = min(sound.get(i, ints), ints)
+    want = set()
+    for q in (i for i in sound if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(sound[q], v)), i) for i, v in sound.items() if i != q)[:5]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()} == want
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "VECTOR_BLOCK", 64)
     monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
