@@ -195,7 +195,7 @@ def test_top_k_of_large_components(spark):
     rows += [(1000, [1e300, 1.0, 1.0]), (1001, [9e6, 0.0, 0.0]), (50, [2.0**54, 0.0, 0.0]), (1003, [0.0, 0.0, 0.0])]
     sound = {}
     for i, v in rows:
-        if sum((256 * x) ** 2 for x in v) < 2.0**62:
+        if sum((256 * x) * (256 * x) for x in v) < 2.0**62:
             ints = [math.floor(256 * x) for x in v]
             sound[i] = min(sound.get(i, ints), ints)
     want = set()
