@@ -188,13 +188,12 @@ def fit_quality(
 ) -> dict[str, np.ndarray]:
     """The network, fitted on labelled rows that are not held out.
 
-    About ``sample`` labels are drawn and joined as a table of that size; of
-    their texts, each once and in order of a hash, whole ones are taken while
+    The ``sample`` labels of the smallest hashes are drawn and joined as a table of
+    that size; of their texts, each once and in order of a hash, whole ones are taken while
     they fit into ``sample_bytes`` characters.  The driver gets those.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("y"))
-    share = min(1.0, sample / max(1, usable.count()))
-    drawn = usable.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = usable.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("draw"), F.length(text).alias("size"), text.alias("text"))
     # slim rows first: which texts there are, and how long
