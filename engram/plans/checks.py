@@ -12,7 +12,7 @@ from engram.streaming.derived import rebuild
 
 FAMILIES = " ".join(f"when {' or '.join(f"contains(m, '{n}')" for n in needles)} then '{family}'" for family, needles in C.MODEL_FAMILIES.items())
 MODELS = ["Claude-3", "gpt-4o", "gemini-pro", "LLaMA-2", "mixtral-8x7b", "nemotron", "Qwen2", "deepseek-v3", "command-r", "mystery"]
-PANELS = f"""named as (select event_id as panel_id, list_value({', '.join(f"'{m}'" for m in MODELS)}) as m from events where event_id % 50 = 0),
+PANELS = f"""named as (select event_id as panel_id, list_value({', '.join(f"'{m}'" for m in MODELS)}) as m from events),
 panels as (select panel_id, m[panel_id // 50 % 10 + 1] as reader, [m[panel_id // 150 % 10 + 1], m[panel_id // 350 % 10 + 1], m[panel_id // 550 % 10 + 1]] as judges from named)"""
 
 
@@ -25,7 +25,7 @@ def guard_families(spark, sf):
     """Reader and judges that share a family, or of no known one."""
     n = F.col("event_id")
     pick = lambda k: F.get(F.array(*map(F.lit, MODELS)), (F.floor(n / k) % len(MODELS)).cast("int"))
-    panels = S.table(spark, sf, "events").where(n % 50 == 0).select(n.alias("panel_id"), pick(50).alias("reader"), F.array(pick(150), pick(350), pick(550)).alias("judges"))
+    panels = S.table(spark, sf, "events").select(n.alias("panel_id"), pick(50).alias("reader"), F.array(pick(150), pick(350), pick(550)).alias("judges"))
     return X.family_clashes(panels)
 
 
@@ -52,11 +52,11 @@ def guard_summed_deltas(spark, sf):
 
 
 @query("""select distinct event_type as router, case event_id % 4 when 0 then 'temporal' when 1 then 'answer' when 2 then 'n_tokens' else 'gold' end as field
-from events where event_id % 4 in (1, 3) and event_type <> 'view'""")
+from events where event_id % 4 in (1, 3)""")
 def guard_gold_reads(spark, sf):
     n = F.col("event_id") % 4
     field = F.when(n == 0, "temporal").when(n == 1, "answer").when(n == 2, "n_tokens").otherwise("gold")
-    e = S.table(spark, sf, "events").where("event_type <> 'view'")
+    e = S.table(spark, sf, "events")
     return X.gold_reads(e.select(F.col("event_type").alias("router"), field.alias("field")), R.GOLD_FIELDS)
 
 
@@ -143,11 +143,16 @@ def scalar_forms(spark, sf):
     )
 
 
-@query("select doc_id, case when doc_id % 5 in (0, 4) then 'true' else 'false' end as as_bool from documents where doc_id % 5 <> 3")
+@query("""select doc_id, case when doc_id % 5 in (0, 3, 4) then 'true' else 'false' end as as_bool,
+case when doc_id % 5 = 0 then '' || doc_id when doc_id % 5 = 1 then '-7' when doc_id % 5 = 2 then '"1.5"' when doc_id % 5 = 3 then '"x ' || doc_id || '"' else '""' end as as_int,
+case when doc_id % 5 = 2 then '["a","b"]' when doc_id % 5 = 3 then '["x ' || doc_id || '"]' when doc_id % 5 = 4 then '[]' when doc_id % 5 = 0 then '["' || doc_id || '"]' else '[" -7 "]' end as as_list from documents""")
 def coerced(spark, sf):
     n = F.col("doc_id") % 5
     v = F.when(n == 0, "Yes").when(n == 1, " off ").when(n == 2, "").otherwise("maybe")
-    return S.table(spark, sf, "documents").where(n != 3).select("doc_id", C.coerce(v, "boolean").alias("as_bool"))
+    text = F.col("doc_id").cast("string")
+    i = F.when(n == 0, text).when(n == 1, " -7 ").when(n == 2, "1.5").when(n == 3, F.concat(F.lit("x "), text)).otherwise("")
+    listed = F.when(n == 2, "a,,b").otherwise(i)
+    return S.table(spark, sf, "documents").select("doc_id", C.coerce(v, "boolean").alias("as_bool"), C.coerce(i, "integer").alias("as_int"), C.coerce(listed, "array").alias("as_list"))
 
 
 #: Replies as extraction gives them, by session modulo their number: (text, claims found as
