@@ -49,6 +49,27 @@ def rings(edits: DataFrame, width: int, since: int | None = None, until: int | N
     smallest span and closeness 1 - span / width.  Mirrored paths are never
     made: only a < c.
     """
+    found = _fingerprints(_ring_paths(edits, width, since, until, anchor)).groupBy("actors", "pages").agg(F.min("span_us").alias("span_us"))
+    return found.withColumn("closeness", 1 - F.col("span_us") / width)
+
+
+def ring_paths(edits: DataFrame, width: int, since: int | None = None, until: int | None = None, anchor: str | None = None) -> DataFrame:
+    """(actors, pages, a, mid, c, x, y, t_min, t_max, span_us, closeness): of each
+    ring the path a - x - mid - y - c of the smallest span, then of the earliest
+    start, then of the smallest names."""
+    paths = _fingerprints(_ring_paths(edits, width, since, until, anchor)).withColumns({"t_min": F.least("l1", "l2"), "t_max": F.greatest("h1", "h2")})
+    best = F.min(F.struct("span_us", "t_min", "a", "mid", "c", "x", "y", "t_max")).alias("p")
+    found = paths.groupBy("actors", "pages").agg(best).select("actors", "pages", *(f"p.{c}" for c in ("a", "mid", "c", "x", "y", "t_min", "t_max", "span_us")))
+    return found.withColumn("closeness", 1 - F.col("span_us") / width)
+
+
+def _fingerprints(paths: DataFrame) -> DataFrame:
+    actors, pages = F.array_sort(F.array("a", "mid", "c")), F.array_sort(F.array("x", "y"))
+    return paths.withColumns({"actors": F.array_join(actors, "|"), "pages": F.array_join(pages, "|")})
+
+
+def _ring_paths(edits: DataFrame, width: int, since: int | None, until: int | None, anchor: str | None) -> DataFrame:
+    """(mid, a, x, l1, h1, c, y, l2, h2, span_us) of all paths with a < c."""
     e = edits
     if since is not None:
         e = e.where(F.col("ts_us") >= since)
@@ -68,9 +89,7 @@ def rings(edits: DataFrame, width: int, since: int | None = None, until: int | N
     paths = near_in_time(left, right, ["mid"], "l1", "l2", width).where("a < c and x <> y").withColumn("span_us", span).where(F.col("span_us") <= width)
     if anchor is not None:
         paths = paths.where(F.lit(anchor).isin(F.col("a"), F.col("mid"), F.col("c")))
-    actors, pages = F.array_sort(F.array("a", "mid", "c")), F.array_sort(F.array("x", "y"))
-    found = paths.groupBy(F.array_join(actors, "|").alias("actors"), F.array_join(pages, "|").alias("pages")).agg(F.min("span_us").alias("span_us"))
-    return found.withColumn("closeness", 1 - F.col("span_us") / width)
+    return paths
 
 
 def ring_verdict(found: DataFrame, least: float = 0.5) -> DataFrame:
@@ -209,8 +228,10 @@ def cell_members(labels: DataFrame, least: int = 2) -> DataFrame:
 
 def supersede_pairs(claims: DataFrame) -> DataFrame:
     """(newer, older, relation) of neighbouring claims of a subject and
-    predicate whose texts differ; of equal date: contradicts."""
-    order = Window.partitionBy("subject", "predicate").orderBy("valid_us", "id")
+    predicate whose texts differ; of equal date: contradicts.  Claims are in order
+    of date, session where they have one, and id."""
+    session = ["session_id"] if "session_id" in claims.columns else []
+    order = Window.partitionBy("subject", "predicate").orderBy("valid_us", *session, "id")
     seen = claims.where("subject is not null and predicate is not null").select(
         F.col("id").alias("newer"), F.lag("id").over(order).alias("older"), "text", "valid_us",
         F.lag("text").over(order).alias("old_text"), F.lag("valid_us").over(order).alias("old_valid"),

@@ -141,6 +141,31 @@ def key_counts(rows: DataFrame, key: str, k: int = 8) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
 
 
+def producer_key(wiki: Column, server: Column) -> Column:
+    """What an event is keyed by: its wiki, else its server, else ``unknown``."""
+    return F.coalesce(F.nullif(wiki, F.lit("")), F.nullif(server, F.lit("")), F.lit("unknown"))
+
+
+def receipt(rows: DataFrame, key: str, k: int = 8) -> DataFrame:
+    """(records, keys, top): what was produced: how many records under how many
+    keys, and the ``k`` most frequent of them as (key, n), ties by name."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count("*").alias("keys"))
+    first = counts.orderBy(F.desc("n"), key).limit(k)  # k rows
+    top = first.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_o"), F.col(key).alias("key"), "n"))).alias("t"))
+    return total.crossJoin(top).select("records", "keys", F.transform("t", lambda x: F.struct(x["key"], x["n"])).alias("top"))
+
+
+def canonical(records: DataFrame) -> DataFrame:
+    """Records in the log's own order: by their ``seq`` (part, off) where they have
+    one, else by partition and offset, a missing one counting as 0."""
+    zero = F.lit(0)
+    part, off = F.coalesce("part", zero), F.coalesce("off", zero)
+    if "seq" in records.columns:
+        part, off = F.coalesce("seq.part", part), F.coalesce("seq.off", off)
+    return records.orderBy(part, off)
+
+
 def dedup_counts(log: DataFrame) -> DataFrame:
     """By partition: records fetched, offsets surfaced once each, and repeats."""
     surfaced = F.count_distinct("off")

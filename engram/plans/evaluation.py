@@ -267,7 +267,7 @@ def claim_graph_nodes(spark, sf):
 
 
 @query(f"""with {GRAPH}, spine as (select session_id, lead(session_id) over (order by date_iso, session_id) as next from sessions),
-sp as (select id as newer, lag(id) over w as older, text, lag(text) over w as old_text, valid_us, lag(valid_us) over w as old_valid from graph window w as (partition by subject, predicate order by valid_us, id))
+sp as (select id as newer, lag(id) over w as older, text, lag(text) over w as old_text, valid_us, lag(valid_us) over w as old_valid from graph window w as (partition by subject, predicate order by valid_us, session_id, id))
 select 't:' || conv_id || ':' || turn as src, 'IN_SESSION' as relation, 's:' || conv_id as dst from conversations
 union all select 'c:' || id, 'FROM_TURN', 't:' || session_id || ':' || turn from graph union all select 'c:' || id, 'MENTIONS', 'e:' || entity from mentions
 union all select 's:' || session_id, 'NEXT', 's:' || next from spine where next is not null
@@ -307,7 +307,7 @@ def _retrieve_sql(final: str = "select * from ranked") -> str:
     dated as (select query_id, id, rank from asked, (select id, row_number() over (order by date_iso, id) as rank from graph join sessions using (session_id)) where temporal and rank <= 40),
     {fuse("timed", "wider", "dated")},
     sp as (select newer, older from (select id as newer, lag(id) over w as older, text, lag(text) over w as old_text, valid_us, lag(valid_us) over w as old_valid
-      from graph window w as (partition by subject, predicate order by valid_us, id)) where older is not null and text <> old_text and valid_us <> old_valid),
+      from graph window w as (partition by subject, predicate order by valid_us, session_id, id)) where older is not null and text <> old_text and valid_us <> old_valid),
     walk as (select older as id, newer as head, 1 as depth, [older, newer] as path from sp union all select w.id, p.newer, w.depth + 1, list_append(w.path, p.newer) from walk w join sp p on p.older = w.head where w.depth < 6),
     heads as (select id, head, path from walk where head not in (select older from sp)),
     moved as (select query_id, coalesce(h.head, t.id) as id, rank, h.path from timed t left join heads h on h.id = t.id and t.rank <= 36),

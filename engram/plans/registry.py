@@ -125,6 +125,19 @@ def ring_1h(spark, sf):
     return G.rings(S.edits(spark, sf), HOUR)
 
 
+@query(f"""with {EDITS}, pairs as (
+  select distinct a.actor as m, b.actor as e, a.page as page, least(a.ts_us, b.ts_us) as low, greatest(a.ts_us, b.ts_us) as high
+  from edits a join edits b on a.page = b.page and a.actor <> b.actor and abs(a.ts_us - b.ts_us) <= {6 * HOUR}),
+paths as (select array_to_string(list_sort([p.e, p.m, q.e]), '|') as actors, array_to_string(list_sort([p.page, q.page]), '|') as pages, p.e as a, p.m as mid, q.e as c, p.page as x, q.page as y,
+  least(p.low, q.low) as t_min, greatest(p.high, q.high) as t_max, greatest(p.high, q.high) - least(p.low, q.low) as span_us
+  from pairs p join pairs q on p.m = q.m and p.e < q.e and p.page <> q.page and greatest(p.high, q.high) - least(p.low, q.low) <= {6 * HOUR})
+select *, 1 - span_us / {6 * HOUR} as closeness from paths
+qualify row_number() over (partition by actors, pages order by span_us, t_min, a, mid, c, x, y, t_max) = 1""")
+def ring_paths(spark, sf):
+    """The tightest path of each ring within six hours, in its order and with its times."""
+    return G.ring_paths(S.edits(spark, sf), 6 * HOUR)
+
+
 @query(ring_sql(6 * HOUR))
 def ring_6h(spark, sf):
     return G.rings(S.edits(spark, sf), 6 * HOUR)
@@ -567,6 +580,16 @@ def key_counts(spark, sf):
     return M.key_counts(S.table(spark, sf, "events"), "event_type")
 
 
+@query("""with c as (select coalesce(nullif(case when event_id % 3 = 0 then '' else event_type end, ''), nullif(case when event_id % 2 = 0 then 'server' end, ''), 'unknown') as key, count(*) as n from events group by 1)
+select cast(sum(n) as bigint) as records, count(*) as keys, (select string_agg(key || '=' || n, ',' order by n desc, key) from (select * from c order by n desc, key limit 3)) as top from c""")
+def produce_receipt(spark, sf):
+    """The receipt of publishing all events, keyed by type, else by server."""
+    e, n = S.table(spark, sf, "events"), F.col("event_id")
+    key = M.producer_key(F.when(n % 3 == 0, "").otherwise(F.col("event_type")), F.when(n % 2 == 0, "server"))
+    lines = F.transform("top", lambda x: F.concat(x["key"], F.lit("="), x["n"].cast("string")))
+    return M.receipt(e.select(key.alias("key")), "key", 3).select("records", "keys", F.array_join(lines, ",").alias("top"))
+
+
 @query(f"""with {EDITS} select page, arg_min(actor, event_id) as created_by, arg_max(actor, event_id) as updated_by, arg_max(bytes, event_id) as bytes from edits group by 1""")
 def upsert_pages(spark, sf):
     e = S.edits(spark, sf).withColumns({"created_by": F.col("actor"), "updated_by": F.col("actor")})
