@@ -5,17 +5,19 @@ Documents keep their order: those of a partition make one stream of token ids
 most ``window`` ids.  Candidates for a cut are the ends of documents (free),
 ends of sentences (a small penalty) and, inside stretches without either, a
 grid of places (a larger penalty for truncation).  The cheapest sequence of
-cuts minimises padding plus penalties; for every place the best previous cut
-within reach comes from a monotone queue, so a stream of n candidates costs n
-steps.  A window whose length is a power of two needs no padding.
+cuts minimises padding plus penalties.  A window whose length is a power of two
+is not padded, any other to the whole window.  For every place the best previous
+cut within reach comes from a monotone queue, beside the few places that lie a
+power of two before it, so a stream of n candidates costs n steps for each power
+of two below the window.
 
 A stream is worked off in blocks; the last windows of a block wait for the
 next one, so only the last window of a partition is cut short.  A null or
 empty text is its end id alone.  Repeated rows are packed each, equal costs go
 to the earliest cut.  A null id stays null.  A text of any length is cut as
 often as need be; the ids of one text at a time are held whole.  Other columns
-are ignored, whatever their names.  An empty table gives none.  Sequence ids combine the partition and a running number: unique,
-not gapless.
+are ignored, whatever their names.  An empty table gives none.  Sequence ids
+combine the partition and a running number: unique, not gapless.
 """
 
 from __future__ import annotations
@@ -106,12 +108,29 @@ def token_ids(path: str) -> TokenIds:
     return _LOADED[path]
 
 
+def exact_starts(at: np.ndarray, window: int = WINDOW) -> tuple[list[int], list[int]]:
+    """(starts, upto): the indexes of places a power of two below ``window``
+    before place j are ``starts[upto[j]:upto[j + 1]]``, ascending."""
+    ends, starts = [], []
+    for power in range((window - 1).bit_length() - 1, -1, -1):
+        wanted = at - (1 << power)
+        found = np.searchsorted(at, wanted)
+        hit = np.flatnonzero(at[found] == wanted)
+        ends.append(hit)
+        starts.append(found[hit])
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    upto = np.searchsorted(np.concatenate(ends)[order], np.arange(len(at) + 1))
+    return np.concatenate(starts)[order].tolist(), upto.tolist()
+
+
 def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Ends of the cheapest windows.  ``places`` ascend from after 0 to the end
-    of the stream, with no gap above ``window``; a window from i to j costs
-    window - (j - i) padding and the penalty of a cut at j."""
+    of the stream, with no gap above ``window``; a window from i to j costs its
+    padding, window - (j - i) or, for a power of two, none, and the penalty of a
+    cut at j.  Of equal costs the earliest i is taken."""
     at = [0, *places.tolist()]
     pen = [0, *penalty.tolist()]
+    starts, upto = exact_starts(np.array(at, np.int64), window)
     n = len(at)
     cost, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + place, index), values ascending
@@ -120,10 +139,14 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int = WINDOW) ->
         while at[queue[0][1]] < here - window:
             queue.popleft()
         value, i = queue[0]
-        cost[j] = c = value + window - here + pen[j]
+        c = value + window - here
+        for k in starts[upto[j] : upto[j + 1]]:
+            if cost[k] < c or (cost[k] == c and k < i):
+                c, i = cost[k], k
+        cost[j] = c = c + pen[j]
         back[j] = i
         c += here
-        while queue and queue[-1][0] >= c:
+        while queue and queue[-1][0] > c:
             queue.pop()
         queue.append((c, j))
     ends, j = [], n - 1

@@ -268,16 +268,27 @@ def test_long_white_space_is_encoded(space):
 
 def test_best_cuts_equal_brute_force():
     rng = np.random.default_rng(4)
-    for _ in range(30):
-        places = np.cumsum(rng.integers(1, 9, 14))
-        penalty = rng.integers(0, 6, 14)
-        cost = {0: 0}
-        for j, p in zip(places.tolist(), penalty.tolist()):
-            cost[j] = min(c + 10 - (j - i) + p for i, c in cost.items() if j - i <= 10)
-        ends = packing.best_cuts(places, penalty, 10)
-        pen = dict(zip(places.tolist(), penalty.tolist()))
-        starts = [0, *ends[:-1].tolist()]
-        assert sum(10 - (e - s) + pen[e] for s, e in zip(starts, ends.tolist())) == cost[int(places[-1])] and ends[-1] == places[-1]
+    for window in (10, 16, 17):
+        padding = lambda n: 0 if n & (n - 1) == 0 else window - n  # noqa: B023, E731
+        for _ in range(30):
+            places = np.cumsum(rng.integers(1, 9, 14))
+            penalty = rng.integers(0, 6, 14)
+            cost = {0: 0}
+            for j, p in zip(places.tolist(), penalty.tolist()):
+                cost[j] = min(c + padding(j - i) + p for i, c in cost.items() if j - i <= window)
+            want, j = [], int(places[-1])
+            pen = dict(zip(places.tolist(), penalty.tolist()))
+            while j:  # the earliest of the best
+                want.append(j)
+                j = min(i for i in cost if i < j and j - i <= window and cost[i] + padding(j - i) + pen[j] == cost[j])
+            assert packing.best_cuts(places, penalty, window).tolist() == want[::-1]
+
+
+def test_powers_of_two_are_not_padded():
+    assert packing.best_cuts(np.array([1024, 1536]), np.array([0, 0])).tolist() == [1024, 1536]
+    assert packing.best_cuts(np.array([1, 2, 4, 2048]), np.array([0, 0, 0, 0])).tolist() == [2048]
+    assert packing.best_cuts(np.array([1]), np.array([0])).tolist() == [1]
+    assert packing.best_cuts(np.array([1024]), np.array([48])).tolist() == [1024]
 
 
 def test_mixing_reaches_targets(spark, sf_dir):
