@@ -40,8 +40,8 @@ TEMPER = 0.25
 ALPHA, LEAST = 20.0, 0.5
 #: Open-set test: deviations below the fitted rows' median that a text may lie;
 #: least deviation between rows; how much neighbouring trigrams, which overlap,
-#: raise the variance of a text's mean; trigrams under which a text is not tested.
-OUTSIDE, ROW_SPREAD, OVERLAP, TESTED = 5.0, 0.5, 3.0, 16
+#: raise the variance of a text's mean.
+OUTSIDE, ROW_SPREAD, OVERLAP = 5.0, 0.5, 3.0
 #: Counts a bucket that smoothing adds, to all languages in the same proportion.
 SMOOTH = 0.05
 
@@ -87,19 +87,19 @@ def text_scores(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarr
 
 
 def like_fitted(sums: np.ndarray, grams: np.ndarray, fits: np.ndarray) -> np.ndarray:
-    """1 where a text is like the fitted rows of some language; of a few trigrams
-    that cannot be told."""
+    """1 where a text is like the fitted rows of some language.  The fewer
+    trigrams, the wider the limits; a text without one is like any."""
     many = np.maximum(grams, 1)[:, None]
     means = sums / (TEMPER * many)
     limits = fits[:, 0] - OUTSIDE * np.sqrt(fits[:, 1] ** 2 + OVERLAP * fits[:, 2] / many)
-    return ((means >= limits).any(axis=1) | (grams < TESTED)).astype(np.float64)
+    return (means >= limits).any(axis=1).astype(np.float64)
 
 
 def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log p(trigram | language), fits) from about ``sample`` labelled rows.
 
     Each language gives the same number of rows, or all it has.  Rows are
-    drawn by a hash of id and text, so reruns agree.  Counts are summed in
+    drawn by a hash of id and the text's length, so reruns agree.  Counts are summed in
     Spark; what comes back is BUCKETS numbers a language and one a drawn row.
     A trigram unseen everywhere has the same probability in each language.
 
@@ -113,7 +113,7 @@ def fit_text_model(docs: DataFrame, id_col: str, text_col: str, lang_col: str, s
     ).where("lang is not null and text is not null")
     held = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
     shares = held.withColumn("share", F.lit(sample) / F.count("*").over(Window.partitionBy()) / F.col("rows")).select("lang", "share")
-    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000).select("lang", "text")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.col("draw") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "text")
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}

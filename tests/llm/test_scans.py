@@ -168,6 +168,17 @@ def test_languages_outside_the_model_are_rejected(spark, sf_dir):
     assert clean > 0.99
 
 
+def test_short_texts_are_tested_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = ["qzxj vkwq xzq", "zq wx", "東京", "мир", "привет мир", "qwrtp zxcvb"]
+    pieces = [" ".join(r.text.split()[9 : 9 + n]) for n in (1, 2, 3) for r in docs.where("length(text) > 200").orderBy("doc_id").limit(60).collect()]
+    rows = [(10_000 + i, x, None, "src0", 0) for i, x in enumerate([*junk, *pieces])]
+    got = language_id.document_languages(docs.unionByName(spark.createDataFrame(rows, docs.schema)))
+    named = {r.doc_id - 10_000: r.id_language for r in got.where("doc_id >= 10000").collect()}
+    assert [named[i] for i in range(len(junk))] == ["und"] * len(junk)
+    assert sum(named[i] == "und" for i in range(len(junk), len(rows))) <= len(pieces) // 50
+
+
 def test_unseen_trigrams_favour_no_language(spark):
     rows = [(i, "the cat sat on the mat and ran " * 20, "en") for i in range(30)] + [(100, "der hund lief in den wald ", "de")]
     languages, table, _ = language_id.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
