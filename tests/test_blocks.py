@@ -71,3 +71,37 @@ def test_rings_shuffle_edits_and_no_paths(spark):
     rows = [(i, f"a{i % 40}", f"p{i % 2 if i >= 40 else (i + 1) % 2}", i) for i in range(200)]
     plan = G.rings(spark.createDataFrame(rows, SCHEMA), 1000)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+
+
+def brute_pairs(rows, width):
+    met = {}
+    for e, o in itertools.combinations(rows, 2):
+        if e[1] != o[1] and e[2] == o[2] and (width is None or abs(e[3] - o[3]) <= width):
+            met.setdefault((min(e[1], o[1]), max(e[1], o[1])), {}).setdefault(e[2], []).append(abs(e[3] - o[3]))
+    return met
+
+
+def test_coedits_are_brute_force(spark, small):
+    rows = edits(200, 12, 6) + [(900, None, "p1", 5), (901, "a1", None, 5), (902, "a10", "p1", 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    met = brute_pairs(rows[:200] + rows[202:], 40)
+    got = G.coedited_windowed(df, 40).collect()
+    assert {(r.a, r.b): (r.shared, r.closest_us) for r in got} == {k: (len(v), min(map(min, v.values()))) for k, v in met.items()} and len(got) == len(met)
+
+
+@pytest.mark.parametrize("dense", [0.0, 1 / 600, 2.0])
+def test_weights_are_brute_force(spark, small, monkeypatch, dense):
+    """Pages as columns of a matrix, pair by pair, and both."""
+    monkeypatch.setattr(B, "DENSE", dense)
+    rows = edits(120, 12, 30)
+    got = G.coedited_weight(spark.createDataFrame(rows + [(900, None, "p1", 5), (901, "a1", None, 5)], SCHEMA)).collect()
+    want = {k: len(v) for k, v in brute_pairs(rows, None).items()}
+    assert {(r.a, r.b): r.weight for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Fifty actors that meet on one page at one time make far more pairs than edits."""
+    df = spark.createDataFrame([(i, f"a{i}", "p", 1) for i in range(50)], SCHEMA)
+    for found in (G.coedited_windowed(df, 10), G.coedited_weight(df)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and found.count() == 50 * 49 // 2
