@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from engram.operators import blocks as B, graph as G
 
@@ -105,3 +106,16 @@ def test_pairs_are_not_shuffled(spark):
     for found in (G.coedited_windowed(df, 10), G.coedited_weight(df)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan and found.count() == 50 * 49 // 2
+
+
+def test_ranks_of_links_in_arrays(spark, small, monkeypatch):
+    """Links come once each, and ranks are the same step by step as several steps a plan."""
+    rows = edits(150, 12, 6)
+    df = spark.createDataFrame(rows, SCHEMA)
+    links = G.coedit_links(df, 40)
+    got = [(r.a, b) for r in links.collect() for b in r.bs]
+    assert sorted(got) == sorted(brute_pairs(rows, 40))
+    nodes = df.select(F.col("actor").alias("node")).distinct()
+    several = {r.node: r.score for r in G.pagerank(spark.createDataFrame(got, "a string, b string"), nodes, 14).collect()}
+    monkeypatch.setattr(G, "MANY_EDGES", 0)
+    assert {r.node: r.score for r in G.pagerank(links, nodes, 14).collect()} == pytest.approx(several, abs=1e-7)
