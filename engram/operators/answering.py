@@ -288,7 +288,14 @@ def entity_neighbours(seeds: DataFrame, mentions: DataFrame, k: int) -> DataFram
     """(query_id, id, entity, via): claims that share an entity with a query's
     seeds and are none of them, each once a seed and entity; 4 * k a query, in
     order of id, entity and seed."""
-    own = seeds.select("query_id", F.col("id").alias("via")).join(mentions.withColumnRenamed("id", "via"), "via")
-    pairs = own.join(mentions, "entity").join(seeds.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    own = seeds.select("query_id", F.col("id").alias("via")).distinct().join(mentions.distinct().withColumnRenamed("id", "via"), "via")
+    # every claim served has a row at least, so 4 * k claims and 4 * k seeds an entity are enough
+    by_query = Window.partitionBy("query_id").orderBy("id")
+    found = own.select("query_id", "entity").distinct().join(mentions, "entity").select("query_id", "id").distinct()
+    found = found.join(seeds.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+    found = found.withColumn("_n", F.row_number().over(by_query)).where(F.col("_n") <= 4 * k).drop("_n")
+    first = Window.partitionBy("query_id", "entity").orderBy("via")
+    via = own.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 4 * k).drop("_n")
+    pairs = found.join(mentions.distinct(), "id").join(via, ["query_id", "entity"])
     order = Window.partitionBy("query_id").orderBy("id", "entity", "via")
-    return pairs.select("query_id", "id", "entity", "via").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 4 * k).drop("_n")
+    return pairs.select("query_id", "id", "entity", "via").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 4 * k).drop("_n")

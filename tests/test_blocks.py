@@ -119,3 +119,19 @@ def test_ranks_of_links_in_arrays(spark, small, monkeypatch):
     several = {r.node: r.score for r in G.pagerank(spark.createDataFrame(got, "a string, b string"), nodes, 14).collect()}
     monkeypatch.setattr(G, "MANY_EDGES", 0)
     assert {r.node: r.score for r in G.pagerank(links, nodes, 14).collect()} == pytest.approx(several, abs=1e-7)
+
+
+def test_neighbours_of_a_frequent_entity(spark):
+    """The first rows of seeds and claims that all share one entity, with repeats."""
+    from engram.operators.answering import entity_neighbours
+
+    mentions = [(i, "e") for i in range(600)] + [(i, "f") for i in range(290, 310)] + [(700, "f"), (700, "f")]
+    seeds = [(1, i) for i in range(0, 600, 2)] + [(2, 700), (2, 700)]
+    m, s = spark.createDataFrame(mentions, "id long, entity string"), spark.createDataFrame(seeds, "query_id long, id long")
+    want = {}
+    for q, i in set(seeds):
+        for e in {e for n, e in mentions if n == i}:
+            want.setdefault(q, set()).update((n, e, i) for n, f in mentions if f == e and (q, n) not in set(seeds))
+    expected = {(q, *r) for q, rows in want.items() for r in sorted(rows)[:12]}
+    found = entity_neighbours(s, m, 3)
+    assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected)
