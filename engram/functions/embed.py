@@ -3,25 +3,44 @@
 from __future__ import annotations
 
 import hashlib
-import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
+#: What separates words becomes a space.
+SEPARATED = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for c in range(256))
+#: Words and trigrams whose hashes a Python worker keeps, and the longest of them.
+KEPT, LONGEST = 1 << 17, 64
+
+
+@lru_cache(KEPT)
+def _trigram_hash(run: str) -> bytes:
+    return hashlib.blake2b(run.encode(), digest_size=8).digest()
+
+
+def _word_hash(word: bytes) -> bytes:
+    return hashlib.sha256(word).digest()
+
+
+_kept_word_hash = lru_cache(KEPT)(_word_hash)
+
 
 def trigram_vector(text: str | None, dim: int) -> np.ndarray:
     """Signed counts of hashed character trigrams, of unit length; empty: e0."""
-    out = np.zeros(dim)
     body = (text or "").strip().lower()
     if not body:
+        out = np.zeros(dim)
         out[0] = 1.0
         return out
     padded = f"  {body}  "
-    for i in range(len(padded) - 2):
-        h = int.from_bytes(hashlib.blake2b(padded[i : i + 3].encode(), digest_size=8).digest(), "big")
-        out[h % dim] += -1.0 if h >> 63 else 1.0
+    counts = Counter(map("".join, zip(padded, padded[1:], padded[2:])))
+    h = np.frombuffer(b"".join(map(_trigram_hash, counts)), ">u8").astype(np.uint64)
+    n = np.fromiter(counts.values(), float, len(counts))
+    out = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63) == 1, -n, n), dim)
     length = np.linalg.norm(out)
     if length == 0:
         out[0] = length = 1.0
@@ -30,12 +49,11 @@ def trigram_vector(text: str | None, dim: int) -> np.ndarray:
 
 def word_vector(text: str | None, dim: int) -> np.ndarray:
     """Eight signed places of each word's SHA-256, of unit length."""
-    out = np.zeros(dim)
-    for word in re.findall(r"[a-z0-9]+", (text or "").lower()) or ["\0empty"]:
-        digest = hashlib.sha256(word.encode()).digest()
-        for j in range(8):
-            place = int.from_bytes(digest[4 * j : 4 * j + 4], "big") % dim
-            out[place] += 1.0 if digest[4 * j] % 2 == 0 else -1.0
+    counts = Counter((text or "").lower().encode("ascii", "replace").translate(SEPARATED).split() or [b"\0empty"])
+    hashes = b"".join(map(_kept_word_hash if max(map(len, counts)) <= LONGEST else _word_hash, counts))
+    h = np.frombuffer(hashes, ">u4").astype(np.uint32)
+    n = np.repeat(np.fromiter(counts.values(), float, len(counts)), 8)
+    out = np.bincount(h % np.uint32(dim), np.where(h & 1 << 24, -n, n), dim)
     length = np.linalg.norm(out)
     return out / length if length else out
 
@@ -44,7 +62,10 @@ EMBEDDERS = {"trigram": trigram_vector, "word": word_vector}
 
 
 def embed(text: Column, kind: str, dim: int = 256) -> Column:
-    """The embedding of a text column; the kind must be named, there is no fallback."""
+    """The embedding of a text column; the kind must be named, there is no fallback.
+
+    Spark takes it for one that is not deterministic, which it is: else a filter on
+    the embedding would work it out again below the projection that has it."""
     if kind not in EMBEDDERS:
         raise ValueError(f"unknown embedder {kind!r}; one of {sorted(EMBEDDERS)}")
     one = EMBEDDERS[kind]
@@ -52,4 +73,4 @@ def embed(text: Column, kind: str, dim: int = 256) -> Column:
     def run(column: pa.Array) -> pa.Array:
         return pa.array([one(t, dim).astype(np.float32) for t in column.to_pylist()], pa.list_(pa.float32()))
 
-    return arrow_udf(run, "array<float>")(text)
+    return arrow_udf(run, "array<float>").asNondeterministic()(text)
