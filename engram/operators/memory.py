@@ -76,12 +76,21 @@ def induced_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SHA-256 of the lines joined by line feeds; no row without a line."""
+def _packed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a task, in order, as numbered compressed pieces, one a batch."""
+    for n, batch in enumerate(b for b in batches if b.num_rows):
+        text = "\n".join(batch.column("line").to_pylist()).encode()
+        yield pa.RecordBatch.from_pydict({"part": batch.column("part")[:1], "n": pa.array([n], pa.int64()), "size": pa.array([len(text)], pa.int64()), "piece": [pa.compress(text, "zstd", asbytes=True)]})
+
+
+def _hash_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of all lines joined by line feeds; no row without a line."""
     found, some = hashlib.sha256(), False
     for batch in batches:
-        for line in batch.column(0).to_pylist():
-            found.update(("\n" + line if some else line).encode())
+        for size, piece in zip(batch.column("size").to_pylist(), batch.column("piece")):
+            if some:
+                found.update(b"\n")
+            found.update(pa.decompress(piece.as_buffer(), size, "zstd"))
             some = True
     if some:
         yield pa.RecordBatch.from_pydict({"digest": [found.hexdigest()]})
@@ -91,13 +100,16 @@ def digest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SHA-256 of the sorted node lines, of the edge lines, and of both digests.
 
     Nodes are (label, key, author), edges (src, relation, relation_key, dst,
-    author).  The format asks for one hash over all lines of a kind in order, so
-    one task a kind reads them; they are sorted on disk and hashed batch by
-    batch, and never meet in one value.  ``bucket_digests`` runs in parallel.
+    author).  Lines are sorted by ranges in parallel.  The format asks for one hash
+    over all lines of a kind, so one task a kind reads them; it gets them as
+    compressed pieces, of which it sorts the numbers and holds one at a time open.
+    ``bucket_digests`` runs in parallel.
     """
     def one(df: DataFrame, columns: list[str], name: str) -> DataFrame:
         line = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-        return df.select(line.alias("line")).repartition(1).sortWithinPartitions("line").mapInArrow(_hash_lines, "digest string").agg(F.max("digest").alias(name))
+        lines = df.select(line.alias("line")).repartitionByRange("line").sortWithinPartitions("line")
+        pieces = lines.select("line", F.spark_partition_id().alias("part")).mapInArrow(_packed_lines, "part int, n long, size long, piece binary")
+        return pieces.repartition(1).sortWithinPartitions("part", "n").mapInArrow(_hash_pieces, "digest string").agg(F.max("digest").alias(name))
 
     both = one(nodes, ["label", "key", "author"], "nodes_digest").crossJoin(one(edges, ["src", "relation", "relation_key", "dst", "author"], "edges_digest"))
     return both.withColumn("graph_digest", F.sha2(F.concat("nodes_digest", "edges_digest"), 256))

@@ -124,6 +124,16 @@ def test_digest_gathers_no_lines_in_one_value(spark, capsys):
     assert out.first() == (hashlib.sha256(lines.encode()).hexdigest(), None, None)
 
 
+def test_digest_sorts_lines_in_parallel(spark, capsys):
+    lines = [("L", str(i % 5_000), "é" * (i % 3)) for i in range(30_000)]
+    nodes = spark.createDataFrame(lines, "label string, key string, author string").repartition(7)
+    edges = spark.createDataFrame([], "src string, relation string, relation_key string, dst string, author string")
+    out = M.digest(nodes, edges)
+    assert out.first().nodes_digest == hashlib.sha256("\n".join(sorted("\x1f".join(x) for x in lines)).encode()).hexdigest()
+    out.explain()
+    assert capsys.readouterr().out.count("rangepartitioning(line") == 2
+
+
 def test_columns(spark):
     rows = [("2023/04/10 (Mon) 17:50", " New--York  City! ", "Works At"), ("garbage", "", ""), ("", None, "--")]
     df = spark.createDataFrame(rows, "d string, e string, p string")
