@@ -33,10 +33,13 @@ def merge_nodes(stored: DataFrame, rows: DataFrame, key: str, keep_first: list[s
 
 def relate(edges: DataFrame, proposed: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges after, proposals with a missing end): ends are never invented, edges never doubled."""
-    ids = nodes.select("id").distinct()
-    ok = proposed.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    ok = ok.select(*edges.columns)
-    return edges.unionByName(ok).dropDuplicates(["src", "relation", "dst"]), proposed.join(ok, proposed.columns, "left_anti")
+    ids = nodes.where("id is not null").select("id").distinct()
+    # merged: as a hash table in every task, the nodes would grow with their number
+    known = lambda end: ids.select(F.col("id").alias(f"_{end}")).hint("merge")
+    met = proposed.join(known("src"), F.col("src") == F.col("_src"), "left").join(known("dst"), F.col("dst") == F.col("_dst"), "left")
+    both = F.col("_src").isNotNull() & F.col("_dst").isNotNull()
+    ok, missing = met.where(both).select(*edges.columns), met.where(~both).select(*proposed.columns)
+    return edges.unionByName(ok).dropDuplicates(["src", "relation", "dst"]), missing
 
 
 def close_handovers(writes: DataFrame) -> DataFrame:

@@ -103,6 +103,15 @@ def test_upserts_and_relations(spark):
     assert after.count() == 2 and [r.dst for r in missing.collect()] == ["ghost"]
 
 
+def test_relate_tells_each_proposal_once(spark):
+    nodes = spark.createDataFrame([("x",), ("y",), (None,)], "id string")
+    edges = spark.createDataFrame([], "src string, relation string, dst string")
+    asked = spark.createDataFrame([("x", None, "y"), ("x", "r", None), (None, "r", "y"), ("x", "r", "z")], edges.schema)
+    after, missing = M.relate(edges, asked, nodes)
+    assert [tuple(r) for r in after.collect()] == [("x", None, "y")]
+    assert {tuple(r) for r in missing.collect()} == {("x", "r", None), (None, "r", "y"), ("x", "r", "z")}
+
+
 def test_digest_depends_on_content_only(spark):
     nodes = spark.createDataFrame([("Actor", "a", "x"), ("Page", "p", None)], "label string, key string, author string")
     edges = spark.createDataFrame([("a", "EDITED", "", "p", "")], "src string, relation string, relation_key string, dst string, author string")
