@@ -136,3 +136,26 @@ def test_chunks_served_with_their_sessions(spark):
     assert [(r.session_id, r.start, r.session_rank) for r in blocks.orderBy("place").collect()] == [("s2", 0, 1), ("s1", 0, 2)]
     r = served.first()
     assert (r.context, r.session_ids) == ("[1] session s2\n    user: c\n[2] session s1\n    user: a\n    assistant: b", ["s2", "s1"])
+
+
+def test_labels_of_meetings_send_notes_and_no_links(spark, monkeypatch):
+    from engram.operators import labels as L
+
+    rng = random.Random(5)
+    edits = [(f"n{rng.randrange(40)}", f"p{rng.randrange(3)}", rng.randrange(-3000, 9000)) for _ in range(400)] + [("n1", None, 5), (None, "p1", 5), ("alone", "p9", 5)]
+    rows = [e for e in edits if None not in e]
+    pairs = {(min(a, b), max(a, b)) for a, p, s in rows for b, q, t in rows if p == q and a != b and abs(s - t) <= 20}
+    tables = []
+
+    def kept(df, name, **seen):
+        tables.append((name, written(df, name, **seen)))
+        return tables[-1][1]
+
+    written = L.written
+    monkeypatch.setattr(L, "written", kept)
+    monkeypatch.setattr(L, "spent", lambda *_: None)
+    got = {r.node: r.label for r in G.coedit_labels(spark.createDataFrame(edits, "actor string, page string, ts_us long"), 20).collect()}
+    assert got == settle(pairs) and len(got) > 30
+    notes = [df.count() for name, df in tables if name == "notes"]
+    assert len(notes) > 2 and max(notes) <= L.LEAST_PARTS * (L.LEAST_PARTS + 1) < len(pairs)
+    assert G.coedit_labels(spark.createDataFrame([("a", "p", 1)], "actor string, page string, ts_us long"), 20).count() == 0
