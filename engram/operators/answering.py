@@ -220,7 +220,7 @@ def retrieve_counted(questions: DataFrame, claims: DataFrame, turns: DataFrame,
     items = counted("s5", written(found.withColumn("place", F.row_number().over(final)).where(F.col("place") <= FINAL).select("query_id", F.lit("item").alias("part"), "place", "id", "promoted", "origin"), "items"))
     pack = preference_pack(asked.where("preference"), claims, mentions).join(items.select("query_id", "id"), ["query_id", "id"], "left_anti")
     counted("preference_pack", pack)
-    served = items.unionByName(pack.select("query_id", F.lit("preference").alias("part"), "place", "id", F.lit(False).alias("promoted"), F.lit(None).cast(dict(items.dtypes)["origin"]).alias("origin")))
+    served = written(items.unionByName(pack.select("query_id", F.lit("preference").alias("part"), "place", "id", F.lit(False).alias("promoted"), F.lit(None).cast(dict(items.dtypes)["origin"]).alias("origin"))), "served")
 
     named = asked.select("query_id", F.explode(question_entities(F.col("question"))).alias("entity"))
     unknown = named.join(mentions.select("entity").distinct(), "entity", "left_anti")
@@ -229,10 +229,14 @@ def retrieve_counted(questions: DataFrame, claims: DataFrame, turns: DataFrame,
     absent = unknown.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("entity")), "|").alias("missing"))
     day = F.coalesce(F.date_format(F.timestamp_micros("valid_us"), "yyyy-MM-dd"), F.lit(""))
     said = claims.select("id", "session_id", "turn", F.col("text").alias("claim_text"), "predicate", "kind", day.alias("valid_from"))
-    source = said.join(turns.withColumnRenamed("text", "turn_text"), ["session_id", "turn"], "left").join(sessions, "session_id", "left")
+    # served claims are cut out before they meet their turns and sessions: written, they are few and known to be
+    told = written(said.join(served.select("id"), "id", "left_semi"), "told")
+    spoken = turns.join(told.select("session_id", "turn"), ["session_id", "turn"], "left_semi").withColumnRenamed("text", "turn_text")
+    held = sessions.join(told.select("session_id"), "session_id", "left_semi")
+    source = told.join(spoken, ["session_id", "turn"], "left").join(held, "session_id", "left")
     out = served.join(source, "id", "left").join(absent, "query_id", "left")
     if heads is not None:
-        line = G.lineage(served.where("origin is not null").select(F.col("origin").alias("id")), heads, CHAIN).join(said.select(F.col("id").alias("node"), F.col("claim_text").alias("text"), F.col("valid_from").alias("from")), "node")
+        line = written(G.lineage(served.where("origin is not null").select(F.col("origin").alias("id")), heads, CHAIN), "lines").join(said.select(F.col("id").alias("node"), F.col("claim_text").alias("text"), F.col("valid_from").alias("from")), "node")
         line = line.groupBy(F.col("id").alias("origin")).agg(F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("back"), "text", "from"))).alias("line"))  # CHAIN + 1 at most
         out = out.join(line, "origin", "left").withColumn("lineage", F.transform("line", lambda x: F.struct(x["text"], x["from"])))
     else:

@@ -42,8 +42,10 @@ def claims(turns: DataFrame, most: int = 40) -> DataFrame:
     """(conv_id, turn, place, text, predicate, kind, entities) of (conv_id, turn,
     role, text): one claim a sentence of 25 characters or more that names
     something; the first ``most`` of a session, six entities each."""
-    s = turns.where(F.length("text") >= 25).select("conv_id", "turn", "role", F.posexplode_outer(sentences(F.col("text"))).alias("place", "sentence")).where("sentence is not null")
-    s = s.withColumn("found", entities(F.col("sentence"))).where(F.size("found") > 0)
+    # names are found where sentences are made: as a column with a condition on it they would be worked out once for each
+    each = F.transform(sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), entities(s).alias("found")))
+    s = turns.where(F.length("text") >= 25).select("conv_id", "turn", "role", F.posexplode_outer(each).alias("place", "s"))
+    s = s.where(F.size("s.found") > 0).select("conv_id", "turn", "role", "place", "s.sentence", "s.found")
     low = F.lower("sentence")
     head = F.split_part(F.element_at("found", 1), F.lit(" "), F.lit(1))
     verb = F.coalesce(F.nullif(F.regexp_extract(low, VERBS, 1), F.lit("")), F.lit("attr"))
