@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from engram.operators.steps import written
+
 #: Hex digits a level adds, and levels below the root: 16 ** 4 leaves.
 DIGITS, LEVELS = 1, 4
 
@@ -33,8 +35,10 @@ def write_tree(rows: DataFrame, key: list[str], columns: list[str], folder: str)
     lines = keyed_lines(rows, key, columns).repartitionByRange("leaf").sortWithinPartitions("leaf", "key", "line")
     lines.write.mode("overwrite").parquet(f"{folder}/lines")
     stored = rows.sparkSession.read.parquet(f"{folder}/lines")
-    parts = [F.conv(F.substring("hash", 15 * i + 1, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    sums = F.concat_ws(",", *(F.sum(p).cast("string") for p in parts), F.count("*").cast("string"))
+    parts = [F.conv(F.substring("hash", 15 * i + 1, 15), 16, 10).cast("long") for i in range(4)]
+    # a part's upper and lower 30 bits are summed as long numbers, which stay exact for some 8 billion lines a leaf
+    high, low = (lambda p: F.sum(F.shiftright(p, 30)).cast("decimal(20,0)")), (lambda p: F.sum(p.bitwiseAND(F.lit(2**30 - 1))))
+    sums = F.concat_ws(",", *((high(p) * F.lit(2**30) + low(p)).cast("string") for p in parts), F.count("*").cast("string"))
     level = stored.withColumn("hash", F.sha2("line", 256)).groupBy(F.col("leaf").alias("path")).agg(F.sha2(sums, 256).alias("digest"), F.count("*").alias("lines"))
     level.write.mode("overwrite").parquet(f"{folder}/nodes/depth={LEVELS}")
     for depth in range(LEVELS - 1, -1, -1):
@@ -69,7 +73,9 @@ def changed_lines(spark: SparkSession, a: str, b: str) -> DataFrame:
     """(key, change, line): lines that only one version has (``gone`` from a, ``new``
     in b), repeats counted.  Of both tables only leaves that differ are read: their
     lines lie in order, so other row groups are skipped where few leaves differ."""
-    leaves = changed_ranges(spark, a, b).select(F.col("path").alias("leaf"))
-    bounds = leaves.agg(F.min("leaf"), F.max("leaf")).first()
-    old, new = (spark.read.parquet(f"{f}/lines").where(F.col("leaf").between(*bounds)).join(leaves, "leaf", "left_semi").select("key", "line") for f in (a, b))
-    return old.exceptAll(new).select("key", F.lit("gone").alias("change"), "line").unionByName(new.exceptAll(old).select("key", F.lit("new").alias("change"), "line"))
+    leaves = written(changed_ranges(spark, a, b).select(F.col("path").alias("leaf")), "leaves", low=F.min("leaf"), high=F.max("leaf"))
+    inside = F.col("leaf").between(leaves.seen["low"], leaves.seen["high"])
+    old, new = (spark.read.parquet(f"{f}/lines").where(inside).join(leaves, "leaf", "left_semi").select("key", "line", F.lit(n).alias("n")) for f, n in ((a, 1), (b, -1)))
+    left = old.unionByName(new).groupBy("key", "line").agg(F.sum("n").alias("n")).where("n <> 0")
+    change = F.when(F.col("n") > 0, "gone").otherwise("new")
+    return left.select("key", change.alias("change"), "line", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))).alias("_")).drop("_")

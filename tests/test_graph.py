@@ -159,3 +159,21 @@ def test_labels_of_meetings_send_notes_and_no_links(spark, monkeypatch):
     notes = [df.count() for name, df in tables if name == "notes"]
     assert len(notes) > 2 and max(notes) <= L.LEAST_PARTS * (L.LEAST_PARTS + 1) < len(pairs)
     assert G.coedit_labels(spark.createDataFrame([("a", "p", 1)], "actor string, page string, ts_us long"), 20).count() == 0
+
+
+def test_changed_lines_meet_once(spark, tmp_path):
+    one = spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("v").alias("v"))
+    two = one.where("id <> '7'").union(spark.createDataFrame([("8", "v"), ("8", "v")], "id string, v string"))
+    for name, rows in (("a", one), ("b", two)):
+        T.write_tree(rows, ["id"], ["v"], str(tmp_path / name))
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    lines = T.changed_lines(spark, a, b)
+    assert sorted((r.key, r.change) for r in lines.collect()) == [("7", "gone"), ("8", "new"), ("8", "new")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.count("LeftSemi") == 2
+    for leaf in "89":  # digests are sums of four parts of 60 bits
+        path = hashlib.sha256(leaf.encode()).hexdigest()[:4]
+        held = [k for k in map(str, range(300)) if hashlib.sha256(k.encode()).hexdigest()[:4] == path]
+        sums = [sum(int(hashlib.sha256(b"v").hexdigest()[15 * i : 15 * i + 15], 16) for _ in held) for i in range(4)]
+        want = hashlib.sha256(",".join(map(str, [*sums, len(held)])).encode()).hexdigest()
+        assert spark.read.parquet(f"{a}/nodes/depth=4").where(F.col("path") == path).first().digest == want
