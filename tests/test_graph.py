@@ -177,3 +177,12 @@ def test_changed_lines_meet_once(spark, tmp_path):
         sums = [sum(int(hashlib.sha256(b"v").hexdigest()[15 * i : 15 * i + 15], 16) for _ in held) for i in range(4)]
         want = hashlib.sha256(",".join(map(str, [*sums, len(held)])).encode()).hexdigest()
         assert spark.read.parquet(f"{a}/nodes/depth=4").where(F.col("path") == path).first().digest == want
+
+
+def test_a_page_is_its_first_events_author(spark, tmp_path):
+    from engram.plans import registry
+
+    rows = [(1, "2024-01-02", 7), (2, "2024-01-01", 8)]  # ids do not follow times
+    events = spark.createDataFrame(rows, "event_id long, at string, user_id long")
+    events.selectExpr("event_id", "cast(at as timestamp_ntz) as ts", "user_id", "'edit' as event_type", "1.0d as value", "'{\"k\": 3}' as props").write.parquet(str(tmp_path / "events.parquet"))
+    assert [r.author for r in registry._nodes(spark, str(tmp_path)).where("label = 'Page'").collect()] == ["7"]
