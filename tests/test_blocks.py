@@ -135,3 +135,47 @@ def test_neighbours_of_a_frequent_entity(spark):
     expected = {(q, *r) for q, rows in want.items() for r in sorted(rows)[:12]}
     found = entity_neighbours(s, m, 3)
     assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected)
+
+
+def test_pieces_are_the_edits():
+    """A group's pieces, packed and unpacked, hold its rows with names and times."""
+    import pyarrow as pa
+
+    rows = edits(500)
+    table = pa.table({"actor": [r[1] for r in rows], "page": [r[2] for r in rows], "ts_us": pa.array([r[3] - 2**60 for r in rows]), "_own": pa.array([4] * 500, pa.int32())})
+    pieces = list(B._pack(iter(table.to_batches(max_chunksize=90))))
+    back = pa.concat_tables([B._unpacked(p["piece"][0].as_buffer(), 1) for p in pieces])
+    assert [p["_own"][0].as_py() for p in pieces] == [4] and set(back["side"].to_pylist()) == {1}
+    assert sorted(zip(*(back[c].to_pylist() for c in ("actor", "page", "ts_us")))) == sorted((a, p, t - 2**60) for _, a, p, t in rows)
+
+
+def test_many_paths_come_in_small_rounds(monkeypatch):
+    """Paths of one pair of pages are dealt by their first actor: few are made in more than one
+    round, and a round holds few."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "CHUNK", 25_000)
+    draw = random.Random(5)
+    rows = [(i, f"a{draw.randrange(200):03}", f"p{draw.randrange(2)}", draw.randrange(900)) for i in range(400)]
+    table = pa.table({"actor": [r[1] for r in rows], "page": [r[2] for r in rows], "ts_us": pa.array([r[3] for r in rows]), "side": pa.array(np.zeros(400, np.int8))})
+    made, calls = 0, B.Paths._made
+
+    def counted(self, *args):
+        nonlocal made
+        for found in calls(self, *args):
+            made += len(found[0])
+            yield found
+
+    monkeypatch.setattr(B.Paths, "_made", counted)
+    paths = B.Paths(table, True, 300, None)
+    sizes, rings = [], set()
+    for found in paths.chunks():
+        sizes.append(len(found[0]))
+        best = paths.best(found)
+        new = set(zip(*(f.tolist() for f in best[1:4])))
+        assert len(new) == len(best[0]) and not new & rings
+        rings |= new
+    want = brute_rings(rows, 300)
+    assert {"|".join(paths.actors[c].as_py() for c in r) for r in rings} == {k[0] for k in want}
+    assert made < 1.5 * sum(sizes) and max(sizes) <= 100_000 and sum(sizes) > 40_000
