@@ -179,3 +179,19 @@ def test_many_paths_come_in_small_rounds(monkeypatch):
     want = brute_rings(rows, 300)
     assert {"|".join(paths.actors[c].as_py() for c in r) for r in rings} == {k[0] for k in want}
     assert made < 1.5 * sum(sizes) and max(sizes) <= 100_000 and sum(sizes) > 40_000
+
+
+def test_pairs_of_pages_are_named_once():
+    """Many rings of a few pairs of pages: names are made a pair, and are those of the rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = edits()
+    table = pa.table({"actor": [r[1] for r in rows], "page": [r[2] for r in rows], "ts_us": pa.array([r[3] for r in rows]), "side": pa.array(np.zeros(len(rows), np.int8))})
+    paths = B.Paths(table, True, 60, None)
+    (found,) = (paths.best(f) for f in paths.chunks())
+    pair, first, last = paths._pairs(found)
+    assert len(first) == len(last) == len(set(found[0].tolist())) <= 10 < len(pair)
+    want = brute_rings(rows, 60)
+    told = paths.told(found).to_pylist()
+    assert {(r["actors"], r["pages"]): (r["x"], r["y"]) for r in told} == {k: v[5:7] for k, v in want.items()}
